@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import hex64, table
+from docmill.llm.packing import pack_documents
 from docmill.llm.secrets import find_secrets
 from docmill.llm.simhash import near_duplicates
 
@@ -41,6 +42,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed. The vocabulary is byte_bpe_50k.json's, read from its file of ranks."""
+    packed = pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import hex64, table
+from docmill.llm.langid import held_out, identify, train
 from docmill.llm.packing import pack_documents
 from docmill.llm.secrets import find_secrets
 from docmill.llm.simhash import near_duplicates
@@ -56,6 +57,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, ~held_out())
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -11,6 +11,7 @@ from docmill.llm.common import hex64, table
 from docmill.llm.langid import held_out, identify, train
 from docmill.llm.packing import pack_documents
 from docmill.llm.secrets import find_secrets
+from docmill.llm.sharding import assign_shards
 from docmill.llm.simhash import near_duplicates
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +66,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    return assign_shards(table(spark, sf_dir, "documents"), 16, "bytes").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

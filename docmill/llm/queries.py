@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.common import hex64, table
 from docmill.llm.langid import held_out, identify, train
 from docmill.llm.packing import pack_documents
@@ -72,6 +73,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 16, "bytes").withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@_query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.common import hex64, table
+from docmill.llm.fingerprints import fingerprint_edits
 from docmill.llm.langid import held_out, identify, train
 from docmill.llm.packing import pack_documents
 from docmill.llm.secrets import find_secrets
@@ -86,6 +87,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

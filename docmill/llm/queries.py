@@ -11,6 +11,7 @@ from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.common import hex64, table
 from docmill.llm.fingerprints import fingerprint_edits
 from docmill.llm.langid import held_out, identify, train
+from docmill.llm.neighbours import nearest
 from docmill.llm.packing import pack_documents
 from docmill.llm.secrets import find_secrets
 from docmill.llm.sharding import assign_shards
@@ -93,6 +94,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th embedding."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -13,6 +13,7 @@ from docmill.llm.fingerprints import fingerprint_edits
 from docmill.llm.langid import held_out, identify, train
 from docmill.llm.neighbours import nearest
 from docmill.llm.packing import pack_documents
+from docmill.llm.preferences import format_preferences
 from docmill.llm.secrets import find_secrets
 from docmill.llm.sharding import assign_shards
 from docmill.llm.simhash import near_duplicates
@@ -100,6 +101,53 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@_query
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, paired by their first turn."""
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    out = format_preferences(table(spark, sf_dir, "conversations"))
+    return out.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
+_SQL["op4_preferences"] = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null),
+f as (select conv_id, role, text from t where pos = 1),
+l1 as (select *, row_number() over w as n, lead(conv_id) over w as nxt from f window w as (partition by role, text, conv_id // 256 order by conv_id)),
+l2 as (select conv_id, role, text, row_number() over w as n, lead(conv_id) over w as nxt from l1 where n % 2 = 1 and nxt is null window w as (partition by role, text, conv_id // 65536 order by conv_id)),
+l3 as (select conv_id, role, text, row_number() over w as n, lead(conv_id) over w as nxt from l2 where n % 2 = 1 and nxt is null window w as (partition by role, text, conv_id // 16777216 order by conv_id)),
+l4 as (select conv_id, role, text, row_number() over w as n, lead(conv_id) over w as nxt from l3 where n % 2 = 1 and nxt is null window w as (partition by role, text order by conv_id)),
+pairs as (
+  select conv_id as c, nxt as r from l1 where n % 2 = 1 and nxt is not null
+  union all select conv_id, nxt from l2 where n % 2 = 1 and nxt is not null
+  union all select conv_id, nxt from l3 where n % 2 = 1 and nxt is not null
+  union all select conv_id, nxt from l4 where n % 2 = 1),
+size as (select conv_id, max(pos) as n from t group by conv_id),
+diff as (
+  select p.c, min(a.pos) as pos from pairs p join t a on a.conv_id = p.c left join t b on b.conv_id = p.r and b.pos = a.pos
+  where p.r is not null and (b.pos is null or a.role != b.role or a.text != b.text) group by p.c),
+common as (
+  select p.c, p.r, case when p.r is null then 0 else coalesce(d.pos - 1, s.n) end as n from pairs p join size s on s.conv_id = p.c left join diff d on d.c = p.c),
+parts as (
+  select c.c, c.r, 'p' as side, t.* from common c join t on t.conv_id = c.c and t.pos <= c.n
+  union all select c.c, c.r, 'c', t.* from common c join t on t.conv_id = c.c and t.pos > c.n
+  union all select c.c, c.r, 'r', t.* from common c join t on t.conv_id = c.r and t.pos > c.n),
+placed as (
+  select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line,
+         coalesce(sum(length(role) + length(text) + 13) over (partition by c, side order by pos rows between unbounded preceding and 1 preceding), 0) + length(role) + 5 as begin
+  from parts),
+texts as (
+  select c, side, string_agg(line, '' order by pos) as line,
+         coalesce(string_agg(case when role = 'assistant' then cast(begin as bigint) || ':' || cast(begin + length(text) + 7 as bigint) end, ',' order by pos), '') as mask
+  from placed group by c, side)
+select c.c as chosen_id, c.r as rejected_id, cast(c.n as bigint) as n_common, coalesce(p.line, '') as prompt, coalesce(a.line, '') as chosen,
+       case when c.r is not null then coalesce(b.line, '') end as rejected, coalesce(a.mask, '') as chosen_mask, case when c.r is not null then coalesce(b.mask, '') end as rejected_mask
+from common c left join texts p on p.c = c.c and p.side = 'p' left join texts a on a.c = c.c and a.side = 'c' left join texts b on b.c = c.c and b.side = 'r'
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

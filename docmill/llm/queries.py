@@ -14,6 +14,7 @@ from docmill.llm.langid import held_out, identify, train
 from docmill.llm.neighbours import nearest
 from docmill.llm.packing import pack_documents
 from docmill.llm.preferences import format_preferences
+from docmill.llm.scoring import score_documents
 from docmill.llm.secrets import find_secrets
 from docmill.llm.sharding import assign_shards
 from docmill.llm.simhash import near_duplicates
@@ -109,6 +110,12 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
+@_query
+def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of all documents."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 _SQL["op4_preferences"] = """
 with t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,

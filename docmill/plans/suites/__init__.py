@@ -1 +1,3 @@
 """One module per group of operators; importing it registers the queries."""
+
+from docmill.plans.suites import chunk, clean, extract  # noqa: F401

@@ -146,7 +146,7 @@ def classify_chunk_type(df: DataFrame) -> DataFrame:
 def classify_visual_chunks(df: DataFrame, words: str = L.VISUAL_WORDS) -> DataFrame:
     """P-11."""
     text = F.coalesce("text", F.lit(""))
-    terms = count_of(text, rf"(?i)\b({words})\b") >= 2
+    terms = count_of(text, rf"(?i)(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])") >= 2
     return df.withColumn("visual", (any_of(text, L.VISION_MARKS) | terms) & ~(text.contains("$$") & ~terms))
 
 

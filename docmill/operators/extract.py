@@ -62,7 +62,8 @@ def entity_density(docs: DataFrame, keywords: list[str] = L.KEYWORDS) -> DataFra
     titles = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-ZÀ-Ú][a-zà-ú]{2,}(?![\p{L}\p{N}_])"), F.lit(0)))
     common = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[a-zà-ú]{3,}(?![\p{L}\p{N}_])"), F.lit(0)))
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(keywords) + r")(?![\p{L}\p{N}_])"), F.lit(0)))
-    entities = F.size(F.filter(titles, lambda t: ~F.array_contains(common, F.lower(t))))
+    # Title case makes lowering one-to-one, so sets of lower forms can be compared by hash.
+    entities = F.size(F.array_except(F.transform(titles, lambda t: F.lower(t)), common))
     return docs.select("doc_id", F.when(F.char_length(text) < 20, 0).otherwise(entities).alias("entities"), F.size(found).alias("keywords"))
 
 

@@ -118,7 +118,7 @@ def p10(spark, sf):
     return clean.classify_chunk_type(typed(spark, sf)).select("doc_id", "chunk_type")
 
 
-@register("p11_visual_chunks", f"""with c as (select doc_id, {T} as t, len(regexp_extract_all({T}, '(?i)\\b(the|and|une|{L.VISUAL_WORDS})\\b')) >= 2 as terms from documents)
+@register("p11_visual_chunks", f"""with c as (select doc_id, {T} as t, len(regexp_extract_all(' ' || regexp_replace({T}, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') || ' ', '(?i)[^\\p{{L}}\\p{{N}}_](the|and|une|{L.VISUAL_WORDS})[^\\p{{L}}\\p{{N}}_]')) >= 2 as terms from documents)
  select doc_id, ({contains_any('t', L.VISION_MARKS)} or terms) and not (contains(t, '$$') and not terms) as visual from c""")
 def p11(spark, sf):
     return clean.classify_visual_chunks(fx.table(spark, sf, "documents"), f"the|and|une|{L.VISUAL_WORDS}").select("doc_id", "visual")

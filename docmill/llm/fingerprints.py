@@ -128,17 +128,20 @@ def pack(low: np.ndarray, any_word: np.ndarray) -> list[str]:
     return [base64.b64encode(b.tobytes()).decode() if w else EMPTY for b, w in zip(bits, any_word, strict=True)]
 
 
-def with_next(docs: DataFrame, rows_per_part: int = 4000) -> DataFrame:
-    """(part, tail, id, doc_id, text): parts of consecutive doc_ids, each followed by the first rows of the next part (tail).
+def with_next(docs: DataFrame, rows_per_part: int = 500, parts_per_task: int = 8, most_parts: int = 32_768) -> DataFrame:
+    """(part, tail, key, doc_id, text): parts of consecutive doc_ids, each followed by the first rows of the next part (tail).
 
-    Boundaries are quantiles of doc_id, so a part has about rows_per_part rows; the driver sees
-    two numbers for each part. Texts are shuffled once.
+    Boundaries are quantiles of doc_id, so a part has about rows_per_part rows, more only beyond
+    most_parts parts; several parts share a task, which evens out its size. The driver sees two
+    numbers for each part. Texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("id", F.lit(0).cast("long"))
     spark = docs.sparkSession
     ids = rows.select("key", "id")
     n = ids.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / rows_per_part), 1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, min(most_parts, math.ceil(n / rows_per_part)))
+    tasks = max(tasks, math.ceil(parts / parts_per_task))
     cuts = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts + 10_000).alias("q")).first().q or []
     part = range_number([(c, 0) for c in sorted(set(cuts))])
     lowest = sorted((r.part, r.low) for r in ids.withColumn("part", part).groupBy("part").agg(F.min("key").alias("low")).collect())
@@ -148,7 +151,7 @@ def with_next(docs: DataFrame, rows_per_part: int = 4000) -> DataFrame:
         return own
     firsts = spark.createDataFrame([(k, v) for k, v in before.items()], "key long, part int")
     tails = rows.drop("id").join(F.broadcast(firsts), "key").select("part", F.lit(True).alias("tail"), "key", "doc_id", "text")
-    return own.unionByName(tails).repartition(parts, "part").sortWithinPartitions("part", "tail", "key", "text")
+    return own.unionByName(tails).repartition(tasks, "part").sortWithinPartitions("part", "tail", "key", "text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -115,34 +115,70 @@ class Space(NamedTuple):
         return np.maximum(0, 2 * self.largest * (self.largest - products / math.sqrt(float(q @ q))))
 
 
-def best(products: np.ndarray, place: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The candidates, best first, that hold the k best vec_ids, and whether there are that many."""
-    order = np.argsort(-products, kind="stable")
-    upto = int(np.searchsorted(np.cumsum(count[place[order]]), k))
-    order = order[: upto + 1]
-    return products[order], place[order], upto < len(products)
+class Leaf(NamedTuple):
+    """The vectors of a leaf in the cells of a small kd-tree of their own, cell after cell, with the cells' tight boxes."""
+
+    vectors: np.ndarray
+    projected: np.ndarray
+    ids: list[list[int]]
+    count: np.ndarray  # vec_ids that each vector stands for
+    edges: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
 
+def make_leaf(space: Space, vectors: np.ndarray, ids: list[list[int]], cell: int = 128) -> Leaf:
+    projected = space.vectors(vectors)
+    at = build_tree(projected, max(1, len(vectors) // cell)).leaf(projected)
+    order = np.argsort(at, kind="stable")
+    at, projected = at[order], projected[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
+    low = np.minimum.reduceat(projected, edges[:-1]) if len(at) else projected
+    high = np.maximum.reduceat(projected, edges[:-1]) if len(at) else projected
+    return Leaf(vectors[order], projected, [ids[i] for i in order], np.array([len(ids[i]) for i in order], int), edges, low, high)
 
-def search(space: Space, q: np.ndarray, near: np.ndarray, vectors: np.ndarray, count: np.ndarray, k: int, bound: float, limit: float, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Inner products and places of a leaf's vectors among the k best for a query.
 
-    near: squared projected distances. Vectors are verified in ascending order of these, a
-    block at a time, until the test holds: the next one's projected distance is so large that a
-    vector nearer than the k-th best would have come before with the given certainty.
-    bound: squared distance of the k-th best known from elsewhere.
+def search(space: Space, q: np.ndarray, leaf: Leaf, k: int, bound: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the inner products and places of a leaf's best vectors, best first (-inf and -1 where there are fewer), and the new bounds.
+
+    Every query goes through the cells in ascending projected distance. Of a cell it verifies
+    the vectors whose projected distance is within reach, and it stops when the test holds: the
+    next cell is so far that a vector nearer than the k-th best would have come before with the
+    given certainty. bound: squared distance of the k-th best known from elsewhere.
     """
-    reach = limit * bound
-    here = np.flatnonzero(near <= reach) if np.isfinite(reach) else np.arange(len(near))
-    here = here[np.argsort(near[here], kind="stable")]
-    products, place = np.empty(0), np.empty(0, np.int64)
-    for a in range(0, len(here), block):
-        if near[here[a]] > reach:
+    p, reach, bound = space.queries(q), limit * bound, bound.copy()
+    length = np.sqrt((q * q).sum(axis=1))
+    products, places = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    cells = len(leaf.edges) - 1
+    if not cells:
+        return products, places, bound
+    gap = np.maximum(0, np.maximum(leaf.low[None] - p[:, None], p[:, None] - leaf.high[None]))
+    far = np.einsum("qcd,qcd->qc", gap, gap)
+    order = np.argsort(far, axis=1)
+    own = (p * p).sum(axis=1)
+    for step in range(cells):
+        cell = order[:, step]
+        going = np.flatnonzero(far[np.arange(len(q)), cell] <= reach)
+        if not len(going):
             break
-        some = here[a : a + block]
-        products, place, enough = best(np.concatenate([products, (vectors[some] * q).sum(axis=1)]), np.concatenate([place, some]), count, k)
-        if enough:
-            reach = min(reach, limit * float(space.squared(q, products[-1:])[0]))
-    return products, place
+        for c in np.unique(cell[going]):
+            rows = going[cell[going] == c]
+            a, b = leaf.edges[c], leaf.edges[c + 1]
+            there = leaf.projected[a:b]
+            near = own[rows, None] + (there * there).sum(axis=1) - 2 * p[rows] @ there.T
+            found = np.where(near <= reach[rows, None] * (1 + 1e-9), q[rows] @ leaf.vectors[a:b].T, -np.inf)
+            both = np.concatenate([products[rows], found], axis=1)
+            where = np.concatenate([places[rows], np.broadcast_to(np.arange(a, b), found.shape)], axis=1)
+            top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            products[rows] = np.take_along_axis(both, top, 1)
+            places[rows] = np.where(np.isfinite(products[rows]), np.take_along_axis(where, top, 1), -1)
+            held = np.cumsum(np.where(places[rows] >= 0, leaf.count[places[rows]], 0), axis=1)
+            enough = held[:, -1] >= k
+            last = products[rows, (held >= k).argmax(axis=1)]
+            known = np.maximum(0, 2 * space.largest * (space.largest - np.where(enough, last, 0) / length[rows]))
+            bound[rows] = np.where(enough, np.minimum(bound[rows], known), bound[rows])
+            reach[rows] = limit * bound[rows]
+    return products, places, bound
 
 
 def usable(embedding: Column, dimensions: int) -> Column:
@@ -234,9 +270,7 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
         for b in batches:
             leaf, kind = b.column("leaf").to_numpy(), b.column("kind").to_numpy()
             edges = [0, *(np.flatnonzero((np.diff(leaf) != 0) | (np.diff(kind) != 0)) + 1).tolist(), b.num_rows]
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                if a == z:
-                    continue
+            for a, z in ((x, min(x + 512, y)) for u, y in zip(edges[:-1], edges[1:], strict=True) for x in range(u, y, 512)):
                 part = b.slice(a, z - a)
                 if leaf[a] != now:
                     now, held, ready = leaf[a], [], None
@@ -244,24 +278,20 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
                     held.append((_rows(part.column("v")), part.column("ids").to_pylist()))
                     continue
                 if ready is None:
-                    ids = [i for h in held for i in h[1]]
                     vectors = np.concatenate([h[0] for h in held]) if held else np.empty((0, sizes.d))
-                    ready = (vectors, space.vectors(vectors), ids, np.array([len(i) for i in ids], int))
+                    ready = make_leaf(space, vectors, [i for h in held for i in h[1]])
                     held = []
-                vectors, projected, ids, count = ready
                 q = _rows(part.column("v"))
-                p = space.queries(q)
-                bound = part.column("bound").to_numpy()
-                out_ids, out_scores, out_bound = [], [], []
+                products, at, bound = search(space, q, ready, k + 1, part.column("bound").to_numpy(), limit)
+                out_ids, out_scores = [], []
                 for i in range(len(q)):
-                    gap = projected - p[i]
-                    products, at = search(space, q[i], np.einsum("ij,ij->i", gap, gap), vectors, count, k + 1, bound[i], limit)
-                    out_ids.append([x for j in at for x in ids[j]])
-                    out_scores.append([s for s, j in zip(products.tolist(), at, strict=True) for _ in ids[j]])
-                    enough = len(out_ids[-1]) > k
-                    out_bound.append(min(bound[i], float(space.squared(q[i], products[-1:])[0])) if enough else bound[i])
+                    good = at[i][at[i] >= 0]
+                    # What is farther than the bound is beaten by k vec_ids elsewhere.
+                    good = good[space.squared(q[i], products[i][: len(good)]) <= bound[i] * (1 + 1e-9)]
+                    out_ids.append([x for j in good for x in ready.ids[j]])
+                    out_scores.append([s for s, j in zip((ready.vectors[good] * q[i]).sum(axis=1).tolist(), good, strict=True) for _ in ready.ids[j]])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("leaf"), part.column("key"), part.column("v"), pa.array(out_bound, pa.float64()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))],
+                    [part.column("leaf"), part.column("key"), part.column("v"), pa.array(bound, pa.float64()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))],
                     ["leaf", "key", "v", "bound", "ids", "scores"],
                 )
 

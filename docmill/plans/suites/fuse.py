@@ -71,7 +71,7 @@ def j2(spark, sf):
     return fuse.enrich_candidates(c, fx.chunks(spark, sf))
 
 
-SRC = """src as (select l_orderkey % 100 as query_id, row_number() over (partition by l_orderkey % 100 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as pos, case when l_partkey % 3 = 0 then '' else 'id' || (l_partkey % 30) end as id,
+SRC = """src as (select l_orderkey % 100 as query_id, row_number() over (partition by l_orderkey % 100 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos, case when l_partkey % 3 = 0 then '' else 'id' || (l_partkey % 30) end as id,
  case when l_suppkey % 4 = 0 then '' else 'Doc' || (l_suppkey % 4) || '.md' end as filename, cast(l_linenumber % 3 as int) as page, 'text' as type, 'body ' || (l_partkey % 9) || repeat('x', cast(l_quantity as int)) as content, l_extendedprice as score,
  (['DB', 'GRAPH', 'TEXT'])[cast(l_linenumber % 3 as int) + 1] as origin from lineitem)"""
 
@@ -81,7 +81,7 @@ def sources(spark, sf):
 
     li = fx.table(spark, sf, "lineitem").withColumn("query_id", F.col("l_orderkey") % 100)
     return li.select(
-        "query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("pos"), F.expr("case when l_partkey % 3 = 0 then '' else 'id' || (l_partkey % 30) end").alias("id"),
+        "query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("long").alias("pos"), F.expr("case when l_partkey % 3 = 0 then '' else 'id' || (l_partkey % 30) end").alias("id"),
         F.expr("case when l_suppkey % 4 = 0 then '' else 'Doc' || (l_suppkey % 4) || '.md' end").alias("filename"), F.expr("cast(l_linenumber % 3 as int)").alias("page"), F.lit("text").alias("type"),
         F.expr("'body ' || (l_partkey % 9) || repeat('x', cast(l_quantity as int))").alias("content"), F.col("l_extendedprice").alias("score"), F.expr("element_at(array('DB', 'GRAPH', 'TEXT'), cast(l_linenumber % 3 as int) + 1)").alias("origin"),
     )

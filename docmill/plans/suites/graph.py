@@ -92,12 +92,12 @@ def j6(spark, sf):
     return graph.merge_edges(li, ids, old).withColumn("last_seen", F.unix_micros("last_seen"))
 
 
-@register("a1_merge_entities", """with n as (select l_partkey as id, case when l_linenumber % 3 = 0 then 'UNCLASSIFIED' else 'K' || l_linenumber end as category, 'src' || (l_suppkey % 7) as filename, l_returnflag || l_linenumber as description, {'a': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey} as seen from lineitem)
+@register("a1_merge_entities", """with n as (select l_partkey as id, case when l_linenumber % 3 = 0 then 'UNCLASSIFIED' else 'K' || l_linenumber end as category, 'src' || (l_suppkey % 7) as filename, l_returnflag || l_linenumber as description, {'a': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity} as seen from lineitem)
  select id, coalesce(arg_max(category, seen) filter (category != 'UNCLASSIFIED'), 'UNCLASSIFIED') as category, array_to_string(list_sort(list_distinct(list(filename))), ',') as sources, arg_max(description, seen) as description from n group by id""")
 def a1(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     n = li.select(F.col("l_partkey").alias("id"), F.when(F.col("l_linenumber") % 3 == 0, "UNCLASSIFIED").otherwise(F.concat(F.lit("K"), F.col("l_linenumber").cast("string"))).alias("category"), F.concat(F.lit("src"), (F.col("l_suppkey") % 7).cast("string")).alias("filename"),
-                  F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("description"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").alias("seen"))
+                  F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("description"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").alias("seen"))
     return graph.merge_entities(n).withColumn("sources", F.array_join("sources", ","))
 
 

@@ -79,7 +79,10 @@ def format_preferences(turns: DataFrame, pairs: DataFrame | None = None) -> Data
     pairs = pair_by_first_turn(convs) if pairs is None else pairs.select(F.col("chosen_id").cast("long"), F.col("rejected_id").cast("long"))
     left = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"))
     right = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b"))
-    both = pairs.join(left, "chosen_id").join(right, "rejected_id", "left")
+    # Pairs without a partner would all meet on one null key; a second key, which no partner has but 0, spreads them.
+    apart = F.when(F.col("rejected_id").isNull(), F.col("chosen_id")).otherwise(F.lit(0).cast("long"))
+    right = right.withColumn("_apart", F.pmod(F.col("rejected_id"), F.lit(1).cast("long")))
+    both = pairs.join(left, "chosen_id").withColumn("_apart", apart).join(right, ["rejected_id", "_apart"], "left")
     same = F.zip_with("a", "b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     first = F.array_position(same, F.lit(False))
     n = F.when(F.col("b").isNull(), 0).when(first == 0, F.size("a")).otherwise(first - 1).cast("int")

@@ -30,7 +30,7 @@ def build_graph(raw: DataFrame, canon: DataFrame, seen: str = "pos") -> tuple[Da
     order = F.struct("doc_id", "page_no", seen)
     entities = graph.merge_entities(nodes.select("id", "category", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), "description", order.alias("seen")))
     verbs = graph.canonicalize_relations(graph.collapse_relation_suffix(edges).drop("qualifier"), canon)
-    ends = edges.select(F.col("source").alias("id")).union(edges.select(F.col("target").alias("id"))).distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     merged = graph.merge_edges(verbs.select("source", "relation", "target", F.col("doc_id").alias("seen")), ends)
     return entities, merged, read.where(~F.col("ok")).select("doc_id", "page_no", "raw")
 

@@ -30,10 +30,22 @@ def control_coverage(controls: DataFrame, group: str, partial: float = 0.5) -> D
     return controls.groupBy(group).agg(F.count("*").alias("total"), ((done + half * partial) / F.count("*") * 100).alias("coverage"))
 
 
-def risk_ranking(risks: DataFrame, group: str) -> DataFrame:
-    """A-12. risks: group, probability, impact. Groups by the sum of probability times impact; equal sums share a rank. The sums are few, one a group, and are ranked together."""
-    total = risks.groupBy(group).agg(F.sum(F.col("probability") * F.col("impact")).alias("risk"))
-    return total.withColumn("rank", F.rank().over(Window.orderBy(F.desc("risk"))))
+def risk_ranking(risks: DataFrame, group: str, pieces: int = 256) -> DataFrame:
+    """A-12. risks: group, probability, impact. Groups by the sum of probability times impact; equal sums share a rank; groups without a sum come last.
+
+    Sums are dealt by `pieces` quantiles into ranges that are ranked apart, equal sums in one
+    range; how many lie in higher ranges is added. So no task ranks all groups.
+    """
+    total = risks.groupBy(group).agg(F.sum(F.col("probability") * F.col("impact")).cast("double").alias("risk"))
+    cuts = total.agg(F.array_distinct(F.percentile_approx("risk", [i / pieces for i in range(1, pieces)], 100 * pieces)).alias("q")).first().q or []
+    above = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c > F.col("risk"))), F.lit(pieces)) if cuts else F.lit(0)
+    cuts = [c + abs(c) * 1e-9 for c in cuts]  # beside the sums, whose last digits may change when they are added up again
+    placed = total.withColumn("_range", F.when(F.col("risk").isNull(), F.lit(pieces)).otherwise(above))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most pieces + 1 rows
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.rank().over(Window.partitionBy("_range").orderBy(F.desc("risk")))
+    ranked = placed.join(F.broadcast(ranges.select("_range", before.alias("_before"))), "_range")
+    return ranked.select(group, "risk", (own + F.col("_before")).cast("int").alias("rank"))
 
 
 def sla_cumulative(tickets: DataFrame, sla: DataFrame, by: str) -> DataFrame:

@@ -42,8 +42,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | Non
     tier, diversified, and joined to their texts last. Ids travel until then, not texts.
     """
     current = search.latest_versions(chunks)
-    index = search.inverted_index(current)
     terms = queries.withColumn("terms", search.words(F.col("query")))
+    index = search.inverted_index(current, asked=search.asked_terms(terms))
     attrs = current.select("chunk_uuid", "filename", F.col("page_no").alias("page"), "tier")
     hits = search.text_topk(terms, index, text_k).select("query_id", "chunk_uuid", F.lit("text").alias("channel"), "score")
     hits = hits.unionByName(search.phrase_topk(queries.select("query_id", "phrase"), current, phrase_k).select("query_id", "chunk_uuid", F.lit("phrase").alias("channel"), "score"))

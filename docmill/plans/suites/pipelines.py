@@ -46,8 +46,8 @@ def c3(spark, sf):
     q = b.select(F.col("item_id").alias("query_id"), F.expr("array_join(slice(split(text, ' '), 1, 6), ' ')").alias("query"), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')").alias("phrase"))
     e = fx.table(spark, sf, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), "embedding")
-    near = search.vector_topk(asked, e.select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_uuid"), "embedding"), 1 << 30).withColumn("score", F.round("score", 6)).drop("rank")
-    out = pipelines.retrieve(q, fx.chunks(spark, sf), search.top(near, 100, [F.desc("score"), F.col("chunk_uuid")]))
+    near = search.vector_topk(asked, e.select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_uuid"), "embedding"), 100, digits=6)
+    out = pipelines.retrieve(q, fx.chunks(spark, sf), near)
     return out.withColumn("score", F.round("score", 6))
 
 

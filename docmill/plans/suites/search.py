@@ -74,17 +74,17 @@ def asked_terms(spark, sf):
 @register("k3_text_topk", f"""with {fx.CHUNKS_SQL}, {INDEX}, {ASKED}, s as (select query_id, chunk_uuid, cast(sum(tf) as bigint) * 0.1::double as score from idx join terms using (term) group by all)
  select query_id, chunk_uuid, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as rank from s) where rank <= 60""")
 def k3(spark, sf):
-    out = search.text_topk(asked_terms(spark, sf), search.inverted_index(one_version(spark, sf)))
-    return out.withColumn("score", F.round("score", 6))
+    q = asked_terms(spark, sf)
+    return search.text_topk(q, search.inverted_index(one_version(spark, sf), asked=search.asked_terms(q)), digits=6)
 
 
 @register("k3_bm25_topk", f"""with {fx.CHUNKS_SQL}, {INDEX}, {ASKED}, df as (select term, count(*) as df from idx group by term), m as (select avg(length) as mean from (select distinct chunk_uuid, length from idx)), n as (select count(*) as n from c1),
  s as (select query_id, chunk_uuid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score from idx join terms using (term) join df using (term), m, n group by all)
  select query_id, chunk_uuid, round(score, 5) as score from (select *, row_number() over (partition by query_id order by round(score, 5) desc, chunk_uuid) as rank from s) where rank <= 20""")
 def k3b(spark, sf):
-    c = one_version(spark, sf)
-    out = search.text_topk(asked_terms(spark, sf), search.inverted_index(c), 1 << 30, "bm25", n_chunks=c.count())
-    return search.top(out.drop("rank").withColumn("score", F.round("score", 5)), 20, [F.desc("score"), F.col("chunk_uuid")]).drop("rank")
+    c, q = one_version(spark, sf), asked_terms(spark, sf)
+    n, mean = search.corpus_size(c)
+    return search.text_topk(q, search.inverted_index(c, asked=search.asked_terms(q)), 20, "bm25", n_chunks=n, mean_length=mean, digits=5).drop("rank")
 
 
 PHRASE = "array_to_string(string_split(text, ' ')[2:4], ' ')"
@@ -114,7 +114,8 @@ def k5(spark, sf):
 def k6(spark, sf):
     d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("active_doc"), F.array_distinct(F.slice(search.words(F.col("text")), 1, 3)).alias("terms"))
     c = fx.chunks(spark, sf)
-    return search.doc_scope_topk(d, c, search.inverted_index(one_version(spark, sf))).withColumn("score", F.round("score", 6))
+    index = search.inverted_index(one_version(spark, sf), asked=search.asked_terms(d))
+    return search.doc_scope_topk(d, c, index).withColumn("score", F.round("score", 6))
 
 
 SCAN = "(?i)(^|[^\\p{L}\\p{N}_])(over|the|of)[^\\p{L}\\p{N}_].{0,60}[0-9]"
@@ -133,11 +134,6 @@ def topk_sql(extra: str, k: int) -> str:
  select query_id, chunk_uuid, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as rank from s) where rank <= {k}"""
 
 
-def rounded(spark, queries, vectors, k):
-    out = search.vector_topk(queries, vectors, 1 << 30).withColumn("score", F.round("score", 6)).drop("rank")
-    return search.top(out, k, [F.desc("score"), F.col("chunk_uuid")])
-
-
 def embedded(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_uuid"), "embedding", F.expr("element_at(array('A', 'B', 'C'), cast(vec_id % 3 as int) + 1)").alias("tier"))
@@ -145,13 +141,12 @@ def embedded(spark, sf):
 
 @register("k1_vector_topk", topk_sql("", 100))
 def k1(spark, sf):
-    return rounded(spark, *embedded(spark, sf), 100)
+    return search.vector_topk(*embedded(spark, sf), 100, digits=6)
 
 
 @register("k2_vector_topk_tier", topk_sql("and v.vec_id % 3 = 0", 15))
 def k2(spark, sf):
-    q, v = embedded(spark, sf)
-    return rounded(spark, q, v.where("tier = 'A'"), 15)
+    return search.vector_topk_filtered(*embedded(spark, sf), "A", 15, digits=6)
 
 
 @register("j15_fetch_chunks", f"with {fx.CHUNKS_SQL} select chunk_uuid, trim(content) as payload_text from c1 where doc_id % 4 = 1 and trim(content) != ''")

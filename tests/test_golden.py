@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,43 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert chunk.chunk_recursive(docs).count() == chunk.chunk_soft(docs).count() == extract.extract_facts(docs).count() == 0
     assert search.text_topk(spark.createDataFrame([], "query_id long, terms array<string>"), search.inverted_index(spark.createDataFrame([], "chunk_uuid string, content string"))).count() == 0
+
+
+def test_vector_topk_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    v, q = rng.integers(-3, 4, (90, 4)).astype(float), rng.integers(-3, 4, (7, 4)).astype(float)
+    v[5], q[2] = 0, 0  # without direction: no hits
+    vectors = spark.createDataFrame([(f"c{i:02d}", x.tolist()) for i, x in enumerate(v)], "chunk_uuid string, embedding array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>")
+    want = []
+    for i, x in enumerate(q):
+        if x.any():
+            scored = sorted((-round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 6), f"c{j:02d}") for j, y in enumerate(v) if y.any())
+            want += [(i, c, -s, n + 1) for n, (s, c) in enumerate(scored[:9])]
+    for blocks in ((2, 8), (100, 1000)):
+        got = search.vector_topk(queries, vectors, 9, *blocks, digits=6).collect()
+        assert sorted((r.query_id, r.chunk_uuid, r.score + 0.0, r.rank) for r in got) == sorted(want)
+    assert search.vector_topk(queries.limit(0), vectors).count() == 0 == search.vector_topk(queries, vectors.limit(0)).count()
+
+
+def test_risk_ranking_in_ranges(spark):
+    rng = np.random.default_rng(5)
+    risks = [float(x) for x in rng.integers(0, 60, 300)]
+    rows = [(i, 0.5, 2 * r) for i, r in enumerate(risks)] + [(1000, None, 1.0)]
+    got = report.risk_ranking(spark.createDataFrame(rows, "g int, probability double, impact double"), "g", pieces=7).collect()
+    assert len(got) == 301
+    for r in got:
+        assert r.rank == (301 if r.g == 1000 else 1 + sum(x > risks[r.g] for x in risks))
+    assert report.risk_ranking(spark.createDataFrame([], "g int, probability double, impact double"), "g").count() == 0
+
+
+def test_index_of_asked_terms(spark):
+    chunks = spark.createDataFrame([("a", "One two two"), ("b", "two three"), ("c", None), ("d", "")], "chunk_uuid string, content string")
+    queries = spark.createDataFrame([(1, ["two", "two"]), (2, ["zebra"]), (3, None), (4, ["one", "three"])], "query_id int, terms array<string>")
+    whole, part = search.inverted_index(chunks), search.inverted_index(chunks, asked=search.asked_terms(queries))
+    assert part.where("term = 'zebra'").count() == 0 and whole.count() == part.count() == 4
+    for method in ("count", "bm25"):
+        n, mean = search.corpus_size(chunks)
+        assert (n, mean) == (4, 2.5)
+        found = [sorted(map(tuple, search.text_topk(queries, i, 5, method, n_chunks=n, mean_length=mean, digits=6).collect())) for i in (whole, part)]
+        assert found[0] == found[1] and {(r[0], r[1]) for r in found[0]} == {(1, "a"), (1, "b"), (4, "a"), (4, "b")}

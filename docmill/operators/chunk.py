@@ -9,9 +9,13 @@ from docmill.operators.clean import clean_markdown, strip
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """The texts of fixed windows. The last may lie inside the one before it; an empty text has one empty window."""
-    begin = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(size - overlap))
-    return F.transform(begin, lambda b: F.substring(text, b + 1, F.lit(size)))
+    """The texts of fixed windows. The last may lie inside the one before it; an empty or null text has one window, itself.
+
+    One pass over the text: a match goes on by a step and captures a window ahead. Cutting each
+    window out by its place would count characters from the beginning again every time.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"), F.lit(1))
+    return F.when(F.char_length(text) > 0, found).otherwise(F.array(text))
 
 
 def chunk_fixed(docs: DataFrame, size: int = 800, overlap: int = 200) -> DataFrame:

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.operators.chunk import windows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out by doc_id where the table has fewer files than the session has cores: a file of one row group is one task, and words and patterns are costly."""
+    d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores, "doc_id") if len(d.inputFiles()) < min(cores, 64) else d
+
+
 FOLDERS = ("TIER_A_NORMATIVE", "TIER_B_GOVERNANCE", "TIER_C_EVIDENCES")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into pages of 1800 characters."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.explode(F.expr("sequence(1, greatest(1, cast(ceil(char_length(text) / 1800.0) as int)))")).alias("page_no"), F.col("text").alias("whole")).select(
-        "doc_id", "filename", "page_no", F.expr("substring(whole, (page_no - 1) * 1800 + 1, 1800)").alias("text")
-    )
+    d = documents(spark, sf_dir)
+    name = F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename")
+    return d.select("doc_id", name, F.posexplode(windows(F.col("text"), 1800, 0)).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
 
 
 PAGES_SQL = """pg as (select doc_id, source || '_' || doc_id || '.md' as filename, cast(p as int) as page_no, substring(text, cast((p - 1) * 1800 + 1 as bigint), 1800) as text
@@ -27,15 +34,15 @@ PAGES_SQL = """pg as (select doc_id, source || '_' || doc_id || '.md' as filenam
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in windows of 800 characters with a step of 600; every tenth document has a second, newer version."""
-    d = table(spark, sf_dir, "documents")
-    base = d.select("doc_id", F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.posexplode(F.expr("sequence(0, greatest(char_length(text) - 1, 0), 600)")).alias("chunk_index", "begin"), F.col("text").alias("whole"))
-    one = base.select(
+    d = documents(spark, sf_dir)
+    name = F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename")
+    one = d.select("doc_id", name, F.posexplode(windows(F.col("text"), 800, 200)).alias("chunk_index", "content")).select(
         F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_uuid"),
         "doc_id",
         "filename",
         "chunk_index",
         F.expr("cast(chunk_index div 3 + 1 as int)").alias("page_no"),
-        F.expr("substring(whole, begin + 1, 800)").alias("content"),
+        "content",
         F.expr("element_at(array('A', 'B', 'C'), cast(doc_id % 3 as int) + 1)").alias("tier"),
         F.expr("timestamp_micros(1704067200000000 + doc_id * 60000000)").alias("ingestion_ts"),
     )

@@ -241,3 +241,12 @@ def test_index_of_asked_terms(spark):
         assert (n, mean) == (4, 2.5)
         found = [sorted(map(tuple, search.text_topk(queries, i, 5, method, n_chunks=n, mean_length=mean, digits=6).collect())) for i in (whole, part)]
         assert found[0] == found[1] and {(r[0], r[1]) for r in found[0]} == {(1, "a"), (1, "b"), (4, "a"), (4, "b")}
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(8, 2), (8, 0), (8, 6)])
+def test_windows_of_code_points(spark, size, overlap):
+    texts = [None, "", "a", "é😀\n" * 9, "x" * 8, "y" * 13, "\r\n\u2028z" * 7]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", chunk.windows(F.col("text"), size, overlap).alias("w")).collect()
+    for r in rows:
+        t = texts[r.k]
+        assert r.w == ([t] if not t else [t[b : b + size] for b in range(0, len(t), size - overlap)])

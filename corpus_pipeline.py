@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import materialize, table
 from docmill.llm.langid import held_out, reject_unknown, train
+from docmill.llm.nearcopies import near_copies
 from docmill.llm.packing import pack_documents
 from docmill.llm.queries import vocabulary
 from docmill.llm.secrets import redact_secrets
-from docmill.llm.simhash import near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each SimHash group; of rows that repeat it, one.
+    """Keeps the document with the smallest doc_id of each group of near copies; of rows that repeat it, one.
+
+    Near copies share 0.8 or more of their five-word shingles, or are linked by such copies.
 
     Rows without a doc_id can't be told from one another and stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.join(kept, "doc_id", "left_semi").withColumn("_nth_of_id", once).where("_nth_of_id = 1").drop("_nth_of_id")
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

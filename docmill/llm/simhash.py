@@ -178,6 +178,16 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 3, block: int = 2048)
     return cells.mapInArrow(work, "src long, dst long")
 
 
+def group_by_links(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of prints (doc_id, fp): the smallest doc_id of all fps that links (src, dst) reach."""
+    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    label = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = label.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = label.join(lowest, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
     """Groups documents whose SimHash fingerprints are linked by at most max_distance differing bits.
 
@@ -194,11 +204,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> D
     anything is compared, so a group of copies of any size is one row in the search.
     """
     prints = materialize(with_fingerprints(docs, words), "simhash")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = materialize(fingerprint_links(fps, max_distance), "simhash-links")
-    roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    label = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = label.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = label.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
+    links = materialize(fingerprint_links(prints.select("fp"), max_distance), "simhash-links")
+    return group_by_links(prints, links)

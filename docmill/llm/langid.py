@@ -216,13 +216,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def reject_unknown(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`; all their columns stay as they are."""
+def reject_unknown(docs: DataFrame, model: Model, least: float = 0.3, chance: float = 1.2) -> DataFrame:
+    """The rows of docs whose language is known with a score of at least `least`; all their columns stay as they are.
+
+    With many languages a score of `chance` times that of an even spread is enough, so that
+    the bound doesn't rise against a text as more languages are learnt. A model without
+    languages, as of docs without any labelled row, cannot reject: every text with a letter stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bound = min(least, chance / max(1, len(model.languages)))
+
+    def known(text: str | None) -> bool:
+        if not sent.value.languages:
+            return bool(text) and has_letter(text)
+        return predict_text(sent.value, text)[1] >= bound
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [predict_text(sent.value, t.as_py())[1] >= least for t in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([known(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -62,3 +62,21 @@ def test_no_rows(spark):
     model = langid.train(empty, ~langid.held_out())
     assert langid.identify(empty, model).count() == 0
     assert langid.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).first().lang_pred == "und"
+
+
+def test_without_a_learnt_language_every_text_with_letters_stays(spark):
+    rows = [(1, "the window", None), (2, "über", None), (3, "123 --", None), (4, "", None), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, ~langid.held_out())
+    assert model.languages == []
+    assert {r.doc_id for r in langid.reject_unknown(df, model).collect()} == {1, 2}
+
+
+def test_the_bound_follows_the_number_of_languages(spark):
+    """Of ten languages one has a quarter of the probability; the others share the rest."""
+    bias = np.append(np.log(0.25), np.full(9, np.log(0.75 / 9)))
+    model = langid.Model([f"l{i}" for i in range(10)], np.ones(64), np.zeros((64, 10)), bias, 1.0)
+    even = model._replace(bias=np.zeros(10))
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert langid.reject_unknown(df, model).count() == 1
+    assert langid.reject_unknown(df, even).count() == 0

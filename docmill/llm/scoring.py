@@ -137,21 +137,20 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], context: np.ndar
     return loss
 
 
-def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, share: int = 16, batch: int = 1024, rate: float = 0.1) -> np.ndarray:
+def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch: int = 1024, rate: float = 0.1) -> np.ndarray:
     """Parameters fitted to the texts of ids (doc_id, ids binary), by rounds of descent in all tasks and averaging.
 
-    In each round every task goes through every share-th position of all its texts, from
-    another first position each round, so what is learnt from grows with the input. The tasks'
+    In each round every task goes through all positions of all its texts. The tasks'
     parameters are averaged by Spark, weighted with the number of positions; only the average,
     whose size is the model's, comes to the driver.
     """
     flat = first_parameters(vocabulary)
     spark = ids.sparkSession
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, vocabulary, turn))
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast((flat, vocabulary))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, vocabulary, turn = sent.value
+            flat, vocabulary = sent.value
             flat = flat.copy()
             parts = unpack(flat, vocabulary)
             squares = [np.full_like(p, 0.1) for p in parts]
@@ -168,9 +167,8 @@ def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, share: int =
                 docs = [np.frombuffer(x, "<i2") for x in b.column("ids").to_pylist()]
                 for a in range(0, len(docs), 64):
                     context, target = windows(docs[a : a + 64], vocabulary.outside)
-                    first = (turn * 5 + a // 64) % share
-                    held.append((context[first::share], target[first::share]))
-                    waiting += len(held[-1][1])
+                    held.append((context, target))
+                    waiting += len(target)
                     if waiting >= 16 * batch:
                         weight += waiting
                         waiting = 0
@@ -241,7 +239,8 @@ def score_documents(docs: DataFrame, words: int = 4096, rounds: int = 2) -> Data
             for part in slices(batch, "ids", 1 << 17):
                 own = [np.frombuffer(x, "<i2") for x in part.column("ids").to_pylist()]
                 n = np.array([len(x) for x in own])
-                total = np.where(n > 0, score_texts(parts, vocabulary, own), 0.0)
+                # Each text by itself: the last digits of a product depend on what else is in it.
+                total = np.array([score_texts(parts, vocabulary, [x])[0] if len(x) else 0.0 for x in own])
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
 

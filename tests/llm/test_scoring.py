@@ -66,3 +66,16 @@ def test_word_counts(spark):
     got = {bytes(r.word): r.n for r in scoring.word_counts(spark.createDataFrame(rows, "doc_id long, text string"), most_held=1).collect()}
     assert got == {b"a": 3, b"b": 2}
     assert scoring.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_position_is_a_target(spark):
+    """One text of 40 different words: each word's position is descended on in a single round."""
+    words = {f"w{i}".encode(): i for i in range(40)}
+    v = scoring.Vocabulary(words, 1, np.arange(41), np.zeros(41))
+    text = v.ids(b" ".join(words)).astype("<i2").tobytes()
+    ids = spark.createDataFrame([(1, text)], "doc_id long, ids binary").coalesce(1)
+    start = scoring.first_parameters(v)
+    *_, before = scoring.unpack(start, v)
+    *_, after = scoring.unpack(scoring.train(ids, v, rounds=1), v)
+    # A class that is never a target only loses bias.
+    assert (after[:40] > before[:40]).all() and (after[41:] < before[41:]).all()

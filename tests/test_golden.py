@@ -250,3 +250,9 @@ def test_windows_of_code_points(spark, size, overlap):
     for r in rows:
         t = texts[r.k]
         assert r.w == ([t] if not t else [t[b : b + size] for b in range(0, len(t), size - overlap)])
+
+
+def test_threshold_scan_knows_limits_of_both_languages(spark):
+    texts = ["il massimo 5 giorni", "tolleranza di 3 mm", "between 4 and 9", "sla di 24 ore", "maximum 10 users", "up to 7 days", "nothing of 12 here"]
+    chunks = spark.createDataFrame([(f"c{i}", t, i) for i, t in enumerate(texts)], "chunk_uuid string, content string, ingestion_ts long")
+    assert {r.chunk_uuid for r in search.threshold_scan(chunks).collect()} == {f"c{i}" for i in range(6)}

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import slices, spread
-from docmill.llm.vocab import rank_encoding, read_ranks, worker_cache
+from docmill.llm.vocab import encode_text, rank_encoding, read_ranks, worker_cache
 
-CHUNK = 1 << 15  # code points that a chunk owns
-OVERLAP = 1 << 10  # code points that it sees beyond them, on either side
+CHUNK = 1 << 12  # code points that a chunk owns
+OVERLAP = 1 << 7  # code points that it sees beyond them, on either side
+APART = 1 << 15  # longer texts have their chunks dealt out over all tasks
 MARGIN = 8  # a pre-token that ends within this many code points of a cut may end elsewhere in the whole text
 
 
@@ -68,7 +69,7 @@ def encode_chunk(encoding, base: int, start: int, stop: int, last: bool, text: s
     if at[1] == len(trusted):
         return Piece(begin, -1, none)
     end = int(trusted[at[1]])
-    return Piece(begin, end, encoding.encode_to_numpy(text[begin - base : end - base], disallowed_special=()))
+    return Piece(begin, end, encode_text(encoding, text[begin - base : end - base]))
 
 
 def stitch(encoding, pieces: list[Piece], text) -> np.ndarray:
@@ -81,46 +82,58 @@ def stitch(encoding, pieces: list[Piece], text) -> np.ndarray:
     out, at = [], 0
     for p in pieces:
         if p.begin != at or p.end < 0:
-            out.append(encoding.encode_to_numpy(text()[at:], disallowed_special=()))
+            out.append(encode_text(encoding, text()[at:]))
             break
         out.append(p.ids)
         at = p.end
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def encode_here(encoding, text: str, size: int, overlap: int) -> np.ndarray:
+    """The ids of a text whose chunks are encoded one after another. A text of one chunk has no boundary to look for."""
+    if len(text) <= size:
+        return encode_text(encoding, text)
+    return stitch(encoding, [encode_chunk(encoding, *c) for c in chunks(text, size, overlap)], lambda: text)
+
+
 def _ids(arrays: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*arrays, np.empty(0, np.uint32)]).astype(np.int32)))
 
 
-def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = OVERLAP, apart: int = APART) -> DataFrame:
     """(doc_id long, ids array<int>) of each whole text of docs, by the vocabulary in the rank file `ranks`.
 
     docs: doc_id, text and any further columns, which are not read. Each match of the public
     pattern is encoded by itself and special tokens are ordinary text.
 
     Edge cases: a null or empty text has no ids; equal texts have equal ids; repeated rows and
-    null doc_ids keep their rows; an empty table gives an empty result.
-
-    Scale: a text of up to `chunk` code points is one chunk and is encoded where it is read.
-    Longer ones are cut into overlapping chunks, dealt out evenly and pre-tokenised and encoded
-    apart; only these chunks are shuffled, and one text at a time is stitched. Chunks of a text
-    carry the number of their text in its partition, whose rows come in the order of its files.
+    null doc_ids keep their rows; very long texts and runs of white space of any length are
+    encoded like any other; an empty table gives an empty result.
+
+    Scale: texts of up to `apart` code points are cut into overlapping chunks, encoded and
+    stitched where they are read, without a shuffle. The chunks of longer ones are dealt out
+    evenly, 8 at a time, and pre-tokenised and encoded apart; only these are shuffled, and one
+    text at a time is stitched. Chunks of a text carry the number of their text in its
+    partition, whose rows come in the order of its files. A run of white space that is longer
+    than a chunk leaves no boundary to agree on: what follows it is encoded where it is
+    stitched.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    is_long = F.char_length("text") > chunk
+    is_long = F.char_length("text") > apart
+    block = 8 * chunk  # of a text that is dealt out
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoding(ranks).encode_to_numpy
+        encoding = rank_encoding(ranks)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _ids([encode(t, disallowed_special=()) for t in part.column("text").to_pylist()])], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _ids([encode_here(encoding, t, chunk, overlap) for t in part.column("text").to_pylist()])], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                cols = list(zip(*chunks(text.as_py(), chunk, overlap), strict=True))
+                cols = list(zip(*chunks(text.as_py(), block, overlap), strict=True))
                 n = len(cols[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number] * n), pa.array([doc_id] * n, pa.int64()), *[pa.array(c) for c in cols[:4]], pa.array(cols[4])], ["number", "doc_id", "base", "start", "stop", "last", "text"]

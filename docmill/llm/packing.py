@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.vocab import rank_encoding
+from docmill.llm.vocab import encode_with_added, rank_encoding
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -112,18 +112,19 @@ class Steps:
         return group
 
 
-def pack_documents(docs: DataFrame, ranks: str, tiers: tuple[int, ...] = TIERS, held_tokens: int = 1 << 20, step_tokens: int = 1 << 15) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str, added: dict[str, int] | None = None, tiers: tuple[int, ...] = TIERS, held_tokens: int = 1 << 20, step_tokens: int = 1 << 15) -> DataFrame:
     """Packs all documents into windows of several lengths; one row for each piece.
 
     docs: doc_id, text and any further columns, which are not read. ranks: path of a byte-level
-    vocabulary as ranks. Each document is its ids and END_ID. Returns doc_id long, start long
+    vocabulary as ranks; added: tokens beside it, whose strings in a text stand for their ids. Each document is its ids and END_ID. Returns doc_id long, start long
     (ids of the document before the piece), length long, ids binary (little-endian unsigned 32
     bits), doc_tokens long, sequence_id long, offset long (place in its window), tier int (the
     window's size), step_group long (windows of one training step; all of a group have one
     size, and full groups hold step_tokens ids).
 
     Edge cases: a null or empty text is END_ID alone; equal texts and repeated rows are packed
-    one by one; a null doc_id stays null; an empty table gives an empty result.
+    one by one; a null doc_id stays null; very long texts and runs of white space are encoded
+    like any other and cut over many windows; an empty table gives an empty result.
 
     Scale: texts are tokenised and packed where they are read, with no shuffle. A task holds
     about held_tokens ids and then packs them; pieces that fill no window wait for the next
@@ -133,7 +134,7 @@ def pack_documents(docs: DataFrame, ranks: str, tiers: tuple[int, ...] = TIERS,
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoding(ranks).encode_to_numpy
+        encoding = rank_encoding(ranks)
         packer, steps = Packer(tiers), Steps(step_tokens)
         part = TaskContext.get().partitionId() << 40
         ids: dict[int, tuple] = {}  # row number: doc_id, ids, ids not yet out
@@ -162,7 +163,7 @@ def pack_documents(docs: DataFrame, ranks: str, tiers: tuple[int, ...] = TIERS,
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                own = np.append(encode(text.as_py() or "", disallowed_special=()), END_ID).astype("<u4")
+                own = np.append(encode_with_added(encoding, added or {}, text.as_py() or ""), END_ID).astype("<u4")
                 ids[count] = (doc_id, own, len(own))
                 held += len(own)
                 for window in packer.add(count, len(own)):

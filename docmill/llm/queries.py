@@ -18,6 +18,7 @@ from docmill.llm.scoring import score_documents
 from docmill.llm.secrets import find_secrets
 from docmill.llm.sharding import assign_shards
 from docmill.llm.simhash import near_duplicates
+from docmill.llm.vocab import added_tokens
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -58,8 +59,8 @@ def vocabulary(name: str) -> str:
 
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, packed. The vocabulary is byte_bpe_50k.json's, read from its file of ranks."""
-    packed = pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    """All documents, packed. The vocabulary is byte_bpe_50k.json's, read from its file of ranks; its added tokens count in texts."""
+    packed = pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), added_tokens(vocabulary("byte_bpe_50k.json")))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

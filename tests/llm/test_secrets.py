@@ -6,6 +6,14 @@ from docmill.llm import secrets
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
+ADDED = [("gh[opsur]_[A-Za-z0-9]+", 40), ("xox[abprs]-[A-Za-z0-9-]+", 15), ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0)]
+
+
+def added(text):
+    """The kinds that the operator adds, by plain regexes."""
+    return [(m.start(), 3 + k, m.end()) for k, (p, least) in enumerate(ADDED) for m in re.finditer(p, text or "") if len(m[0]) >= least]
+
+
 def base(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -18,11 +26,44 @@ def test_random_texts_against_re():
     scanner = secrets.compile_scanner()
     rng = random.Random(3)
     bits = ["token", "Secret", "PASSWORD", "passwd", "api_key", "apikey", "=", ":", " ", "  ", '"', "'", "abc", "abcdef", "AKIA", "ABCDEFGH12345678", "0123456789ab", "f", "\n", "é", "-", "x", "toktoken", "ſecret"]
-    for _ in range(20000):
+    for _ in range(6000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
         data = text.encode()
-        found = [s for s in secrets.code_point_spans(data, secrets.scan(scanner, data)) if s[1] < 3]
-        assert found == base(text), text
+        want = sorted(base(text) + added(text))
+        block = rng.choice([1, 3, 7, 1 << 21])
+        assert secrets.code_point_spans(data, secrets.scan(scanner, data, block)) == want, text
+
+
+def test_added_kinds_against_re():
+    scanner = secrets.compile_scanner()
+    rng = random.Random(4)
+    bits = ["ghp_", "gho_", "gh", "xoxb-", "xoxp", "-", "a1" * 9, "Z9" * 18, "_", " ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "KEY", "0a" * 12, "token=", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(20000)]
+    found = secrets.scan_texts(scanner, [t.encode() for t in texts])
+    for text, f in zip(texts, found, strict=True):
+        assert secrets.code_point_spans(text.encode(), f) == sorted(base(text) + added(text)), text
+
+
+def test_long_texts_stay_small():
+    """Hex, and hex between words: memory of the text's own size and some, and time in proportion."""
+    import time
+    import tracemalloc
+
+    scanner = secrets.compile_scanner()
+    hexes = b"0a1b2c3d" * (5 << 17)
+    mixed = (b"the key deadbeefdeadbeefdeadbeef00, Zahl: 12\n" * 60_000)[: 5 << 19]
+    for data in (hexes, mixed):
+        took = []
+        for part in (data[: len(data) // 4], data):
+            began = time.time()
+            found = secrets.scan(scanner, part)
+            took.append(time.time() - began)
+            assert len(found) == (1 if part[0] == 48 else len(re.findall(b"[0-9a-f]{24,}", part)))
+        assert took[1] < 12 * took[0] + 1
+        tracemalloc.start()
+        secrets.scan(scanner, data[: 1 << 19])
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        tracemalloc.stop()
 
 
 def test_operator(spark):

@@ -1,8 +1,5 @@
 """Queries of metrics, maintenance, sources, streams and model columns."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from docmill.functions.models import with_scorer
@@ -10,16 +7,13 @@ from docmill.operators import maintain, report
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
 from docmill.sources import files
+from docmill.sources.shared import new_folder
 from docmill.streaming import ingest
 
 
 def scratch(spark) -> str:
     """A new folder below the session's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="docmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/plan-{uuid.uuid4().hex}"
+    return new_folder(spark, "plan")
 
 
 @register("a5_ingestion_summary", f"""with {fx.CHUNKS_SQL}, n as (select doc_id, count(*) as n from c1 where doc_id % 6 != 0 group by 1)

@@ -198,14 +198,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id long, lang_pred string, score double) for each row of docs, from its whole text alone.
 
     Reads only doc_id and text. A text that is null or has no letter is `und` with score 0;
-    equal texts get equal results; a null doc_id keeps its row; an empty table gives an empty
-    result. The model has a bounded size and goes out with the job; one pass, no shuffle.
+    equal texts get equal results; a null doc_id keeps its row; a very long text is counted as
+    a whole, with about 30 bytes of memory a character while it is; an empty table gives an
+    empty result. The model has 32,768 buckets for each different lang and goes out with the
+    job, so languages must be a bounded set, as they are; one pass, no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain values: tasks need no copy of the package
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
-            found = [predict_text(sent.value, t.as_py()) for t in batch.column("text")]
+            found = [predict_text(model, t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, lang_pred string, score double")
@@ -223,16 +226,17 @@ def reject_unknown(docs: DataFrame, model: Model, least: float = 0.3, chance: fl
     the bound doesn't rise against a text as more languages are learnt. A model without
     languages, as of docs without any labelled row, cannot reject: every text with a letter stays.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
     bound = min(least, chance / max(1, len(model.languages)))
 
-    def known(text: str | None) -> bool:
-        if not sent.value.languages:
+    def known(model: Model, text: str | None) -> bool:
+        if not model.languages:
             return bool(text) and has_letter(text)
-        return predict_text(sent.value, text)[1] >= bound
+        return predict_text(model, text)[1] >= bound
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
-            yield batch.filter(pa.array([known(t.as_py()) for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([known(model, t.as_py()) for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -235,14 +235,14 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
     points = np.array([r.v for r in drawn.select("v").collect()]).reshape(-1, sizes.d)
     tree = build_tree(space.vectors(points), min(leaves, max(1, len(points))))
     limit = chi_square_quantile(CERTAINTY, DIMENSIONS)
-    sent = spark.sparkContext.broadcast((space, tree))
+    sent = spark.sparkContext.broadcast((tuple(space), tuple(tree)))  # plain values: tasks need no copy of the package
     row = "leaf long, kind int, key long, v array<double>, ids array<long>, bound double"
 
     def _rows(column) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, tree = sent.value
+        space, tree = Space(*sent.value[0]), Tree(*sent.value[1])
         for b in batches:
             if b.num_rows:
                 v, kind = _rows(b.column("v")), b.column("kind").to_numpy()
@@ -251,7 +251,7 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
 
     def fan_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each query a row for each leaf but its own that the test at its bound doesn't rule out."""
-        space, tree = sent.value
+        space, tree = Space(*sent.value[0]), Tree(*sent.value[1])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -265,7 +265,7 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by leaf, vectors before queries; of each query its best vec_ids here and the bound that follows."""
-        space, _ = sent.value
+        space = Space(*sent.value[0])
         now, held, ready = None, [], None
         for b in batches:
             leaf, kind = b.column("leaf").to_numpy(), b.column("kind").to_numpy()

@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> D
     Edge cases: a null, empty or blank text has fingerprint 0 and is linked like any other;
     fewer words than a shingle make one shingle; equal texts and repeated rows share a
     fingerprint; a null doc_id keeps its row and gets its group's smallest id, null if the
-    group has none; an empty table gives an empty result.
+    group has none; a very long text counts as a whole, with about 100 bytes of memory a word
+    while it does; an empty table gives an empty result.
 
     Scale: texts are read once and never shuffled. Equal fingerprints are aggregated before
     anything is compared, so a group of copies of any size is one row in the search.

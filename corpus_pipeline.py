@@ -7,15 +7,16 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import materialize, table
 from docmill.llm.langid import held_out, reject_unknown, train
-from docmill.llm.nearcopies import near_copies
+from docmill.llm.nearcopies import keep_one
 from docmill.llm.packing import pack_documents
 from docmill.llm.queries import vocabulary
 from docmill.llm.secrets import redact_secrets
+from docmill.llm.vocab import added_tokens
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies; of rows that repeat it, one.
+    """Keeps the document with the smallest doc_id of each group of near copies, whole rows told apart by all their columns.
 
     Near copies share 0.8 or more of their five-word shingles, or are linked by such copies.
-
-    Rows without a doc_id can't be told from one another and stay.
+    SimHash groups and MinHash bands propose links, which are checked on the whole sets.
     """
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_nth_of_id", once).where("_nth_of_id = 1").drop("_nth_of_id")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows, as in the query of the packing operator."""
-    return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), added_tokens(vocabulary("byte_bpe_50k.json"))).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -12,30 +13,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import byte_values, materialize, slices
+from docmill.llm.common import byte_values, materialize, slices, spread
 
 SIDE = 2  # words seen on either side
-SIZE = 8  # numbers that stand for a word
-HIDDEN = 24
+SIZE = 16  # numbers that stand for a word of the context
+HIDDEN = 32
 CLASSES = 64
+LEARNER = 4_000_000  # positions that one learner goes through before parameters are averaged
 BLOCK = 1024
+FIXED = 1 << 32  # parameters are averaged as multiples of 1 / FIXED, so that sums don't hang on their order
 
 
 class Vocabulary(NamedTuple):
-    """ids of the frequent words; other words share buckets by crc32. The last id stands for what lies outside a text."""
+    """ids of the frequent words, by rank; other words share buckets by crc32 as context and are one outcome, number len(words), as target.
+
+    first: the first outcome of each class, classes being runs of ranks, and the number of
+    outcomes. spelling: log probability of a byte of a rare word after another one, a space
+    standing for either end.
+    """
 
     words: dict[bytes, int]
     buckets: int
-    class_of: np.ndarray  # of each id
-    given_class: np.ndarray  # log probability of each id given its class
+    first: np.ndarray
+    spelling: np.ndarray
 
     @property
     def outside(self) -> int:
+        """The context id of what lies outside a text."""
         return len(self.words) + self.buckets
 
-    def ids(self, text: bytes) -> np.ndarray:
+    @property
+    def outcomes(self) -> int:
+        return len(self.words) + 1
+
+    def ids(self, text: bytes) -> tuple[np.ndarray, float]:
+        """Context ids of a text's words, and the log probability of the spelling of those that are not in the vocabulary."""
         get, n, m = self.words.get, len(self.words), self.buckets
-        return np.array([i if (i := get(w)) is not None else n + zlib.crc32(w) % m for w in text.lower().split()], np.int16)
+        parts = text.lower().split()
+        ids = [get(w, -1) for w in parts]
+        rare = [w for w, i in zip(parts, ids, strict=True) if i < 0]
+        if not rare:
+            return np.array(ids, np.uint16), 0.0
+        buckets = iter([n + zlib.crc32(w) % m for w in rare])
+        line = np.frombuffer(b" " + b" ".join(rare) + b" ", np.uint8)
+        spelt = self.spelling[line[:-1], line[1:]].sum()
+        return np.array([i if i >= 0 else next(buckets) for i in ids], np.uint16), float(spelt)
 
 
 def word_counts(docs: DataFrame, most_held: int = 200_000) -> DataFrame:
@@ -58,28 +80,45 @@ def word_counts(docs: DataFrame, most_held: int = 200_000) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(docs: DataFrame, words: int = 4096, buckets: int = 256) -> Vocabulary:
-    """The `words` most frequent words of all docs and `buckets` for the others, with classes of about equal mass."""
+def spelling_counts(counts: DataFrame, known: frozenset[bytes]) -> np.ndarray:
+    """How often a byte follows another in the words of counts (word, n) that are not known, each counted n times: 65,536 numbers at most on the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in known]
+            if rows:
+                line = np.frombuffer(b" " + b" ".join(w for w, _ in rows) + b" ", np.uint8).astype(np.int64)
+                times = np.repeat([n for _, n in rows], [len(w) + 1 for w, _ in rows])
+                np.add.at(total, line[:-1] * 256 + line[1:], times)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = np.zeros(1 << 16)
+    for r in counts.mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r.n
+    return out.reshape(256, 256)
+
+
+def build_vocabulary(docs: DataFrame, words: int = 8192, buckets: int = 1024, classes: int = CLASSES) -> Vocabulary:
+    """The `words` most frequent words of all docs (at most 60,000, as ids have 16 bits), `buckets` for the others, and classes of about equal root mass."""
+    if not 0 < words <= 60_000 or not 0 < buckets <= 5_000:
+        raise ValueError("ids have 16 bits: at most 60,000 words and 5,000 buckets")
     counts = materialize(word_counts(docs), "word-counts")
     top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]  # words rows
     ids = {w: i for i, (w, _) in enumerate(top)}
-    mass = np.zeros(len(ids) + buckets)
-    mass[: len(ids)] = [n for _, n in top]
-    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n")).collect():  # buckets rows
-        mass[len(ids) + r.b] = r.n
-    for w, n in top:
-        mass[len(ids) + zlib.crc32(w) % buckets] -= n
-    mass = mass + 0.5
-    order = np.argsort(-mass, kind="stable")
-    upto = np.cumsum(np.sqrt(mass[order]))
-    class_of = np.zeros(len(mass), np.int64)
-    class_of[order] = np.minimum(CLASSES - 1, (upto - np.sqrt(mass[order]) / 2) / upto[-1] * CLASSES).astype(np.int64)
-    total = np.bincount(class_of, mass, CLASSES)
-    return Vocabulary(ids, buckets, class_of, np.log(mass / total[class_of]))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    mass = np.sqrt(np.array([n for _, n in top] + [max(total - sum(n for _, n in top), 0)]) + 0.5)
+    upto = np.cumsum(mass)
+    edges = np.searchsorted(upto - mass / 2, upto[-1] * np.arange(classes) / classes)
+    followed = spelling_counts(counts, frozenset(ids)) + 0.1
+    return Vocabulary(ids, buckets, np.unique(np.append(edges, len(mass))), np.log(followed / followed.sum(axis=1, keepdims=True)))
 
 
-def shapes(vocabulary: Vocabulary) -> list[tuple[int, ...]]:
-    return [(vocabulary.outside + 1, SIZE), (2 * SIDE * SIZE, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+def shapes(v: Vocabulary) -> list[tuple[int, ...]]:
+    """Embeddings, the hidden layer, the layer of classes, and the layer of outcomes within their class."""
+    n = len(v.first) - 1
+    return [(v.outside + 1, SIZE), (2 * SIDE * SIZE, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,), (v.outcomes, HIDDEN), (v.outcomes,)]
 
 
 def unpack(flat: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
@@ -92,8 +131,10 @@ def unpack(flat: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
 
 
 def first_parameters(vocabulary: Vocabulary, seed: int = 3) -> np.ndarray:
+    """Random embeddings and hidden layer; the output layers begin at zero, with all outcomes of a layer equally likely."""
     rng = np.random.default_rng(seed)
-    return np.concatenate([(rng.standard_normal(s) / np.sqrt(s[0] if len(s) > 1 and i else 4) * (len(s) > 1)).ravel() for i, s in enumerate(shapes(vocabulary))]).astype(np.float32)
+    scale = [0.5, 1 / math.sqrt(2 * SIDE * SIZE), 0, 0, 0, 0, 0]
+    return np.concatenate([(rng.standard_normal(s) * k).ravel() for k, s in zip(scale, shapes(vocabulary), strict=True)]).astype(np.float32)
 
 
 def windows(docs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,143 +146,209 @@ def windows(docs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarra
     return np.stack([line[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1), line[at]
 
 
-def class_log_probabilities(parts: list[np.ndarray], context: np.ndarray) -> np.ndarray:
-    e, w1, b1, w2, b2 = parts
-    s = np.tanh(e[context].reshape(len(context), -1) @ w1 + b1) @ w2 + b2
+def _log_softmax(s: np.ndarray) -> np.ndarray:
     s -= s.max(axis=1, keepdims=True)
-    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+    s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
+    return s
+
+
+def by_class(first: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the targets by class, their classes in that order, and (class, begin, end) of each class that is there."""
+    order = np.argsort(target, kind="stable")
+    classes = np.searchsorted(first, target[order], side="right") - 1
+    edges = [0, *(np.flatnonzero(np.diff(classes)) + 1).tolist(), len(order)]
+    return order, classes, [(int(classes[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log probability of each target outcome: that of its class, and its own within the class, both from the words around it."""
+    e, w1, b1, w2, b2, u, d = parts
+    order, classes, groups = by_class(first, target)
+    h = np.tanh(e[context[order]].reshape(len(order), -1) @ w1 + b1)
+    each = _log_softmax(h @ w2 + b2)[np.arange(len(order)), classes]
+    for c, a, b in groups:
+        low, high = first[c], first[c + 1]
+        if high - low > 1:
+            each[a:b] += _log_softmax(h[a:b] @ u[low:high].T + d[low:high])[np.arange(b - a), target[order[a:b]] - low]
+    out = np.empty(len(order), each.dtype)
+    out[order] = each
+    return out
 
 
-def descend(parts: list[np.ndarray], squares: list[np.ndarray], context: np.ndarray, label: np.ndarray, rate: float) -> float:
+def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> float:
     """One step on a batch, each number at a rate that falls with its own past gradients. Changes parts and squares; returns the loss before."""
-    e, w1, b1, w2, b2 = parts
-    n = len(label)
+    e, w1, b1, w2, b2, u, d = parts
+    order, classes, groups = by_class(first, target)
+    context, target, n = context[order], target[order], len(order)
+    rows = np.arange(n)
     x = e[context].reshape(n, -1)
     h = np.tanh(x @ w1 + b1)
-    s = h @ w2 + b2
-    s -= s.max(axis=1, keepdims=True)
-    p = np.exp(s)
-    p /= p.sum(axis=1, keepdims=True)
-    loss = float(-np.log(p[np.arange(n), label] + 1e-30).mean())
-    p[np.arange(n), label] -= 1
+    p = _log_softmax(h @ w2 + b2)
+    loss = -float(p[rows, classes].sum())
+    np.exp(p, out=p)
+    p[rows, classes] -= 1
     p /= n
-    back = (p @ w2.T) * (1 - h * h)
-    dx = (back @ w1.T).reshape(-1, SIZE)
-    seen, where = np.unique(context.ravel(), return_inverse=True)
-    de = np.stack([np.bincount(where, dx[:, k], len(seen)) for k in range(SIZE)], axis=1).astype(np.float32)
-    for part, square, grad in ((w1, squares[1], x.T @ back), (b1, squares[2], back.sum(0)), (w2, squares[3], h.T @ p), (b2, squares[4], p.sum(0))):
+    gh = p @ w2.T
+
+    def step(part: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
         square += grad * grad
-        part -= rate * grad / np.sqrt(square + 1e-8)
+        part -= rate * grad / np.sqrt(square)
+
+    for c, a, b in groups:
+        low, high = int(first[c]), int(first[c + 1])
+        if high - low == 1:
+            continue
+        q = _log_softmax(h[a:b] @ u[low:high].T + d[low:high])
+        at = rows[: b - a], target[a:b] - low
+        loss -= float(q[at].sum())
+        np.exp(q, out=q)
+        q[at] -= 1
+        q /= n
+        gh[a:b] += q @ u[low:high]
+        step(u[low:high], squares[5][low:high], q.T @ h[a:b])
+        step(d[low:high], squares[6][low:high], q.sum(0))
+    gh *= 1 - h * h
+    dx = (gh @ w1.T).reshape(-1, SIZE)
+    place = np.argsort(context.ravel(), kind="stable")
+    seen = context.ravel()[place]
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(seen)) + 1])
+    de = np.add.reduceat(dx[place], heads, axis=0)
+    step(w2, squares[3], h.T @ p)
+    step(b2, squares[4], p.sum(0))
+    step(w1, squares[1], x.T @ gh)
+    step(b1, squares[2], gh.sum(0))
+    seen = seen[heads]
     squares[0][seen] += de * de
-    e[seen] -= rate * de / np.sqrt(squares[0][seen] + 1e-8)
-    return loss
+    e[seen] -= rate * de / np.sqrt(squares[0][seen])
+    return loss / n
 
 
-def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch: int = 1024, rate: float = 0.1) -> np.ndarray:
-    """Parameters fitted to the texts of ids (doc_id, ids binary), by rounds of descent in all tasks and averaging.
+def outcome(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    return np.minimum(ids, len(v.words))
 
-    In each round every task goes through all positions of all its texts. The tasks'
-    parameters are averaged by Spark, weighted with the number of positions; only the average,
-    whose size is the model's, comes to the driver.
+
+def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 1, parts_per_round: int = 2, batch: int = 8192, rate: float = 0.1, learner: int = LEARNER) -> np.ndarray:
+    """Parameters fitted to the texts of ids (doc_id, ids binary, h1 long), by rounds of descent and averaging.
+
+    A round goes through all positions of all texts, in parts: each text lies in one part of
+    each round, and there with one learner, by hashes. A learner has about `learner` positions,
+    which it goes through in the order of its texts' hashes; after each part Spark averages the learners' parameters in fixed-point sums; only the average, whose size is the
+    model's, comes to the driver. Neither learners nor sums depend on how the table is
+    partitioned, so the result doesn't either.
     """
     flat = first_parameters(vocabulary)
     spark = ids.sparkSession
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((flat, vocabulary))
+    total = ids.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
+    n_learners = max(1, round(total / parts_per_round / learner))
+    placed = ids.select(F.pmod(F.xxhash64("h1", "doc_id"), F.lit(n_learners)).alias("learner"), F.xxhash64("doc_id", "h1").alias("at"), "h1", "ids")
+    own_part = F.pmod(F.xxhash64(F.lit("part"), "at"), F.lit(parts_per_round))
+    size = -(-(len(flat) + 1) // BLOCK) * BLOCK
+    for turn in range(rounds * parts_per_round):
+        sent = spark.sparkContext.broadcast((flat, tuple(vocabulary)))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, vocabulary = sent.value
-            flat = flat.copy()
-            parts = unpack(flat, vocabulary)
-            squares = [np.full_like(p, 0.1) for p in parts]
-            held, weight = [], 0
+            start, v = sent.value[0], Vocabulary(*sent.value[1])
+            sums, own = np.zeros(size, np.int64), None
+            now, held, waiting = None, [], 0
 
             def learn() -> None:
-                context, target = (np.concatenate(x) for x in zip(*held, strict=True))
+                nonlocal waiting
+                context, target = windows(held, v.outside)
                 held.clear()
+                waiting = 0
                 for a in range(0, len(target), batch):
-                    descend(parts, squares, context[a : a + batch], vocabulary.class_of[target[a : a + batch]], rate)
+                    descend(parts, squares, v.first, context[a : a + batch], outcome(v, target[a : a + batch]), rate)
+
+            def end() -> None:
+                if held:
+                    learn()
+                sums[: len(start)] += np.rint(own.astype(np.float64) * FIXED).astype(np.int64)
+                sums[len(start)] += 1
 
-            waiting = 0
             for b in batches:
-                docs = [np.frombuffer(x, "<i2") for x in b.column("ids").to_pylist()]
-                for a in range(0, len(docs), 64):
-                    context, target = windows(docs[a : a + 64], vocabulary.outside)
-                    held.append((context, target))
-                    waiting += len(target)
-                    if waiting >= 16 * batch:
-                        weight += waiting
-                        waiting = 0
-                        learn()
-            if waiting:
-                weight += waiting
-                learn()
-            if weight:
-                total = np.zeros(-(-(len(flat) + 1) // BLOCK) * BLOCK)
-                total[: len(flat)], total[len(flat)] = flat.astype(float) * weight, weight
-                rows = total.reshape(-1, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["block", "x"])
-
-        sums = ids.select("ids").mapInArrow(work, "block long, x array<double>").select("block", F.posexplode("x").alias("at", "x")).groupBy("block", "at").agg(F.sum("x").alias("x"))
-        total = np.zeros(-(-(len(flat) + 1) // BLOCK) * BLOCK)
-        for r in sums.collect():  # a number for each parameter
-            total[r.block * BLOCK + r["at"]] = r.x
-        if total[len(flat)] > 0:
-            flat = (total[: len(flat)] / total[len(flat)]).astype(np.float32)
+                for key, row in zip(b.column("learner").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                    if key != now:
+                        if now is not None:
+                            end()
+                        now, own = key, start.copy()
+                        parts = unpack(own, v)
+                        squares = [np.full_like(p, 1e-3) for p in parts]
+                    if row:
+                        held.append(np.frombuffer(row, "<u2"))
+                        waiting += len(row) // 2
+                        if waiting >= 32 * batch:
+                            learn()
+            if now is not None:
+                end()
+                rows = sums.reshape(-1, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.int64()))], ["block", "x"])
+
+        learnt = placed.where(own_part == turn % parts_per_round).repartition(max(1, min(n_learners, 100_000)), "learner").sortWithinPartitions("learner", "at", "h1").select("learner", "ids").mapInArrow(work, "block long, x array<long>")
+        sums = np.zeros(size, np.int64)
+        for r in learnt.select("block", F.posexplode("x").alias("at", "x")).groupBy("block", "at").agg(F.sum("x").alias("x")).collect():  # a number for each parameter
+            sums[r.block * BLOCK + r["at"]] = r.x
+        if sums[len(flat)]:
+            flat = (sums[: len(flat)] / (FIXED * sums[len(flat)])).astype(np.float32)
     return flat
 
 
-def score_texts(parts: list[np.ndarray], vocabulary: Vocabulary, docs: list[np.ndarray], most: int = 8192) -> np.ndarray:
-    """The sum over each text of the log probabilities of its words, given the words around them."""
+def score_texts(parts: list[np.ndarray], vocabulary: Vocabulary, docs: list[np.ndarray], most: int = 16384) -> np.ndarray:
+    """The sum over each text of the log probabilities of its words' outcomes, given the words around them."""
     context, target = windows(docs, vocabulary.outside)
     each = np.empty(len(target))
     for a in range(0, len(target), most):
-        t = target[a : a + most]
-        logs = class_log_probabilities(parts, context[a : a + most])
-        each[a : a + most] = logs[np.arange(len(t)), vocabulary.class_of[t]] + vocabulary.given_class[t]
+        each[a : a + most] = log_probabilities(parts, vocabulary.first, context[a : a + most], outcome(vocabulary, target[a : a + most]))
     ends = np.cumsum([0, *map(len, docs)])
     sums = np.concatenate([[0.0], np.cumsum(each)])
     return sums[ends[1:]] - sums[ends[:-1]]
 
 
-def score_documents(docs: DataFrame, words: int = 4096, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, words: int = 8192, rounds: int = 1) -> DataFrame:
     """(doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double).
 
     docs: doc_id, text and any further columns, which are not read. A word is a run of bytes
-    other than ASCII white space, A-Z lowered. Its probability is that of its class, which the
-    network predicts from two words on either side, times its share of its class in the corpus.
+    other than ASCII white space, A-Z lowered. The network sees two words on either side, never
+    the word itself, and gives the probability of the word's class and of the word within it.
+    Words outside the vocabulary are one outcome, times the probability of their spelling by a
+    model of byte pairs of all such words of the corpus, so that gibberish is less likely than
+    a rare word.
 
     Edge cases: a null, empty or blank text has no tokens, sum 0 and a null mean; equal texts
-    have equal scores; a null doc_id keeps its row; an empty table gives an empty result. The
-    last digits depend on the order in which Spark adds up the tasks' parameters.
+    have equal scores; a null doc_id keeps its row; a very long text is scored as a whole; an
+    empty table gives an empty result. Scores are sums in double precision, rounded to six
+    decimals.
 
     Scale: counts cover all words of all texts; texts are read twice and kept as two bytes a
-    word in the shared folder, from which each round of training and the scores are made
-    without a shuffle of texts.
+    word in the shared folder. Each round, of which one is the default, shuffles these once, to the learners; distinct texts
+    are scored once, and their scores joined back by a 128-bit hash.
     """
     vocabulary = build_vocabulary(docs, words)
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary)
+    known = spark.sparkContext.broadcast(tuple(vocabulary))  # plain values: tasks need no copy of the package
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(*known.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [known.value.ids(t or b"").astype("<i2").tobytes() for t in byte_values(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                out = [v.ids(t or b"") for t in byte_values(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype("<u2").tobytes() for x, _ in out], pa.binary()), pa.array([s for _, s in out], pa.float64()), part.column("h1"), part.column("h2")], ["doc_id", "ids", "spelt", "h1", "h2"])
 
-    ids = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary"), "word-ids")
-    sent = spark.sparkContext.broadcast(train(ids, vocabulary, rounds))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))
+    ids = materialize(rows.mapInArrow(encode, "doc_id long, ids binary, spelt double, h1 long, h2 long"), "word-ids")
+    sent = spark.sparkContext.broadcast(train(ids.select("doc_id", "ids", "h1"), vocabulary, rounds))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = known.value
-        parts = unpack(sent.value, vocabulary)
+        v = Vocabulary(*known.value)
+        parts = [p.astype(np.float64) for p in unpack(sent.value, v)]
         for batch in batches:
             for part in slices(batch, "ids", 1 << 17):
-                own = [np.frombuffer(x, "<i2") for x in part.column("ids").to_pylist()]
+                own = [np.frombuffer(x, "<u2") for x in part.column("ids").to_pylist()]
                 n = np.array([len(x) for x in own])
-                # Each text by itself: the last digits of a product depend on what else is in it.
-                total = np.array([score_texts(parts, vocabulary, [x])[0] if len(x) else 0.0 for x in own])
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
+                total = np.round(score_texts(parts, v, own) + part.column("spelt").to_numpy(), 6)
+                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), pa.array(n), pa.array(total)], ["h1", "h2", "n_tokens", "pseudo_log_likelihood"])
 
-    return ids.mapInArrow(work, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    once = spread(ids.groupBy("h1", "h2").agg(F.first("ids").alias("ids"), F.first("spelt").alias("spelt")), "h1")
+    scored = once.select("h1", "h2", "ids", "spelt").mapInArrow(work, "h1 long, h2 long, n_tokens long, pseudo_log_likelihood double")
+    mean = F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")).alias("mean_log_probability")
+    return ids.select("doc_id", "h1", "h2").join(scored, ["h1", "h2"]).select("doc_id", "n_tokens", "pseudo_log_likelihood", mean)

@@ -17,21 +17,34 @@ def corpus():
     return rows
 
 
+def small(words, classes=(0, 1, 3, 5), buckets=3):
+    return scoring.Vocabulary({w.encode(): i for i, w in enumerate(words)}, buckets, np.array(classes), np.log(np.full((256, 256), 1 / 256)))
+
+
 def test_scores_against_a_plain_loop():
-    words = {w.encode(): i for i, w in enumerate(["a", "b", "c", "d"])}
-    v = scoring.Vocabulary(words, 3, np.array([0, 1, 2, 3, 4, 5, 5]), np.log([1, 1, 1, 1, 1, 0.25, 0.75]))
+    v = small(["a", "b", "c", "d"])
     flat = scoring.first_parameters(v, 9)
-    e, w1, b1, w2, b2 = scoring.unpack(flat, v)
-    docs = [v.ids(t) for t in (b"a B c zz d", b"", b"q", b"a a a b c d d")]
-    got = scoring.score_texts([e, w1, b1, w2, b2], v, docs, most=3)
+    flat = flat + np.random.default_rng(8).standard_normal(len(flat)) * 0.3
+    e, w1, b1, w2, b2, u, d = scoring.unpack(flat.astype(float), v)
+    texts = (b"a B c zz d", b"", b"q", b"a a a b c d d")
+    docs = [v.ids(t)[0] for t in texts]
+    assert [round(v.ids(t)[1] / math.log(256)) for t in texts] == [-3, 0, -2, 0]  # two or one byte and the end
+    got = scoring.score_texts([e, w1, b1, w2, b2, u, d], v, docs, most=3)
     for doc, total in zip(docs, got, strict=True):
         want = 0.0
-        for i, target in enumerate(doc):
+        for i, word in enumerate(doc):
             around = [doc[i + o] if 0 <= i + o < len(doc) else v.outside for o in (-2, -1, 1, 2)]
-            x = np.concatenate([e[a] for a in around])
-            s = (np.tanh(x @ w1 + b1) @ w2 + b2).astype(float)
-            want += s[v.class_of[target]] - math.log(np.exp(s).sum()) + v.given_class[target]
-        assert abs(want - total) < 1e-3
+            h = np.tanh(np.concatenate([e[a] for a in around]) @ w1 + b1)
+            target = min(int(word), 4)
+            c = max(k for k in range(3) if v.first[k] <= target)
+            s, own = h @ w2 + b2, range(v.first[c], v.first[c + 1])
+            z = np.array([h @ u[o] + d[o] for o in own])
+            want += s[c] - math.log(np.exp(s).sum()) + z[target - own[0]] - math.log(np.exp(z).sum())
+        assert abs(want - total) < 1e-9
+    # All outcomes of one place add up to one.
+    context = scoring.windows([docs[0]], v.outside)[0][:1]
+    logs = scoring.log_probabilities([e, w1, b1, w2, b2, u, d], v.first, np.repeat(context, 5, axis=0), np.arange(5))
+    assert abs(np.exp(logs).sum() - 1) < 1e-9
 
 
 def test_learns_from_both_sides(spark):
@@ -52,15 +65,33 @@ def test_learns_from_both_sides(spark):
 
 def test_descent_lowers_the_loss():
     rng = np.random.default_rng(0)
-    v = scoring.Vocabulary({str(i).encode(): i for i in range(20)}, 2, np.arange(22) % 5, np.zeros(22))
+    v = small([str(i) for i in range(20)], (0, 4, 8, 9, 15, 21), 2)
     parts = scoring.unpack(scoring.first_parameters(v), v)
-    squares = [np.full_like(p, 0.1) for p in parts]
+    squares = [np.full_like(p, 1e-3) for p in parts]
     context = rng.integers(0, 22, (400, 4))
-    label = v.class_of[context[:, 1]]
-    losses = [scoring.descend(parts, squares, context, label, 0.1) for _ in range(150)]
+    losses = [scoring.descend(parts, squares, v.first, context, scoring.outcome(v, context[:, 1]), 0.1) for _ in range(150)]
     assert losses[-1] < 0.5 * losses[0]
 
 
+def test_gradients_are_those_of_the_loss():
+    """Against differences, in double precision: the first step of each number goes down its own slope."""
+    rng = np.random.default_rng(1)
+    v = small([str(i) for i in range(7)], (0, 3, 4, 8), 2)
+    flat = scoring.first_parameters(v, 5).astype(float)
+    flat += rng.standard_normal(len(flat)) * 0.3
+    context, target = rng.integers(0, 9, (30, 4)), rng.integers(0, 8, 30)
+    loss = lambda f: -scoring.log_probabilities(scoring.unpack(f, v), v.first, context, target).mean()
+    moved = flat.copy()
+    squares = [np.ones_like(p) for p in scoring.unpack(flat, v)]
+    assert abs(scoring.descend(scoring.unpack(moved, v), squares, v.first, context, target, 1e-6) - loss(flat)) < 1e-9
+    for i in rng.choice(len(flat), 120, replace=False):
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        assert abs((flat[i] - moved[i]) / 1e-6 - slope / math.sqrt(1 + slope * slope)) < 1e-4
+
+
 def test_word_counts(spark):
     rows = [(1, "a B a"), (2, "b\ta"), (3, None)]
     got = {bytes(r.word): r.n for r in scoring.word_counts(spark.createDataFrame(rows, "doc_id long, text string"), most_held=1).collect()}
@@ -70,12 +101,36 @@ def test_word_counts(spark):
 
 def test_every_position_is_a_target(spark):
     """One text of 40 different words: each word's position is descended on in a single round."""
-    words = {f"w{i}".encode(): i for i in range(40)}
-    v = scoring.Vocabulary(words, 1, np.arange(41), np.zeros(41))
-    text = v.ids(b" ".join(words)).astype("<i2").tobytes()
-    ids = spark.createDataFrame([(1, text)], "doc_id long, ids binary").coalesce(1)
+    words = [f"w{i}" for i in range(40)]
+    v = small(words, range(42), 1)
+    text = v.ids(" ".join(words).encode())[0].astype("<u2").tobytes()
+    ids = spark.createDataFrame([(1, text, 5)], "doc_id long, ids binary, h1 long").coalesce(1)
     start = scoring.first_parameters(v)
-    *_, before = scoring.unpack(start, v)
-    *_, after = scoring.unpack(scoring.train(ids, v, rounds=1), v)
+    before = scoring.unpack(start, v)[4]
+    after = scoring.unpack(scoring.train(ids, v, rounds=1), v)[4]
     # A class that is never a target only loses bias.
-    assert (after[:40] > before[:40]).all() and (after[41:] < before[41:]).all()
+    assert (after[:40] > before[:40]).all() and (after[40:] < before[40:]).all()
+
+
+def test_partitions_and_copies_change_nothing(spark):
+    rows = corpus()[:80]
+    rows += [(1000 + i, t) for i, t in rows[:30]] + [(2007, None), (2008, "zq " * 50), (2009, "the same gibberish xkcdqq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [{(r.doc_id, r.n_tokens): r.pseudo_log_likelihood for r in scoring.score_documents(df.repartition(n), words=30).collect()} for n in (1, 7)]
+    assert runs[0] == runs[1]
+    by = {d: s for (d, _), s in runs[0].items()}
+    assert all(by[1000 + i] == by[i] for i, _ in rows[:30])
+
+
+def test_rare_words_are_spelt(spark):
+    """A string that looks like no other word of the corpus is less likely than a rare word that does."""
+    rows = [(i, " ".join(f"plain{j}" for j in range(i, i + 40))) for i in range(60)] + [(900, "plain7x plain8"), (901, "q#~Zz@! plain8")]
+    by = {r.doc_id: r.pseudo_log_likelihood for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=20).collect()}
+    assert by[900] > by[901] + 5
+
+
+def test_bounds_of_the_vocabulary(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="16 bits"):
+        scoring.build_vocabulary(spark.createDataFrame([(1, "a")], "doc_id long, text string"), words=65_000)

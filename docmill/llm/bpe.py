@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docmill.llm.common import slices, spread
 from docmill.llm.vocab import encode_text, rank_encoding, read_ranks, worker_cache
 
-CHUNK = 1 << 12  # code points that a chunk owns
+CHUNK = 1 << 13  # code points that a chunk owns
 OVERLAP = 1 << 7  # code points that it sees beyond them, on either side
 APART = 1 << 15  # longer texts have their chunks dealt out over all tasks
 MARGIN = 8  # a pre-token that ends within this many code points of a cut may end elsewhere in the whole text
@@ -38,7 +38,8 @@ def pre_token_ends(text: str) -> np.ndarray:
 
     if "pattern" not in (held := worker_cache()):
         held["pattern"] = regex.compile(public_tokenizers.PATTERN)
-    return np.fromiter((m.end() for m in held["pattern"].finditer(text)), np.int64)
+    found = held["pattern"].findall(text)  # every code point is in some match
+    return np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
 
 
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int, bool, str]]:
@@ -113,7 +114,7 @@ def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: i
 
     Scale: texts of up to `apart` code points are cut into overlapping chunks, encoded and
     stitched where they are read, without a shuffle. The chunks of longer ones are dealt out
-    evenly, 8 at a time, and pre-tokenised and encoded apart; only these are shuffled, and one
+    evenly, 4 at a time, and pre-tokenised and encoded apart; only these are shuffled, and one
     text at a time is stitched. Chunks of a text carry the number of their text in its
     partition, whose rows come in the order of its files. A run of white space that is longer
     than a chunk leaves no boundary to agree on: what follows it is encoded where it is
@@ -121,7 +122,7 @@ def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: i
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     is_long = F.char_length("text") > apart
-    block = 8 * chunk  # of a text that is dealt out
+    block = 4 * chunk  # of a text that is dealt out
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(ranks)

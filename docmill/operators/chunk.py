@@ -24,60 +24,46 @@ def chunk_fixed(docs: DataFrame, size: int = 800, overlap: int = 200) -> DataFra
     return docs.select("*", F.posexplode(windows(text, size, overlap)).alias("pos", "chunk")).drop("text")
 
 
-def _pack(pieces: Column, size: int, joiner: str) -> Column:
-    """Joins neighbouring pieces greedily while they stay within size; longer pieces stay alone."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+def _pack(text: Column, size: int, sep: str) -> Column:
+    """Runs of pieces between separators, as many as stay within size together; a longer piece stays alone.
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = acc["open"].isNotNull() & (F.char_length(acc["open"]) + len(joiner) + F.char_length(p) <= size)
-        return F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), p.alias("open"))).when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(joiner), p).alias("open"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open"))
-        )
-
-    return F.aggregate(pieces, empty, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    One pass of a regex: the longest stretch within size that ends at a separator or at the
+    end, else the shortest one that does.
+    """
+    end = rf"(?=\Q{sep}\E|\z)"
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{0,{size}}}{end}|.+?{end})(?:\Q{sep}\E|\z)"), F.lit(1))
 
 
 def chunk_paragraphs(docs: DataFrame, size: int = 800, overlap: int = 200) -> DataFrame:
     """X-2. Blank-line paragraphs packed up to size; longer ones are cut as in X-1."""
     pieces = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n[ \t]*\n"), strip), lambda p: p != "")
-    cut = F.flatten(F.transform(_pack(pieces, size, "\n\n"), lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(windows(p, size, overlap))))
+    packed = F.filter(_pack(F.array_join(pieces, "\n\n"), size, "\n\n"), lambda p: p != "")
+    cut = F.flatten(F.transform(packed, lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(windows(p, size, overlap))))
     return docs.select("*", F.posexplode(cut).alias("pos", "chunk")).drop("text")
 
 
-def soft_cuts(text: Column, tokens: int) -> Column:
-    """Array of (begin, end): a window ends at its last blank line, else line end, else space, if that is past its half."""
-    size, overlap = 4 * tokens, 4 * tokens // 10
-    n = F.char_length(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,e:int>>").alias("out"))
-
-    def last(window: Column, mark: str) -> Column:
-        # 0-based place of the last mark; -1 without one
-        found = F.instr(F.reverse(window), mark[::-1])
-        return F.when(found > 0, F.char_length(window) - found - len(mark) + 1).otherwise(-1)
-
-    def step(acc: Column, _: Column) -> Column:
-        b = acc["at"]
-        window = F.substring(text, b + 1, F.lit(size))
-        hard = F.least(b + size, n)
-        places = [last(window, m) for m in ("\n\n", "\n", " ")]
-        cut = F.when(places[0] > size // 2, places[0]).when(places[1] > size // 2, places[1]).when(places[2] > size // 2, places[2]).otherwise(F.lit(size))
-        e = F.when(hard < n, b + cut).otherwise(hard)
-        nxt = F.when(e >= n, n).otherwise(F.greatest(b + 1, e - overlap))
-        return F.when(b >= n, acc).otherwise(F.struct(nxt.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(b.cast("int").alias("b"), e.cast("int").alias("e")))).alias("out")))
+def soft_windows(text: Column, tokens: int) -> Column:
+    """The texts of windows of four characters a token: each ends at its last blank line, else line end, else space, if that is past its half, and the next begins a tenth of a window before that.
 
-    # Each step goes on by more than half a window less the overlap.
-    bound = F.floor(n / (size // 2 - overlap)).cast("int") + 1
-    return F.aggregate(F.sequence(F.lit(0), bound), start, step, lambda acc: acc["out"])
+    One pass of a regex: a match captures the window ahead and goes on by all of it but the
+    overlap. A rest within one window is the last.
+    """
+    size, overlap = 4 * tokens, 4 * tokens // 10
+    half = size // 2 + 1
+    ends = [(half, size - 2, "(?=\n\n)"), (half, size - 1, "(?=\n)"), (half, size - 1, "(?= )"), (size, size, "")]
+    ahead = "|".join(f".{{{a},{b}}}{mark}" for a, b, mark in ends)
+    goes_on = "|".join(f".{{{a - overlap},{b - overlap}}}(?=.{{{overlap}}}{mark[3:-1] if mark else ''})" for a, b, mark in ends)
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{size}}}\z|{ahead}))(?:.{{1,{size}}}\z|{goes_on})"), F.lit(1))
 
 
 def chunk_soft(docs: DataFrame, tokens: int = 2000) -> DataFrame:
     """X-3. Windows of four characters a token with a tenth of overlap, cut at soft places. Blank chunks are dropped."""
-    text = F.coalesce("text", F.lit(""))
-    cuts = F.filter(F.transform(soft_cuts(text, tokens), lambda c: strip(F.substring(text, c["b"] + 1, c["e"] - c["b"]))), lambda p: p != "")
+    cuts = F.filter(F.transform(soft_windows(F.coalesce("text", F.lit("")), tokens), strip), lambda p: p != "")
     return docs.select("*", F.posexplode(cuts).alias("pos", "chunk")).drop("text")
 
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+BLANK_LINE = "\ufdd0\ufdd1"  # noncharacters that stand for two line ends; in a run of line ends the first two belong together
 
 
 def chunk_recursive(docs: DataFrame, size: int = 1200, slack: int = 200) -> DataFrame:
@@ -85,15 +71,19 @@ def chunk_recursive(docs: DataFrame, size: int = 1200, slack: int = 200) -> Data
 
     Four rounds use up the separators; a separator that a part has been split at can only come
     back through packing, which keeps parts within size. Then parts are halved until all fit: a
-    sequence of equal cuts gives the same parts as halving again and again.
+    sequence of equal cuts gives the same parts as halving again and again. Each round passes
+    once over a part.
     """
-    parts = F.array(F.struct(F.coalesce("text", F.lit("")).alias("t")))
-    out = docs.withColumn("_parts", parts)
+    out = docs.withColumn("_parts", F.array(F.coalesce("text", F.lit(""))))
+
     def splitter(sep: str):
         # A part is split here only if it is too long; earlier rounds have used up the earlier separators.
         def split(p: Column) -> Column:
-            packed = F.transform(_pack(F.split(p["t"], sep.replace(".", r"\."), -1), size, sep), lambda x: F.struct(x.alias("t")))
-            return F.when((F.char_length(p["t"]) <= size + slack) | ~p["t"].contains(sep), F.array(p)).otherwise(packed)
+            if sep == "\n\n":
+                packed = F.transform(_pack(F.replace(p, F.lit(sep), F.lit(BLANK_LINE)), size, BLANK_LINE), lambda x: F.replace(x, F.lit(BLANK_LINE), F.lit(sep)))
+            else:
+                packed = _pack(p, size, sep)
+            return F.when((F.char_length(p) <= size + slack) | ~p.contains(sep), F.array(p)).otherwise(packed)
 
         return split
 
@@ -101,13 +91,13 @@ def chunk_recursive(docs: DataFrame, size: int = 1200, slack: int = 200) -> Data
         out = out.withColumn("_parts", F.flatten(F.transform("_parts", splitter(sep))))
 
     def halves(p: Column) -> Column:
-        n = F.char_length(p["t"])
+        n = F.char_length(p)
         k = F.greatest(F.lit(0), F.ceil(F.log2(n / float(size + slack)))).cast("int")
-        width = F.ceil(n / F.pow(F.lit(2.0), k)).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.greatest(width, F.lit(1))), lambda b: F.struct(F.substring(p["t"], b + 1, width).alias("t")))
+        width = F.greatest(F.ceil(n / F.pow(F.lit(2.0), k)).cast("int"), F.lit(1))
+        cut = F.regexp_extract_all(p, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
         return F.when(n <= size + slack, F.array(p)).otherwise(cut)
 
-    flat = F.filter(F.transform(F.flatten(F.transform("_parts", halves)), lambda p: strip(p["t"])), lambda t: t != "")
+    flat = F.filter(F.transform(F.flatten(F.transform("_parts", halves)), strip), lambda t: t != "")
     return out.select(*[c for c in docs.columns if c != "text"], F.posexplode(flat).alias("pos", "chunk"))
 
 

@@ -256,3 +256,86 @@ def test_threshold_scan_knows_limits_of_both_languages(spark):
     texts = ["il massimo 5 giorni", "tolleranza di 3 mm", "between 4 and 9", "sla di 24 ore", "maximum 10 users", "up to 7 days", "nothing of 12 here"]
     chunks = spark.createDataFrame([(f"c{i}", t, i) for i, t in enumerate(texts)], "chunk_uuid string, content string, ingestion_ts long")
     assert {r.chunk_uuid for r in search.threshold_scan(chunks).collect()} == {f"c{i}" for i in range(6)}
+
+
+def packed(pieces, size, sep):
+    out, now = [], None
+    for p in pieces:
+        if now is None:
+            now = p
+        elif len(now) + len(sep) + len(p) <= size:
+            now += sep + p
+        else:
+            out.append(now)
+            now = p
+    return out + ([now] if now is not None else [])
+
+
+def recursive(text, size, slack, seps=("\n\n", "\n", ". ", " ")):
+    """A plain recursion over the separators that are left."""
+    if len(text) <= size + slack:
+        return [text]
+    for i, sep in enumerate(seps):
+        if sep in text:
+            return [x for p in packed(text.split(sep), size, sep) for x in recursive(p, size, slack, seps[i + 1 :])]
+    k = 0
+    while len(text) / 2**k > size + slack:
+        k += 1
+    width = -(-len(text) // 2**k)
+    return [text[b : b + width] for b in range(0, len(text), width)]
+
+
+def test_recursive_chunks_against_a_plain_recursion(spark):
+    rng = random.Random(14)
+    bits = ["word ", "End. ", "\n", "\n\n", "\n\n\n", "w" * 30, " ", "é😀 ", "v" * 300, ". . "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 150))) for _ in range(150)] + [None, "", " \n", "z" * 5000, "\n" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunk.chunk_recursive(df, 200, 40).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    for i, t in enumerate(texts):
+        want = [c for p in recursive(t or "", 200, 40) if (c := p.strip(" \t\n\r\f"))]
+        assert got.get(i, []) == want, t
+
+
+def test_paragraphs_against_a_plain_loop(spark):
+    rng = random.Random(15)
+    bits = ["para ", "x" * 50, "\n", "\n\n", "\n \t\n", "é😀", "y" * 130, "\n\n\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 60))) for _ in range(150)] + [None, "", "\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunk.chunk_paragraphs(df, 120, 30).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    import re
+
+    for i, t in enumerate(texts):
+        pieces = [p for x in re.split(r"\n[ \t]*\n", t or "") if (p := x.strip(" \t\n\r\f"))]
+        want = [c for p in packed(pieces, 120, "\n\n") for c in ([p] if len(p) <= 120 else [p[b : b + 120] for b in range(0, len(p), 90)])]
+        assert got.get(i, []) == want, t
+
+
+def test_chunking_is_linear_in_a_text(spark):
+    """One text of 1.5 million characters through every chunker; a quadratic one takes minutes."""
+    import time
+
+    text = "Some words of a line. " * 30 + "\n"
+    df = spark.createDataFrame([(1, "p.md", text * 2200)], "doc_id long, filename string, text string")
+    for fn in (chunk.chunk_paragraphs, chunk.chunk_soft, chunk.chunk_recursive, chunk.chunk_markdown, chunk.chunk_fixed):
+        began = time.time()
+        assert fn(df).count() > 100
+        assert time.time() - began < 20, fn
+
+
+def test_unicode_against_the_library(spark):
+    """NFKC by the standard library, then the two classes of characters that go."""
+    import re
+    import unicodedata
+
+    rng = random.Random(16)
+    bits = ["ﬁ", "½", "Ⅷ", "é", "é", "ｆｕｌｌ", "日本", "∑", "\x02", "\x7f", " \t ", "\n", "risk score", "plain", "ƒ", "ɐ", "😀", "sla", "•"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 12))) for _ in range(300)] + [None]
+    math = re.compile(clean.MATH_CONTEXT.replace(r"\s", r"[ \t\n\x0b\f\r]"), re.ASCII | re.IGNORECASE)
+    for r in clean.normalize_unicode(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).collect():
+        t = unicodedata.normalize("NFKC", texts[r.k] or "")
+        t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t) if math.search(t) else re.sub("[^\x20-\x7e\xa0-ɏ]+", " ", t)
+        assert r.text == re.sub(r"[ \t\n\r\f\x0b]+", " ", t).strip(" "), texts[r.k]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.sources.shared import new_folder, stored
+
 
 def ingestion_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """A-5. docs: doc_id, started, ended (timestamps). chunks: doc_id. Status, number of chunks and milliseconds of each document."""
@@ -34,12 +36,13 @@ def risk_ranking(risks: DataFrame, group: str, pieces: int = 256) -> DataFrame:
     """A-12. risks: group, probability, impact. Groups by the sum of probability times impact; equal sums share a rank; groups without a sum come last.
 
     Sums are dealt by `pieces` quantiles into ranges that are ranked apart, equal sums in one
-    range; how many lie in higher ranges is added. So no task ranks all groups.
+    range; how many lie in higher ranges is added. So no task ranks all groups. The sums are
+    written to the shared folder first.
     """
     total = risks.groupBy(group).agg(F.sum(F.col("probability") * F.col("impact")).cast("double").alias("risk"))
+    total = stored(total, new_folder(risks.sparkSession, "risks"))  # added up once: a second time the last digits might differ
     cuts = total.agg(F.array_distinct(F.percentile_approx("risk", [i / pieces for i in range(1, pieces)], 100 * pieces)).alias("q")).first().q or []
     above = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c > F.col("risk"))), F.lit(pieces)) if cuts else F.lit(0)
-    cuts = [c + abs(c) * 1e-9 for c in cuts]  # beside the sums, whose last digits may change when they are added up again
     placed = total.withColumn("_range", F.when(F.col("risk").isNull(), F.lit(pieces)).otherwise(above))
     ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most pieces + 1 rows
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -69,7 +69,7 @@ def w9(spark, sf):
     return chunk.assign_chunk_index(c)
 
 
-@register("d4_page_chunks", f"with {fx.CHUNKS_SQL} select doc_id, page_no, pos, text from (select doc_id, page_no, chunk_index as pos, left(content, 120) as text, row_number() over (partition by doc_id, page_no, md5(left(content, 120)) order by chunk_index) as n from c1 where length(left(content, 120)) >= 100) where n = 1")
+@register("d4_page_chunks", f"with {fx.CHUNKS_SQL} select doc_id, page_no, pos, text from (select doc_id, page_no, chunk_index as pos, content as text, row_number() over (partition by doc_id, page_no, md5(content) order by chunk_index) as n from c1 where length(content) >= 100) where n = 1")
 def d4(spark, sf):
-    c = fx.chunks(spark, sf).where(~F.col("content").endswith(" (rev)")).select("doc_id", "page_no", F.col("chunk_index").alias("pos"), F.substring("content", 1, 120).alias("text"))
+    c = fx.chunks(spark, sf).where(~F.col("content").endswith(" (rev)")).select("doc_id", "page_no", F.col("chunk_index").alias("pos"), F.col("content").alias("text"))
     return chunk.dedupe_page_chunks(c)

@@ -63,11 +63,11 @@ def w4(spark, sf):
 
 
 @register("j2_enrich", f"""with {fx.CHUNKS_SQL}, v as (select * from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc, content) as n from chunks) where n = 1),
- k as (select l_orderkey as query_id, l_linenumber as ln, (l_partkey % 300) || '_0' as chunk_uuid, case when l_suppkey % 2 = 0 then 'given.md' else '' end as filename, case when l_suppkey % 3 = 0 then 0 else 7 end as page from lineitem)
+ k as (select l_orderkey as query_id, l_linenumber as ln, l_partkey || '_' || (l_linenumber % 3) as chunk_uuid, case when l_suppkey % 2 = 0 then 'given.md' else '' end as filename, case when l_suppkey % 3 = 0 then 0 else 7 end as page from lineitem)
  select query_id, ln, k.chunk_uuid, case when k.filename = '' then coalesce(v.filename, '') else k.filename end as filename, case when page = 0 then coalesce(v.page_no, 0) else page end as page, content from k left join v using (chunk_uuid)""")
 def j2(spark, sf):
     li = fx.table(spark, sf, "lineitem")
-    c = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("ln"), F.concat((F.col("l_partkey") % 300).cast("string"), F.lit("_0")).alias("chunk_uuid"), F.when(F.col("l_suppkey") % 2 == 0, "given.md").otherwise("").alias("filename"), F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(7).alias("page"))
+    c = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("ln"), F.concat_ws("_", F.col("l_partkey").cast("string"), (F.col("l_linenumber") % 3).cast("string")).alias("chunk_uuid"), F.when(F.col("l_suppkey") % 2 == 0, "given.md").otherwise("").alias("filename"), F.when(F.col("l_suppkey") % 3 == 0, 0).otherwise(7).alias("page"))
     return fuse.enrich_candidates(c, fx.chunks(spark, sf))
 
 
@@ -115,14 +115,14 @@ def x22(spark, sf):
     return fuse.tier_contexts(sources(spark, sf).withColumnRenamed("origin", "tier"))
 
 
-@register("d9_force_tier_a", f"""with {SRC}, s as (select query_id, pos, case when query_id % 5 = 0 then 'A' else 'B' end as tier, content from src where pos <= 3),
- a as (select query_id, pos as rank, 'norm ' || content as content from src where pos <= 2), l as (select distinct query_id from s where query_id % 2 = 0 and query_id % 5 != 0)
+@register("d9_force_tier_a", f"""with {SRC}, s as (select query_id, pos, case when query_id % 5 = 0 then 'A' else 'B' end as tier, content from src),
+ a as (select query_id, pos as rank, 'norm ' || content as content from src), l as (select distinct query_id from s where query_id % 2 = 0 and query_id % 5 != 0)
  select query_id, pos, tier, content from s union all select query_id, 0, 'A', string_agg(content, chr(10) order by rank) from a where query_id in (select query_id from l) group by query_id""")
 def d9(spark, sf):
     src = sources(spark, sf)
-    s = src.where("pos <= 3").select("query_id", F.col("pos").cast("int").alias("pos"), F.when(F.col("query_id") % 5 == 0, "A").otherwise("B").alias("tier"), "content")
+    s = src.select("query_id", F.col("pos").cast("int").alias("pos"), F.when(F.col("query_id") % 5 == 0, "A").otherwise("B").alias("tier"), "content")
     q = src.select("query_id").distinct().withColumn("audit", F.col("query_id") % 2 == 0)
-    return fuse.force_tier_a(s, q, src.where("pos <= 2").select("query_id", F.col("pos").alias("rank"), F.concat(F.lit("norm "), "content").alias("content")))
+    return fuse.force_tier_a(s, q, src.select("query_id", F.col("pos").alias("rank"), F.concat(F.lit("norm "), "content").alias("content")))
 
 
 @register("a6_tier_distribution", f"""with {fx.CANDIDATES_SQL} select query_id, count(*) filter (tier = 'A') as n_a, count(*) filter (tier = 'B') as n_b, count(*) filter (tier = 'C') as n_c, count(*) as n,

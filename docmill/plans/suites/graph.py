@@ -154,7 +154,7 @@ def j3(spark, sf):
     return graph.semantic_gate(v, e.where("vec_id < 8").select(F.col("vec_id").alias("anchor"), "embedding")).withColumn("score", F.round("score", 6))
 
 
-MENTIONS = "m as (select distinct l_partkey as e, l_orderkey as c from lineitem join part on p_partkey = l_partkey where p_brand != 'Brand#13'), s as (select l_orderkey % 50 as q, l_orderkey as c from lineitem where l_orderkey % 97 = 0 group by all)"
+MENTIONS = "m as (select distinct l_partkey as e, l_orderkey as c from lineitem join part on p_partkey = l_partkey where p_brand != 'Brand#13'), s as (select l_orderkey % 47 as q, l_orderkey as c from lineitem where l_orderkey % 50 = 0 group by all)"
 
 
 @register("j8_graph_neighbors", f"""with {MENTIONS}, w as (select distinct q, e from s join m using (c)), h as (select q, m.c, count(*) as shared from w join m using (e) group by all), o as (select * from h where shared >= 2 and not exists (select 1 from s where s.q = h.q and s.c = h.c))
@@ -163,7 +163,7 @@ def j8(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_brand") == "Brand#13", "generic").otherwise(F.col("p_type")).alias("category"))
     m = li.join(p, "l_partkey").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("chunk_uuid"), "category")
-    s = li.where("l_orderkey % 97 = 0").select((F.col("l_orderkey") % 50).alias("query_id"), F.col("l_orderkey").alias("chunk_uuid")).distinct()
+    s = li.where("l_orderkey % 50 = 0").select((F.col("l_orderkey") % 47).alias("query_id"), F.col("l_orderkey").alias("chunk_uuid")).distinct()
     return graph.graph_neighbors(m, s)
 
 
@@ -231,19 +231,18 @@ def a7(spark, sf):
     return graph.concept_cooccurrence(c, one_version(spark, sf), e)
 
 
-@register("j13_attach_formulas", """with o as (select c, e from (select c, e, row_number() over (partition by c order by e) as n from (select distinct l_partkey as e, l_orderkey as c from lineitem)) where n <= 6), r as (select distinct c % 40 as q, 'LaTeX: x' || p_size || ' | Plain: ' || p_brand || ' | Meaning: ' || p_type as line from o join part on p_partkey = e where c % 3 = 0)
+@register("j13_attach_formulas", """with o as (select c, e from (select c, e, row_number() over (partition by c order by e) as n from (select distinct l_partkey as e, l_orderkey as c from lineitem)) where n <= 6), r as (select distinct c % 40 as q, 'LaTeX: x' || p_size || ' | Plain: ' || p_brand || ' | Meaning: ' || p_type as line from o join part on p_partkey = e join orders on o_orderkey = c)
  select q as query_id, 'GRAPH' as tier, string_agg(line, chr(10) order by line) as content from r group by q""")
 def j13(spark, sf):
     p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("formula_id"), F.concat(F.lit("x"), F.col("p_size").cast("string")).alias("latex"), F.col("p_brand").alias("plain"), F.col("p_type").alias("meaning"))
-    s = fx.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 40).alias("query_id"), F.col("o_orderkey").alias("chunk_uuid"))
+    s = fx.table(spark, sf, "orders").select((F.col("o_orderkey") % 40).alias("query_id"), F.col("o_orderkey").alias("chunk_uuid"))
     return graph.attach_formulas(s, part_mentions(spark, sf), p)
 
 
 @register("j14_attach_entities", """with o as (select c, name, e, row_number() over (partition by c order by name, e) as n from (select distinct l_orderkey as c, l_partkey as e, p_name as name from lineitem join part on p_partkey = l_partkey where p_name not like 'cold%')), l as (select c, string_agg(name, ', ' order by name, e) as entities from o where n <= 3 group by c)
  select o_custkey as query_id, o_orderkey as chunk_uuid, coalesce(entities, '') as entities from orders left join l on c = o_orderkey""")
 def j14(spark, sf):
-    names = fx.table(spark, sf, "part").where("p_name like 'cold%'").select("p_name").distinct()
-    stop = [r.p_name for r in names.limit(100).collect()]  # the fixture's names: a handful
+    stop = fx.table(spark, sf, "part").where("p_name like 'cold%'").select(F.col("p_name").alias("name"))
     s = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_uuid"))
     return graph.attach_entities(s, part_mentions(spark, sf), parts(spark, sf), 3, stop)
 

@@ -55,7 +55,7 @@ CUES = [("the", "article"), ("the", "determiner"), ("ment", "noun"), ("ou", "or"
 @register("j12_expand_tokens", "select distinct doc_id as query_id, token from documents, (values ('the', 'article'), ('the', 'determiner'), ('ment', 'noun'), ('ou', 'or'), ('zqx', 'none')) as c(cue, token) where contains(lower(text), cue)")
 def j12(spark, sf):
     q = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    return search.expand_tokens(q, spark.createDataFrame(CUES, "cue string, token string"))
+    return search.expand_tokens(q, CUES)
 
 
 WORDS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w != '')"
@@ -103,19 +103,22 @@ def k4(spark, sf):
  select query_id, chunk_uuid, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by ingestion_ts desc, chunk_uuid) as rank from h) where rank <= 5""")
 def k5(spark, sf):
     t = spark.createDataFrame([(1, "the"), (2, "ment"), (3, "A")], "query_id int, alias string")
-    return search.glossary_topk(t, fx.chunks(spark, sf), "src3")
+    return search.glossary_topk(t, fx.chunks(spark, sf), "src3").drop("score")
 
 
-@register("k6_doc_scope_topk", f"""with {fx.CHUNKS_SQL}, {INDEX}, q as (select doc_id as query_id, source || '_' || doc_id || '.md' as f, list_distinct(({WORDS.format(c='text')})[1:3]) as terms from documents),
- t as (select query_id, unnest(terms) as term from q), s as (select query_id, chunk_uuid, sum(tf) * 0.1::double as score from idx join t using (term) join q using (query_id) where starts_with(chunk_uuid, query_id || '_') group by all),
- v as (select * from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc, content) as n from chunks) where n = 1),
- j as (select q.query_id, v.chunk_uuid, v.ingestion_ts, round(coalesce(s.score, 0.001), 6) as score from q join v on v.filename = q.f left join s on s.query_id = q.query_id and s.chunk_uuid = v.chunk_uuid)
+NORM = "regexp_replace(regexp_replace(lower({c}), '\\.(pdf|md)$', ''), '[^a-z0-9]+', '', 'g')"
+
+
+@register("k6_doc_scope_topk", f"""with {fx.CHUNKS_SQL}, {INDEX}, q as (select doc_id as query_id, {NORM.format(c="source || '_' || doc_id || '.pdf'")} as want, list_distinct({WORDS.format(c='text')}) as terms from documents),
+ n as (select distinct filename, {NORM.format(c='filename')} as name from c1), fi as (select query_id, filename from q join n on contains(name, want) or contains(want, name)),
+ t as (select query_id, unnest(terms) as term from q), v as (select * from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc) as n from chunks) where n = 1), r as (select query_id, v.chunk_uuid, ingestion_ts from fi join v using (filename)),
+ s as (select r.query_id, r.chunk_uuid, sum(tf) * 0.1::double as score from r join idx using (chunk_uuid) join t on t.query_id = r.query_id and t.term = idx.term group by all),
+ j as (select r.query_id, r.chunk_uuid, r.ingestion_ts, round(coalesce(s.score, 0.001), 6) as score from r left join s on s.query_id = r.query_id and s.chunk_uuid = r.chunk_uuid)
  select query_id, chunk_uuid, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, ingestion_ts desc, chunk_uuid) as rank from j) where rank <= 80""")
 def k6(spark, sf):
-    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("active_doc"), F.array_distinct(F.slice(search.words(F.col("text")), 1, 3)).alias("terms"))
+    d = fx.documents(spark, sf).select(F.col("doc_id").alias("query_id"), F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("active_doc"), F.array_distinct(search.words(F.col("text"))).alias("terms"))
     c = fx.chunks(spark, sf)
-    index = search.inverted_index(one_version(spark, sf), asked=search.asked_terms(d))
-    return search.doc_scope_topk(d, c, index).withColumn("score", F.round("score", 6))
+    return search.doc_scope_topk(d, c, search.inverted_index(one_version(spark, sf))).withColumn("score", F.round("score", 6))
 
 
 SCAN = "(?i)(^|[^\\p{L}\\p{N}_])(over|the|of)[^\\p{L}\\p{N}_].{0,60}[0-9]"
@@ -149,7 +152,7 @@ def k2(spark, sf):
     return search.vector_topk_filtered(*embedded(spark, sf), "A", 15, digits=6)
 
 
-@register("j15_fetch_chunks", f"with {fx.CHUNKS_SQL} select chunk_uuid, trim(content) as payload_text from c1 where doc_id % 4 = 1 and trim(content) != ''")
+@register("j15_fetch_chunks", f"with {fx.CHUNKS_SQL} select chunk_uuid, trim(content) as payload_text from c1 where trim(content) != ''")
 def j15(spark, sf):
     c = one_version(spark, sf)
-    return search.fetch_chunks_by_id(c, c.where("doc_id % 4 = 1").select("chunk_uuid")).select("chunk_uuid", "payload_text")
+    return search.fetch_chunks_by_id(c, c.select("chunk_uuid")).select("chunk_uuid", "payload_text")

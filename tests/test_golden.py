@@ -214,7 +214,7 @@ def test_vector_topk_in_blocks(spark):
         if x.any():
             scored = sorted((-round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 6), f"c{j:02d}") for j, y in enumerate(v) if y.any())
             want += [(i, c, -s, n + 1) for n, (s, c) in enumerate(scored[:9])]
-    for blocks in ((2, 8), (100, 1000)):
+    for blocks in ((200, 8), (1 << 20, 1000)):
         got = search.vector_topk(queries, vectors, 9, *blocks, digits=6).collect()
         assert sorted((r.query_id, r.chunk_uuid, r.score + 0.0, r.rank) for r in got) == sorted(want)
     assert search.vector_topk(queries.limit(0), vectors).count() == 0 == search.vector_topk(queries, vectors.limit(0)).count()

@@ -25,7 +25,7 @@ def ingest_corpus(files: DataFrame, taxonomy: DataFrame, existing: DataFrame | N
 
 def build_graph(raw: DataFrame, canon: DataFrame, seen: str = "pos") -> tuple[DataFrame, DataFrame, DataFrame]:
     """C-2. raw: doc_id, page_no, raw JSON of a model. Merged entities, merged edges, and the rows that could not be read."""
-    read = graph.parse_llm_json(raw.withColumn("raw", graph.rename_keys(F.col("raw"))))
+    read = graph.parse_llm_json(raw)
     nodes, edges = graph.sanitize_graph(*graph.normalize_graph(read.where("ok")))
     order = F.struct("doc_id", "page_no", seen)
     entities = graph.merge_entities(nodes.select("id", "category", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), "description", order.alias("seen")))

@@ -11,19 +11,28 @@ RAW_SQL = """g as (select l_orderkey as doc_id, cast(l_orderkey % 5 as int) as p
 
 
 def raw_json(spark, sf):
-    """Model output: one JSON text for each order; some fenced, some with a trailing comma, some cut off."""
+    """Model output: one JSON text for each order, under every alias of its fields; some fenced, some with a trailing comma, some cut off."""
     li = fx.table(spark, sf, "lineitem")
-    edge = F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("rel "), "l_returnflag", F.lit("-"), "l_linestatus").alias("relation"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target"))
-    rows = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", edge.alias("e")))), lambda x: x["e"]).alias("edges"))
-    nodes = F.transform("edges", lambda e: F.struct(e["source"].alias("id"), F.lit("supplier").alias("type"), F.lit("d").alias("description")))
-    text = F.to_json(F.struct(nodes.alias("entities"), F.col("edges")))
+    row = F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("rel "), "l_returnflag", F.lit("-"), "l_linestatus").alias("r"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("t"))
+    rows = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("e")))), lambda x: x["e"]).alias("e"))
+    each = lambda **f: F.transform("e", lambda e: F.struct(*[v(e).alias(k) for k, v in f.items()]))
     k = F.col("doc_id")
+    first = F.struct(
+        each(id=lambda e: e["s"], category=lambda e: F.lit("supplier"), description=lambda e: F.lit(" d, \"type\": x "), formula=lambda e: F.concat(F.lit("f"), (k % 5).cast("string")), synonyms=lambda e: F.array(F.lit("s1"), F.lit(" "), F.lit("s2"))).alias("nodes"),
+        each(source=lambda e: e["s"], relation=lambda e: e["r"], target=lambda e: e["t"], evidence=lambda e: F.lit("seen")).alias("edges"),
+    )
+    second = F.struct(
+        each(name=lambda e: e["s"], type=lambda e: F.lit("supplier"), synonyms=lambda e: F.lit("one")).alias("entities"),
+        each(**{"from": lambda e: e["s"], "type": lambda e: e["r"], "to": lambda e: e["t"], "props": lambda e: F.create_map(F.lit("w"), F.lit(1))}).alias("relationships"),
+    )
+    third = F.struct(each(label=lambda e: e["s"], properties=lambda e: F.create_map(F.lit("k"), F.lit("v"))).alias("entities"), each(**{"from": lambda e: e["s"], "to": lambda e: e["t"]}).alias("relationships"))
+    text = F.when(k % 3 == 0, F.to_json(first)).when(k % 3 == 1, F.to_json(second)).otherwise(F.to_json(third))
     broken = F.when(k % 13 == 0, F.substring(text, F.lit(1), F.char_length(text) - 5)).when(k % 11 == 0, F.regexp_replace(text, r"\]\}$", ",]}")).when(k % 7 == 0, F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```"))).otherwise(text)
     return rows.select("doc_id", (k % 5).cast("int").alias("page_no"), broken.alias("raw"))
 
 
 def parsed(spark, sf):
-    return graph.parse_llm_json(raw_json(spark, sf).withColumn("raw", graph.rename_keys(F.col("raw"))))
+    return graph.parse_llm_json(raw_json(spark, sf))
 
 
 @register("x13_parse_json", "select distinct l_orderkey as doc_id, l_orderkey % 13 != 0 as ok from lineitem")
@@ -31,22 +40,54 @@ def x13(spark, sf):
     return parsed(spark, sf).select("doc_id", "ok")
 
 
-EDGES = f"""{RAW_SQL}, x as (select doc_id, page_no, unnest(e) as e, cast(generate_subscripts(e, 1) - 1 as int) as pos from g where doc_id % 13 != 0), ed as (select doc_id, page_no, pos, e.s as source, upper(replace(replace(e.r, ' ', '_'), '-', '_')) as relation, e.t as target from x)"""
+EDGES = f"""{RAW_SQL}, x as (select doc_id, page_no, unnest(e) as e, cast(generate_subscripts(e, 1) - 1 as int) as pos from g where doc_id % 13 != 0), ed as (select doc_id, page_no, pos, e.s as source, case when doc_id % 3 = 2 then 'RELATED_TO' else upper(replace(replace(e.r, ' ', '_'), '-', '_')) end as relation, e.t as target from x)"""
 
 
-@register("x14_graph_edges", f"with {EDGES} select doc_id, page_no, pos, source, relation, target from ed")
+def joined(props):
+    return F.array_join(F.transform(F.map_entries(props), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+@register("x14_graph_edges", f"with {EDGES} select doc_id, page_no, pos, source, relation, target, case when doc_id % 3 = 0 then 'seen' else '' end as evidence, case when doc_id % 3 = 1 then 'w=1' else '' end as props from ed")
 def x14(spark, sf):
-    return graph.normalize_graph(parsed(spark, sf).where("ok"))[1]
+    return graph.normalize_graph(parsed(spark, sf).where("ok"))[1].withColumn("props", joined("props"))
+
 
+@register("x14_graph_nodes", f"""with {EDGES} select doc_id, page_no, pos, source as id, case when doc_id % 3 = 2 then 'UNCLASSIFIED' else 'SUPPLIER' end as category, case when doc_id % 3 = 0 then 'd, "type": x' else '' end as description,
+ case when doc_id % 3 = 0 then 'f' || (doc_id % 5) else '' end as formula, (['s1,s2', 'one', ''])[cast(doc_id % 3 as int) + 1] as synonyms, case when doc_id % 3 = 2 then 'k=v' else '' end as props from ed""")
+def x14n(spark, sf):
+    return graph.normalize_graph(parsed(spark, sf).where("ok"))[0].withColumn("props", joined("props")).withColumn("synonyms", F.array_join("synonyms", ","))
 
-@register("d7_sanitize_nodes", f"with {EDGES} select doc_id, page_no, pos, id, 'SUPPLIER' as category from (select doc_id, page_no, min(pos) as pos, source as id, row_number() over (partition by doc_id, page_no order by min(pos)) as n from ed group by doc_id, page_no, source) where n <= 3")
+
+@register("d7_sanitize_nodes", f"with {EDGES} select doc_id, page_no, pos, id, case when doc_id % 3 = 2 then 'UNCLASSIFIED' else 'SUPPLIER' end as category from (select doc_id, page_no, min(pos) as pos, source as id, row_number() over (partition by doc_id, page_no order by min(pos)) as n from ed group by doc_id, page_no, source) where n <= 3")
 def d7n(spark, sf):
-    return graph.sanitize_graph(*graph.normalize_graph(parsed(spark, sf).where("ok")), 3, 2)[0].drop("description")
+    return graph.sanitize_graph(*graph.normalize_graph(parsed(spark, sf).where("ok")), 3, 2)[0].select("doc_id", "page_no", "pos", "id", "category")
 
 
 @register("d7_sanitize_edges", f"with {EDGES} select doc_id, page_no, pos, source, relation, target from ed where pos < 2")
 def d7e(spark, sf):
-    return graph.sanitize_graph(*graph.normalize_graph(parsed(spark, sf).where("ok")), 3, 2)[1]
+    return graph.sanitize_graph(*graph.normalize_graph(parsed(spark, sf).where("ok")), 3, 2)[1].select("doc_id", "page_no", "pos", "source", "relation", "target")
+
+
+@register("x15_formula_json", """with f as (select p_partkey as doc_id, p_size % 4 as page_no, 'x' || (p_size % 7) || ' + y' as latex, p_size % 3 = 0 as told, p_name from part), n as (select *, 'Formula::P' || page_no || '::' || left(sha256(latex), 10) as id from f)
+ select doc_id, page_no, id, 'FORMULA' as category, case when told then 'sum of ' || p_name else 'Formula 1' end as description, latex as formula from n
+ union all select doc_id, page_no, 'x' || (doc_id % 9), 'VARIABLE', 'an x', 'x' || (doc_id % 9) from n union all select doc_id, page_no, 'y', 'VARIABLE', '', 'y' from n""")
+def x15j(spark, sf):
+    return graph.formula_json_nodes(formula_json(spark, sf))[0]
+
+
+@register("x15_variables", """select p_partkey as doc_id, p_size % 4 as page_no, 'Formula::P' || (p_size % 4) || '::' || left(sha256('x' || (p_size % 7) || ' + y'), 10) as source, 'HAS_VARIABLE' as relation, unnest(['x' || (p_partkey % 9), 'y']) as target from part""")
+def x15v(spark, sf):
+    return graph.formula_json_nodes(formula_json(spark, sf))[1]
+
+
+def formula_json(spark, sf):
+    """The formulas of a page as a model gives them: LaTeX as a text or a list, variables as objects or texts, one formula without LaTeX."""
+    p = fx.table(spark, sf, "part")
+    latex = F.concat(F.lit("x"), (F.col("p_size") % 7).cast("string"), F.lit(" + y"))
+    said = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('["'), F.concat(F.lit("x"), (F.col("p_size") % 7).cast("string")), F.lit('", "+ y"]'))).otherwise(F.concat(F.lit('"'), latex, F.lit('"')))
+    told = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('"meaning_it": "sum of '), "p_name", F.lit('", '))).otherwise("")
+    raw = F.concat(F.lit('{"formulas": [{'), told, F.lit('"latex": '), said, F.lit(', "variables": [{"name": "x'), (F.col("p_partkey") % 9).cast("string"), F.lit('", "meaning": "an x"}, "y", " "]}, {"description": "none"}]}'))
+    return p.select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") % 4).alias("page_no"), raw.alias("raw"))
 
 
 CANON = [("REL_A_F", "supplied", "PART", ""), ("REL_N_O", "visits", "", "OPEN"), ("REL_R_F", "establishes", "ORDER", "")]
@@ -92,13 +133,26 @@ def j6(spark, sf):
     return graph.merge_edges(li, ids, old).withColumn("last_seen", F.unix_micros("last_seen"))
 
 
-@register("a1_merge_entities", """with n as (select l_partkey as id, case when l_linenumber % 3 = 0 then 'UNCLASSIFIED' else 'K' || l_linenumber end as category, 'src' || (l_suppkey % 7) as filename, l_returnflag || l_linenumber as description, {'a': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity} as seen from lineitem)
- select id, coalesce(arg_max(category, seen) filter (category != 'UNCLASSIFIED'), 'UNCLASSIFIED') as category, array_to_string(list_sort(list_distinct(list(filename))), ',') as sources, arg_max(description, seen) as description from n group by id""")
-def a1(spark, sf):
+NODES_SQL = """n as (select l_partkey as id, case when l_linenumber % 3 = 0 then 'UNCLASSIFIED' else 'K' || l_linenumber end as category, 'src' || (l_suppkey % 7) as filename, l_returnflag || l_linenumber as description, {'a': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity} as seen, 'p' || (l_suppkey % 2) as k, l_orderkey as chunk_uuid from lineitem)"""
+
+
+def seen_nodes(spark, sf):
     li = fx.table(spark, sf, "lineitem")
-    n = li.select(F.col("l_partkey").alias("id"), F.when(F.col("l_linenumber") % 3 == 0, "UNCLASSIFIED").otherwise(F.concat(F.lit("K"), F.col("l_linenumber").cast("string"))).alias("category"), F.concat(F.lit("src"), (F.col("l_suppkey") % 7).cast("string")).alias("filename"),
-                  F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("description"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").alias("seen"))
-    return graph.merge_entities(n).withColumn("sources", F.array_join("sources", ","))
+    return li.select(F.col("l_partkey").alias("id"), F.when(F.col("l_linenumber") % 3 == 0, "UNCLASSIFIED").otherwise(F.concat(F.lit("K"), F.col("l_linenumber").cast("string"))).alias("category"), F.concat(F.lit("src"), (F.col("l_suppkey") % 7).cast("string")).alias("filename"),
+                     F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("description"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").alias("seen"),
+                     F.create_map(F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("string")), F.concat("l_returnflag", F.col("l_linenumber").cast("string"))).alias("props"), F.col("l_orderkey").alias("chunk_uuid"))
+
+
+@register("a1_merge_entities", f"""with {NODES_SQL}, f as (select id, filename, min(seen) as first from n group by all), s as (select id, string_agg(filename, ',' order by first, filename) as sources from f group by id),
+ p as (select id, k, arg_max(description, seen) as v from n group by all), q as (select id, string_agg(k || '=' || v, ',' order by k) as props from p group by id)
+ select n.id, coalesce(arg_max(category, seen) filter (category != 'UNCLASSIFIED'), 'UNCLASSIFIED') as category, any_value(sources) as sources, arg_max(description, seen) as description, any_value(props) as props from n join s using (id) join q using (id) group by n.id""")
+def a1(spark, sf):
+    return graph.merge_entities(seen_nodes(spark, sf)).withColumn("sources", F.array_join("sources", ",")).withColumn("props", joined("props"))
+
+
+@register("a1_present_in", "select distinct l_partkey as id, l_orderkey as chunk_uuid from lineitem")
+def a1p(spark, sf):
+    return graph.present_in(seen_nodes(spark, sf))
 
 
 @register("a2_structure_nodes", f"""with {fx.CHUNKS_SQL}, v as (select doc_id, page_no, chunk_uuid, left(arg_max(content, ingestion_ts), 1000) as text from chunks group by all)
@@ -151,7 +205,18 @@ def x16(spark, sf):
 def j3(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     v = e.select(F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")).alias("filename"), F.col("label").alias("page"), "embedding")
-    return graph.semantic_gate(v, e.where("vec_id < 8").select(F.col("vec_id").alias("anchor"), "embedding")).withColumn("score", F.round("score", 6))
+    anchors = [r.embedding for r in e.where("vec_id < 8").select("embedding").collect()]  # eight
+    return graph.semantic_gate(v, anchors).withColumn("score", F.round("score", 6))
+
+
+@register("j3_gate_texts", """with e as (select 'src' || (vec_id % 20) as filename, vec_id as page, embedding::double[] as m, (vec_id % 4) * 150 as n from embeddings), a as (select embedding::double[] as a from embeddings where vec_id < 8)
+ select filename, page, round(max(list_dot_product(m, a) / sqrt(list_dot_product(m, m)) / sqrt(list_dot_product(a, a))), 6) as score,
+ case when page % 2 = 0 then max(list_dot_product(m, a) / sqrt(list_dot_product(m, m)) / sqrt(list_dot_product(a, a))) >= 0.38 else any_value(n) >= 300 and max(list_dot_product(m, a) / sqrt(list_dot_product(m, m)) / sqrt(list_dot_product(a, a))) >= 0.2 end as keep from e, a group by filename, page""")
+def j3t(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    v = e.select(F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")).alias("filename"), F.col("vec_id").alias("page"), "embedding", F.repeat(F.lit("x"), (F.col("vec_id") % 4 * 150).cast("int")).alias("text"))
+    anchors = [r.embedding for r in e.where("vec_id < 8").select("embedding").collect()]
+    return graph.semantic_gate(v.where("page % 2 = 0").drop("text"), anchors, texts=v).withColumn("score", F.round("score", 6))
 
 
 MENTIONS = "m as (select distinct l_partkey as e, l_orderkey as c from lineitem join part on p_partkey = l_partkey where p_brand != 'Brand#13'), s as (select l_orderkey % 47 as q, l_orderkey as c from lineitem where l_orderkey % 50 = 0 group by all)"

@@ -339,3 +339,13 @@ def test_unicode_against_the_library(spark):
         t = unicodedata.normalize("NFKC", texts[r.k] or "")
         t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t) if math.search(t) else re.sub("[^\x20-\x7e\xa0-ɏ]+", " ", t)
         assert r.text == re.sub(r"[ \t\n\r\f\x0b]+", " ", t).strip(" "), texts[r.k]
+
+
+def test_aliases_of_model_output(spark):
+    """An id before a name before a label; a type that is a relation on edges and a category on nodes; keys inside texts stay."""
+    raw = '{"entities": [{"id": "E1", "name": "Std", "label": "L", "type": "norm", "description": "the \\"type\\": x"}, {"label": "only", "synonyms": "s", "props": {"a": 1, "b": {"c": 2}, "d": [1, 2]}}, {"description": "nameless"}], "relationships": [{"from": "E1", "to": "only", "type": "applies to", "evidence": "p. 3"}, {"source": "E1", "target": "only"}, {"from": "E1"}]}'
+    nodes, edges = graph.normalize_graph(graph.parse_llm_json(spark.createDataFrame([(1, 2, raw)], "doc_id long, page_no int, raw string")).where("ok"))
+    got = {r.id: r for r in nodes.collect()}
+    assert set(got) == {"E1", "only"} and got["E1"].category == "NORM" and got["E1"].description == 'the "type": x'
+    assert got["only"].category == "UNCLASSIFIED" and got["only"].synonyms == ["s"] and got["only"].props == {"a": "1", "d": "[1,2]"}
+    assert sorted((r.source, r.relation, r.target, r.evidence) for r in edges.collect()) == [("E1", "APPLIES_TO", "only", "p. 3"), ("E1", "RELATED_TO", "only", "")]

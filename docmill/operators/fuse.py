@@ -11,18 +11,19 @@ from docmill.operators.clean import doc_name, squeeze
 CHANNELS = ["vector", "doc_scope", "phrase", "text", "graph", "expansion"]
 
 
-def limit_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """W-4."""
+def limit_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int | Column) -> DataFrame:
+    """W-4. n: a number, or a column that is the same throughout a group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
 def merge_candidates(hits: DataFrame) -> DataFrame:
-    """D-1. hits: query_id, chunk_uuid, channel, score, filename, page, tier. One row a query and chunk: the best score of each channel, attributes from the first channel in order, provenance."""
+    """D-1. hits: query_id, chunk_uuid, channel, score, filename, page, tier, and optionally toon_type. One row a query and chunk: the best score of each channel, attributes from the first channel in order, provenance."""
     order = F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col("channel"))
+    named = [c for c in ("filename", "page", "tier", "toon_type") if c in hits.columns]
     best = [F.max(F.when(F.col("channel") == c, F.col("score"))).alias(f"{c}_score") for c in CHANNELS]
-    attrs = F.min(F.struct(order.alias("o"), F.col("filename"), F.col("page"), F.col("tier"))).alias("a")
+    attrs = F.min(F.struct(order.alias("o"), *map(F.col, named))).alias("a")
     rows = hits.groupBy("query_id", "chunk_uuid").agg(*best, attrs, F.array_sort(F.collect_set(F.struct(order.alias("o"), F.col("channel")))).alias("c"))
-    return rows.select("query_id", "chunk_uuid", *[f"{c}_score" for c in CHANNELS], "a.filename", "a.page", "a.tier", F.array_join(F.transform("c", lambda x: x["channel"]), " + ").alias("provenance"))
+    return rows.select("query_id", "chunk_uuid", *[f"{c}_score" for c in CHANNELS], *[f"a.{c}" for c in named], F.array_join(F.transform("c", lambda x: x["channel"]), " + ").alias("provenance"))
 
 
 def rrf_fuse(cands: DataFrame, k: int = 60, channels: tuple[str, ...] = ("vector_score", "text_score", "graph_score")) -> DataFrame:
@@ -35,32 +36,39 @@ def rrf_fuse(cands: DataFrame, k: int = 60, channels: tuple[str, ...] = ("vector
     return out.withColumn("rrf", total).drop(*[f"_{c}" for c in channels])
 
 
-def rank_candidates(cands: DataFrame, keep: int = 35, rerank: DataFrame | None = None) -> DataFrame:
-    """K-8. cands: query_id, chunk_uuid, rrf, name_hits, tier, evidence, in_doc, on_page, intent_type. Keeps the best by pre-score; the final score adds a re-ranker's, where there is one (query_id, chunk_uuid, rerank_score)."""
+def rank_candidates(cands: DataFrame, keep: int = 35, rerank: DataFrame | None = None, own_keep: str | None = None) -> DataFrame:
+    """K-8. cands: query_id, chunk_uuid, rrf, name_hits, tier, evidence, in_doc, on_page, intent_type. Keeps the best by pre-score; the final score adds a re-ranker's, where there is one (query_id, chunk_uuid, rerank_score). own_keep: a column with a query's own number to keep."""
     tier = F.when(F.col("tier") == "A", 0.08).when(F.col("tier") == "B", 0.04).when((F.col("tier") == "C") & ~F.col("evidence"), -0.015).otherwise(0.0)
     intent = F.when(F.col("intent_type") == "formula", 0.25).when(F.col("intent_type").isin("chart", "table"), 0.20).otherwise(0.0)
     pre = F.col("rrf") + 0.02 * F.least("name_hits", F.lit(3)) + tier + F.when(F.col("in_doc"), 0.20).otherwise(0.0) + F.when(F.col("on_page"), 0.30).otherwise(0.0) + intent
-    some = limit_per_group(cands.withColumn("pre_score", pre), ["query_id"], [F.desc("pre_score"), F.col("chunk_uuid")], keep)
+    some = limit_per_group(cands.withColumn("pre_score", pre), ["query_id"], [F.desc("pre_score"), F.col("chunk_uuid")], F.col(own_keep) if own_keep else keep)
     if rerank is None:
         return some.withColumn("score", F.col("pre_score"))
     return some.join(rerank, ["query_id", "chunk_uuid"], "left").withColumn("score", F.coalesce(F.col("rerank_score") + F.col("pre_score"), "pre_score")).drop("rerank_score")
 
 
-def diversify(cands: DataFrame, max_page: int = 2, max_doc: int = 5, k: int = 8) -> DataFrame:
-    """W-5. The greedy choice by score with limits for each page and file, as two chained window filters."""
+def diversify(cands: DataFrame, max_page: int | Column = 2, max_doc: int | Column = 5, k: int | Column = 8) -> DataFrame:
+    """W-5. The greedy choice by score with limits for each page and file, as two chained window filters; limits are numbers, or columns of each query's own."""
     order = [F.desc("score"), F.col("chunk_uuid")]
     by_page = limit_per_group(cands, ["query_id", "filename", "page"], order, max_page)
     return limit_per_group(limit_per_group(by_page, ["query_id", "filename"], order, max_doc), ["query_id"], order, k)
 
 
-def enrich_candidates(cands: DataFrame, chunks: DataFrame) -> DataFrame:
-    """J-2. Joins texts last, from the newest versions; repairs file and page only where they are unknown."""
+def enrich_candidates(cands: DataFrame, chunks: DataFrame, versions: bool = True) -> DataFrame:
+    """J-2. Joins texts last, from the newest versions (versions=False: chunks has only these): the semantic text, else the content. Repairs file, page and, where cands has it, type only where they are unknown; adds the provenance columns that chunks has (ingestion_ts as pg_ingestion_ts, source_name, source_type, log_id, chunk_index)."""
     from docmill.operators.search import latest_versions
 
-    own = latest_versions(chunks.join(cands.select("chunk_uuid").distinct(), "chunk_uuid", "left_semi")).select("chunk_uuid", F.col("filename").alias("_f"), F.col("page_no").alias("_p"), "content")
-    unknown = F.coalesce(F.col("filename").isin("", "unknown"), F.lit(True))
+    own = chunks.join(cands.select("chunk_uuid").distinct(), "chunk_uuid", "left_semi")
+    own = latest_versions(own) if versions else own
+    text = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("text_sem", "content_semantic", "content_raw", "content") if c in chunks.columns], F.col("content") if "content" in chunks.columns else F.lit(None).cast("string"))
+    typed = "toon_type" in cands.columns and "toon_type" in chunks.columns
+    said = {"pg_source_name": "source_name", "pg_source_type": "source_type", "pg_log_id": "log_id"}
+    extra = [F.col(c).alias(k) for k, c in said.items() if c in chunks.columns]
+    own = own.select("chunk_uuid", F.col("filename").alias("_f"), F.col("page_no").alias("_p"), *([F.col("toon_type").alias("_t")] if typed else []), text.alias("content"), *extra)
+    unknown = F.coalesce(F.lower("filename").isin("", "unknown", "kg"), F.lit(True))
     out = cands.join(own, "chunk_uuid", "left").withColumn("filename", F.when(unknown, F.coalesce("_f", "filename")).otherwise(F.col("filename")))
-    return out.withColumn("page", F.when(F.coalesce("page", F.lit(0)) == 0, F.coalesce("_p", "page")).otherwise(F.col("page"))).drop("_f", "_p")
+    out = out.withColumn("page", F.when(F.coalesce("page", F.lit(0)) == 0, F.coalesce("_p", "page")).otherwise(F.col("page"))).drop("_f", "_p")
+    return out.withColumn("toon_type", F.when(F.coalesce("toon_type", F.lit("")).isin("", "graph"), F.coalesce("_t", "toon_type")).otherwise(F.col("toon_type"))).drop("_t") if typed else out
 
 
 def dedupe_sources(sources: DataFrame) -> DataFrame:
@@ -123,10 +131,14 @@ def force_tier_a(sources: DataFrame, queries: DataFrame, tier_a: DataFrame) -> D
     return sources.select("query_id", "pos", "tier", "content").unionByName(made)
 
 
-def tier_distribution(sources: DataFrame) -> DataFrame:
-    """A-6. Sources of each query by tier, and the range of their scores."""
-    tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t.lower()}") for t in ("A", "B", "C")]
-    return sources.groupBy("query_id").agg(*tiers, F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.avg("score").alias("avg_score"))
+def tier_distribution(sources: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """A-6. Sources of each query by tier, and the range of their scores; with hits (query_id, channel) also the candidates of each channel."""
+    tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t.lower()}") for t in ("A", "B", "C", "GRAPH", "USER")]
+    out = sources.groupBy("query_id").agg(*tiers, F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.avg("score").alias("avg_score"))
+    if hits is None:
+        return out
+    counts = hits.groupBy("query_id").agg(*[F.count_if(F.col("channel") == c).alias(f"{c}_hits") for c in CHANNELS])
+    return counts.join(out, "query_id", "left").na.fill(0, [f"n_{t}" for t in ("a", "b", "c", "graph", "user")] + ["n"])
 
 
 def tail_turns(conversations: DataFrame, most: int = 3) -> DataFrame:

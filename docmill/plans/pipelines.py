@@ -5,55 +5,167 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.operators import chunk, clean, extract, fuse, graph, maintain, report, search
+from docmill.operators import chunk, clean, extract, fuse, graph, maintain, query, report, search
+from docmill.sources.shared import new_folder, stored
 
 
-def ingest_corpus(files: DataFrame, taxonomy: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """C-1. files: doc_id, filename, path, text, ingest_date, ingestion_ts. Chunks with tier, type and identity, upserted into existing; and the status of each document."""
-    cleaned = clean.normalize_whitespace(files)
-    placed = extract.dispatch_tiers(files.select("doc_id", "path", "ingest_date"), taxonomy)
-    cut = chunk.chunk_recursive(cleaned.select("doc_id", "filename", "ingestion_ts", "text"))
-    pages = cut.select("doc_id", "filename", "ingestion_ts", F.expr("cast(pos div 3 + 1 as int)").alias("page_no"), "pos", F.col("chunk").alias("text"))
-    once = chunk.assign_chunk_index(chunk.dedupe_page_chunks(pages, 1))
+def pages_of(files: DataFrame, taxonomy: DataFrame, page_chars: int = 1800) -> DataFrame:
+    """The first half of C-1. files: doc_id, filename, path, text, ingest_date, ingestion_ts. Chunks before they are numbered: doc_id, filename, ingestion_ts, page_no, pos, text, section_hint.
+
+    Markdown files are cleaned and cut by sections; other texts are normalised, cut into pages
+    of page_chars characters with the end of the page before, and these recursively.
+    """
+    markdown = F.lower("filename").endswith(".md")
+    marked = chunk.chunk_markdown(files.where(markdown).select("doc_id", "filename", "text")).select("doc_id", F.lit(1).alias("page_no"), F.col("chunk_index").alias("pos"), F.col("chunk").alias("text"), "section_hint")
+    plain = clean.normalize_whitespace(clean.normalize_unicode(files.where(~markdown).select("doc_id", "filename", "text")))
+    paged = plain.select("doc_id", "filename", F.posexplode(chunk.windows(F.col("text"), page_chars, 0)).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
+    hinted = chunk.section_hints(chunk.page_overlap(paged))
+    cut = chunk.chunk_recursive(hinted.select("doc_id", "page_no", "section_hint", F.col("text_sem").alias("text"))).select("doc_id", "page_no", "pos", F.col("chunk").alias("text"), "section_hint")
+    return marked.unionByName(cut).join(files.select("doc_id", "filename", "ingestion_ts"), "doc_id")
+
+
+def ingest_corpus(files: DataFrame, taxonomy: DataFrame, existing: DataFrame | None = None, sidecars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """C-1. files: doc_id, filename, path (folders), text, ingest_date, ingestion_ts; of a folder of files see sources.files.scan_text_corpus. Chunks with tier, topics, type and identity, upserted into existing; and the status of each document."""
+    placed = extract.dispatch_tiers(files.select("doc_id", "path", "ingest_date"), taxonomy, sidecars)
+    scored = files.select("doc_id", F.concat_ws(" ", "filename", F.replace("path", F.lit("/"), F.lit(" "))).alias("text"))
+    topics = extract.tag_topics(scored).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda t: t["topic"]), ",").alias("topics"))
+    once = chunk.assign_chunk_index(chunk.dedupe_page_chunks(pages_of(files, taxonomy), 1))
     typed = clean.classify_chunk_type(once.withColumn("toon_type", F.lit("text")).withColumn("image_id", F.lit(None).cast("long"))).drop("toon_type").withColumnRenamed("chunk_type", "toon_type")
-    named = chunk.chunk_ids(typed).join(placed, "doc_id", "left")
-    rows = named.select("chunk_uuid", "doc_id", "filename", "page_no", "chunk_index", "toon_type", "tier", "ontology", F.col("text").alias("content"), "ingestion_ts")
+    named = chunk.chunk_ids(typed).join(placed, "doc_id", "left").join(topics, "doc_id", "left")
+    rows = named.select("chunk_uuid", "doc_id", "filename", "page_no", "chunk_index", "toon_type", "section_hint", "tier", "ontology", F.coalesce("topics", F.lit("")).alias("topics"), F.col("text").alias("content"), "ingestion_ts")
     stored = rows if existing is None else maintain.upsert_chunks(existing, rows)
     status = report.ingestion_summary(files.select("doc_id", F.col("ingestion_ts").alias("started"), F.col("ingestion_ts").alias("ended")), rows)
     return stored, status
 
 
-def build_graph(raw: DataFrame, canon: DataFrame, seen: str = "pos") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """C-2. raw: doc_id, page_no, raw JSON of a model. Merged entities, merged edges, and the rows that could not be read."""
-    read = graph.parse_llm_json(raw)
-    nodes, edges = graph.sanitize_graph(*graph.normalize_graph(read.where("ok")))
-    order = F.struct("doc_id", "page_no", seen)
-    entities = graph.merge_entities(nodes.select("id", "category", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), "description", order.alias("seen")))
-    verbs = graph.canonicalize_relations(graph.collapse_relation_suffix(edges).drop("qualifier"), canon)
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    merged = graph.merge_edges(verbs.select("source", "relation", "target", F.col("doc_id").alias("seen")), ends)
-    return entities, merged, read.where(~F.col("ok")).select("doc_id", "page_no", "raw")
-
-
-def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | None = None, text_k: int = 60, phrase_k: int = 40, rerank_k: int = 35, final_k: int = 8, max_doc: int = 5, max_page: int = 2) -> DataFrame:
-    """C-3. queries: query_id, query, phrase. chunks: all versions. vector_hits: query_id, chunk_uuid, score of K-1.
+def build_graph(raw: DataFrame, canon: DataFrame, chunks: DataFrame, kept: DataFrame | None = None, formula_json: DataFrame | None = None) -> dict[str, DataFrame]:
+    """C-2. raw: doc_id, page_no, raw JSON of a model. chunks: doc_id, page_no, chunk_uuid, filename, content, ingestion_ts. kept: doc_id, page_no of the pages that passed the gate (J-3). formula_json: doc_id, page_no, raw.
 
-    Text, phrase and vector channels in one job for all queries; merged, fused, boosted by
-    tier, diversified, and joined to their texts last. Ids travel until then, not texts.
+    Returns entities, mentions (entity and chunk), edges, nodes and links of the structure, and
+    rejected, the rows that could not be read. What a page says counts for each of its chunks.
     """
-    current = search.latest_versions(chunks)
-    terms = queries.withColumn("terms", search.words(F.col("query")))
+    page = ["doc_id", "page_no"]
+    gated = raw if kept is None else raw.join(kept.select(*page).distinct(), page, "left_semi")
+    read = graph.parse_llm_json(gated)
+    nodes, edges = graph.sanitize_graph(*graph.normalize_graph(read.where("ok")))
+    own = nodes.where("formula != '' and category != 'FORMULA'")
+    named = F.concat(F.lit("Formula::"), "id")
+    no_props = F.create_map().cast("map<string,string>").alias("props")
+    made = own.select(*page, F.lit(1000).alias("pos"), named.alias("id"), F.lit("FORMULA").alias("category"), F.concat(F.lit("Formula of "), "id").alias("description"), "formula", F.array().cast("array<string>").alias("synonyms"), no_props)
+    nodes = nodes.unionByName(made.join(nodes.select(*page, "id"), [*page, "id"], "left_anti"))
+    linked = own.select(*page, F.lit(1000).alias("pos"), F.col("id").alias("source"), F.lit("HAS_FORMULA").alias("relation"), named.alias("target"), F.lit("").alias("evidence"), no_props)
+    key = [*page, "source", "relation", "target"]
+    edges = edges.unionByName(linked.join(edges.select(*key), key, "left_anti"))
+    if formula_json is not None:
+        f_nodes, f_edges = graph.formula_json_nodes(formula_json)
+        nodes = nodes.unionByName(f_nodes.withColumns({"pos": F.lit(2000), "synonyms": F.array().cast("array<string>"), "props": no_props}))
+        edges = edges.unionByName(f_edges.withColumns({"pos": F.lit(2000), "evidence": F.lit(""), "props": no_props}))
+    verbs = graph.collapse_relation_suffix(graph.canonicalize_relations(edges, canon).drop("qualifier"))
+    there = chunks.select(*page, "chunk_uuid", "filename")
+    each = graph.default_entity_props(nodes).join(there, page)
+    pairs = extract.extract_acronyms(chunks.select("chunk_uuid", F.col("content").alias("text")))
+    each = graph.enrich_synonyms(each, pairs).withColumn("seen", F.struct(*page, "chunk_uuid", "pos"))
+    entities = graph.merge_entities(each)
+    extra = F.map_filter(F.create_map(F.lit("evidence"), "evidence", F.lit("object"), "canon_object", F.lit("qualifier"), "qualifier", F.lit("raw_relation"), "raw_relation"), lambda k, v: F.coalesce(v, F.lit("")) != "")
+    props = F.map_concat(F.map_filter("props", lambda k, v: ~k.isin("evidence", "object", "qualifier", "raw_relation")), extra)
+    counted = verbs.withColumn("props", props).join(there.select(*page, "chunk_uuid"), page).withColumn("seen", F.struct(*page, "chunk_uuid", "pos"))
+    merged = graph.merge_edges(counted.select("source", "relation", "target", "props", "seen"), entities)
+    structure, links = graph.build_structure(chunks)
+    rejected = read.where(~F.col("ok")).select(*page, "raw")
+    return {"entities": entities, "mentions": graph.present_in(each), "edges": merged, "nodes": structure, "links": links, "rejected": rejected}
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | None = None, entities: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, rerank: DataFrame | None = None, aliases: dict[str, str] | None = None,
+             glossary: str = "gloss", text_k: int = 60, phrase_k: int = 40, scope_k: int = 80, entity_k: int = 30, relation_k: int = 40, formula_k: int = 6, digits: int = 9) -> dict[str, DataFrame]:
+    """C-3. All channels for all queries in one job.
+
+    queries: query_id, query, optionally active_doc. chunks: all versions (chunk_uuid, filename,
+    page_no, chunk_index, tier, toon_type, content, ingestion_ts). vector_hits: query_id,
+    chunk_uuid, score of K-1, as many as the widest limits ask for. entities: id, category,
+    description, formula, synonyms; mentions: id, chunk_uuid; edges: source, relation, target.
+    rerank: query_id, chunk_uuid, rerank_score.
+
+    Questions are understood first (X-18 to X-20, J-12). The channels are vectors, document
+    scope (K-6), exact phrases and glossary acronyms (K-4, K-5), text (K-3), and the graph's
+    entities and, for questions about formulas, formulas (J-9, J-10). They are merged (D-1),
+    the first ten of a query, by channel and score, are expanded by what shares their entities (J-8), another document
+    than the asked one is left out (P-15), and the rest is fused (W-6), boosted and ranked
+    (K-8), diversified by each query's own limits (W-5) and joined to texts (J-2).
+
+    Returns sources (the chosen chunks, then one row of the formulas of a query and one of its
+    relations), relations (X-23) and tiers (A-6). Current versions and questions are worked out
+    once and written to the shared folder; ids travel until the end, not texts.
+    """
+    spark = queries.sparkSession
+    asked = stored(query.understand_queries(queries, aliases), new_folder(spark, "questions"))
+    current = stored(search.latest_versions(chunks), new_folder(spark, "current"))
+    terms = asked.select("query_id", F.col("search_terms").alias("terms"), F.col("document").alias("active_doc"))
     index = search.inverted_index(current, asked=search.asked_terms(terms))
-    attrs = current.select("chunk_uuid", "filename", F.col("page_no").alias("page"), "tier")
-    hits = search.text_topk(terms, index, text_k).select("query_id", "chunk_uuid", F.lit("text").alias("channel"), "score")
-    hits = hits.unionByName(search.phrase_topk(queries.select("query_id", "phrase"), current, phrase_k).select("query_id", "chunk_uuid", F.lit("phrase").alias("channel"), "score"))
+    attrs = current.select("chunk_uuid", "filename", F.col("page_no").alias("page"), "tier", "toon_type")
+
+    def channel(df: DataFrame, name: str) -> DataFrame:
+        return df.select("query_id", "chunk_uuid", F.lit(name).alias("channel"), F.col("score").cast("double").alias("score"))
+
+    phrases = search.phrase_topk(asked.select("query_id", F.explode("exact_phrases").alias("phrase")), current, phrase_k)
+    acronyms = search.glossary_topk(asked.select("query_id", F.explode("acronyms").alias("alias")), current, glossary, 2)
+    scope = search.doc_scope_topk(terms, current, index, scope_k)
+    hits = channel(search.text_topk(terms, index, text_k, digits=digits), "text").unionByName(channel(phrases, "phrase")).unionByName(channel(acronyms, "phrase")).unionByName(channel(scope, "doc_scope"))
     if vector_hits is not None:
-        hits = hits.unionByName(vector_hits.select("query_id", "chunk_uuid", F.lit("vector").alias("channel"), "score"))
-    merged = fuse.merge_candidates(hits.join(attrs, "chunk_uuid"))
-    fused = fuse.rrf_fuse(merged, channels=("vector_score", "text_score", "phrase_score"))
-    plain = fused.withColumns({"name_hits": F.lit(0), "evidence": F.lit(False), "in_doc": F.lit(False), "on_page": F.lit(False), "intent_type": F.lit("text")})
-    ranked = fuse.rank_candidates(plain, rerank_k).select("query_id", "chunk_uuid", "filename", "page", "tier", "provenance", "score")
-    return fuse.enrich_candidates(fuse.diversify(ranked, max_page, max_doc, final_k), current)
+        near = vector_hits.join(asked.select("query_id", "vector_k"), "query_id")
+        hits = hits.unionByName(channel(search.top(near.withColumn("score", F.round("score", digits)), 140, [F.desc("score"), F.col("chunk_uuid")]).where("rank <= vector_k"), "vector"))
+    relations = formulas = None
+    if entities is not None:
+        tokens = asked.select("query_id", F.explode("graph_tokens").alias("token"))
+        named = entities.select(F.col("id").alias("entity_id"), F.col("id").alias("name"), "description", "category", "synonyms")
+        held = mentions.select(F.col("id").alias("entity_id"), "chunk_uuid")
+        rows = current.select("chunk_uuid", "page_no", "chunk_index", "filename", F.substring("content", 1, 1000).alias("text"))
+        found = graph.search_entities(named, held, rows, tokens, entity_k)
+        hits = hits.unionByName(channel(found.withColumn("score", F.col("n_entities")), "graph"))
+        formulas = entities.where("category = 'FORMULA'").select(F.col("id").alias("formula_id"), F.col("id").alias("name"), F.col("formula").alias("latex"), F.lit("").alias("plain"), F.col("description").alias("meaning"))
+        wanting = asked.where("is_formula_lookup").select("query_id")
+        placed = formulas.join(held.withColumnRenamed("entity_id", "formula_id"), "formula_id").join(rows.select("chunk_uuid", F.col("page_no").alias("page"), "chunk_index", "filename"), "chunk_uuid")
+        by_chunk = placed.withColumn("formula_id", F.concat_ws("\n", "formula_id", "chunk_uuid"))
+        seen = graph.search_formulas(by_chunk, held, tokens.join(wanting, "query_id", "left_semi"), formula_k)
+        hits = hits.unionByName(channel(seen.withColumn("score", F.lit(1.0)), "graph"))
+        if edges is not None:
+            relations = graph.search_relations(edges, named, tokens, relation_k)
+    merged = fuse.merge_candidates(stored(hits, new_folder(spark, "hits")).join(attrs, "chunk_uuid"))
+    if entities is not None:
+        scores = [F.col(f"{c}_score") for c in fuse.CHANNELS]
+        met = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(scores)])
+        first = merged.withColumn("_o", met).withColumn("_s", F.coalesce(*scores))
+        seeds = fuse.limit_per_group(first, ["query_id"], [F.col("_o"), F.desc("_s"), F.col("chunk_uuid")], 10).select("query_id", "chunk_uuid")
+        more = graph.graph_neighbors(mentions.select(F.col("id").alias("entity_id"), "chunk_uuid").join(entities.select(F.col("id").alias("entity_id"), "category"), "entity_id"), seeds)
+        added = search.fetch_chunks_by_id(current, more).select("chunk_uuid").join(more, "chunk_uuid").join(merged.select("query_id", "chunk_uuid"), ["query_id", "chunk_uuid"], "left_anti")
+        new = fuse.merge_candidates(channel(added.withColumn("score", F.lit(1.0)), "expansion").join(attrs, "chunk_uuid"))
+        merged = merged.unionByName(new)
+    scoped = clean.filter_requested_doc(merged, terms.select("query_id", "active_doc"))
+    graph_score = F.greatest("graph_score", "expansion_score")
+    fused = fuse.rrf_fuse(scoped.withColumn("graph_score", graph_score).withColumn("text_score", F.greatest("text_score", "phrase_score", "doc_scope_score")))
+    facts = asked.select("query_id", "terms", "is_evidence", "is_formula_lookup", "intent", "pages", "rerank_k", "final_k", "max_doc", "max_page")
+    kind = fused.join(facts, "query_id").withColumn("toon_type", F.lower(F.coalesce("toon_type", F.lit("text"))))
+    boosted = kind.withColumns(
+        {
+            "name_hits": F.size(F.filter("terms", lambda t: F.contains(F.lower("filename"), t))),
+            "evidence": F.col("is_evidence"),
+            "in_doc": F.col("doc_scope_score").isNotNull(),
+            "on_page": F.array_contains("pages", F.col("page")),
+            "intent_type": F.when(F.col("is_formula_lookup") & (F.col("toon_type") == "formula"), "formula").when((F.col("intent") == "chart") & F.col("toon_type").isin("image", "chart"), "chart").when((F.col("intent") == "table") & (F.col("toon_type") == "table"), "table").otherwise("text"),
+        }
+    )
+    ranked = fuse.rank_candidates(boosted, 45, rerank, own_keep="rerank_k").withColumn("score", F.round("score", digits))
+    chosen = fuse.diversify(ranked, F.col("max_page"), F.col("max_doc"), F.col("final_k")).select("query_id", "chunk_uuid", "filename", "page", "tier", "toon_type", "provenance", "score")
+    sources = fuse.enrich_candidates(stored(chosen, new_folder(spark, "chosen")), current, versions=False).select("query_id", "chunk_uuid", "filename", "page", "tier", "toon_type", "provenance", "score", "content")
+    tiers = fuse.tier_distribution(sources)
+    if formulas is not None:
+        some = graph.attach_formulas(sources.join(wanting, "query_id", "left_semi").select("query_id", "chunk_uuid"), mentions.select(F.col("id").alias("entity_id"), "chunk_uuid"), formulas)
+        sources = sources.unionByName(some.select("query_id", F.lit("graph").alias("chunk_uuid"), F.lit("KG").alias("filename"), F.lit(0).alias("page"), "tier", F.lit("formula").alias("toon_type"), F.lit("formulas").alias("provenance"), F.lit(0.0).alias("score"), "content"))
+    if relations is not None:
+        readable = graph.relation_rows(relations.withColumns({"filename": F.lit("KG"), "page": F.lit(0)}).withColumnRenamed("relation", "_r").withColumnRenamed("_r", "relation"), ["query_id"])
+        line = F.concat_ws(" | ", "source", "relation", "target")
+        listed = readable.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))  # at most relation_k lines
+        sources = sources.unionByName(listed.select("query_id", F.lit("relations").alias("chunk_uuid"), F.lit("KG").alias("filename"), F.lit(0).alias("page"), F.lit("GRAPH").alias("tier"), F.lit("graph").alias("toon_type"), F.lit("relations").alias("provenance"), F.lit(0.0).alias("score"), "content"))
+    return {"sources": sources, "relations": relations, "tiers": tiers}
 
 
 def formula_report(sources: DataFrame, n: int = 10) -> DataFrame:

@@ -125,10 +125,13 @@ def d9(spark, sf):
     return fuse.force_tier_a(s, q, src.select("query_id", F.col("pos").alias("rank"), F.concat(F.lit("norm "), "content").alias("content")))
 
 
-@register("a6_tier_distribution", f"""with {fx.CANDIDATES_SQL} select query_id, count(*) filter (tier = 'A') as n_a, count(*) filter (tier = 'B') as n_b, count(*) filter (tier = 'C') as n_c, count(*) as n,
- min(vector_score) as min_score, max(vector_score) as max_score, floor(avg(vector_score) * 100 + 0.001) / 100 as avg_score from cand group by query_id""")
+@register("a6_tier_distribution", f"""with {fx.CANDIDATES_SQL}, t as (select *, case when page = 3 then 'GRAPH' else tier end as t from cand), c as (select l_orderkey as query_id, {", ".join(f"count(*) filter (l_linenumber % 6 = {i}) as {c}_hits" for i, c in enumerate(fuse.CHANNELS))} from lineitem group by 1)
+ select query_id, count(*) filter (t = 'A') as n_a, count(*) filter (t = 'B') as n_b, count(*) filter (t = 'C') as n_c, count(*) filter (t = 'GRAPH') as n_graph, count(*) filter (t = 'USER') as n_user, count(*) as n,
+ min(vector_score) as min_score, max(vector_score) as max_score, floor(avg(vector_score) * 100 + 0.001) / 100 as avg_score, {", ".join(f"any_value({c}_hits) as {c}_hits" for c in fuse.CHANNELS)} from t join c using (query_id) group by query_id""")
 def a6(spark, sf):
-    return fuse.tier_distribution(fx.candidates(spark, sf).withColumn("score", F.col("vector_score"))).withColumn("avg_score", F.floor(F.col("avg_score") * 100 + 0.001) / 100)
+    c = fx.candidates(spark, sf).withColumn("score", F.col("vector_score")).withColumn("tier", F.when(F.col("page") == 3, "GRAPH").otherwise(F.col("tier")))
+    h = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.element_at(F.array(*map(F.lit, fuse.CHANNELS)), (F.col("l_linenumber") % 6).cast("int") + 1).alias("channel"))
+    return fuse.tier_distribution(c, h).withColumn("avg_score", F.floor(F.col("avg_score") * 100 + 0.001) / 100)
 
 
 @register("w8_tail_turns", """with s as (select * from conversations where role in ('user', 'assistant') and trim(coalesce(text, '')) != ''), l as (select * from (select *, lead(role) over (partition by conv_id order by turn) as nx from s) where nx is null or nx != role),

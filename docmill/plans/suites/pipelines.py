@@ -6,49 +6,144 @@ from docmill.operators import extract, search
 from docmill.plans import fixtures as fx
 from docmill.plans import pipelines
 from docmill.plans.registry import register
+from docmill.plans.suites import query as qs
 from docmill.plans.suites.extract import FORMULA_SQL, filed, formula_sources
 from docmill.plans.suites.graph import CANON, CONCEPTS, EDGES, raw_json
-from docmill.plans.suites.search import COSINE, INDEX, PHRASE, WORDS, one_version
+from docmill.plans.suites.search import COSINE, INDEX, STOPS, WORDS, one_version
 
 
 @register("c1_ingest_corpus")
 def c1(spark, sf):
-    d = fx.table(spark, sf, "documents")
-    f = d.select("doc_id", F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), "text", F.lit("2024-05-01").cast("timestamp").alias("ingestion_ts")).join(filed(spark, sf), "doc_id")
+    d = fx.documents(spark, sf)
+    kind = F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".txt")
+    f = d.select("doc_id", F.concat_ws("", "source", F.lit("_"), F.col("doc_id").cast("string"), kind).alias("filename"), "text", F.lit("2024-05-01").cast("timestamp").alias("ingestion_ts")).join(filed(spark, sf), "doc_id")
     return pipelines.ingest_corpus(f, extract.taxonomy(spark))[0]
 
 
-@register("c2_build_graph", f"""with {EDGES}, c as (select source, case relation when 'REL_A_F' then 'SUPPLI' when 'REL_N_O' then 'VISIT' when 'REL_R_F' then 'ESTABLISH' else relation end as relation, target, doc_id from ed where pos < 100)
- select source, relation, target, count(*) as count, max(doc_id) as last_seen from c group by all""")
+GRAPH_CHUNKS = """k as (select l_orderkey as doc_id, cast(l_orderkey % 5 as int) as page_no, any_value(l_orderkey) || '_' || i as chunk_uuid, 'f' || (l_orderkey % 9) as filename, 'Supplier number (S' || min(l_suppkey) || ')' as content from lineitem, range(2) as r(i) where i <= l_orderkey % 2 group by l_orderkey, i)"""
+
+
+def graph_chunks(spark, sf):
+    """A chunk for each order, two for every second one; each names a supplier of the order by its acronym."""
+    li = fx.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_suppkey").alias("s"))
+    i = F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 2).cast("int"))).alias("i")
+    return li.select("doc_id", "s", i).select(
+        "doc_id", (F.col("doc_id") % 5).cast("int").alias("page_no"), F.concat_ws("_", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("chunk_uuid"), F.concat(F.lit("f"), (F.col("doc_id") % 9).cast("string")).alias("filename"),
+        F.concat(F.lit("Supplier number (S"), F.col("s").cast("string"), F.lit(")")).alias("content"), F.lit("2024-01-01").cast("timestamp").alias("ingestion_ts"),
+    )
+
+
+def built(spark, sf):
+    canon = spark.createDataFrame(CANON, "raw_relation string, verb string, object string, qualifier string")
+    kept = fx.table(spark, sf, "orders").where("o_orderkey % 10 != 9").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 5).cast("int").alias("page_no"))
+    return pipelines.build_graph(raw_json(spark, sf), canon, graph_chunks(spark, sf), kept)
+
+
+GATED = f"""{EDGES}, ge as (select * from ed where doc_id % 10 != 9), {GRAPH_CHUNKS}, nd as (select doc_id, page_no, source as id, min(pos) as pos from ge group by all), nc as (select nd.*, chunk_uuid, filename, content from nd join k using (doc_id, page_no)),
+ fc as (select doc_id, page_no, 'Formula::' || id as id, 1000 as pos, chunk_uuid, filename, content from nc where doc_id % 3 = 0), an as (select *, false as made from nc union all select *, true from fc)"""
+
+
+@register("c2_build_graph", f"""with {GATED}, c as (select doc_id, page_no, source, case relation when 'REL_A_F' then 'SUPPLI' when 'REL_N_O' then 'VISIT' when 'REL_R_F' then 'ESTABLISH' else relation end as relation, target from ge where pos < 100
+  union all select doc_id, page_no, id, 'HAS_FORMULA', 'Formula::' || id from nd where doc_id % 3 = 0), e as (select distinct id from an),
+ l as (select c.*, chunk_uuid from c join k using (doc_id, page_no)) select source, relation, target, count(*) as count from l where source in (select id from e) and target in (select id from e) group by all""")
 def c2(spark, sf):
-    return pipelines.build_graph(raw_json(spark, sf), spark.createDataFrame(CANON, "raw_relation string, verb string, object string, qualifier string"))[1]
+    return built(spark, sf)["edges"].select("source", "relation", "target", "count")
 
 
-@register("c3_retrieve", f"""with {fx.CHUNKS_SQL.replace("chunks as (", "allv as (")}, c1x as (select chunk_uuid, doc_id, filename, chunk_index, page_no, content, tier, ingestion_ts from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc, content) as n from allv) where n = 1),
- {INDEX.replace("from c1)", "from c1x)")}, q as (select item_id as query_id, array_to_string(string_split(text, ' ')[1:6], ' ') as query, lower({PHRASE}) as phrase from benchmark),
- terms as (select distinct query_id, unnest({WORDS.format(c='query')}) as term from q), ts as (select query_id, chunk_uuid, sum(tf) * 0.1::double as score from idx join terms using (term) group by all),
- tx as (select query_id, chunk_uuid, 'text' as channel, score from (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as r from ts) where r <= 60),
- ph as (select query_id, chunk_uuid, 'phrase' as channel, 2.0::double as score from (select *, row_number() over (partition by query_id order by ingestion_ts desc, chunk_uuid) as r from
-  (select distinct query_id, chunk_uuid, ingestion_ts from c1x join q on contains(lower(content), phrase) and list_contains({WORDS.format(c='content')}, (list_sort(list_filter({WORDS.format(c='phrase')}, lambda x: length(x) = list_max(list_transform({WORDS.format(c='phrase')}, lambda y: length(y))))))[1]))) where r <= 40),
- vs as (select q.vec_id // 50 as query_id, v.vec_id || '_0' as chunk_uuid, round({COSINE}, 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0),
- vx as (select query_id, chunk_uuid, 'vector' as channel, score from (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as r from vs) where r <= 100),
- h as (select a.query_id, a.chunk_uuid, max(score) filter (channel = 'vector') as v, max(score) filter (channel = 'text') as t, max(score) filter (channel = 'phrase') as p,
-  array_to_string(list_filter(['vector', 'phrase', 'text'], lambda x: list_contains(list(channel), x)), ' + ') as provenance from (select * from tx union all select * from ph union all select * from vx) a join c1x using (chunk_uuid) where true group by a.query_id, a.chunk_uuid),
- r as (select *, row_number() over (partition by query_id order by case when v > 0 then v end desc nulls last, chunk_uuid) as rv, row_number() over (partition by query_id order by case when t > 0 then t end desc nulls last, chunk_uuid) as rt,
-  row_number() over (partition by query_id order by case when p > 0 then p end desc nulls last, chunk_uuid) as rp from h),
- f as (select r.query_id, r.chunk_uuid, c.filename, c.page_no as page, c.tier, c.content, provenance, 0.0::double + case when v > 0 then 1.0::double / (60 + rv) else 0.0::double end + case when t > 0 then 1.0::double / (60 + rt) else 0.0::double end + case when p > 0 then 1.0::double / (60 + rp) else 0.0::double end
-  + 0.0::double + case c.tier when 'A' then 0.08::double when 'B' then 0.04::double else -0.015::double end as score from r join c1x c using (chunk_uuid)),
- g as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as n from f) where n <= 35), g1 as (select *, row_number() over (partition by query_id, filename, page order by score desc, chunk_uuid) as a from g),
- g2 as (select *, row_number() over (partition by query_id, filename order by score desc, chunk_uuid) as b from g1 where a <= 2), g3 as (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as c from g2 where b <= 5)
- select query_id, chunk_uuid, filename, page, tier, provenance, round(score, 6) as score, content from g3 where c <= 8""")
-def c3(spark, sf):
+@register("c2_entities", f"""with {GATED}, s as (select *, {{'d': doc_id, 'p': page_no, 'c': chunk_uuid, 'o': pos}} as seen, case when made then 'FORMULA' when doc_id % 3 = 2 then 'UNCLASSIFIED' else 'SUPPLIER' end as category,
+  case when made then '' when doc_id % 3 = 0 then 's1,s2' when doc_id % 3 = 1 then 'one' else '' end as own, case when not made and content = 'Supplier number (' || id || ')' then 'Supplier number' else '' end as other, case when doc_id % 3 = 0 then 'f' || page_no else '' end as formula from an),
+ f as (select id, filename, min(seen) as first from s group by all), o as (select id, string_agg(filename, ',' order by first, filename) as sources from f group by id)
+ select s.id, coalesce(arg_max(category, seen) filter (category != 'UNCLASSIFIED'), 'UNCLASSIFIED') as category, any_value(sources) as sources, arg_max(formula, seen) as formula, arg_max(own || case when own != '' and other != '' then ',' else '' end || other, seen) as synonyms from s join o using (id) group by s.id""")
+def c2e(spark, sf):
+    e = built(spark, sf)["entities"]
+    return e.select("id", "category", F.array_join("sources", ",").alias("sources"), "formula", F.array_join("synonyms", ",").alias("synonyms"))
+
+
+@register("c2_mentions", f"with {GATED} select distinct id, chunk_uuid from an")
+def c2m(spark, sf):
+    return built(spark, sf)["mentions"]
+
+
+#: What is asked in front of the first six words of an item.
+ASKS = ["", "which formulas are in the sources about ", "tabella di ", 'nel documento \"src3_1\" con evidenze di ', "page 1-2 of ", "mapping e crosswalk di normative, "]
+W6 = "array_to_string(string_split(text, ' ')[1:6], ' ')"
+TERM = "lower(string_split(text, ' ')[2])"
+
+
+def c3_inputs(spark, sf):
     b = fx.table(spark, sf, "benchmark")
-    q = b.select(F.col("item_id").alias("query_id"), F.expr("array_join(slice(split(text, ' '), 1, 6), ' ')").alias("query"), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')").alias("phrase"))
+    first = F.expr("array_join(slice(split(text, ' '), 1, 6), ' ')")
+    asks = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("item_id") % len(ASKS)).cast("int") + 1)
+    q = b.select(F.col("item_id").alias("query_id"), F.concat(asks, first, F.lit(' "'), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')"), F.lit('"')).alias("query"))
+    term = F.lower(F.split("text", " ")[1])
+    entities = b.where(term.rlike(r"^[\p{L}\p{N}]+$")).groupBy(term.alias("id")).agg(F.min("item_id").alias("n")).select("id", F.when(F.col("n") % 3 == 0, "FORMULA").otherwise("TERM").alias("category"), F.lit("").alias("description"), F.concat(F.lit("x = "), F.col("n").cast("string")).alias("formula"), F.array().cast("array<string>").alias("synonyms"))
+    c = fx.chunks(spark, sf).withColumn("toon_type", F.when(F.col("chunk_index") % 7 == 0, "table").otherwise("text"))
+    held = one_version(spark, sf).select("chunk_uuid", F.explode(F.array_distinct(search.words(F.col("content")))).alias("id"))
+    mentions = held.join(entities.select("id"), "id", "left_semi")
+    edges = entities.alias("a").join(entities.alias("b"), F.length("a.id") == F.length("b.id") - 1).select(F.col("a.id").alias("source"), F.lit("REL_TO").alias("relation"), F.col("b.id").alias("target"))
     e = fx.table(spark, sf, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), "embedding")
-    near = search.vector_topk(asked, e.select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_uuid"), "embedding"), 100, digits=6)
-    out = pipelines.retrieve(q, fx.chunks(spark, sf), near)
-    return out.withColumn("score", F.round("score", 6))
+    near = search.vector_topk(asked, e.select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_uuid"), "embedding"), 140, digits=6)
+    return q, c, near, entities, mentions, edges
+
+
+def c3_all(spark, sf):
+    q, c, near, entities, mentions, edges = c3_inputs(spark, sf)
+    return pipelines.retrieve(q, c, near, entities, mentions, edges, glossary="src3")
+
+
+TOP = "row_number() over (partition by query_id order by {order})"
+C3 = f"""{fx.CHUNKS_SQL.replace("chunks as (", "allv as (")}, cur as (select chunk_uuid, doc_id, filename, chunk_index, page_no, content, tier, ingestion_ts, case when chunk_index % 7 = 0 then 'table' else 'text' end as toon_type from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc) as n from allv) where n = 1),
+ asked as (select item_id as query_id, (array[{", ".join(qs.quoted(a) for a in ASKS)}])[cast(item_id % {len(ASKS)} as int) + 1] || {W6} || ' "' || array_to_string(string_split(text, ' ')[2:4], ' ') || '"' as query from benchmark),
+ ro as ({qs.routes_sql('asked', 'query_id, query, q')}), fac as (select *, {qs.DOCUMENT} as document, {qs.PHRASES} as phrases, {WORDS.format(c='query')} as st, list_concat({qs.GRAPH_TOKENS}, {qs.ROLES}) as gt, case when query_id % {len(ASKS)} = 4 then [1, 2] else [] end as pages from ro),
+ {INDEX.replace("from c1)", "from cur)")}, terms as (select distinct query_id, unnest(st) as term from fac),
+ tx as (select query_id, chunk_uuid, round(sum(tf) * 0.1::double, 9) as score from idx join terms using (term) group by all), txk as (select * from (select *, {TOP.format(order="score desc, chunk_uuid")} as r from tx) where r <= 60),
+ pht as (select distinct query_id, p from (select query_id, unnest(phrases) as p from fac)), ph as (select query_id, chunk_uuid, 2.0::double as score from (select *, {TOP.format(order="ingestion_ts desc, chunk_uuid")} as r from
+  (select distinct query_id, chunk_uuid, ingestion_ts from cur join pht on contains(lower(content), p) and list_contains({WORDS.format(c='content')}, (list_sort(list_filter({WORDS.format(c='p')}, lambda x: length(x) = list_max(list_transform({WORDS.format(c='p')}, lambda y: length(y))))))[1]))) where r <= 40),
+ want as (select query_id, regexp_replace(regexp_replace(lower(document), '\\.(pdf|md)$', ''), '[^a-z0-9]+', '', 'g') as want from fac), nam as (select distinct filename, regexp_replace(regexp_replace(lower(filename), '\\.(pdf|md)$', ''), '[^a-z0-9]+', '', 'g') as name from cur),
+ sf as (select query_id, filename from want join nam on want != '' and (contains(name, want) or contains(want, name))), sr as (select query_id, c.chunk_uuid, c.ingestion_ts from sf join cur c using (filename)),
+ sh as (select sr.query_id, sr.chunk_uuid, sum(tf) * 0.1::double as score from sr join idx using (chunk_uuid) join terms t on t.query_id = sr.query_id and t.term = idx.term group by all),
+ sc as (select * from (select sr.query_id, sr.chunk_uuid, coalesce(sh.score, 0.001) as score, row_number() over (partition by sr.query_id order by coalesce(sh.score, 0.001) desc, ingestion_ts desc, sr.chunk_uuid) as r from sr left join sh on sh.query_id = sr.query_id and sh.chunk_uuid = sr.chunk_uuid) where r <= 80),
+ vs as (select q.vec_id // 50 as query_id, v.vec_id || '_0' as chunk_uuid, round({COSINE}, 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0),
+ vx as (select v.query_id, v.chunk_uuid, v.score from (select *, {TOP.format(order="score desc, chunk_uuid")} as r from vs) v join fac using (query_id) where r <= vector_k),
+ ent as (select {TERM} as id, min(item_id) as n from benchmark where regexp_matches({TERM}, '^[\\p{{L}}\\p{{N}}]+$') group by 1), cw as (select chunk_uuid, unnest(list_distinct(w)) as id from (select chunk_uuid, {WORDS.format(c='content')} as w from c1)), men as (select chunk_uuid, id from cw join ent using (id)),
+ tok as (select distinct query_id, unnest(gt) as t from fac), eh as (select distinct query_id, id from tok join (select id, id as t from ent union all select id, lower(case when n % 3 = 0 then 'FORMULA' else 'TERM' end) from ent) using (t)),
+ chw as (select chunk_uuid, unnest(list_distinct(list_concat({WORDS.format(c='left(content, 1000)')}, {WORDS.format(c='filename')}))) as t from cur), ch as (select distinct query_id, chunk_uuid from tok join chw using (t)),
+ gf as (select query_id, chunk_uuid, id from eh join men using (id) union select query_id, chunk_uuid, id from ch join men using (chunk_uuid)), gn as (select query_id, chunk_uuid, count(distinct id) as n from gf group by all),
+ gk as (select query_id, chunk_uuid, n::double as score from (select gn.*, row_number() over (partition by query_id order by n desc, page_no, chunk_index, chunk_uuid) as r from gn join cur using (chunk_uuid)) where r <= 30),
+ fh as (select distinct f.query_id, e.id, m.chunk_uuid, c.page_no, c.chunk_index from tok f join fac on fac.query_id = f.query_id and is_formula_lookup join ent e on n % 3 = 0 join men m on m.id = e.id join cur c on c.chunk_uuid = m.chunk_uuid
+   where list_contains(list_concat(list_concat([e.id, 'x', cast(e.n as varchar)], {WORDS.format(c="e.id || chr(10) || m.chunk_uuid")}), {WORDS.format(c='c.filename')}), f.t)),
+ fk as (select query_id, chunk_uuid, 1.0::double as score from (select *, row_number() over (partition by query_id order by page_no, chunk_index, id || chr(10) || chunk_uuid) as r from fh) where r <= 6),
+ hits as (select query_id, chunk_uuid, 0 as o, score from vx union all select query_id, chunk_uuid, 1, score from sc union all select query_id, chunk_uuid, 2, score from ph union all select query_id, chunk_uuid, 3, score from txk union all select query_id, chunk_uuid, 4, score from gk union all select query_id, chunk_uuid, 4, score from fk),
+ mer as (select query_id, chunk_uuid, max(score) filter (o = 0) as v, max(score) filter (o = 1) as d, max(score) filter (o = 2) as p, max(score) filter (o = 3) as t, max(score) filter (o = 4) as g, null::double as x, list_sort(list_distinct(list(o))) as os from hits join cur using (chunk_uuid) group by all),
+ seed as (select query_id, chunk_uuid from (select *, {TOP.format(order="os[1], coalesce(v, d, p, t, g) desc, chunk_uuid")} as r from mer) where r <= 10),
+ sw as (select distinct query_id, id from seed join men using (chunk_uuid)), shd as (select query_id, chunk_uuid, count(*) as shared from sw join men using (id) group by all), nb as (select query_id, chunk_uuid from (select *, {TOP.format(order="shared desc, chunk_uuid")} as r from shd where shared >= 2 and not exists (select 1 from seed where seed.query_id = shd.query_id and seed.chunk_uuid = shd.chunk_uuid)) where r <= 4),
+ al as (select * from mer union all select query_id, chunk_uuid, null, null, null, null, null, 1.0, [5] from nb join cur using (chunk_uuid) where trim(content) != '' and not exists (select 1 from mer where mer.query_id = nb.query_id and mer.chunk_uuid = nb.chunk_uuid)),
+ sco as (select al.*, c.filename, c.page_no as page, c.tier, c.toon_type, c.content from al join cur c using (chunk_uuid) join want using (query_id) join nam n on n.filename = c.filename where want = '' or contains(name, want) or contains(want, name)),
+ tt as (select *, greatest(coalesce(t, p, d), coalesce(p, t, d), coalesce(d, t, p)) as tx, greatest(coalesce(g, x), coalesce(x, g)) as gx from sco),
+ rr as (select *, {TOP.format(order="case when v > 0 then v end desc nulls last, chunk_uuid")} as rv, {TOP.format(order="case when tx > 0 then tx end desc nulls last, chunk_uuid")} as rt, {TOP.format(order="case when gx > 0 then gx end desc nulls last, chunk_uuid")} as rg from tt),
+ pre as (select rr.*, f.rerank_k, f.final_k, f.max_doc, f.max_page, round(0.0::double + case when v > 0 then 1.0::double / (60 + rv) else 0 end + case when tx > 0 then 1.0::double / (60 + rt) else 0 end + case when gx > 0 then 1.0::double / (60 + rg) else 0 end
+  + 0.02::double * least(3, len(list_filter({"list_filter(" + qs.GRAPH_TOKENS.split(chr(10))[0].replace("list_filter(list_distinct", "list_distinct", 1).rstrip(",") + ", lambda t: t not in (" + STOPS + "))"}, lambda t: contains(lower(filename), t)))) + case tier when 'A' then 0.08::double when 'B' then 0.04::double else case when is_evidence then 0.0::double else -0.015::double end end
+  + case when d is not null then 0.2::double else 0.0::double end + case when list_contains(f.pages, page) then 0.3::double else 0.0::double end + case when f.intent = 'table' and toon_type = 'table' then 0.2::double else 0.0::double end, 9) as score from rr join fac f using (query_id)),
+ g0 as (select * from (select *, {TOP.format(order="score desc, chunk_uuid")} as n from pre) where n <= rerank_k), g1 as (select *, row_number() over (partition by query_id, filename, page order by score desc, chunk_uuid) as a from g0),
+ g2 as (select *, row_number() over (partition by query_id, filename order by score desc, chunk_uuid) as b from g1 where a <= max_page), g3 as (select *, {TOP.format(order="score desc, chunk_uuid")} as c from g2 where b <= max_doc),
+ ch3 as (select * from g3 where c <= final_k)"""
+PROVENANCE = "array_to_string(list_transform(os, lambda i: (['vector', 'doc_scope', 'phrase', 'text', 'graph', 'expansion'])[i + 1]), ' + ')"
+
+
+@register("c3_retrieve", f"with {C3} select query_id, chunk_uuid, filename, page, tier, {PROVENANCE} as provenance, round(score, 6) as score, content from ch3")
+def c3(spark, sf):
+    out = c3_all(spark, sf)["sources"].where("filename != 'KG'")
+    return out.select("query_id", "chunk_uuid", "filename", "page", "tier", "provenance", F.round("score", 6).alias("score"), "content")
+
+
+@register("c3_graph_sources", f"""with {C3}, fo as (select query_id, chunk_uuid, id, ent.n, row_number() over (partition by query_id, chunk_uuid order by id) as r from ch3 join fac using (query_id) join men using (chunk_uuid) join ent using (id) where ent.n % 3 = 0 and is_formula_lookup),
+ fl as (select query_id, string_agg(line, chr(10) order by line) as content from (select distinct query_id, 'LaTeX: x = ' || n || ' | Plain:  | Meaning: ' as line from fo where r <= 6) group by 1),
+ eg as (select a.id as source, b.id as target from ent a join ent b on length(a.id) = length(b.id) - 1), rh as (select query_id, source, target, count(distinct t) as hits from (select query_id, source, target, t from eg join (select query_id, id, t from tok join (select id, id as t from ent union all select id, lower(case when n % 3 = 0 then 'FORMULA' else 'TERM' end) from ent) using (t)) e on e.id = source or e.id = target) group by all),
+ rl as (select query_id, string_agg(source || ' | rel to | ' || target, chr(10) order by source || ' | rel to | ' || target) as content from (select *, {TOP.format(order="hits desc, source, target")} as r from rh) where r <= 40 group by 1)
+ select query_id, 'formula' as toon_type, content from fl union all select query_id, 'graph', content from rl""")
+def c3g(spark, sf):
+    return c3_all(spark, sf)["sources"].where("filename = 'KG'").select("query_id", "toon_type", "content")
 
 
 @register("c4_formula_report", f"""with {FORMULA_SQL}, g as (select *, id % 3 = 0 as from_graph, case when class = 'threshold' then substring(formula, 1, 260) else lower(name) || '|' || class || '|' || filename || '|' || page end as k from fc),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import chunk, clean, extract, fuse, graph, maintain, report, search
+from docmill.operators import chunk, clean, extract, fuse, graph, maintain, query, report, search
 from docmill.sources import files
 
 
@@ -349,3 +349,25 @@ def test_aliases_of_model_output(spark):
     assert set(got) == {"E1", "only"} and got["E1"].category == "NORM" and got["E1"].description == 'the "type": x'
     assert got["only"].category == "UNCLASSIFIED" and got["only"].synonyms == ["s"] and got["only"].props == {"a": "1", "d": "[1,2]"}
     assert sorted((r.source, r.relation, r.target, r.evidence) for r in edges.collect()) == [("E1", "APPLIES_TO", "only", "p. 3"), ("E1", "RELATED_TO", "only", "")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("relazioni tra MFA, controllo accessi e backup.", ["MFA", "controllo accessi", "backup"]),
+        ("relationship between the \"Incident plan\" and NIS2-X using the graph", ["Incident plan", "NIS2-X"]),
+        ("from server to database through firewall and proxy.", ["server", "database", "firewall", "proxy"]),
+        ("backup strategy overview", ["backup", "strategy", "overview"]),
+        ("what about risk", []),
+        ("tra a, b, c, d, e1, f, g, h, i e l.", ["a", "b", "c", "d", "e1", "f", "g", "h"]),
+    ],
+)
+def test_graph_concepts(spark, text, want):
+    got = one(spark, query=text).select(query.graph_concepts(F.col("query")).alias("c")).first().c
+    assert got == want
+
+
+def test_concepts_under_one_name(spark):
+    got = one(spark, query="between MFA and strong login and \"mfa\"").select(query.graph_concepts(F.col("query"), {"strong login": "mfa"}).alias("c")).first().c
+    assert got == ["mfa"]
+    assert "utenze privilegiate" in one(spark, c="privileged accounts").select(query.concept_variants(F.col("c")).alias("v")).first().v

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,14 +33,37 @@ class Piece(NamedTuple):
     ids: np.ndarray
 
 
-def pre_token_ends(text: str) -> np.ndarray:
+def pre_tokens(text: str) -> list[str]:
+    """The matches of the public pattern; every code point is in one."""
     import public_tokenizers
     import regex
 
     if "pattern" not in (held := worker_cache()):
         held["pattern"] = regex.compile(public_tokenizers.PATTERN)
-    found = held["pattern"].findall(text)  # every code point is in some match
-    return np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    return held["pattern"].findall(text)
+
+
+class Ids(dict):
+    """The ids of pre-tokens, each encoded when it is first met; emptied when it holds `most`."""
+
+    def __init__(self, encoding, most: int = 300_000):
+        super().__init__()
+        self.encoding, self.most = encoding, most
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.encoding._encode_single_piece(piece))
+        if len(piece) <= 32:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def encode_pieces(encoding, pieces: list[str]) -> np.ndarray:
+    key = ("ids", encoding.name)
+    if key not in (held := worker_cache()):
+        held[key] = Ids(encoding)
+    return np.fromiter(chain.from_iterable(map(held[key].__getitem__, pieces)), np.uint32)
 
 
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int, int, bool, str]]:
@@ -57,7 +81,8 @@ def encode_chunk(encoding, base: int, start: int, stop: int, last: bool, text: s
     has usually met the true one by the chunk's start; stitch() sees whether it has.
     """
     none = np.empty(0, np.uint32)
-    ends = np.concatenate([[0], pre_token_ends(text)]) + base
+    found = pre_tokens(text)
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]) + base
     seen_all = base + len(text) == stop and last
     # A slice that ends in white space would be split otherwise there than in the whole text.
     seam = np.array([i == 0 or not text[i - 1].isspace() for i in (ends - base).tolist()], bool)
@@ -70,7 +95,8 @@ def encode_chunk(encoding, base: int, start: int, stop: int, last: bool, text: s
     if at[1] == len(trusted):
         return Piece(begin, -1, none)
     end = int(trusted[at[1]])
-    return Piece(begin, end, encode_text(encoding, text[begin - base : end - base]))
+    first, last = np.searchsorted(ends, [begin, end])
+    return Piece(begin, end, encode_pieces(encoding, found[first:last]))
 
 
 def stitch(encoding, pieces: list[Piece], text) -> np.ndarray:

@@ -101,3 +101,10 @@ THRESHOLD_WORDS = ["oltre", "superiore", "almeno", "non inferiore", "maggiore di
 THRESHOLD_UNITS = "%|per cento|percent|milione|milioni|million|millions"
 #: K-7's terms: comparatives, limits and words of rules, Italian and English.
 THRESHOLD_SCAN_TERMS = ["oltre", "superiore", "almeno", "inferiore", "maggiore", "minore", "massimo", "minimo", "limite", "soglia", "eccede", "eccedente", "supera", "superamento", "fino a", "tetto", "cap", "tolleranza", "margine", "range", "intervallo", "compreso tra", "al di sopra", "al di sotto", "non più di", "non meno di", "pari o superiore", "pari o inferiore", "franchigia", "massimale", "greater than", "over", "less than", "at least", "threshold", "limit", "maximum", "minimum", "exceeds", "exceeding", "surpasses", "up to", "ceiling", "tolerance", "margin", "interval", "between", "above", "below", "under", "no more than", "no less than", "equal to", "condizione", "regola", "legge", "requisito", "obbligo", "criterio", "parametro", "vincolo", "direttiva", "normativa", "regolamento", "standard", "policy", "procedura", "prescrizione", "disposizione", "norma", "articolo", "comma", "decreto", "provvedimento", "linea guida", "conformità", "adempimento", "metrica", "indicatore", "kpi", "sla", "misura", "clausola", "certificazione", "target", "condition", "rule", "law", "requirement", "obligation", "criterion", "parameter", "constraint", "directive", "regulation", "procedure", "prescription", "provision", "act", "measure", "guideline", "compliance", "fulfillment", "benchmark", "metric", "indicator", "clause", "certification"]
+
+# Words that make a line a metric's, and metrics that are reported as missing when a question names them.
+METRIC_WORDS = [
+    "formula", "formulas", "formulae", "equation", "equations", "formule", "equazione", "equazioni", "metric", "metrics", "metrica", "metriche", "indicator", "indicators", "indicatore", "indicatori",
+    "score", "scoring", "punteggio", "calculation", "calculation model", "calcolo", "modello di calcolo", "mean time", "tempo medio", "index", "indice", "ratio", "coverage", "copertura", "maturity", "maturità", "severity", "severità",
+]
+REQUESTED_METRICS = ["cvss", "rischio", "risk", "maturità", "maturity", "copertura", "coverage", "severity", "severità"]

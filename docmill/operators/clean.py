@@ -22,6 +22,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0b]+", " "))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def any_of(c: Column, marks: list[str]) -> Column:
     out = F.lit(False)
     for m in marks:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions import cues as C
 from docmill.functions import lexicons as L
-from docmill.operators.clean import squeeze, strip
+from docmill.operators.clean import doc_name, squeeze, strip, whole_words
 
 
 def dispatch_tiers(files: DataFrame, taxonomy: DataFrame, sidecars: DataFrame | None = None, default: tuple = ("B", "reference", "internal")) -> DataFrame:
@@ -108,12 +109,45 @@ def extract_acronyms(chunks: DataFrame, key: str = "chunk_uuid") -> DataFrame:
     return named.where((F.char_length("canonical") >= 4) & (F.char_length("acronym") >= 2)).distinct()
 
 
+def display(c: Column, most: int = 600) -> Column:
+    """A formula or rule as readable text: one line without math marks, text macros and braces, of at most `most` characters and three dots."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\[tnr]", " "), "[\t\n\r]", " ")
+    t = F.trim(F.regexp_replace(F.replace(t, F.lit("$$$"), F.lit("$$")), "^`+|`+$", ""))
+    t = F.trim(F.regexp_replace(t, r"^\$+|\$+$", ""))
+    t = F.regexp_replace(t, r"(^|[^A-Za-z\\])ext\{([^}]*)\}", "$1$2")
+    t = F.regexp_replace(F.regexp_replace(t, r"\\text\{([^}]*)\}", "$1"), r"(^|[^\p{L}\p{N}_])text\{([^}]*)\}", "$1$2")
+    t = squeeze(F.regexp_replace(F.replace(t, F.lit("\\%"), F.lit("%")), "[{}]", ""))
+    t = F.replace(t, F.lit("|"), F.lit("\\|"))
+    return F.regexp_replace(t, f"(?s)^(.{{{most}}}).+$", "$1...")
+
+
+def looks_threshold(c: Column, words: list[str] = L.THRESHOLD_WORDS, units: str = L.THRESHOLD_UNITS) -> Column:
+    """Whether a displayed text has a word of thresholds and a number with a unit."""
+    t = F.lower(c)
+    return t.rlike("|".join(words)) & t.rlike(rf"[0-9]+([.,][0-9]+)?[ \t\n\r\f]*({units})")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that is worked out once for each row, whatever is done with it later."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_threshold_rules(rows: DataFrame, text: Column, words: list[str] = L.THRESHOLD_WORDS, units: str = L.THRESHOLD_UNITS, n: int = 8) -> DataFrame:
+    """X-10 within a row: adds _rules, up to n distinct sentences with a threshold word, a number with a unit and five words. Where splitting misses all of them, a window from a word to a number, with some text after it."""
+    raw = F.coalesce(text, F.lit(""))
+    sentences = F.split(F.regexp_replace(raw, r"([.;!?])[ \t\n\r\f]+", "$1\n"), "[\n\r]+")
+    good = F.filter(F.transform(sentences, lambda s: display(s, 900)), lambda s: looks_threshold(s, words, units) & (F.regexp_count(s, F.lit("[A-Za-zÀ-ÿ]+")) >= 5))
+    key = lambda s: F.substring(F.lower(s), 1, 260)
+    out = once(once(rows, "_good", good), "_keys", F.transform("_good", key))
+    first = F.filter("_good", lambda s, i: F.array_position(F.col("_keys"), key(s)) == i + 1)
+    window = F.regexp_extract(display(raw, 3000), f"(?i)(?:{'|'.join(words)}).{{0,420}}?(?:[0-9]+(?:[.,][0-9]+)?[ \t]*(?:{units})).{{0,420}}", 0)
+    rest = F.when(looks_threshold(display(raw, 1000), words, units), F.filter(F.array(display(window, 900)), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("_rules", F.when(F.size("_good") > 0, F.slice(first, 1, n)).otherwise(rest)).drop("_good", "_keys")
+
+
 def extract_threshold_rules(chunks: DataFrame, key: str = "chunk_uuid", words: list[str] = L.THRESHOLD_WORDS, units: str = L.THRESHOLD_UNITS, n: int = 8) -> DataFrame:
-    """X-10. (key, rank, rule): up to n distinct sentences with a threshold word, a number with a unit and five words."""
-    sentences = F.transform(F.split(F.coalesce("text", F.lit("")), r"[.;!?][ \n]+|\n"), squeeze)
-    number = rf"[0-9]+([.,][0-9]+)? *({units})"
-    rules = F.filter(sentences, lambda s: F.lower(s).rlike("(" + "|".join(words) + ")") & F.lower(s).rlike(number) & (F.size(F.split(s, " ")) >= 5))
-    return chunks.select(key, F.posexplode(F.slice(F.array_distinct(rules), 1, n)).alias("rank", "rule"))
+    """X-10. (key, rank, rule): see with_threshold_rules."""
+    return with_threshold_rules(chunks.select(key, "text"), F.col("text"), words, units, n).select(key, F.posexplode("_rules").alias("rank", "rule"))
 
 
 def definition_snippets(hits: DataFrame) -> DataFrame:
@@ -130,46 +164,156 @@ def definition_snippets(hits: DataFrame) -> DataFrame:
     )
 
 
-def extract_formula_rows(sources: DataFrame) -> DataFrame:
-    """X-11. sources: id, filename, page, content. Rows (id, filename, page, kind, name, formula): LaTeX spans, labelled blocks, equations and metric lines, each once."""
-    text = F.coalesce("content", F.lit(""))
-    pick = lambda kind, pattern, group: F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))), lambda f: F.struct(F.lit(kind).alias("kind"), squeeze(f).alias("formula")))
-    rows = F.concat(
-        pick("latex", r"\$\$([^$]+)\$\$", 1),
-        pick("block", r"LaTeX: ([^|\n]+)", 1),
-        pick("equation", r"([A-Za-z][A-Za-z0-9_]{0,30} *= *[^\n;]{1,80})", 1),
-        pick("metric", r"((?:MTTD|MTTR|RTO|RPO|KPI|SLA|CVSS)[^\n]{0,120})", 1),
-    )
-    out = sources.select("id", "filename", "page", F.explode(rows).alias("r")).select("id", "filename", "page", "r.kind", "r.formula")
-    return out.withColumn("name", strip(F.regexp_extract("formula", "^([A-Za-z][A-Za-z0-9_ ]*)=?", 1))).where("formula != ''").distinct()
+LATEX = r"(?s)(?<!\\)(\$\$.*?\$\$|\$[^$\n]{2,300}\$)"
+EQUATION = r"(?i)\b([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9_\-/ ]{1,80})\s*=\s*([^;\n]{2,260})"
+METRIC_NAME = "^[-*• ]*([A-Za-zÀ-ÿ0-9_/ -]{2,80}) *[:=–-]"
+
+
+def extract_formula_rows(sources: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """X-11. sources: id, filename, page, content, optionally type. Rows (id, filename, page, kind, name, formula, meaning), each once for a file and page, and for each value of the columns `by`.
+
+    LaTeX spans; the LaTeX, Plain and Meaning lines of formula sources; equations; lines that
+    name a metric; and the threshold rules of X-10. Generic names stand where a source gives none.
+    """
+    text = F.col("_text")
+    row = lambda kind, name, formula, meaning: F.struct(F.lit(kind).alias("kind"), name.alias("name"), formula.alias("formula"), meaning.alias("meaning"))
+    none = F.lit(None).cast("string")
+    latex = F.transform(F.regexp_extract_all(text, F.lit(LATEX), F.lit(1)), lambda f: row("latex", F.lit("formula recuperata"), strip(f), F.lit("")))
+    lines = F.col("_lines")
+    last = lambda mark: strip(F.regexp_replace(F.coalesce(F.element_at(F.filter(lines, lambda ln: F.lower(ln).startswith(mark)), -1), F.lit("")), "^[^:]*:?", ""))
+    is_formula = text.contains("Formula from Knowledge Graph")
+    if "type" in sources.columns:
+        is_formula = is_formula | F.coalesce(F.lower(F.trim("type")).isin("formula", "math", "equation"), F.lit(False))
+    name = F.coalesce(F.nullif(last("plain:"), F.lit("")), F.nullif(last("meaning:"), F.lit("")), F.lit("formula/metric"))
+    block = F.when(is_formula, F.array(row("block", name, F.nullif(last("latex:"), F.lit("")), last("meaning:")))).otherwise(F.array().cast("array<struct<kind:string,name:string,formula:string,meaning:string>>"))
+    sides = F.arrays_zip(F.regexp_extract_all(text, F.lit(EQUATION), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(EQUATION), F.lit(2)).alias("b"))
+    pairs = F.filter(F.transform(sides, lambda s: F.struct(squeeze(s["a"]).alias("a"), squeeze(s["b"]).alias("b"))), lambda s: (F.char_length(s["a"]) >= 2) & (F.char_length(s["b"]) >= 2))
+    equations = F.transform(pairs, lambda s: row("equation", s["a"], F.concat(s["a"], F.lit(" = "), s["b"]), F.lit("")))
+    told = F.filter(F.transform(lines, squeeze), lambda ln: ln.rlike(whole_words("|".join(L.METRIC_WORDS))))
+    named = lambda ln: F.coalesce(F.nullif(strip(F.regexp_extract(ln, METRIC_NAME, 1)), F.lit("")), F.lit("metrica/indicatore citato"))
+    metrics = F.transform(told, lambda ln: row("metric", named(ln), none, F.lit("metrica/indicatore")))
+    rules = F.transform("_rules", lambda r: row("threshold", F.lit("regola soglia"), r, F.lit("")))
+    by = by or []
+    read = once(sources.withColumn("_text", F.coalesce("content", F.lit(""))), "_lines", F.transform(F.split("_text", r"\r\n|\n|\r"), strip))
+    out = with_threshold_rules(read, text).select(*by, "id", F.coalesce("filename", F.lit("N/D")).alias("filename"), F.coalesce("page", F.lit(0)).alias("page"), F.explode(F.concat(latex, block, equations, metrics, rules)).alias("r"))
+    key = [*map(F.col, by), F.lower("filename"), F.col("page"), F.col("kind"), F.lower("name"), F.coalesce(F.lower("formula"), F.lit(""))]
+    flat = out.select(*by, "id", "filename", "page", "r.kind", "r.name", "r.formula", "r.meaning")
+    return flat.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("id", "filename", "name"))).where("_n = 1").drop("_n")
+
+
+def is_computational(formula: Column) -> Column:
+    """Whether a formula computes something: an operator of fractions, sums or powers, or an equation whose right side is neither prose nor a bare number but has an operator or a function."""
+    prose = whole_words("tempo medio|mean time|necessario per|impiegato per|rilevare|risolvere|incident[ei]?|definizione|definition")
+    right = F.trim(F.regexp_replace(F.regexp_replace(formula, "^[^=]*=", ""), r"[\$`]+$", ""))
+    equation = formula.rlike(r"^[\s$`]*[^=\s$`][^=]*=") & right.rlike(r"(?i)[+\-*/×÷^]|\\frac|\\sum|\\prod|sqrt|log|exp|min|max|avg|mean") & ~right.rlike(r"^\\?text\{[^}]+\}$") & ~F.lower(right).rlike(prose)
+    return ~has_graph_marks(formula) & (formula.rlike(r"\\frac|\\sum|\\prod|[√^×*/÷]") | equation)
+
+
+def has_graph_marks(c: Column) -> Column:
+    """Whether a text is put together from graph nodes."""
+    return F.lower(c).rlike("plain:|meaning:|formula::|formule collegate|formula from knowledge graph")
+
+
+def is_graph_row(filename: Column, page: Column, name: Column, formula: Column, meaning: Column) -> Column:
+    low = F.lower(F.trim(filename))
+    return low.isin("kg", "neo4j", "neo4j knowledge graph") | ((page == 0) & F.lower(F.trim(name)).isin("formule collegate", "latex")) | has_graph_marks(F.coalesce(formula, F.lit(""))) | has_graph_marks(F.coalesce(meaning, F.lit("")))
 
 
 def classify_formula_rows(rows: DataFrame) -> DataFrame:
-    """X-12. threshold before computational before definitional before cited; rows without letters or digits are noise and go."""
-    f = F.lower("formula")
-    kind = (
-        F.when(f.rlike("(" + "|".join(L.THRESHOLD_WORDS) + ")") & f.rlike(rf"[0-9]+([.,][0-9]+)? *({L.THRESHOLD_UNITS})"), "threshold")
-        .when(f.contains("=") & f.rlike(r"[0-9+*/×÷\\-]"), "computational")
-        .when(f.contains("="), "definitional")
-        .otherwise("cited")
+    """X-12. rows: filename, page, name, formula, meaning. Adds class (threshold before computational before definitional before cited) and gives each class its name, formula and meaning; rows that are noise go.
+
+    A threshold's name is its numbered condition, if it has one; a definition's is its left
+    side, its meaning the right one, and it has no formula. Noise are rows with a generic name,
+    bare numbers, and rows that stand for a whole graph.
+    """
+    c = F.col
+    shown = F.struct(F.coalesce(F.nullif(display(c("name"), 120), F.lit("")), F.lit("elemento recuperato")).alias("n"), F.coalesce("formula", F.lit("")).alias("f"), display(c("meaning"), 700).alias("s"))
+    own = once(rows, "_a", shown)
+    n, f, s = c("_a.n"), c("_a.f"), c("_a.s")
+    right = F.regexp_replace(f, "^[^=]*=", "")
+    own = once(own, "_b", F.struct(display(F.concat_ws(" ", n, f, s), 1000).alias("w"), is_computational(f).alias("computes"), is_graph_row(c("filename"), c("page"), c("name"), c("formula"), c("meaning")).alias("graph"), right.alias("right")))
+    stated = f.contains("=") & c("_b.right").rlike(r"\\?text\{[^}]+\}")
+    definitional = stated | F.lower(s).rlike("tempo medio|mean time|metrica|metric|indicatore|indicator")
+    kind = F.when(looks_threshold(c("_b.w")), "threshold").when(c("_b.computes") & ~c("_b.graph"), "computational").when(definitional | c("_b.computes"), "definitional").otherwise("cited")
+    own = once(own, "class", kind)
+    own = once(own, "_rule", F.when(c("class") == "threshold", display(F.when(f != "", f).otherwise(F.concat_ws(" ", n, f, s)), 700)))
+    condition = F.regexp_extract("_rule", r"(?i)\b(condizione\s*[0-9]+)\b", 1)
+    rule_name = F.when(condition != "", F.initcap(condition)).when(~F.lower(n).isin([*C.GENERIC_FORMULA_NAMES, "regola soglia"]), n).otherwise("Regola soglia")
+    left = F.substring(F.trim(F.regexp_replace(display(F.substring_index(F.regexp_replace(f, r"^\$+|\$+$", ""), "=", 1), 120), "[^A-Za-zÀ-ÿ0-9_/ -]+", "")), 1, 80)
+    defined = (c("class") == "definitional") & f.contains("=")
+    told = F.struct(
+        F.when(c("class") == "threshold", rule_name).when(defined, F.coalesce(F.nullif(left, F.lit("")), n)).otherwise(n).alias("name"),
+        F.when(c("class") == "threshold", c("_rule")).when(c("class") == "computational", display(f, 700)).alias("formula"),
+        F.when(defined, display(c("_b.right"), 500)).otherwise(s).alias("meaning"),
     )
-    return rows.where(f.rlike(r"[\p{L}0-9]")).withColumn("class", kind)
-
-
-def dedupe_formula_rows(rows: DataFrame, n: int = 10) -> DataFrame:
-    """D-8. rows: name, class, filename, page, formula, from_graph. The best row of each key; graph rows that a document states too go; the first n by class, file, page and name."""
-    key = F.when(F.col("class") == "threshold", F.substring("formula", 1, 260)).otherwise(F.concat_ws("|", F.lower("name"), "class", "filename", F.col("page").cast("string")))
-    best = Window.partitionBy("_key").orderBy("from_graph", F.desc(F.char_length("formula")), "formula", "filename", "page")
-    once = rows.withColumn("_key", key).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_key", "_n")
-    stated = once.where("not from_graph").select(F.lower("name").alias("_name"), F.col("class").alias("_class")).distinct()
-    kept = once.where("not from_graph").unionByName(once.where("from_graph").join(stated, (F.lower("name") == F.col("_name")) & (F.col("class") == F.col("_class")), "left_anti"))
-    order = F.when(F.col("class") == "threshold", 0).when(F.col("class") == "computational", 1).when(F.col("class") == "definitional", 2).otherwise(3)
-    return kept.orderBy(order, "filename", "page", "name", "formula").limit(n)
-
-
-def aggregate_thresholds(rows: DataFrame) -> DataFrame:
-    """A-9. rows: filename, page, rule. Rules of one criterion on a page: how many, and up to eight different first ten words."""
-    criterion = squeeze(F.regexp_replace(F.lower("rule"), r"[0-9]+([.,][0-9]+)?", "n"))
-    scope = F.array_join(F.slice(F.split(squeeze(F.col("rule")), " "), 1, 10), " ")
-    grouped = rows.select("filename", "page", F.substring(criterion, 1, 60).alias("criterion"), scope.alias("scope")).groupBy("filename", "page", "criterion")
-    return grouped.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("scope")), 1, 8), " / ").alias("scope"))
+    own = once(own, "_c", told).withColumns({"name": c("_c.name"), "formula": c("_c.formula"), "meaning": c("_c.meaning"), "from_graph": c("_b.graph")}).drop("_a", "_b", "_c", "_rule")
+    some = own.where(~F.lower("name").isin("formule collegate", "latex", "formula from knowledge graph"))
+    bare = F.lower(F.coalesce("formula", F.lit(""))).rlike(rf"^[0-9]+([.,][0-9]+)? *({L.THRESHOLD_UNITS})?$")
+    return some.where((c("class") == "threshold") | (~F.lower("name").isin(C.GENERIC_FORMULA_NAMES) & ~bare))
+
+
+CLASSES = ["computational", "threshold", "definitional", "cited"]
+
+
+def dedupe_formula_rows(rows: DataFrame, n: int = 10, by: list[str] | None = None) -> DataFrame:
+    """D-8. rows: name, class, filename, page, formula, meaning, from_graph; by: columns such as query_id, each value of which has rows of its own.
+
+    The best row of each key: a threshold's first 260 characters, else name, with class, file
+    and page; best is a row of a real document, then one without marks of the graph, then the
+    longest meaning. Graph rows that a document states too go; the first n by class, file, page
+    and name stay.
+    """
+    by, low = by or [], lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    rule = F.substring(F.trim(F.lower(display(F.col("formula"), 1000))), 1, 260)
+    own = F.when(F.col("class") == "threshold", F.concat(F.lit("threshold:"), rule)).otherwise(low("name"))
+    file = doc_name(F.col("filename"))
+    real = ~F.col("from_graph") & ~file.isin("", "kg", "neo4j", "neo4jknowledgegraph", "nd") & (F.col("page") > 0)
+    marks = has_graph_marks(F.concat_ws(" ", "name", "formula", "meaning"))
+    best = Window.partitionBy(*by, "_key", "class", "_file", "page").orderBy(F.desc(F.when(F.col("_real"), 2).when(F.col("from_graph"), 0).otherwise(1)), "_marks", F.desc("_told"), "formula", "name", "filename", "meaning")
+    keyed = once(rows, "_k", F.struct(own.alias("key"), file.alias("file"), marks.alias("marks"), F.least(F.char_length(display(F.col("meaning"), 1000)), F.lit(500)).alias("told"), real.alias("real")))
+    picked = keyed.withColumns({"_key": F.col("_k.key"), "_file": F.col("_k.file"), "_real": F.col("_k.real"), "_marks": F.col("_k.marks"), "_told": F.col("_k.told")}).drop("_k").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_key", "_file", "_n", "_marks", "_told")
+    named = [*by, "_name", "class"]
+    stated = picked.where("_real").select(*by, low("name").alias("_name"), "class").distinct()
+    kept = picked.where("not from_graph").unionByName(picked.where("from_graph").withColumn("_name", low("name")).join(stated, named, "left_anti").drop("_name"))
+    order = [F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class")), F.col("filename"), F.col("page"), F.col("name"), F.col("formula")]
+    if by:
+        return kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n", "_real")
+    return kept.orderBy(*order).limit(n).drop("_real")
+
+
+def threshold_criterion(rule: Column) -> Column:
+    """What a rule asks for: its percentage and its absolute number, each with users and the Union where the rule names them; else the rule itself."""
+    plain = display(rule, 900)
+    users, union = F.lower(plain).rlike(whole_words("utenti")), plain.rlike(r"(?i)nell['’]Unione|Unione\s+europea|\b(UE|EU)\b")
+    percent = F.replace(F.regexp_extract(plain, r"(?i)\b(?:oltre|superiore\s+a|maggiore\s+di|almeno|more\s+than|over|above)?\s*(?:il\s*)?([0-9]+(?:[.,][0-9]+)?)\s*%", 1), F.lit(","), F.lit("."))
+    count = F.replace(F.regexp_extract(plain, r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(?:milione|milioni|million|millions)\b", 1), F.lit(","), F.lit("."))
+    count = F.regexp_replace(count, r"\.0+$", "")
+    tail = F.when(union, " nell'Unione").otherwise("")
+    first = F.when(percent != "", F.concat(F.lit("oltre il "), percent, F.lit("%"), F.when(users, " degli utenti").otherwise(""), tail))
+    second = F.when(count != "", F.concat(F.lit("oltre "), count, F.when(count == "1", " milione").otherwise(" milioni"), F.when(users, " di utenti").otherwise(""), tail))
+    return F.coalesce(F.nullif(F.concat_ws(" oppure ", first, second), F.lit("")), plain)
+
+
+def threshold_scope(rule: Column) -> Column:
+    """The first ten words of a rule without its heading."""
+    plain = F.regexp_replace(display(rule, 160), r"(?i)^(condizione|regola|soglia|threshold)\s*[0-9]*\s*:\s*", "")
+    parts = F.split(F.trim(plain), " +")
+    return F.concat(F.array_join(F.slice(parts, 1, 10), " "), F.when(F.size(parts) > 10, "...").otherwise(""))
+
+
+def aggregate_thresholds(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A-9. rows: filename, page, rule. Rules of one criterion on a page, its case aside: how many, and up to eight different scopes; for each value of the columns `by`."""
+    keys = [*(by or []), "filename", "page"]
+    criterion = threshold_criterion(F.col("rule"))
+    grouped = rows.select(*keys, criterion.alias("criterion"), F.lower(squeeze(criterion)).alias("_key"), threshold_scope(F.col("rule")).alias("scope")).groupBy(*keys, "_key")
+    return grouped.agg(F.min("criterion").alias("criterion"), F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("scope")), 1, 8), "; ").alias("scope")).drop("_key")
+
+
+def missing_terms(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """C-4: (query_id, term) of the metrics that a question names, or means by their time, and no row of it holds. queries: query_id, query, aliases (see query.metric_aliases). rows: query_id, name, formula, meaning."""
+    q = F.lower(F.coalesce("query", F.lit("")))
+    asked = F.concat(F.filter(F.array(*map(F.lit, L.REQUESTED_METRICS)), lambda t: F.contains(q, t)), F.filter(F.array(F.lit("MTTD"), F.lit("MTTR")), lambda t: F.array_contains("aliases", t)))
+    terms = queries.select("query_id", F.explode(F.array_distinct(asked)).alias("term"))
+    found = rows.select("query_id", F.lower(F.concat_ws(" ", "name", "formula", "meaning")).alias("_text"))
+    held = terms.join(found, "query_id").where(F.contains("_text", F.lower("term"))).select("query_id", "term").distinct()
+    return terms.join(held, ["query_id", "term"], "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import cues as C
 from docmill.functions import lexicons as L
-from docmill.operators.clean import squeeze, whole_words
+from docmill.operators.clean import let, squeeze, whole_words
 from docmill.operators.search import search_tokens
 
 SIGNS = r"(<=|>=|≤|≥|=|>|<|%|×|\*|/|\\frac|\\times)"
@@ -42,22 +42,10 @@ def is_regulatory(q: Column) -> Column:
     return (has(q, C.CLASSIFYING_STARTERS) & has(q, C.REGULATORY_WORDS)) | (count_of(q, C.REGULATORY_WORDS) >= 2)
 
 
-def is_formula_lookup(q: Column) -> Column:
-    return ~is_calculation(q) & has(q, C.FORMULA_LOOKUP)
-
-
 def is_formula_strict(q: Column) -> Column:
     return has(q, C.EXPLICIT_FORMULA) | (~is_regulatory(q) & (has(q, C.STRICT_CALCULATION) | (q.rlike(SIGNS) & has(q, C.OPERATIONAL_VERBS))))
 
 
-def is_mathematical(q: Column) -> Column:
-    return q.rlike(C.MATH_PATTERN) | (q.rlike("[0-9]") & (has_word(q, C.MATH_TERMS) | has(q, C.MATH_SIGNS))) | is_calculation(q)
-
-
-def is_definition(q: Column) -> Column:
-    return ~is_mathematical(q) & ~has(q, C.REASONING_TERMS) & has(q, C.DEFINITION_TERMS)
-
-
 def is_pasted_data(q: Column) -> Column:
     """Whether the question brings data with it: a list, a table, JSON, three lines of separated values or six numbers; and asks for some analysis."""
     shape = (
@@ -70,54 +58,43 @@ def is_pasted_data(q: Column) -> Column:
     return (shape | (numbers >= 6)) & has(q, [*C.DATA_ACTIONS, *C.DATA_MEASURES, *C.DATA_DOMAIN])
 
 
-def is_graph_relation(q: Column) -> Column:
-    return ~has(q, C.ABSENCE_CHECKS) & (has(q, C.EXPLICIT_GRAPH) | (~has_word(q, C.ANALYSIS_TERMS) & has_word(q, C.RELATION_TERMS)))
-
-
-def intent(q: Column) -> Column:
-    """The first class, in this order, that a question falls into."""
-    weak = has(q, C.WEAK_MATH) & (q.rlike(f"[0-9]|{SIGNS}") | has(q, C.AMOUNT_CUES))
-    return (
-        F.when(is_regulatory(q), "audit")
-        .when(is_calculation(q) | is_formula_lookup(q) | has(q, C.STRONG_MATH) | weak, "formula")
-        .when(has(q, C.TABLE_CUES), "table")
-        .when(has(q, C.COMPARISON_CUES), "audit")
-        .when(has(q, C.CHART_CUES), "chart")
-        .when(has(q, C.AUDIT_CUES), "audit")
-        .otherwise("text")
-    )
-
-
 def route_queries(queries: DataFrame) -> DataFrame:
     """X-20 with its default rules. queries: query. Adds intent, answer_mode, one flag for each route, and the limits of the retrieval: wide ones for long, many-sided, graph and glossary questions."""
-    q = F.lower(F.coalesce("query", F.lit("")))
-    definition, mathematical = is_definition(q), is_mathematical(q)
-    wide = (F.char_length(q) > 300) | (count_of(q, C.MANY_DOCUMENTS, has_word) >= 2) | has_word(q, C.GRAPH_TERMS) | definition
-    pick = lambda a, b: F.when(wide, a).otherwise(b)
-    return queries.withColumns(
+    c, q = F.col, F.col("_q")
+    # In steps, so that each test is made once however many routes ask for it.
+    rows = queries.withColumn("_q", F.lower(F.coalesce("query", F.lit(""))))
+    rows = rows.withColumns({"is_calculation": is_calculation(q), "_norms": is_regulatory(q), "_many": count_of(q, C.MANY_DOCUMENTS, has_word), "_number": q.rlike("[0-9]"), "_sign": q.rlike(SIGNS), "_explicit": has(q, C.EXPLICIT_GRAPH)})
+    maths = q.rlike(C.MATH_PATTERN) | (c("_number") & (has_word(q, C.MATH_TERMS) | has(q, C.MATH_SIGNS))) | c("is_calculation")
+    rows = rows.withColumns({"_maths": maths, "is_formula_lookup": ~c("is_calculation") & has(q, C.FORMULA_LOOKUP)})
+    rows = rows.withColumn("is_glossary", ~c("_maths") & ~has(q, C.REASONING_TERMS) & has(q, C.DEFINITION_TERMS))
+    wide = (F.char_length(q) > 300) | (c("_many") >= 2) | has_word(q, C.GRAPH_TERMS) | c("is_glossary")
+    weak = has(q, C.WEAK_MATH) & (c("_number") | c("_sign") | has(q, C.AMOUNT_CUES))
+    rows = rows.withColumns(
         {
-            "intent": intent(q),
+            "intent": F.when(c("_norms"), "audit")
+            .when(c("is_calculation") | c("is_formula_lookup") | has(q, C.STRONG_MATH) | weak, "formula")
+            .when(has(q, C.TABLE_CUES), "table")
+            .when(has(q, C.COMPARISON_CUES), "audit")
+            .when(has(q, C.CHART_CUES), "chart")
+            .when(has(q, C.AUDIT_CUES), "audit")
+            .otherwise("text"),
             "answer_mode": F.when(has_word(q, C.AUDIT_MODE), "audit").otherwise("knowledge"),
-            "is_calculation": is_calculation(q),
-            "is_formula_lookup": is_formula_lookup(q),
-            "is_formula_strict": is_formula_strict(q),
-            "is_glossary": definition,
+            "is_formula_strict": has(q, C.EXPLICIT_FORMULA) | (~c("_norms") & (has(q, C.STRICT_CALCULATION) | (c("_sign") & has(q, C.OPERATIONAL_VERBS)))),
             "is_mixed_glossary": has(q, C.GLOSSARY_NAMES) & has(q, C.MIXED_GLOSSARY),
-            "is_graph": is_graph_relation(q),
-            "is_graph_strict": has(q, C.EXPLICIT_GRAPH) | (~has(q, C.EXPLANATORY_TERMS) & has(q, C.STRONG_GRAPH)),
+            "is_graph": ~has(q, C.ABSENCE_CHECKS) & (c("_explicit") | (~has_word(q, C.ANALYSIS_TERMS) & has_word(q, C.RELATION_TERMS))),
+            "is_graph_strict": c("_explicit") | (~has(q, C.EXPLANATORY_TERMS) & has(q, C.STRONG_GRAPH)),
             "is_evidence": has(q, C.EVIDENCE_TERMS),
             "is_follow_up": (F.char_length(F.trim(q)) < 140) & has_word(q, C.FOLLOW_UP),
             "is_checklist": has_word(q, C.CHECKLIST_STRONG) | (count_of(q, C.CHECKLIST_WEAK, has_word) >= 2),
             "is_crosswalk": has(q, C.MAPPING_TERMS) & (count_of(q, C.FRAMEWORK_TERMS) >= 2),
             "is_pasted_data": is_pasted_data(q),
-            "is_tier_a": ~definition & ~mathematical & has_word(q, C.NORM_TERMS),
-            "vector_k": pick(140, 100),
-            "rerank_k": pick(45, 35),
-            "final_k": pick(15, 8),
-            "max_doc": pick(8, 5),
-            "max_page": pick(4, 2),
+            "is_tier_a": ~c("is_glossary") & ~c("_maths") & has_word(q, C.NORM_TERMS),
+            "_wide": wide,
         }
     )
+    pick = lambda a, b: F.when(c("_wide"), a).otherwise(b)
+    limits = {"vector_k": pick(140, 100), "rerank_k": pick(45, 35), "final_k": pick(15, 8), "max_doc": pick(8, 5), "max_page": pick(4, 2)}
+    return rows.withColumns(limits).drop("_q", "_norms", "_many", "_number", "_sign", "_explicit", "_maths", "_wide")
 
 
 def metric_aliases(q: Column) -> Column:
@@ -218,13 +195,13 @@ def graph_concepts(query: Column, aliases: dict[str, str] | None = None, most: i
         cleaned(every(r"\b[A-Z]{2,10}(?:[-_/][A-Z0-9]{1,10})?\b", 0)),
         cleaned(exact_phrases(query)),
     )
-    found = F.when(F.size(found) > 0, found).otherwise(F.filter(graph_tokens(query), lambda t: F.char_length(t) >= 4))
     acronym = lambda c: c.rlike("^[A-Z]{2,10}([-_/][A-Z0-9]{1,10})?$")
-    strong = F.filter(found, lambda c: acronym(c) | ~F.lower(c).isin(C.WEAK_CONCEPTS))
     names = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair]) if aliases else None
     canon = lambda c: F.lower(c) if names is None else F.coalesce(F.element_at(names, F.lower(c)), F.lower(c))
-    once = F.filter(strong, lambda c, i: F.array_position(F.transform(strong, canon), canon(c)) == i + 1)
-    return F.slice(once, 1, most)
+    strong = lambda a: F.filter(a, lambda c: acronym(c) | ~F.lower(c).isin(C.WEAK_CONCEPTS))
+    first = lambda own, keys: F.filter(own, lambda c, i: F.array_position(keys, canon(c)) == i + 1)
+    every = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(graph_tokens(query), lambda t: F.char_length(t) >= 4)))
+    return F.slice(let(strong(F.array_distinct(every)), lambda own: let(F.transform(own, canon), lambda keys: first(own, keys))), 1, most)
 
 
 def understand_queries(queries: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

@@ -43,11 +43,13 @@ def build_graph(raw: DataFrame, canon: DataFrame, chunks: DataFrame, kept: DataF
 
     Returns entities, mentions (entity and chunk), edges, nodes and links of the structure, and
     rejected, the rows that could not be read. What a page says counts for each of its chunks.
+    Model output is read once; what was read is kept in the shared folder.
     """
     page = ["doc_id", "page_no"]
     gated = raw if kept is None else raw.join(kept.select(*page).distinct(), page, "left_semi")
-    read = graph.parse_llm_json(gated)
-    nodes, edges = graph.sanitize_graph(*graph.normalize_graph(read.where("ok")))
+    spark = raw.sparkSession
+    read = stored(graph.parse_llm_json(gated).select(*page, "raw", "ok", "parsed"), new_folder(spark, "graph-read"))
+    nodes, edges = (stored(t, new_folder(spark, "graph-rows")) for t in graph.sanitize_graph(*graph.normalize_graph(read.where("ok"))))
     own = nodes.where("formula != '' and category != 'FORMULA'")
     named = F.concat(F.lit("Formula::"), "id")
     no_props = F.create_map().cast("map<string,string>").alias("props")
@@ -168,20 +170,52 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | Non
     return {"sources": sources, "relations": relations, "tiers": tiers}
 
 
-def formula_report(sources: DataFrame, n: int = 10) -> DataFrame:
-    """C-4. sources: id, filename, page, content, from_graph. The best formula and threshold rows found in them."""
-    rows = extract.classify_formula_rows(extract.extract_formula_rows(sources)).join(sources.select("id", "from_graph"), "id")
-    return extract.dedupe_formula_rows(rows, n)
+def formula_report(queries: DataFrame, sources: DataFrame, chunks: DataFrame | None = None, n: int = 10, extra: int = 18) -> dict[str, DataFrame]:
+    """C-4. queries: query_id, query. sources: query_id, pos, id, filename, page, type, content, score, origin, as C-3 finds them. chunks: all versions, for questions that ask for thresholds and whose sources have none: the texts and phrases that are nearest to the question and to the names of thresholds are read too.
 
-
-def relation_report(concepts: DataFrame, chunks: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
-    """C-5. The n best supported concept pairs of each query."""
-    found = graph.concept_cooccurrence(concepts, chunks, edges)
+    Returns rows (the n best formula, threshold and metric rows of each query), thresholds (its
+    threshold rows by criterion) and missing (metrics that it names and no row has).
+    """
+    q = F.lower(F.coalesce("query", F.lit("")))
+    asked = queries.select("query_id", "query", query.metric_aliases(q).alias("aliases"), F.array_contains(query.metric_aliases(q), F.lit("soglia")).alias("wants"))
+
+    def found(some: DataFrame) -> DataFrame:
+        once = fuse.dedupe_sources(some)
+        return extract.classify_formula_rows(extract.extract_formula_rows(once, ["query_id"]))
+
+    rows = stored(found(sources), new_folder(queries.sparkSession, "formula-rows"))
+    if chunks is not None:
+        lacking = asked.where("wants").join(rows.where("class = 'threshold'").select("query_id").distinct(), "query_id", "left_anti")
+        current = search.latest_versions(chunks)
+        terms = lacking.select("query_id", F.array_distinct(F.concat(search.words(F.col("query")), search.words(F.array_join("aliases", " ")))).alias("terms"))
+        texts = search.text_topk(terms, search.inverted_index(current, asked=search.asked_terms(terms)), extra).select("query_id", "chunk_uuid", "score")
+        phrases = search.phrase_topk(lacking.select("query_id", F.explode(query.exact_phrases(F.col("query"))).alias("phrase")), current, extra).select("query_id", "chunk_uuid", "score")
+        hits = texts.unionByName(phrases).groupBy("query_id", "chunk_uuid").agg(F.max("score").alias("score"))
+        some = fuse.limit_per_group(hits, ["query_id"], [F.desc("score"), F.col("chunk_uuid")], extra)
+        more = some.join(current.select("chunk_uuid", "filename", F.col("page_no").alias("page"), "content"), "chunk_uuid")
+        more = more.select("query_id", F.lit(1000).alias("pos"), F.col("chunk_uuid").alias("id"), "filename", "page", F.lit("text").alias("type"), "content", "score", F.lit("THRESHOLDS").alias("origin"))
+        rows = rows.unionByName(found(more))
+    best = extract.dedupe_formula_rows(rows, n, ["query_id"])
+    rules = rows.where("class = 'threshold'").select("query_id", "filename", "page", F.col("formula").alias("rule"))
+    return {"rows": best, "thresholds": extract.aggregate_thresholds(rules, ["query_id"]), "missing": extract.missing_terms(asked, best)}
+
+
+def relation_report(queries: DataFrame, chunks: DataFrame, edges: DataFrame, n: int = 10, aliases: dict[str, str] | None = None) -> DataFrame:
+    """C-5. queries: query_id, query. The n best supported pairs of the concepts that each question names, with a snippet of the strongest evidence; hops: how many concepts it links."""
+    named = stored(queries.select("query_id", query.graph_concepts(F.coalesce("query", F.lit("")), aliases).alias("c")), new_folder(queries.sparkSession, "concepts"))
+    found = graph.concept_cooccurrence(named.select("query_id", F.explode("c").alias("concept")), chunks, edges)
     strength = F.when(F.col("evidence") == "edge", 0).when(F.col("evidence") == "strong", 1).when(F.col("evidence") == "weak", 2).otherwise(3)
-    return fuse.limit_per_group(found.withColumn("strength", strength), ["query_id"], [F.col("strength"), F.desc("n_chunks"), F.col("x"), F.col("y")], n).drop("strength")
-
-
-def quality_report(log: DataFrame) -> DataFrame:
-    """C-6. log: as read from the evaluation log. Verdicts and means by model."""
-    flat = log.select("llm_model", "metrics.faithfulness", "metrics.relevance", F.coalesce("metrics.scope_violation", F.lit(False)).alias("scope_violation"), "metrics.verdict")
-    return report.eval_quality(flat)
+    best = fuse.limit_per_group(found.withColumn("strength", strength), ["query_id"], [F.col("strength"), F.desc("n_chunks"), F.col("x"), F.col("y")], n).drop("strength")
+    return best.join(named.select("query_id", F.size("c").alias("hops")), "query_id")
+
+
+def quality_report(log: DataFrame, sources: bool = False) -> dict[str, DataFrame]:
+    """C-6. log: as read from the evaluation log (S-7). Verdicts and means by model, and where the log holds sources also by their tier and origin."""
+    flat = log.select("llm_model", "metrics.faithfulness", "metrics.relevance", F.coalesce("metrics.scope_violation", F.lit(False)).alias("scope_violation"), "metrics.verdict", *(["sources"] if sources else []))
+    out = {"model": report.eval_quality(flat.drop("sources"))}
+    if sources:
+        # An answer counts once for each different tier and origin of its sources.
+        for field in ("tier", "db_origin"):
+            each = flat.withColumn(field, F.explode(F.array_distinct(F.transform("sources", lambda s: s[field])))).drop("sources")
+            out[field] = report.eval_quality(each, field)
+    return out

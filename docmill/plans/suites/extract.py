@@ -76,12 +76,15 @@ def x9(spark, sf):
     return extract.extract_acronyms(d, "doc_id")
 
 
-@register("x10_threshold_rules", f"""with t as (select doc_id, coalesce(text, '') || '. the level is at least ' || (doc_id % 7) || ' percent of all; over 5 % ok' as text from documents),
- s as (select doc_id, list_transform(regexp_split_to_array(text, '[.;!?][ \\n]+|\\n'), lambda x: {squeeze('x')}) as s from t),
- r as (select doc_id, list_filter(s, lambda x: regexp_matches(lower(x), '({"|".join(L.THRESHOLD_WORDS)})') and regexp_matches(lower(x), '[0-9]+([.,][0-9]+)? *({L.THRESHOLD_UNITS})') and len(string_split(x, ' ')) >= 5) as r from s)
- select doc_id, cast(generate_subscripts(r, 1) - 1 as int) as rank, unnest(r) as rule from r where len(list_distinct(r)) = len(r) and len(r) <= 8""")
+RULED = "coalesce(text, '') || '. the level is at least ' || (doc_id % 7) || ' percent of all; over 5 % ok'"
+ONE_LINE = "trim(regexp_replace(regexp_replace(regexp_replace({x}, '[{{}}]', '', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), '\\|', '\\\\|', 'g'))"
+
+
+@register("x10_threshold_rules", f"""with s as (select doc_id, list_transform(regexp_split_to_array(regexp_replace({RULED}, '([.;!?])[ \t\n\r\f]+', '\1\n', 'g'), '[\n\r]+'), lambda x: {squeeze("regexp_replace(regexp_replace(x, '^`+|`+$', '', 'g'), '^\$+|\$+$', '', 'g')")}) as s from documents),
+ r as (select doc_id, list_filter(s, lambda x: regexp_matches(lower(x), '({"|".join(L.THRESHOLD_WORDS)})') and regexp_matches(lower(x), '[0-9]+([.,][0-9]+)? *({L.THRESHOLD_UNITS})') and len(regexp_extract_all(x, '[A-Za-zÀ-ÿ]+')) >= 5) as r from s)
+ select doc_id, cast(generate_subscripts(r, 1) - 1 as int) as rank, unnest(r) as rule from r where len(list_distinct(r)) = len(r) and len(r) <= 8 and len(list_filter(r, lambda x: length(x) > 900)) = 0""")
 def x10(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", F.expr("coalesce(text, '') || '. the level is at least ' || (doc_id % 7) || ' percent of all; over 5 % ok'").alias("text"))
+    d = fx.documents(spark, sf).select("doc_id", F.expr(RULED).alias("text"))
     return extract.extract_threshold_rules(d, "doc_id")
 
 
@@ -94,41 +97,47 @@ def x21(spark, sf):
 
 
 def formula_sources(spark, sf):
+    """One source for each part, with a line of every kind; every third stands for the graph, every second is a formula source."""
     p = fx.table(spark, sf, "part")
-    return p.select(
-        F.col("p_partkey").alias("id"), F.concat(F.lit("f"), (F.col("p_partkey") % 7).cast("string"), F.lit(".md")).alias("filename"), (F.col("p_partkey") % 9).cast("int").alias("page"),
-        F.concat(F.lit("$$"), "p_brand", F.lit(" + 1$$\nrisk = "), F.col("p_size").cast("string"), F.lit(" * 2\nRTO at least "), F.col("p_size").cast("string"), F.lit(" percent\nLaTeX: a"), (F.col("p_partkey") % 5).cast("string"), F.lit(" | Plain: b\nname = total")).alias("content"),
-    )
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    graph = k % 3 == 0
+    content = F.concat(F.lit("$$"), "p_brand", F.lit(" + 1$$\nrisk = "), n, F.lit(" * 2\nRTO "), "p_brand", F.lit(" at least "), n, F.lit("% of all recovery targets\nLaTeX: a"), (k % 5).cast("string"), F.lit("\nPlain: b"), (k % 5).cast("string"), F.lit("\nMeaning: total of acts\nname = total\nCoverage index: strong\nMTTD = \\text{mean time to detect "), n, F.lit("}"))
+    return p.select(k.alias("id"), F.when(graph, "KG").otherwise(F.concat(F.lit("f"), (k % 7).cast("string"), F.lit(".md"))).alias("filename"), F.when(graph, 0).otherwise(k % 9 + 1).cast("int").alias("page"), F.when(k % 2 == 0, "formula").otherwise("text").alias("type"), content.alias("content"))
 
 
-FORMULA_SQL = """fr as (select p_partkey as id, 'f' || (p_partkey % 7) || '.md' as filename, cast(p_partkey % 9 as int) as page, unnest([
- {'kind': 'latex', 'formula': p_brand || ' + 1', 'name': regexp_extract(p_brand, '^[A-Za-z][A-Za-z0-9_ ]*')}, {'kind': 'block', 'formula': 'a' || (p_partkey % 5), 'name': 'a' || (p_partkey % 5)},
- {'kind': 'equation', 'formula': 'risk = ' || p_size || ' * 2', 'name': 'risk'}, {'kind': 'equation', 'formula': 'name = total', 'name': 'name'},
- {'kind': 'metric', 'formula': 'RTO at least ' || p_size || ' percent', 'name': 'RTO at least ' || p_size || ' percent'}], recursive := true) from part),
- fc as (select *, case when kind = 'metric' then 'threshold' when formula like 'risk%' then 'computational' when contains(formula, '=') then 'definitional' else 'cited' end as class from fr)"""
+FORMULA_SQL = """fa as (select p_partkey as id, case when p_partkey % 3 = 0 then 'KG' else 'f' || (p_partkey % 7) || '.md' end as filename, cast(case when p_partkey % 3 = 0 then 0 else p_partkey % 9 + 1 end as int) as page, unnest([
+ {'kind': 'latex', 'name': 'formula recuperata', 'formula': '$$' || p_brand || ' + 1$$', 'meaning': ''}, {'kind': case when p_partkey % 2 = 0 then 'block' end, 'name': 'b' || (p_partkey % 5), 'formula': 'a' || (p_partkey % 5), 'meaning': 'total of acts'},
+ {'kind': 'equation', 'name': 'risk', 'formula': 'risk = ' || p_size || ' * 2', 'meaning': ''}, {'kind': 'equation', 'name': 'name', 'formula': 'name = total', 'meaning': ''}, {'kind': 'equation', 'name': 'MTTD', 'formula': 'MTTD = \\text{mean time to detect ' || p_size || '}', 'meaning': ''},
+ {'kind': 'metric', 'name': 'Coverage index', 'formula': null, 'meaning': 'metrica/indicatore'}, {'kind': 'metric', 'name': 'MTTD', 'formula': null, 'meaning': 'metrica/indicatore'},
+ {'kind': 'threshold', 'name': 'regola soglia', 'formula': 'RTO ' || p_brand || ' at least ' || p_size || '% of all recovery targets', 'meaning': ''}], recursive := true) from part),
+ fr as (select * exclude (n) from (select *, row_number() over (partition by filename, page, kind, name, lower(formula) order by id) as n from fa where kind is not null) where n = 1),
+ fc as (select id, filename, page, kind, case when kind = 'threshold' then 'Regola soglia' else name end as name, case when kind = 'threshold' or (name = 'risk' and filename != 'KG') then formula end as formula,
+  case when kind = 'equation' and name = 'MTTD' then replace(replace(formula, 'MTTD = \\text{', ''), '}', '') when name = 'risk' and filename = 'KG' then replace(formula, 'risk = ', '') else meaning end as meaning,
+  case when kind = 'threshold' then 'threshold' when name = 'risk' and filename != 'KG' then 'computational' when name in ('risk', 'MTTD', 'Coverage index') then 'definitional' else 'cited' end as class, filename = 'KG' as from_graph from fr where kind != 'latex')"""
 
 
-@register("x11_formula_rows", f"with {FORMULA_SQL} select id, filename, page, kind, formula, name from fr")
+@register("x11_formula_rows", f"with {FORMULA_SQL} select id, filename, page, kind, name, formula, meaning from fr")
 def x11(spark, sf):
     return extract.extract_formula_rows(formula_sources(spark, sf))
 
 
-@register("x12_formula_classes", f"with {FORMULA_SQL} select id, kind, formula, class from fc")
+@register("x12_formula_classes", f"with {FORMULA_SQL} select id, filename, page, kind, name, formula, meaning, class, from_graph from fc")
 def x12(spark, sf):
-    return extract.classify_formula_rows(extract.extract_formula_rows(formula_sources(spark, sf))).select("id", "kind", "formula", "class")
+    return extract.classify_formula_rows(extract.extract_formula_rows(formula_sources(spark, sf)))
+
+
+BEST_SQL = """k as (select *, case when class = 'threshold' then 'threshold:' || substring(lower(formula), 1, 260) else regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') end as key from {rows}),
+ o as (select * from (select *, row_number() over (partition by {by} key, class, filename, page order by case when from_graph then 0 else 2 end desc, least(length(meaning), 500) desc, formula nulls first, name, filename, meaning) as n from k) where n = 1),
+ s as (select * from o where not from_graph or not exists (select 1 from o b where not b.from_graph and lower(b.name) = lower(o.name) and b.class = o.class {same}))"""
+ORDER_SQL = "list_position(['computational', 'threshold', 'definitional', 'cited'], class), filename, page, name, formula nulls first"
 
 
-@register("d8_formula_rows", f"""with {FORMULA_SQL}, g as (select *, id % 3 = 0 as from_graph, case when class = 'threshold' then substring(formula, 1, 260) else lower(name) || '|' || class || '|' || filename || '|' || page end as k from fc),
- o as (select * from (select *, row_number() over (partition by k order by from_graph, length(formula) desc, formula, filename, page) as n from g) where n = 1),
- s as (select * from o where not from_graph or not exists (select 1 from o b where not b.from_graph and lower(b.name) = lower(o.name) and b.class = o.class))
- select name, class, filename, page, formula from s order by case class when 'threshold' then 0 when 'computational' then 1 when 'definitional' then 2 else 3 end, filename, page, name, formula limit 10""")
+@register("d8_formula_rows", f"with {FORMULA_SQL}, {BEST_SQL.format(rows='fc', by='', same='')} select name, class, filename, page, formula, meaning from s order by {ORDER_SQL} limit 200")
 def d8(spark, sf):
-    rows = extract.classify_formula_rows(extract.extract_formula_rows(formula_sources(spark, sf))).withColumn("from_graph", F.col("id") % 3 == 0)
-    return extract.dedupe_formula_rows(rows).select("name", "class", "filename", "page", "formula")
+    return extract.dedupe_formula_rows(extract.classify_formula_rows(extract.extract_formula_rows(formula_sources(spark, sf))), 200).select("name", "class", "filename", "page", "formula", "meaning")
 
 
-@register("a9_thresholds", f"""with {FORMULA_SQL}, r as (select filename, page, substring(regexp_replace(lower(formula), '[0-9]+([.,][0-9]+)?', 'n', 'g'), 1, 60) as criterion, formula from fr where kind = 'metric')
- select filename, page, criterion, count(*) as n, array_to_string((list_sort(list_distinct(list(formula))))[1:8], ' / ') as scope from r group by all""")
+@register("a9_thresholds", f"""with {FORMULA_SQL} select filename, page, 'oltre il ' || regexp_extract(formula, '([0-9]+)%', 1) || '%' as criterion, count(*) as n, array_to_string((list_sort(list_distinct(list(formula))))[1:8], '; ') as scope from fr where kind = 'threshold' group by all""")
 def a9(spark, sf):
-    rows = extract.extract_formula_rows(formula_sources(spark, sf)).where("kind = 'metric'").withColumnRenamed("formula", "rule")
+    rows = extract.extract_formula_rows(formula_sources(spark, sf)).where("kind = 'threshold'").withColumnRenamed("formula", "rule")
     return extract.aggregate_thresholds(rows)

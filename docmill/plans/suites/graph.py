@@ -282,17 +282,24 @@ def a8(spark, sf):
     return graph.score_relations(rows, t.where("query_id = 2"), t)
 
 
-CONCEPTS = [(1, "the"), (1, "and"), (1, "zqx"), (2, "une"), (2, "des"), (2, "the")]
-SENT = "list_filter(regexp_split_to_array(lower(s), '[^\\p{L}\\p{N}]+'), lambda w: w != '')"
+def spaced(c):
+    return f"' ' || array_to_string(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w != ''), ' ') || ' '"
 
 
-@register("a7_cooccurrence", f"""with {fx.CHUNKS_SQL}, c as (select * from (values (1, 'the'), (1, 'and'), (1, 'zqx'), (2, 'une'), (2, 'des'), (2, 'the')) as v(query_id, c)), p as (select a.query_id, a.c as x, b.c as y from c a join c b on a.query_id = b.query_id and a.c < b.c),
- se as (select chunk_uuid, i, unnest(list_distinct({SENT})) as w from (select chunk_uuid, unnest(regexp_split_to_array(content, '[.;!?][ \\n]+|\\n')) as s, generate_subscripts(regexp_split_to_array(content, '[.;!?][ \\n]+|\\n'), 1) as i from c1)), k as (select * from se where w in (select c from c)),
- b as (select x, y, l.chunk_uuid, bool_or(l.i = r.i) as same from (select distinct x, y from p) join k l on l.w = x join k r on r.w = y and r.chunk_uuid = l.chunk_uuid group by all), s as (select x, y, bool_or(same) as same, count(*) as n from b group by all)
- select p.query_id, p.x, p.y, case when p.x = 'des' and p.y = 'une' then 'edge' when same then 'strong' when n > 0 then 'weak' else 'not_found' end as evidence, coalesce(n, 0) as n_chunks from p left join s on s.x = p.x and s.y = p.y""")
+#: Sentences of the chunks c1 with the concepts c of a table of query_id and c that are in them, the pairs of a query, and their evidence.
+TOGETHER = f"""se as (select chunk_uuid, content, i, {spaced('s')} as t from (select chunk_uuid, content, unnest(regexp_split_to_array(content, '[.;!?][ \\n]+|\\n')) as s, generate_subscripts(regexp_split_to_array(content, '[.;!?][ \\n]+|\\n'), 1) as i from c1)),
+ tm as (select distinct c, {spaced('c')} as needle from con), k as (select chunk_uuid, content, i, c from se join tm on contains(t, needle)), p as (select distinct a.query_id, a.c as x, b.c as y from con a join con b on a.query_id = b.query_id and a.c < b.c),
+ b as (select x, y, l.chunk_uuid, any_value(l.content) as content, bool_or(l.i = r.i) as same from (select distinct x, y from p) join k l on l.c = x join k r on r.c = y and r.chunk_uuid = l.chunk_uuid group by x, y, l.chunk_uuid),
+ s as (select x, y, bool_or(same) as same, count(*) as n, left(arg_min(content, (not same)::int || chunk_uuid), 300) as snippet from b group by all)"""
+
+
+@register("a7_cooccurrence", f"""with {fx.CHUNKS_SQL}, con as (select item_id % 20 as query_id, lower(case when item_id % 3 = 0 then array_to_string(string_split(text, ' ')[2:3], ' ') else string_split(text, ' ')[2] end) as c from benchmark), {TOGETHER}
+ select p.query_id, p.x, p.y, case when left(p.x, 1) = left(p.y, 1) then 'edge' when same then 'strong' when n > 0 then 'weak' else 'not_found' end as evidence, coalesce(n, 0) as n_chunks, coalesce(snippet, '') as snippet from p left join s on s.x = p.x and s.y = p.y""")
 def a7(spark, sf):
-    c = spark.createDataFrame(CONCEPTS, "query_id int, concept string")
-    e = spark.createDataFrame([("Une", "des")], "source string, target string")
+    b = fx.table(spark, sf, "benchmark")
+    c = b.select((F.col("item_id") % 20).alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.expr("array_join(slice(split(text, ' '), 2, 2), ' ')")).otherwise(F.split("text", " ")[1]).alias("concept"))
+    low = c.select(F.lower("concept").alias("c"), F.substring(F.lower("concept"), 1, 1).alias("k")).distinct()
+    e = low.withColumnRenamed("c", "source").join(low.withColumnRenamed("c", "target"), "k").where("source < target").select(F.upper("source").alias("source"), "target")
     return graph.concept_cooccurrence(c, one_version(spark, sf), e)
 
 

@@ -7,8 +7,8 @@ from docmill.plans import fixtures as fx
 from docmill.plans import pipelines
 from docmill.plans.registry import register
 from docmill.plans.suites import query as qs
-from docmill.plans.suites.extract import FORMULA_SQL, filed, formula_sources
-from docmill.plans.suites.graph import CANON, CONCEPTS, EDGES, raw_json
+from docmill.plans.suites.extract import BEST_SQL, FORMULA_SQL, ORDER_SQL, filed, formula_sources
+from docmill.plans.suites.graph import CANON, EDGES, TOGETHER, raw_json
 from docmill.plans.suites.search import COSINE, INDEX, STOPS, WORDS, one_version
 
 
@@ -146,20 +146,66 @@ def c3g(spark, sf):
     return c3_all(spark, sf)["sources"].where("filename = 'KG'").select("query_id", "toon_type", "content")
 
 
-@register("c4_formula_report", f"""with {FORMULA_SQL}, g as (select *, id % 3 = 0 as from_graph, case when class = 'threshold' then substring(formula, 1, 260) else lower(name) || '|' || class || '|' || filename || '|' || page end as k from fc),
- o as (select * from (select *, row_number() over (partition by k order by from_graph, length(formula) desc, formula, filename, page) as n from g) where n = 1), s as (select * from o where not from_graph or not exists (select 1 from o b where not b.from_graph and lower(b.name) = lower(o.name) and b.class = o.class))
- select name, class, filename, page, formula from s order by case class when 'threshold' then 0 when 'computational' then 1 when 'definitional' then 2 else 3 end, filename, page, name, formula limit 10""")
+METRIC_ASKS = ["formule e soglie di notifica", "which formulas for cvss and coverage", "tempi di rilevamento: quali metriche", "maturity formula", "plain"]
+
+
+def formula_asks(spark, sf):
+    """Five questions a hundred parts, so that questions grow with the table."""
+    p = fx.table(spark, sf, "part").select((F.col("p_partkey") % 100).alias("query_id")).distinct()
+    return p.withColumn("query", F.element_at(F.array(*map(F.lit, METRIC_ASKS)), (F.col("query_id") % 5).cast("int") + 1))
+
+
+def formula_report(spark, sf):
+    s = formula_sources(spark, sf).select((F.col("id") % 100).alias("query_id"), F.col("id").alias("pos"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "filename", "page", "type", "content", F.lit(1.0).alias("score"), F.lit("DB").alias("origin"))
+    return pipelines.formula_report(formula_asks(spark, sf), s)
+
+
+# The rows of a query: no longer once for a file and page of all parts, but of its own.
+ASKED_ROWS = FORMULA_SQL.replace("partition by filename, page, kind, name, lower(formula) order by id", "partition by id % 100, filename, page, kind, name, lower(formula) order by 'p' || id").replace("fc as (select id, filename", "fc as (select id % 100 as query_id, filename")
+
+
+@register("c4_formula_report", f"""with {ASKED_ROWS}, {BEST_SQL.format(rows='fc', by='query_id,', same='and b.query_id = o.query_id')}
+ select query_id, name, class, filename, page, formula, meaning from (select *, row_number() over (partition by query_id order by {ORDER_SQL}) as r from s) where r <= 10""")
 def c4(spark, sf):
-    return pipelines.formula_report(formula_sources(spark, sf).withColumn("from_graph", F.col("id") % 3 == 0)).select("name", "class", "filename", "page", "formula")
+    return formula_report(spark, sf)["rows"].select("query_id", "name", "class", "filename", "page", "formula", "meaning")
 
 
-@register("c5_relation_report")
+@register("c4_thresholds", f"with {ASKED_ROWS} select query_id, filename, page, 'oltre il ' || regexp_extract(formula, '([0-9]+)%', 1) || '%' as criterion, count(*) as n, array_to_string((list_sort(list_distinct(list(formula))))[1:8], '; ') as scope from fc where class = 'threshold' group by all")
+def c4t(spark, sf):
+    return formula_report(spark, sf)["thresholds"]
+
+
+@register("c4_missing_terms", f"""with {ASKED_ROWS}, {BEST_SQL.format(rows='fc', by='query_id,', same='and b.query_id = o.query_id')}, b as (select * from (select *, row_number() over (partition by query_id order by {ORDER_SQL}) as r from s) where r <= 10),
+ t as (select distinct p_partkey % 100 as query_id, unnest(([['soglie'], ['cvss', 'coverage'], ['MTTD'], ['maturity'], []])[cast(p_partkey % 5 as int) + 1]) as term from part) select query_id, term from t where term != 'soglie' and not exists (select 1 from b where b.query_id = t.query_id and contains(lower(concat_ws(' ', name, formula, meaning)), lower(term)))""")
+def c4m(spark, sf):
+    return formula_report(spark, sf)["missing"].select("query_id", "term")
+
+
+@register("c5_relation_report", f"""with {fx.CHUNKS_SQL}, con as (select distinct query_id, c from (select item_id as query_id, unnest(list_transform(string_split(lower(text), ' ')[1:12], lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) as c from benchmark) where length(c) >= 6), {TOGETHER},
+ l as (select p.query_id, p.x, p.y, case when left(p.x, 1) = left(p.y, 1) then 0 when same then 1 when n > 0 then 2 else 3 end as level, coalesce(n, 0) as n_chunks, coalesce(snippet, '') as snippet from p left join s on s.x = p.x and s.y = p.y), h as (select query_id, count(*) as hops from con group by 1)
+ select query_id, x, y, (['edge', 'strong', 'weak', 'not_found'])[level + 1] as evidence, n_chunks, snippet, cast(hops as int) as hops from (select *, row_number() over (partition by query_id order by level, n_chunks desc, x, y) as r from l) join h using (query_id) where r <= 2""")
 def c5(spark, sf):
-    return pipelines.relation_report(spark.createDataFrame(CONCEPTS, "query_id int, concept string"), one_version(spark, sf), spark.createDataFrame([("Une", "des")], "source string, target string"))
+    b = fx.table(spark, sf, "benchmark")
+    w = F.transform(F.slice(F.split(F.lower("text"), " "), 1, 12), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
+    long = F.slice(F.array_distinct(F.filter(w, lambda x: F.char_length(x) >= 6)), 1, 8)
+    q = b.select(F.col("item_id").alias("query_id"), F.concat(F.lit("relationships of "), F.array_join(F.transform(long, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " and ")).alias("query"))
+    low = q.select(F.explode(F.regexp_extract_all("query", F.lit('"([^"]+)"'), F.lit(1))).alias("c")).distinct()
+    low = low.select("c", F.substring("c", 1, 1).alias("k"))
+    e = low.withColumnRenamed("c", "source").join(low.withColumnRenamed("c", "target"), "k").where("source < target").select("source", "target")
+    return pipelines.relation_report(q, one_version(spark, sf), e, 2)
+
+
+VERDICTS = "case when f >= 0.75 and r >= 0.7 then 'PASS' when f >= 0.55 then 'WARN' else 'FAIL' end as verdict"
+COUNTS = "count(*) as n, count(*) filter (verdict = 'PASS') as n_pass, count(*) filter (verdict = 'WARN') as n_warn, count(*) filter (verdict = 'FAIL') as n_fail, round(avg(f), 5)::double as faithfulness, round(avg(r), 5)::double as relevance"
 
 
-@register("c6_quality_report", """with l as (select 'm' || (doc_id % 3) as llm_model, quality::double as f, 1 - toxic / 2 as r from labels), v as (select *, case when f >= 0.75 and r >= 0.7 then 'PASS' when f >= 0.55 then 'WARN' else 'FAIL' end as verdict from l)
- select llm_model, count(*) as n, count(*) filter (verdict = 'PASS') as n_pass, count(*) filter (verdict = 'WARN') as n_warn, count(*) filter (verdict = 'FAIL') as n_fail, round(avg(f), 5)::double as faithfulness, round(avg(r), 5)::double as relevance from v group by llm_model""")
+@register("c6_quality_report", f"""with l as (select 'm' || (doc_id % 3) as llm_model, doc_id, quality::double as f, 1 - toxic / 2 as r from labels), v as (select *, {VERDICTS} from l), t as (select v.*, unnest(case when doc_id % 4 = 0 then ['A', 'B'] else [(['A', 'B', 'C'])[cast(doc_id % 3 as int) + 1]] end) as tier from v)
+ select 'model' as kind, llm_model as name, {COUNTS} from v group by 2 union all select 'tier', tier, {COUNTS} from t group by 2""")
 def c6(spark, sf):
-    log = fx.table(spark, sf, "labels").select(F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("llm_model"), F.struct(F.col("quality").cast("double").alias("faithfulness"), (1 - F.col("toxic") / 2).alias("relevance"), F.lit(None).cast("boolean").alias("scope_violation"), F.lit(None).cast("string").alias("verdict")).alias("metrics"))
-    return pipelines.quality_report(log).withColumns({c: F.round(c, 5) for c in ("faithfulness", "relevance")})
+    tier = lambda t: F.struct(F.lit("f.md").alias("filename"), t.alias("tier"), F.lit("DB").alias("db_origin"))
+    own = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("doc_id") % 3).cast("int") + 1)
+    sources = F.when(F.col("doc_id") % 4 == 0, F.array(tier(F.lit("A")), tier(F.lit("B")), tier(F.lit("A")))).otherwise(F.array(tier(own))).alias("sources")
+    log = fx.table(spark, sf, "labels").select(F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("llm_model"), F.struct(F.col("quality").cast("double").alias("faithfulness"), (1 - F.col("toxic") / 2).alias("relevance"), F.lit(None).cast("boolean").alias("scope_violation"), F.lit(None).cast("string").alias("verdict")).alias("metrics"), sources)
+    out = pipelines.quality_report(log, True)
+    both = [out[k].withColumnRenamed(c, "name").withColumn("kind", F.lit(k)) for k, c in (("model", "llm_model"), ("tier", "tier"))]
+    return both[0].unionByName(both[1]).withColumns({c: F.round(c, 5) for c in ("faithfulness", "relevance")})

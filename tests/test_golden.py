@@ -371,3 +371,37 @@ def test_concepts_under_one_name(spark):
     got = one(spark, query="between MFA and strong login and \"mfa\"").select(query.graph_concepts(F.col("query"), {"strong login": "mfa"}).alias("c")).first().c
     assert got == ["mfa"]
     assert "utenze privilegiate" in one(spark, c="privileged accounts").select(query.concept_variants(F.col("c")).alias("v")).first().v
+
+
+def test_formula_classes(spark):
+    rows = [
+        ("cvss", "score = 0.6 * impact", ""), ("x", "x = 12", ""), ("mttd", "MTTD = tempo medio per rilevare", "metrica"), ("m", "MTTR = \\text{mean time}", ""), ("formula recuperata", "$$a^2$$", ""), ("r", "Condizione 2: oltre il 5\\% degli utenti", ""), ("formule collegate", "a = b/c", ""), ("y", "sum of \\frac{a}{b}", ""),
+        ("z", "Plain: a = b/c", ""), ("n", "5 %", ""),
+    ]
+    df = spark.createDataFrame([("d.md", 1, *r) for r in rows], "filename string, page int, name string, formula string, meaning string")
+    got = {(r.name, r["class"], r.formula, r.meaning) for r in extract.classify_formula_rows(df).collect()}
+    assert got == {
+        ("cvss", "computational", "score = 0.6 * impact", ""), ("x", "cited", None, ""), ("MTTD", "definitional", None, "tempo medio per rilevare"), ("MTTR", "definitional", None, "mean time"),
+        ("Condizione 2", "threshold", "Condizione 2: oltre il 5% degli utenti", ""), ("y", "computational", "sum of \\fracab", ""), ("z", "cited", None, ""), ("n", "cited", None, ""),
+    }
+
+
+def test_threshold_windows_and_criteria(spark):
+    text = "La soglia\nvale oltre\n1,5 milioni di utenti\nnell'Unione"  # no line alone has a word, a number and five words
+    assert [r.rule for r in extract.extract_threshold_rules(one(spark, chunk_uuid="c", text=text)).collect()] == ["soglia vale oltre 1,5 milioni di utenti nell'Unione"]
+    rule = "Condizione 1: oltre il 5% degli utenti dell'Unione europea oppure over 1 million users"
+    row = one(spark, filename="f", page=1, rule=rule)
+    r = extract.aggregate_thresholds(row).first()
+    assert r.criterion == "oltre il 5% degli utenti nell'Unione oppure oltre 1 milione di utenti nell'Unione" and r.scope.startswith("oltre il 5% degli utenti")
+
+
+def test_thresholds_are_looked_for(spark):
+    """A question about thresholds whose sources have none reads further chunks; others don't."""
+    from docmill.plans import pipelines
+
+    queries = spark.createDataFrame([(1, "formula e soglia di notifica incidenti"), (2, "formula of risk")], "query_id long, query string")
+    sources = spark.createDataFrame([(q, 1, f"s{q}", "a.md", 1, "text", "risk = a * b", 1.0, "DB") for q in (1, 2)], "query_id long, pos int, id string, filename string, page int, type string, content string, score double, origin string")
+    chunks = spark.createDataFrame([("c1", "n.md", 2, "La soglia di notifica vale oltre il 5% degli utenti.", 1), ("c2", "o.md", 1, "nothing", 1)], "chunk_uuid string, filename string, page_no int, content string, ingestion_ts long")
+    out = pipelines.formula_report(queries, sources, chunks)
+    assert {(r.query_id, r["class"], r.filename) for r in out["rows"].collect()} == {(1, "computational", "a.md"), (2, "computational", "a.md"), (1, "threshold", "n.md")}
+    assert [(r.query_id, r.criterion) for r in out["thresholds"].collect()] == [(1, "oltre il 5% degli utenti")]

@@ -79,19 +79,55 @@ def deadline_offsets(events: DataFrame, hours: list[int]) -> DataFrame:
     return rows.select("event_id", "hours", at.alias("deadline"), F.date_format(at, "EEEE").alias("weekday"), F.lit(max(hours) - min(hours)).alias("span_hours"))
 
 
-CHART_SCHEMA = "title string, source string, unit string, x_axis string, data_points array<struct<name:string,value:double>>, unreadable int"
-
-
-def normalize_chart_json(charts: DataFrame, least: float = 0.55, most_points: int = 40) -> DataFrame:
-    """X-17. charts: doc_id, page_no, pass, raw (JSON). The better reading of each chart (10 a named point, -25 an unreadable one) with its confidence and text; readings below the least confidence are dropped."""
-    c = charts.withColumn("c", F.from_json("raw", CHART_SCHEMA))
-    points = F.coalesce("c.data_points", F.array().cast("array<struct<name:string,value:double>>"))
-    named = F.size(F.filter(points, lambda p: F.coalesce(p["name"], F.lit("")) != ""))
-    rows = c.withColumn("points", points).withColumn("quality", 10 * named - 25 * F.coalesce("c.unreadable", F.lit(0)))
-    best = rows.groupBy("doc_id", "page_no").agg(F.max_by(F.struct("c", "points"), F.struct("quality", -F.col("pass"))).alias("b")).select("doc_id", "page_no", "b.c", "b.points")
-    has = lambda f: (F.coalesce(f"c.{f}", F.lit("")) != "").cast("double")
-    year = F.coalesce("c.x_axis", F.lit("")).rlike("(19|20)[0-9]{2}").cast("double")
+POINT = "struct<category:string,categories:string,label:string,labels:string,value:string,values:string>"
+CHART_SCHEMA = f"kind string, toon_type string, title string, source string, unit_of_measure string, timeframe string, x_axis_labels array<string>, `x-axis_labels` array<string>, confidence double, visual_trend_description string, data_points array<{POINT}>"
+YEAR = r"\b(?:19|20)[0-9]{2}\b"
+
+
+def normalize_chart_json(charts: DataFrame, least: float = 0.55, most_points: int = 40, most_numbers: int = 12) -> DataFrame:
+    """X-17. charts: doc_id, page_no, pass, raw (JSON). The better reading of each chart (10 a point with a category, -25 an unreadable one) under one name for each field; readings below the least confidence are dropped.
+
+    Adds kind (a bar chart where there are points and labels of the x axis), timeframe (the
+    first and last year of the labels, where none was read), confidence (as read, or by what
+    there is), numbers (the first points with unit and period) and text (title, trend and points).
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))).isin("", "NOT READABLE", "None")
+    said = lambda *cs: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs], F.lit(""))
+    shown = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"[\[\]'\"]", ""), r"\s*,\s*", ", "))
+    points = F.transform(
+        F.coalesce("c.data_points", F.array().cast(f"array<{POINT}>")),
+        lambda p: F.struct(shown(said(p["category"], p["categories"], p["label"], p["labels"])).alias("label"), shown(said(p["value"], p["values"])).alias("value")),
+    )
+    rows = charts.select("doc_id", "page_no", "pass", F.from_json("raw", CHART_SCHEMA).alias("c")).withColumn("points", points)
+    bad = F.filter("points", lambda p: F.upper(p["label"]).contains("NOT_READABLE") | F.upper(p["value"]).contains("NOT_READABLE"))
+    quality = 10 * F.size(F.filter("points", lambda p: p["label"] != "")) - 25 * F.size(bad)
+    best = rows.groupBy("doc_id", "page_no").agg(F.max_by(F.struct("c", "points"), F.struct(quality, -F.col("pass"))).alias("b")).select("doc_id", "page_no", "b.c", "b.points")
+    labels = F.coalesce(F.col("c.x_axis_labels"), F.col("c.`x-axis_labels`"), F.array().cast("array<string>"))
+    years = F.array_distinct(F.regexp_extract_all(F.array_join(labels, " "), F.lit(f"({YEAR})"), F.lit(1)))
+    span = F.when(F.size(years) >= 2, F.concat(F.element_at(years, 1), F.lit(" vs "), F.element_at(years, -1))).when(F.size(years) == 1, F.element_at(years, 1)).otherwise("")
     n = F.size("points")
-    confidence = F.least(F.lit(0.95), 0.25 + 0.15 * has("title") + 0.10 * has("source") + 0.05 * has("unit") + F.when(n >= 2, 0.25).otherwise(0.0) + F.when(n >= 4, 0.10).otherwise(0.0) + 0.10 * year)
-    line = F.array_join(F.transform(F.slice("points", 1, most_points), lambda p: F.concat_ws(": ", p["name"], F.format_number(p["value"], 2))), "; ")
-    return best.select("doc_id", "page_no", F.col("c.title").alias("title"), n.alias("n_points"), F.round(confidence, 6).alias("confidence"), line.alias("text")).where(F.col("confidence") >= least)
+    named = best.withColumn("timeframe", F.when(blank(F.col("c.timeframe")), span).otherwise(F.col("c.timeframe"))).withColumns(
+        {
+            "kind": F.when(said(F.col("c.kind")) != "", F.col("c.kind")).when((n > 0) & (F.size(labels) > 0), "bar_chart").otherwise(F.coalesce(F.nullif(said(F.col("c.toon_type")), F.lit("")), F.lit("image"))),
+            "title": said(F.col("c.title")),
+            "unit": said(F.col("c.unit_of_measure")),
+        }
+    )
+    has = lambda c: (c != "").cast("double")
+    guess = 0.25 + 0.15 * has(F.col("title")) + 0.10 * has(said(F.col("c.source"))) + 0.05 * has(F.col("unit")) + F.when(n >= 2, 0.25).otherwise(0.0) + F.when(n >= 4, 0.10).otherwise(0.0) + 0.10 * F.col("timeframe").rlike(YEAR).cast("double")
+    numbers = F.transform(F.slice("points", 1, most_numbers), lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"), F.col("unit").alias("unit"), F.col("timeframe").alias("period")))
+    lines = F.concat(F.filter(F.array("title", said(F.col("c.visual_trend_description"))), lambda t: t != ""), F.transform(F.filter(F.slice("points", 1, most_points), lambda p: (p["label"] != "") | (p["value"] != "")), lambda p: F.concat(F.lit(" - "), p["label"], F.lit(": "), p["value"])))
+    out = named.withColumn("confidence", F.round(F.coalesce("c.confidence", F.least(F.lit(0.95), guess)), 6))
+    return out.select("doc_id", "page_no", "kind", "title", "timeframe", n.alias("n_points"), "confidence", numbers.alias("numbers"), F.array_join(lines, "\n").alias("text")).where(F.col("confidence") >= least)
+
+
+def formula_texts(pages: DataFrame) -> DataFrame:
+    """X-17's twin for formulas. pages: doc_id, page_no, raw (JSON with summary_it and formulas): one text for each page, of its summary and each formula's meaning, LaTeX and variables; pages with neither have no row."""
+    schema = "summary_it string, formulas array<struct<meaning_it:string,description_it:string,latex:string,variables:array<string>>>"
+    js = pages.select("doc_id", "page_no", F.from_json("raw", schema).alias("j"))
+    name = lambda v: F.when(F.trim(v).startswith("{"), F.concat_ws(": ", F.get_json_object(v, "$.name"), F.get_json_object(v, "$.meaning"))).otherwise(v)
+    latex = lambda c: F.when(F.coalesce(c, F.lit("")).rlike(r"^\[\s*\""), F.array_join(F.from_json(c, "array<string>"), " ")).otherwise(F.coalesce(c, F.lit("")))
+    block = lambda f: F.concat(F.lit("## "), F.coalesce(F.nullif(f["meaning_it"], F.lit("")), F.nullif(f["description_it"], F.lit("")), F.lit("Formula")), F.lit("\n$$"), latex(f["latex"]), F.lit("$$\n"), F.array_join(F.transform(F.coalesce(f["variables"], F.array().cast("array<string>")), name), "; "))
+    formulas = F.coalesce("j.formulas", F.array().cast("array<struct<meaning_it:string,description_it:string,latex:string,variables:array<string>>>"))
+    text = F.array_join(F.concat(F.filter(F.array("j.summary_it"), lambda s: F.coalesce(s, F.lit("")) != ""), F.transform(formulas, block)), "\n")
+    return js.select("doc_id", "page_no", text.alias("text")).where("text != ''")

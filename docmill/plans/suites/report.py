@@ -77,18 +77,36 @@ def a16(spark, sf):
     return report.deadline_offsets(e, [4, 24, 72]).withColumn("deadline", F.unix_micros("deadline"))
 
 
-@register("x17_chart_json", """with p as (select cast(event_id // 100 as bigint) as doc_id, event_type, sum(cast(round(value * 100) as bigint)) as v from events group by all), n as (select doc_id, count(*) as n, string_agg(event_type || ': ' || v, '; ' order by event_type) as text from p group by 1)
- select doc_id, 1 as page_no, case when doc_id % 3 = 0 then '' else 'day ' || doc_id end as title, cast(n as int) as n_points, round(least(0.95, 0.25 + case when doc_id % 3 = 0 then 0 else 0.15 end + case when n >= 2 then 0.25 else 0 end + case when n >= 4 then 0.1 else 0 end + 0.1), 6)::double as confidence, text from n
- where least(0.95, 0.25 + case when doc_id % 3 = 0 then 0 else 0.15 end + case when n >= 2 then 0.25 else 0 end + case when n >= 4 then 0.1 else 0 end + 0.1) >= 0.55""")
+CHART_SQL = """p as (select cast(event_id // 100 as bigint) as doc_id, event_type, sum(cast(round(value * 100) as bigint)) as v from events group by all),
+ n as (select doc_id, count(*) as n, string_agg(' - ' || event_type || ': ' || case when doc_id % 2 = 0 then v || '' else v || ', 1' end, chr(10) order by event_type) as points, array_to_string((list(event_type || '=' || case when doc_id % 2 = 0 then v || '' else v || ', 1' end order by event_type))[1:12], '|') as numbers from p group by 1),
+ c as (select *, case when doc_id % 3 = 0 then '' else 'day ' || doc_id end as title, case when doc_id % 5 = 0 then '2024' when doc_id % 5 = 1 then '' else '2023 vs 2024' end as timeframe from n),
+ f as (select *, case when doc_id % 7 = 0 then 0.9 else least(0.95, 0.25 + case when title = '' then 0 else 0.15 end + case when doc_id % 4 = 0 then 0.05 else 0 end + case when n >= 2 then 0.25 else 0 end + case when n >= 4 then 0.1 else 0 end + case when timeframe = '' then 0 else 0.1 end) end as confidence from c)"""
+
+
+@register("x17_chart_json", f"""with {CHART_SQL} select doc_id, 1 as page_no, case when doc_id % 5 = 1 then 'image' else 'bar_chart' end as kind, title, timeframe, cast(n as int) as n_points, round(confidence, 6)::double as confidence, numbers,
+ case when title = '' then '' else title || chr(10) end || points as text from f where confidence >= 0.55""")
 def x17(spark, sf):
     e = fx.table(spark, sf, "events").withColumn("doc_id", F.expr("event_id div 100"))
     p = e.groupBy("doc_id", "event_type").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("v"))
-    points = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("name"), F.col("v").cast("double").alias("value")))).alias("data_points"))
-    whole = points.select("doc_id", F.lit(1).alias("page_no"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("day "), F.col("doc_id").cast("string"))).alias("title"), F.lit("2024").alias("x_axis"), "data_points")
-    raw = lambda df, n: df.select("doc_id", "page_no", F.lit(n).alias("pass"), F.to_json(F.struct("title", "x_axis", "data_points")).alias("raw"))
-    charts = raw(whole, 1).unionByName(raw(whole.withColumn("data_points", F.slice("data_points", 1, 1)), 2))
-    out = report.normalize_chart_json(charts)
-    return out.withColumn("text", F.replace(F.replace("text", F.lit(","), F.lit("")), F.lit(".00"), F.lit("")))
+    k = F.col("doc_id")
+    listed = lambda f: F.array_sort(F.collect_list(F.struct(*f)))
+    points = p.groupBy("doc_id").agg(listed([F.col("event_type").alias("category"), F.col("v").alias("value")]).alias("one"), listed([F.col("event_type").alias("labels"), F.array("v", F.lit(1)).alias("values")]).alias("two"))
+    common = [F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("day "), k.cast("string"))).alias("title"), F.when(k % 4 == 0, "EUR").alias("unit_of_measure"), F.when(k % 7 == 0, 0.9).alias("confidence"), F.lit("NOT READABLE").alias("timeframe")]
+    axis = F.when(k % 5 == 0, F.array(F.lit("Q1 2024"))).when(k % 5 > 1, F.array(F.lit("2023"), F.lit("H2 2024")))
+    raw = F.when(k % 2 == 0, F.to_json(F.struct(*common, axis.alias("x_axis_labels"), F.col("one").alias("data_points")))).otherwise(F.to_json(F.struct(*common, axis.alias("x-axis_labels"), F.col("two").alias("data_points"))))
+    again = F.to_json(F.struct(F.array(F.struct(F.lit("a").alias("category"), F.lit("not_readable").alias("value"))).alias("data_points")))
+    both = points.select("doc_id", F.lit(1).alias("page_no"), F.explode(F.array(F.struct(F.lit(1).alias("pass"), raw.alias("raw")), F.struct(F.lit(2).alias("pass"), again.alias("raw")))).alias("r")).select("doc_id", "page_no", "r.pass", "r.raw")
+    out = report.normalize_chart_json(both)
+    return out.withColumn("numbers", F.array_join(F.transform("numbers", lambda x: F.concat_ws("=", x["label"], x["value"])), "|"))
+
+
+@register("x17_formula_texts", """select p_partkey as doc_id, 1 as page_no, case when p_size % 2 = 0 then 'about ' || p_brand || chr(10) else '' end || '## ' || case when p_size % 3 = 0 then 'sum' else 'Formula' end || chr(10) || '$$a + ' || p_size || '$$' || chr(10) || 'a: first; b' as text from part""")
+def x17f(spark, sf):
+    p = fx.table(spark, sf, "part")
+    latex = F.concat(F.lit("a + "), F.col("p_size").cast("string"))
+    f = F.array(F.struct(F.when(F.col("p_size") % 3 == 0, "sum").otherwise("").alias("description_it"), latex.alias("latex"), F.array(F.lit('{"name": "a", "meaning": "first"}'), F.lit("b")).alias("variables")))
+    raw = F.to_json(F.struct(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("about "), "p_brand")).alias("summary_it"), f.alias("formulas")))
+    return report.formula_texts(p.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page_no"), raw.alias("raw")))
 
 
 @register("d5_dedupe_images", """with i as (select doc_id, sha256(text) as h from documents where text is not null), o as (select h, min(doc_id) as o from i group by h), x as (select h, min(doc_id) + 1000000 as e from i where doc_id % 10 = 0 group by h)

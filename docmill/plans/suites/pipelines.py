@@ -146,7 +146,7 @@ def c3g(spark, sf):
     return c3_all(spark, sf)["sources"].where("filename = 'KG'").select("query_id", "toon_type", "content")
 
 
-METRIC_ASKS = ["formule e soglie di notifica", "which formulas for cvss and coverage", "tempi di rilevamento: quali metriche", "maturity formula", "plain"]
+METRIC_ASKS = ["formule e soglie di notifica", "which formulas for cvss and coverage", "tempi di rilevamento: quali formule", "maturity formula", "plain"]
 
 
 def formula_asks(spark, sf):

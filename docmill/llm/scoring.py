@@ -152,9 +152,16 @@ def _log_softmax(s: np.ndarray) -> np.ndarray:
     return s
 
 
+def _softmax(s: np.ndarray) -> np.ndarray:
+    s -= s.max(axis=1, keepdims=True)
+    np.exp(s, out=s)
+    s /= s.sum(axis=1, keepdims=True)
+    return s
+
+
 def by_class(first: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """An order of the targets by class, their classes in that order, and (class, begin, end) of each class that is there."""
-    order = np.argsort(target, kind="stable")
+    order = np.argsort(target.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
     classes = np.searchsorted(first, target[order], side="right") - 1
     edges = [0, *(np.flatnonzero(np.diff(classes)) + 1).tolist(), len(order)]
     return order, classes, [(int(classes[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
@@ -164,7 +171,7 @@ def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.nd
     """The log probability of each target outcome: that of its class, and its own within the class, both from the words around it."""
     e, w1, b1, w2, b2, u, d = parts
     order, classes, groups = by_class(first, target)
-    h = np.tanh(e[context[order]].reshape(len(order), -1) @ w1 + b1)
+    h = np.tanh(e.take(context.take(order, axis=0), axis=0).reshape(len(order), -1) @ w1 + b1)
     each = _log_softmax(h @ w2 + b2)[np.arange(len(order)), classes]
     for c, a, b in groups:
         low, high = first[c], first[c + 1]
@@ -179,13 +186,12 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
     """One step on a batch, each number at a rate that falls with its own past gradients. Changes parts and squares; returns the loss before."""
     e, w1, b1, w2, b2, u, d = parts
     order, classes, groups = by_class(first, target)
-    context, target, n = context[order], target[order], len(order)
+    context, target, n = context.take(order, axis=0), target[order], len(order)
     rows = np.arange(n)
-    x = e[context].reshape(n, -1)
+    x = e.take(context, axis=0).reshape(n, -1)
     h = np.tanh(x @ w1 + b1)
-    p = _log_softmax(h @ w2 + b2)
-    loss = -float(p[rows, classes].sum())
-    np.exp(p, out=p)
+    p = _softmax(h @ w2 + b2)
+    loss = -float(np.log(p[rows, classes] + 1e-30).sum())
     p[rows, classes] -= 1
     p /= n
     gh = p @ w2.T
@@ -198,10 +204,9 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
         low, high = int(first[c]), int(first[c + 1])
         if high - low == 1:
             continue
-        q = _log_softmax(h[a:b] @ u[low:high].T + d[low:high])
+        q = _softmax(h[a:b] @ u[low:high].T + d[low:high])
         at = rows[: b - a], target[a:b] - low
-        loss -= float(q[at].sum())
-        np.exp(q, out=q)
+        loss -= float(np.log(q[at] + 1e-30).sum())
         q[at] -= 1
         q /= n
         gh[a:b] += q @ u[low:high]
@@ -209,10 +214,11 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
         step(d[low:high], squares[6][low:high], q.sum(0))
     gh *= 1 - h * h
     dx = (gh @ w1.T).reshape(-1, SIZE)
-    place = np.argsort(context.ravel(), kind="stable")
-    seen = context.ravel()[place]
-    heads = np.concatenate([[0], np.flatnonzero(np.diff(seen)) + 1])
-    de = np.add.reduceat(dx[place], heads, axis=0)
+    flat = context.astype(np.uint16).ravel()
+    place = np.argsort(flat, kind="stable")
+    seen = flat[place]
+    heads = np.concatenate([[0], np.flatnonzero(seen[1:] != seen[:-1]) + 1])
+    de = np.add.reduceat(dx.take(place, axis=0), heads, axis=0)
     step(w2, squares[3], h.T @ p)
     step(b2, squares[4], p.sum(0))
     step(w1, squares[1], x.T @ gh)

@@ -15,6 +15,8 @@ from docmill.llm.common import materialize, spread
 
 DIMENSIONS = 12  # of the projection; even, so that the chi-square law has a closed form
 CERTAINTY = 0.95  # chance that a nearer vector would have been met before the search stops
+BLOCK = 16  # leaves that share a task's memory; a query is sent once to a block, whatever leaves of it it visits
+NEAR = 48  # leaves that are visited before the bound is drawn in for the others
 
 
 def chi_square_quantile(p: float, dof: int) -> float:
@@ -203,12 +205,14 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
     and projected by normal (2-stable) weights. A kd-tree built on a sample of at most about
     `sample` projected vectors deals all vectors out to leaves of about leaf_rows (up to
     most_leaves leaves; beyond that leaves grow to big_leaf and then their number grows again).
-    A query first searches its own leaf, which gives a bound, then every leaf whose box fails the chi-square
-    test at that bound, and stops in each as soon as the test holds.
+    A query first searches its own leaf, which gives a bound, then the nearest 48 leaves whose
+    boxes fail the chi-square test at that bound, which draws it in, then all others that still
+    fail it; it stops in each as soon as the test holds.
 
     Scale: equal vectors are searched once: of each the k + 1 smallest vec_ids are all that can
     be in a result, and equal queries share one search. So a vector that fills a third of the
-    table is one row. A task holds one leaf; queries stream past it in blocks.
+    table is one row. A task holds a block of 16 leaves; queries stream past it, and each is
+    sent once to a block, with the list of the leaves that it visits there.
     """
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), (F.expr(is_query) if isinstance(is_query, str) else is_query).alias("q"))
     schema = "query_id long, rank int, vec_id long, score double"
@@ -236,73 +240,102 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
     tree = build_tree(space.vectors(points), min(leaves, max(1, len(points))))
     limit = chi_square_quantile(CERTAINTY, DIMENSIONS)
     sent = spark.sparkContext.broadcast((tuple(space), tuple(tree)))  # plain values: tasks need no copy of the package
-    row = "leaf long, kind int, key long, v array<double>, ids array<long>, bound double"
+    row = "block long, kind int, leaf long, leaves array<long>, key long, v array<double>, ids array<long>, bound double"
 
     def _rows(column) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors get their leaf, queries that they visit first."""
         space, tree = Space(*sent.value[0]), Tree(*sent.value[1])
         for b in batches:
             if b.num_rows:
                 v, kind = _rows(b.column("v")), b.column("kind").to_numpy()
                 at = tree.leaf(np.where(kind[:, None] == 0, space.vectors(v), space.queries(v)))
-                yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns[1:]], schema=b.schema)
+                leaves = pa.array([[x] if k else None for x, k in zip(at.tolist(), kind.tolist(), strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), b.column("kind"), pa.array(at), leaves, *b.columns[4:]], schema=b.schema)
 
-    def fan_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each query a row for each leaf but its own that the test at its bound doesn't rule out."""
-        space, tree = Space(*sent.value[0]), Tree(*sent.value[1])
-        for b in batches:
-            if not b.num_rows:
-                continue
-            projected = space.queries(_rows(b.column("v")))
-            home, bound = b.column("leaf").to_numpy(), b.column("bound").to_numpy()
-            for i in range(b.num_rows):
-                to = np.flatnonzero(tree.distances(projected[i]) <= limit * bound[i])
-                to = to[to != home[i]]
-                copies = b.take(pa.array(np.full(len(to), i)))
-                yield pa.RecordBatch.from_arrays([pa.array(to), *copies.columns[1:]], schema=b.schema)
+    def fan_out(first: int, last: int | None):
+        """Of each query a row for each block of leaves that the test at its bound doesn't rule out, nearest first, those between first and last; its own leaf is done."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            space, tree = Space(*sent.value[0]), Tree(*sent.value[1])
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                projected = space.queries(_rows(b.column("v")))
+                home, bound = tree.leaf(projected), b.column("bound").to_numpy()
+                for i in range(b.num_rows):
+                    far = tree.distances(projected[i])
+                    order = np.argsort(far, kind="stable")
+                    to = order[order != home[i]][first:last]
+                    to = to[far[to] <= limit * bound[i]]
+                    blocks, where = np.unique(to // BLOCK, return_inverse=True)
+                    leaves = [to[where == j].tolist() for j in range(len(blocks))]
+                    copies = b.take(pa.array(np.full(len(blocks), i)))
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), copies.column("kind"), copies.column("leaf"), pa.array(leaves, pa.list_(pa.int64())), *copies.columns[4:]], schema=b.schema)
+
+        return work
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by leaf, vectors before queries; of each query its best vec_ids here and the bound that follows."""
+        """Rows by block, vectors before queries; of each query the best vec_ids of the leaves that it visits here, one after another, and the bound that follows."""
         space = Space(*sent.value[0])
-        now, held, ready = None, [], None
+        now, held, ready = None, {}, {}
+
+        def made(leaf: int) -> Leaf:
+            if leaf not in ready:
+                parts = held.pop(leaf, [])
+                vectors = np.concatenate([p[0] for p in parts]) if parts else np.empty((0, sizes.d))
+                ready[leaf] = make_leaf(space, vectors, [i for p in parts for i in p[1]])
+            return ready[leaf]
+
         for b in batches:
-            leaf, kind = b.column("leaf").to_numpy(), b.column("kind").to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(leaf) != 0) | (np.diff(kind) != 0)) + 1).tolist(), b.num_rows]
+            block, kind, leaf = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind", "leaf"))
+            apart = (np.diff(block) != 0) | (np.diff(kind) != 0) | ((kind[1:] == 0) & (leaf[1:] != leaf[:-1]))
+            edges = [0, *(np.flatnonzero(apart) + 1).tolist(), b.num_rows]
             for a, z in ((x, min(x + 512, y)) for u, y in zip(edges[:-1], edges[1:], strict=True) for x in range(u, y, 512)):
                 part = b.slice(a, z - a)
-                if leaf[a] != now:
-                    now, held, ready = leaf[a], [], None
+                if block[a] != now:
+                    now, held, ready = block[a], {}, {}
                 if kind[a] == 0:
-                    held.append((_rows(part.column("v")), part.column("ids").to_pylist()))
+                    held.setdefault(int(leaf[a]), []).append((_rows(part.column("v")), part.column("ids").to_pylist()))
                     continue
-                if ready is None:
-                    vectors = np.concatenate([h[0] for h in held]) if held else np.empty((0, sizes.d))
-                    ready = make_leaf(space, vectors, [i for h in held for i in h[1]])
-                    held = []
-                q = _rows(part.column("v"))
-                products, at, bound = search(space, q, ready, k + 1, part.column("bound").to_numpy(), limit)
-                out_ids, out_scores = [], []
-                for i in range(len(q)):
-                    good = at[i][at[i] >= 0]
-                    # What is farther than the bound is beaten by k vec_ids elsewhere.
-                    good = good[space.squared(q[i], products[i][: len(good)]) <= bound[i] * (1 + 1e-9)]
-                    out_ids.append([x for j in good for x in ready.ids[j]])
-                    out_scores.append([s for s, j in zip((ready.vectors[good] * q[i]).sum(axis=1).tolist(), good, strict=True) for _ in ready.ids[j]])
+                q, bound, turns = _rows(part.column("v")), part.column("bound").to_numpy().copy(), part.column("leaves").to_pylist()
+                out: list[list[tuple[float, int]]] = [[] for _ in turns]
+                for turn in range(max(map(len, turns))):
+                    asked = np.array([t[turn] if turn < len(t) else -1 for t in turns])
+                    for x in np.unique(asked[asked >= 0]).tolist():
+                        rows, there = np.flatnonzero(asked == x), made(x)
+                        products, at, tight = search(space, q[rows], there, k + 1, bound[rows], limit)
+                        bound[rows] = tight
+                        for n, i in enumerate(rows.tolist()):
+                            good = at[n][at[n] >= 0]
+                            # What is farther than the bound is beaten by k vec_ids elsewhere.
+                            good = good[space.squared(q[i], products[n][: len(good)]) <= bound[i] * (1 + 1e-9)]
+                            scores = (there.vectors[good] * q[i]).sum(axis=1).tolist()
+                            out[i] += [(-s, v) for s, j in zip(scores, good, strict=True) for v in there.ids[j]]
+                best = [sorted(o)[: k + 1] for o in out]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("leaf"), part.column("key"), part.column("v"), pa.array(bound, pa.float64()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))],
-                    ["leaf", "key", "v", "bound", "ids", "scores"],
+                    [part.column("key"), part.column("v"), pa.array(bound, pa.float64()), pa.array([[v for _, v in o] for o in best], pa.list_(pa.int64())), pa.array([[-s for s, _ in o] for o in best], pa.list_(pa.float64()))],
+                    ["key", "v", "bound", "ids", "scores"],
                 )
 
-    found_schema = "leaf long, key long, v array<double>, bound double, ids array<long>, scores array<double>"
-    base = unique.select(F.lit(0).cast("long").alias("leaf"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), "v", "ids", F.lit(None).cast("double").alias("bound"))
+    found_schema = "key long, v array<double>, bound double, ids array<long>, scores array<double>"
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("long")
+    queries = lambda df: df.select(zero.alias("block"), F.lit(1).alias("kind"), zero.alias("leaf"), none("array<long>").alias("leaves"), "key", "v", none("array<long>").alias("ids"), "bound")
+    base = unique.select(zero.alias("block"), F.lit(0).alias("kind"), zero.alias("leaf"), none("array<long>").alias("leaves"), none("long").alias("key"), "v", "ids", none("double").alias("bound"))
     placed = materialize(base.mapInArrow(place, row), "vectors-placed")
-    first = lookups.select(F.lit(0).cast("long").alias("leaf"), F.lit(1).alias("kind"), "key", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(float("inf")).alias("bound")).mapInArrow(place, row)
-    by_leaf = lambda queries: spread(placed.unionByName(queries), "leaf").sortWithinPartitions("leaf", "kind").mapInArrow(visit, found_schema)
-    home = materialize(by_leaf(first), "neighbours-home")
-    onward = home.select("leaf", F.lit(1).alias("kind"), "key", "v", F.lit(None).cast("array<long>").alias("ids"), "bound").mapInArrow(fan_out, row)
-    found = home.select("key", "ids", "scores").unionByName(by_leaf(onward).select("key", "ids", "scores"))
+    by_block = lambda asking: spread(placed.unionByName(asking), "block").sortWithinPartitions("block", "kind", "leaf").mapInArrow(visit, found_schema)
+    home = materialize(by_block(queries(lookups.withColumn("bound", F.lit(float("inf")))).mapInArrow(place, row)), "neighbours-home")
+    near = materialize(by_block(queries(home).mapInArrow(fan_out(0, NEAR), row)), "neighbours-near")
+    # The bound of a query after these: that of its k + 1 best so far, itself included.
+    so_far = home.unionByName(near).groupBy("key").agg(F.min("bound").alias("bound"), F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k + 1).alias("best"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    known = F.greatest(F.lit(0.0), 2 * largest * (largest - F.element_at("best", -1) / size)) * (1 + 1e-9)
+    drawn_in = lookups.join(so_far, "key").withColumn("bound", F.when(F.size("best") > k, F.least("bound", known)).otherwise(F.col("bound")))
+    rest = by_block(queries(drawn_in).mapInArrow(fan_out(NEAR, None), row))
+    found = home.unionByName(near).unionByName(rest).select("key", "ids", "scores")
     hits = found.select("key", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("key", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"))
     top = hits.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     lists = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("hits"))

@@ -64,7 +64,8 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, who = np.empty(0, np.uint64), np.empty(0, np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
     few = np.flatnonzero((counts > 0) & (counts < WORDS))
-    rest = [sum((words[first[d] + i] * _WORD[i] for i in range(counts[d])), np.uint64(counts[d])) for d in few]
+    with np.errstate(over="ignore"):  # sums are modulo 2^64
+        rest = [sum((words[first[d] + i] * _WORD[i] for i in range(counts[d])), np.uint64(counts[d])) for d in few]
     return mix(np.concatenate([h, np.array(rest, np.uint64)])), np.concatenate([who, few])
 
 

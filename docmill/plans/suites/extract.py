@@ -77,7 +77,7 @@ def x9(spark, sf):
 
 
 RULED = "coalesce(text, '') || '. the level is at least ' || (doc_id % 7) || ' percent of all; over 5 % ok'"
-@register("x10_threshold_rules", rf"""with s as (select doc_id, list_transform(regexp_split_to_array(regexp_replace({RULED}, '([.;!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda x: {squeeze("regexp_replace(regexp_replace(x, '^`+|`+$', '', 'g'), '^\$+|\$+$', '', 'g')")}) as s from documents),
+@register("x10_threshold_rules", rf"""with s as (select doc_id, list_transform(regexp_split_to_array(regexp_replace({RULED}, '([.;!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda x: {squeeze(r"regexp_replace(regexp_replace(x, '^`+|`+$', '', 'g'), '^\$+|\$+$', '', 'g')")}) as s from documents),
  r as (select doc_id, list_filter(s, lambda x: regexp_matches(lower(x), '({"|".join(L.THRESHOLD_WORDS)})') and regexp_matches(lower(x), '[0-9]+([.,][0-9]+)? *({L.THRESHOLD_UNITS})') and len(regexp_extract_all(x, '[A-Za-zÀ-ÿ]+')) >= 5) as r from s)
  select doc_id, cast(generate_subscripts(r, 1) - 1 as int) as rank, unnest(r) as rule from r where len(list_distinct(r)) = len(r) and len(r) <= 8 and len(list_filter(r, lambda x: length(x) > 900)) = 0""")
 def x10(spark, sf):

@@ -302,10 +302,9 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, sample: int
                     continue
                 q, bound, turns = _rows(part.column("v")), part.column("bound").to_numpy().copy(), part.column("leaves").to_pylist()
                 out: list[list[tuple[float, int]]] = [[] for _ in turns]
-                for turn in range(max(map(len, turns))):
-                    asked = np.array([t[turn] if turn < len(t) else -1 for t in turns])
-                    for x in np.unique(asked[asked >= 0]).tolist():
-                        rows, there = np.flatnonzero(asked == x), made(x)
+                for x in sorted({x for t in turns for x in t}):
+                    rows, there = np.array([i for i, t in enumerate(turns) if x in t]), made(x)
+                    if len(rows):
                         products, at, tight = search(space, q[rows], there, k + 1, bound[rows], limit)
                         bound[rows] = tight
                         for n, i in enumerate(rows.tolist()):

@@ -10,6 +10,7 @@ from docmill.plans.suites import query as qs
 from docmill.plans.suites.extract import BEST_SQL, FORMULA_SQL, ORDER_SQL, filed, formula_sources
 from docmill.plans.suites.graph import CANON, EDGES, TOGETHER, raw_json
 from docmill.plans.suites.search import COSINE, INDEX, STOPS, WORDS, one_version
+from docmill.sources.shared import new_folder, stored
 
 
 @register("c1_ingest_corpus")
@@ -67,7 +68,8 @@ def c2m(spark, sf):
 #: What is asked in front of the first six words of an item.
 ASKS = ["", "which formulas are in the sources about ", "tabella di ", 'nel documento \"src3_1\" con evidenze di ', "page 1-2 of ", "mapping e crosswalk di normative, "]
 W6 = "array_to_string(string_split(text, ' ')[1:6], ' ')"
-TERM = "lower(string_split(text, ' ')[2])"
+#: An entity for each item: the longest word of what is asked about it, a rare one as names are.
+TERM = "(list_sort(list_transform(list_filter(string_split(lower(text), ' ')[1:6], lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]+$')), lambda w: {'n': -length(w), 'w': w})))[1].w"
 
 
 def c3_inputs(spark, sf):
@@ -75,11 +77,13 @@ def c3_inputs(spark, sf):
     first = F.expr("array_join(slice(split(text, ' '), 1, 6), ' ')")
     asks = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("item_id") % len(ASKS)).cast("int") + 1)
     q = b.select(F.col("item_id").alias("query_id"), F.concat(asks, first, F.lit(' "'), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')"), F.lit('"')).alias("query"))
-    term = F.lower(F.split("text", " ")[1])
-    entities = b.where(term.rlike(r"^[\p{L}\p{N}]+$")).groupBy(term.alias("id")).agg(F.min("item_id").alias("n")).select("id", F.when(F.col("n") % 3 == 0, "FORMULA").otherwise("TERM").alias("category"), F.lit("").alias("description"), F.concat(F.lit("x = "), F.col("n").cast("string")).alias("formula"), F.array().cast("array<string>").alias("synonyms"))
+    plain = F.filter(F.slice(F.split(F.lower("text"), " "), 1, 6), lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
+    term = F.get(F.array_sort(F.transform(plain, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 0)["w"]
+    entities = b.where(term.isNotNull()).groupBy(term.alias("id")).agg(F.min("item_id").alias("n")).select("id", F.when(F.col("n") % 3 == 0, "FORMULA").otherwise("TERM").alias("category"), F.lit("").alias("description"), F.concat(F.lit("x = "), F.col("n").cast("string")).alias("formula"), F.array().cast("array<string>").alias("synonyms"))
     c = fx.chunks(spark, sf).withColumn("toon_type", F.when(F.col("chunk_index") % 7 == 0, "table").otherwise("text"))
     held = one_version(spark, sf).select("chunk_uuid", F.explode(F.array_distinct(search.words(F.col("content")))).alias("id"))
-    mentions = held.join(entities.select("id"), "id", "left_semi")
+    entities = stored(entities, new_folder(spark, "entities"))
+    mentions = stored(held.join(entities.select("id"), "id", "left_semi"), new_folder(spark, "mentions"))  # a table, as a graph is
     edges = entities.alias("a").join(entities.alias("b"), F.length("a.id") == F.length("b.id") - 1).select(F.col("a.id").alias("source"), F.lit("REL_TO").alias("relation"), F.col("b.id").alias("target"))
     e = fx.table(spark, sf, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), "embedding")
@@ -106,7 +110,7 @@ C3 = f"""{fx.CHUNKS_SQL.replace("chunks as (", "allv as (")}, cur as (select chu
  sc as (select * from (select sr.query_id, sr.chunk_uuid, coalesce(sh.score, 0.001) as score, row_number() over (partition by sr.query_id order by coalesce(sh.score, 0.001) desc, ingestion_ts desc, sr.chunk_uuid) as r from sr left join sh on sh.query_id = sr.query_id and sh.chunk_uuid = sr.chunk_uuid) where r <= 80),
  vs as (select q.vec_id // 50 as query_id, v.vec_id || '_0' as chunk_uuid, round({COSINE}, 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0),
  vx as (select v.query_id, v.chunk_uuid, v.score from (select *, {TOP.format(order="score desc, chunk_uuid")} as r from vs) v join fac using (query_id) where r <= vector_k),
- ent as (select {TERM} as id, min(item_id) as n from benchmark where regexp_matches({TERM}, '^[\\p{{L}}\\p{{N}}]+$') group by 1), cw as (select chunk_uuid, unnest(list_distinct(w)) as id from (select chunk_uuid, {WORDS.format(c='content')} as w from c1)), men as (select chunk_uuid, id from cw join ent using (id)),
+ ent as (select {TERM} as id, min(item_id) as n from benchmark where {TERM} is not null group by 1), cw as (select chunk_uuid, unnest(list_distinct(w)) as id from (select chunk_uuid, {WORDS.format(c='content')} as w from c1)), men as (select chunk_uuid, id from cw join ent using (id)),
  tok as (select distinct query_id, unnest(gt) as t from fac), eh as (select distinct query_id, id from tok join (select id, id as t from ent union all select id, lower(case when n % 3 = 0 then 'FORMULA' else 'TERM' end) from ent) using (t)),
  chw as (select chunk_uuid, unnest(list_distinct(list_concat({WORDS.format(c='left(content, 1000)')}, {WORDS.format(c='filename')}))) as t from cur), ch as (select distinct query_id, chunk_uuid from tok join chw using (t)),
  gf as (select query_id, chunk_uuid, id from eh join men using (id) union select query_id, chunk_uuid, id from ch join men using (chunk_uuid)), gn as (select query_id, chunk_uuid, count(distinct id) as n from gf group by all),

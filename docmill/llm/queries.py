@@ -11,6 +11,7 @@ from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.common import hex64, table
 from docmill.llm.fingerprints import fingerprint_edits
 from docmill.llm.langid import held_out, identify, train
+from docmill.llm.mixing import mix_sources
 from docmill.llm.neighbours import nearest
 from docmill.llm.packing import pack_documents
 from docmill.llm.preferences import format_preferences
@@ -117,6 +118,12 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed by the weights 5, 2, 1 of their sources to 150 % of all words."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 _SQL["op4_preferences"] = """
 with t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,

@@ -20,6 +20,7 @@ from docmill.llm.secrets import find_secrets
 from docmill.llm.sharding import assign_shards
 from docmill.llm.simhash import near_duplicates
 from docmill.llm.vocab import added_tokens
+from docmill.llm.whitening import whiten
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -118,6 +119,12 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in their first four whitened components."""
+    return whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
 @_query
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by the weights 5, 2, 1 of their sources to 150 % of all words."""

@@ -15,6 +15,7 @@ from docmill.llm.mixing import mix_sources
 from docmill.llm.neighbours import nearest
 from docmill.llm.packing import pack_documents
 from docmill.llm.preferences import format_preferences
+from docmill.llm.repair import repair_conversations
 from docmill.llm.scoring import score_documents
 from docmill.llm.secrets import find_secrets
 from docmill.llm.sharding import assign_shards
@@ -131,6 +132,12 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+@_query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 _SQL["op4_preferences"] = """
 with t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,

@@ -102,7 +102,8 @@ def compact_sources(sources: DataFrame) -> DataFrame:
 
 
 def pack_context(sources: DataFrame, max_chars: int = 16_000, reserve: int = 50, least: int = 200) -> DataFrame:
-    """W-7. sources: query_id, pos, header, content. Blocks in order while they fit; the first that does not is cut, or dropped if little would be left, and packing ends."""
+    """W-7. sources: query_id, pos, header, content. Blocks in order while they fit; the first that does not is cut, or dropped if little would be left, and packing ends. A null header or content is empty."""
+    sources = sources.withColumns({c: F.coalesce(c, F.lit("")) for c in ("header", "content")})
     order = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     size = F.char_length("header") + F.char_length("content") + 2
     before = F.coalesce(F.sum(size).over(order), F.lit(0))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.operators import index
 from docmill.operators.chunk import windows
+from docmill.operators.search import latest_versions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,22 @@ c1 as (select doc_id || '_' || (b // 600) as chunk_uuid, doc_id, filename, cast(
 chunks as (select * from c1 union all select chunk_uuid, doc_id, filename, chunk_index, page_no, content || ' (rev)', tier, ingestion_ts + interval 1 day from c1 where doc_id % 10 = 0)"""
 
 
+_INDEXES: dict[tuple, index.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The stored index of the newest versions of all chunks, made once in a session for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build_index(with_types(latest_versions(chunks(spark, sf_dir))))
+    return _INDEXES[key]
+
+
+def with_types(rows: DataFrame) -> DataFrame:
+    """Every seventh chunk is a table."""
+    return rows.withColumn("toon_type", F.when(F.col("chunk_index") % 7 == 0, "table").otherwise("text"))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: the first six words of each benchmark text."""
     b = table(spark, sf_dir, "benchmark")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.operators import chunk, clean, extract, fuse, graph, maintain, query, report, search
+from docmill.operators import chunk, clean, extract, fuse, graph, index, maintain, query, report, search
 from docmill.sources.shared import new_folder, stored
 
 
@@ -77,41 +77,47 @@ def build_graph(raw: DataFrame, canon: DataFrame, chunks: DataFrame, kept: DataF
     return {"entities": entities, "mentions": graph.present_in(each), "edges": merged, "nodes": structure, "links": links, "rejected": rejected}
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | None = None, entities: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, rerank: DataFrame | None = None, aliases: dict[str, str] | None = None,
+def retrieve(queries: DataFrame, corpus: index.TextIndex | DataFrame, vector_hits: DataFrame | None = None, entities: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, rerank: DataFrame | None = None, aliases: dict[str, str] | None = None,
              glossary: str = "gloss", text_k: int = 60, phrase_k: int = 40, scope_k: int = 80, entity_k: int = 30, relation_k: int = 40, formula_k: int = 6, digits: int = 9) -> dict[str, DataFrame]:
     """C-3. All channels for all queries in one job.
 
-    queries: query_id, query, optionally active_doc. chunks: all versions (chunk_uuid, filename,
-    page_no, chunk_index, tier, toon_type, content, ingestion_ts). vector_hits: query_id,
-    chunk_uuid, score of K-1, as many as the widest limits ask for. entities: id, category,
-    description, formula, synonyms; mentions: id, chunk_uuid; edges: source, relation, target.
-    rerank: query_id, chunk_uuid, rerank_score.
+    queries: query_id, query, optionally active_doc. corpus: the stored index of the newest
+    chunks (see operators.index), with the columns chunk_uuid, filename, page_no, chunk_index,
+    tier, toon_type, ingestion_ts and texts; or a table of all versions, of which an index is
+    made first. vector_hits: query_id, chunk_uuid, score of K-1, as many as the widest limits
+    ask for. entities: id, category, description, formula, synonyms; mentions: id, chunk_uuid;
+    edges: source, relation, target, optionally props. rerank: query_id, chunk_uuid, rerank_score.
 
     Questions are understood first (X-18 to X-20, J-12). The channels are vectors, document
-    scope (K-6), exact phrases and glossary acronyms (K-4, K-5), text (K-3), and the graph's
-    entities and, for questions about formulas, formulas (J-9, J-10). They are merged (D-1),
+    scope (K-6), exact phrases and glossary acronyms, two chunks for each (K-4, K-5), text (K-3),
+    and the graph's entities and, for questions about formulas, formulas (J-9, J-10). They are merged (D-1),
     the first ten of a query, by channel and score, are expanded by what shares their entities (J-8), another document
     than the asked one is left out (P-15), and the rest is fused (W-6), boosted and ranked
-    (K-8), diversified by each query's own limits (W-5) and joined to texts (J-2).
+    (K-8), diversified by each query's own limits (W-5) and joined to texts (J-2). Relations
+    (J-11) are looked for four times as widely as they are kept, placed by their first mention,
+    narrowed by the question's concepts and tokens (A-8) and to its document.
 
     Returns sources (the chosen chunks, then one row of the formulas of a query and one of its
-    relations), relations (X-23) and tiers (A-6). Current versions and questions are worked out
-    once and written to the shared folder; ids travel until the end, not texts.
+    relations), relations (X-23) and tiers (A-6, with the hits of each channel). No text is read
+    before J-2, and only the chosen ones then. Questions, hits and choices are written to the
+    shared folder, in `folder`, which remove_folder deletes when the rows have been used.
     """
     spark = queries.sparkSession
-    asked = stored(query.understand_queries(queries, aliases), new_folder(spark, "questions"))
-    current = stored(search.latest_versions(chunks), new_folder(spark, "current"))
+    folder = new_folder(spark, "retrieve")
+    idx = corpus if isinstance(corpus, index.TextIndex) else index.build_index(search.latest_versions(corpus), f"{folder}/index")
+    asked = stored(query.understand_queries(queries, aliases), f"{folder}/questions")
+    current = index.current_docs(idx)
     terms = asked.select("query_id", F.col("search_terms").alias("terms"), F.col("document").alias("active_doc"))
-    index = search.inverted_index(current, asked=search.asked_terms(terms))
+    counts = stored(index.term_counts(idx, search.asked_terms(terms)), f"{folder}/counts")
     attrs = current.select("chunk_uuid", "filename", F.col("page_no").alias("page"), "tier", "toon_type")
 
     def channel(df: DataFrame, name: str) -> DataFrame:
         return df.select("query_id", "chunk_uuid", F.lit(name).alias("channel"), F.col("score").cast("double").alias("score"))
 
-    phrases = search.phrase_topk(asked.select("query_id", F.explode("exact_phrases").alias("phrase")), current, phrase_k)
-    acronyms = search.glossary_topk(asked.select("query_id", F.explode("acronyms").alias("alias")), current, glossary, 2)
-    scope = search.doc_scope_topk(terms, current, index, scope_k)
-    hits = channel(search.text_topk(terms, index, text_k, digits=digits), "text").unionByName(channel(phrases, "phrase")).unionByName(channel(acronyms, "phrase")).unionByName(channel(scope, "doc_scope"))
+    phrases = index.phrase_search(asked.select("query_id", F.explode("exact_phrases").alias("phrase")), idx, phrase_k)
+    acronyms = index.glossary_search(asked.select("query_id", F.explode("acronyms").alias("alias")), idx, glossary, 2)
+    scope = search.doc_scope_topk(terms, current, counts, scope_k)
+    hits = channel(search.text_topk(terms, counts, text_k, digits=digits), "text").unionByName(channel(phrases, "phrase")).unionByName(channel(acronyms, "phrase")).unionByName(channel(scope, "doc_scope"))
     if vector_hits is not None:
         near = vector_hits.join(asked.select("query_id", "vector_k"), "query_id")
         hits = hits.unionByName(channel(search.top(near.withColumn("score", F.round("score", digits)), 140, [F.desc("score"), F.col("chunk_uuid")]).where("rank <= vector_k"), "vector"))
@@ -120,25 +126,30 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | Non
         tokens = asked.select("query_id", F.explode("graph_tokens").alias("token"))
         named = entities.select(F.col("id").alias("entity_id"), F.col("id").alias("name"), "description", "category", "synonyms")
         held = mentions.select(F.col("id").alias("entity_id"), "chunk_uuid")
-        rows = current.select("chunk_uuid", "page_no", "chunk_index", "filename", F.substring("content", 1, 1000).alias("text"))
-        found = graph.search_entities(named, held, rows, tokens, entity_k)
+        in_heads = index.head_terms(idx, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token")
+        found = graph.search_entities(named, held, current, tokens, entity_k, in_heads)
         hits = hits.unionByName(channel(found.withColumn("score", F.col("n_entities")), "graph"))
         formulas = entities.where("category = 'FORMULA'").select(F.col("id").alias("formula_id"), F.col("id").alias("name"), F.col("formula").alias("latex"), F.lit("").alias("plain"), F.col("description").alias("meaning"))
         wanting = asked.where("is_formula_lookup").select("query_id")
-        placed = formulas.join(held.withColumnRenamed("entity_id", "formula_id"), "formula_id").join(rows.select("chunk_uuid", F.col("page_no").alias("page"), "chunk_index", "filename"), "chunk_uuid")
+        placed = formulas.join(held.withColumnRenamed("entity_id", "formula_id"), "formula_id").join(current.select("chunk_uuid", F.col("page_no").alias("page"), "chunk_index", "filename"), "chunk_uuid")
         by_chunk = placed.withColumn("formula_id", F.concat_ws("\n", "formula_id", "chunk_uuid"))
         seen = graph.search_formulas(by_chunk, held, tokens.join(wanting, "query_id", "left_semi"), formula_k)
         hits = hits.unionByName(channel(seen.withColumn("score", F.lit(1.0)), "graph"))
         if edges is not None:
-            relations = graph.search_relations(edges, named, tokens, relation_k)
-    merged = fuse.merge_candidates(stored(hits, new_folder(spark, "hits")).join(attrs, "chunk_uuid"))
+            wide = stored(graph.search_relations(edges, named, tokens, 4 * relation_k), f"{folder}/relations")
+            if "props" in edges.columns:
+                wide = wide.join(edges.select("source", "relation", "target", "props"), ["source", "relation", "target"])
+            asks = asked.select("query_id", "concepts", F.col("graph_tokens").alias("tokens"), "document")
+            relations = graph.narrow_relations(graph.place_relations(wide, held, current), asks, relation_k)
+    hits = stored(hits, f"{folder}/hits")
+    merged = fuse.merge_candidates(hits.join(attrs, "chunk_uuid"))
     if entities is not None:
         scores = [F.col(f"{c}_score") for c in fuse.CHANNELS]
         met = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(scores)])
         first = merged.withColumn("_o", met).withColumn("_s", F.coalesce(*scores))
         seeds = fuse.limit_per_group(first, ["query_id"], [F.col("_o"), F.desc("_s"), F.col("chunk_uuid")], 10).select("query_id", "chunk_uuid")
         more = graph.graph_neighbors(mentions.select(F.col("id").alias("entity_id"), "chunk_uuid").join(entities.select(F.col("id").alias("entity_id"), "category"), "entity_id"), seeds)
-        added = search.fetch_chunks_by_id(current, more).select("chunk_uuid").join(more, "chunk_uuid").join(merged.select("query_id", "chunk_uuid"), ["query_id", "chunk_uuid"], "left_anti")
+        added = more.join(current.where("not blank").select("chunk_uuid"), "chunk_uuid", "left_semi").join(merged.select("query_id", "chunk_uuid"), ["query_id", "chunk_uuid"], "left_anti")
         new = fuse.merge_candidates(channel(added.withColumn("score", F.lit(1.0)), "expansion").join(attrs, "chunk_uuid"))
         merged = merged.unionByName(new)
     scoped = clean.filter_requested_doc(merged, terms.select("query_id", "active_doc"))
@@ -157,17 +168,19 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vector_hits: DataFrame | Non
     )
     ranked = fuse.rank_candidates(boosted, 45, rerank, own_keep="rerank_k").withColumn("score", F.round("score", digits))
     chosen = fuse.diversify(ranked, F.col("max_page"), F.col("max_doc"), F.col("final_k")).select("query_id", "chunk_uuid", "filename", "page", "tier", "toon_type", "provenance", "score")
-    sources = fuse.enrich_candidates(stored(chosen, new_folder(spark, "chosen")), current, versions=False).select("query_id", "chunk_uuid", "filename", "page", "tier", "toon_type", "provenance", "score", "content")
-    tiers = fuse.tier_distribution(sources)
+    texts = attrs.select("chunk_uuid", "filename", F.col("page").alias("page_no"), "toon_type").join(index.current_texts(idx), "chunk_uuid")
+    sources = fuse.enrich_candidates(stored(chosen, f"{folder}/chosen"), texts, versions=False).select("query_id", "chunk_uuid", "filename", "page", "tier", "toon_type", "provenance", "score", "content")
+    tiers = fuse.tier_distribution(sources.drop("content"), hits)
     if formulas is not None:
         some = graph.attach_formulas(sources.join(wanting, "query_id", "left_semi").select("query_id", "chunk_uuid"), mentions.select(F.col("id").alias("entity_id"), "chunk_uuid"), formulas)
         sources = sources.unionByName(some.select("query_id", F.lit("graph").alias("chunk_uuid"), F.lit("KG").alias("filename"), F.lit(0).alias("page"), "tier", F.lit("formula").alias("toon_type"), F.lit("formulas").alias("provenance"), F.lit(0.0).alias("score"), "content"))
     if relations is not None:
-        readable = graph.relation_rows(relations.withColumns({"filename": F.lit("KG"), "page": F.lit(0)}).withColumnRenamed("relation", "_r").withColumnRenamed("_r", "relation"), ["query_id"])
-        line = F.concat_ws(" | ", "source", "relation", "target")
+        relations = graph.relation_rows(relations, ["query_id"])
+        readable = relations
+        line = F.concat_ws(" | ", "source", "relation", "target", "filename", F.col("page").cast("string"))
         listed = readable.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))  # at most relation_k lines
         sources = sources.unionByName(listed.select("query_id", F.lit("relations").alias("chunk_uuid"), F.lit("KG").alias("filename"), F.lit(0).alias("page"), F.lit("GRAPH").alias("tier"), F.lit("graph").alias("toon_type"), F.lit("relations").alias("provenance"), F.lit(0.0).alias("score"), "content"))
-    return {"sources": sources, "relations": relations, "tiers": tiers}
+    return {"sources": sources, "relations": relations, "tiers": tiers, "folder": folder}
 
 
 def formula_report(queries: DataFrame, sources: DataFrame, chunks: DataFrame | None = None, n: int = 10, extra: int = 18) -> dict[str, DataFrame]:

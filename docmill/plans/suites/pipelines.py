@@ -65,22 +65,19 @@ def c2m(spark, sf):
     return built(spark, sf)["mentions"]
 
 
-#: What is asked in front of the first six words of an item.
-ASKS = ["", "which formulas are in the sources about ", "tabella di ", 'nel documento \"src3_1\" con evidenze di ', "page 1-2 of ", "mapping e crosswalk di normative, "]
-W6 = "array_to_string(string_split(text, ' ')[1:6], ' ')"
-#: An entity for each item: the longest word of what is asked about it, a rare one as names are.
-TERM = "(list_sort(list_transform(list_filter(string_split(lower(text), ' ')[1:6], lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]+$')), lambda w: {'n': -length(w), 'w': w})))[1].w"
+#: What is asked in front of the text of an item.
+ASKS = ["", "which formulas are in the sources about ", "tabella di ", 'nel documento \"src3_1\" con evidenze di ', "page 1-2 of ", "mapping e crosswalk di normative, ", "the parts of THE, OF and CI in "]
+#: An entity for each item: the longest word of its text, a rare one as names are.
+TERM = "(list_sort(list_transform(list_filter(string_split(lower(text), ' '), lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]+$')), lambda w: {'n': -length(w), 'w': w})))[1].w"
 
 
 def c3_inputs(spark, sf):
     b = fx.table(spark, sf, "benchmark")
-    first = F.expr("array_join(slice(split(text, ' '), 1, 6), ' ')")
     asks = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("item_id") % len(ASKS)).cast("int") + 1)
-    q = b.select(F.col("item_id").alias("query_id"), F.concat(asks, first, F.lit(' "'), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')"), F.lit('"')).alias("query"))
-    plain = F.filter(F.slice(F.split(F.lower("text"), " "), 1, 6), lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
+    q = b.select(F.col("item_id").alias("query_id"), F.concat(asks, "text", F.lit(' "'), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')"), F.lit('"')).alias("query"))
+    plain = F.filter(F.split(F.lower("text"), " "), lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
     term = F.get(F.array_sort(F.transform(plain, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 0)["w"]
     entities = b.where(term.isNotNull()).groupBy(term.alias("id")).agg(F.min("item_id").alias("n")).select("id", F.when(F.col("n") % 3 == 0, "FORMULA").otherwise("TERM").alias("category"), F.lit("").alias("description"), F.concat(F.lit("x = "), F.col("n").cast("string")).alias("formula"), F.array().cast("array<string>").alias("synonyms"))
-    c = fx.chunks(spark, sf).withColumn("toon_type", F.when(F.col("chunk_index") % 7 == 0, "table").otherwise("text"))
     held = one_version(spark, sf).select("chunk_uuid", F.explode(F.array_distinct(search.words(F.col("content")))).alias("id"))
     entities = stored(entities, new_folder(spark, "entities"))
     mentions = stored(held.join(entities.select("id"), "id", "left_semi"), new_folder(spark, "mentions"))  # a table, as a graph is
@@ -88,7 +85,7 @@ def c3_inputs(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), "embedding")
     near = search.vector_topk(asked, e.select(F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_uuid"), "embedding"), 140, digits=6)
-    return q, c, near, entities, mentions, edges
+    return q, fx.text_index(spark, sf), near, entities, mentions, edges
 
 
 def c3_all(spark, sf):
@@ -98,12 +95,14 @@ def c3_all(spark, sf):
 
 TOP = "row_number() over (partition by query_id order by {order})"
 C3 = f"""{fx.CHUNKS_SQL.replace("chunks as (", "allv as (")}, cur as (select chunk_uuid, doc_id, filename, chunk_index, page_no, content, tier, ingestion_ts, case when chunk_index % 7 = 0 then 'table' else 'text' end as toon_type from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc) as n from allv) where n = 1),
- asked as (select item_id as query_id, (array[{", ".join(qs.quoted(a) for a in ASKS)}])[cast(item_id % {len(ASKS)} as int) + 1] || {W6} || ' "' || array_to_string(string_split(text, ' ')[2:4], ' ') || '"' as query from benchmark),
- ro as ({qs.routes_sql('asked', 'query_id, query, q')}), fac as (select *, {qs.DOCUMENT} as document, {qs.PHRASES} as phrases, {WORDS.format(c='query')} as st, list_concat({qs.GRAPH_TOKENS}, {qs.ROLES}) as gt, case when query_id % {len(ASKS)} = 4 then [1, 2] else [] end as pages from ro),
+ asked as (select item_id as query_id, (array[{", ".join(qs.quoted(a) for a in ASKS)}])[cast(item_id % {len(ASKS)} as int) + 1] || text || ' "' || array_to_string(string_split(text, ' ')[2:4], ' ') || '"' as query from benchmark),
+ ro as ({qs.routes_sql('asked', 'query_id, query, q')}), fac as (select *, {qs.DOCUMENT} as document, {qs.PHRASES} as phrases, {WORDS.format(c='query')} as st, list_concat({qs.GRAPH_TOKENS}, {qs.ROLES}) as gt, case when query_id % {len(ASKS)} = 4 then [1, 2] else [] end as pages, list_distinct(regexp_extract_all(query, '(?:^|[^A-Za-z0-9])([A-Z]{{2,8}})(?:[^A-Za-z0-9]|$)', 1)) as acronyms from ro),
  {INDEX.replace("from c1)", "from cur)")}, terms as (select distinct query_id, unnest(st) as term from fac),
  tx as (select query_id, chunk_uuid, round(sum(tf) * 0.1::double, 9) as score from idx join terms using (term) group by all), txk as (select * from (select *, {TOP.format(order="score desc, chunk_uuid")} as r from tx) where r <= 60),
  pht as (select distinct query_id, p from (select query_id, unnest(phrases) as p from fac)), ph as (select query_id, chunk_uuid, 2.0::double as score from (select *, {TOP.format(order="ingestion_ts desc, chunk_uuid")} as r from
   (select distinct query_id, chunk_uuid, ingestion_ts from cur join pht on contains(lower(content), p) and list_contains({WORDS.format(c='content')}, (list_sort(list_filter({WORDS.format(c='p')}, lambda x: length(x) = list_max(list_transform({WORDS.format(c='p')}, lambda y: length(y))))))[1]))) where r <= 40),
+ acr as (select query_id, unnest(acronyms) as alias from fac), gl as (select query_id, chunk_uuid, 3.0::double as score from (select *, row_number() over (partition by query_id, alias order by ingestion_ts desc, chunk_uuid) as r from
+  (select distinct query_id, alias, chunk_uuid, ingestion_ts from cur join acr on contains(lower(filename), 'src3') and regexp_matches(content, '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)'))) where r <= 2),
  want as (select query_id, regexp_replace(regexp_replace(lower(document), '\\.(pdf|md)$', ''), '[^a-z0-9]+', '', 'g') as want from fac), nam as (select distinct filename, regexp_replace(regexp_replace(lower(filename), '\\.(pdf|md)$', ''), '[^a-z0-9]+', '', 'g') as name from cur),
  sf as (select query_id, filename from want join nam on want != '' and (contains(name, want) or contains(want, name))), sr as (select query_id, c.chunk_uuid, c.ingestion_ts from sf join cur c using (filename)),
  sh as (select sr.query_id, sr.chunk_uuid, sum(tf) * 0.1::double as score from sr join idx using (chunk_uuid) join terms t on t.query_id = sr.query_id and t.term = idx.term group by all),
@@ -118,7 +117,7 @@ C3 = f"""{fx.CHUNKS_SQL.replace("chunks as (", "allv as (")}, cur as (select chu
  fh as (select distinct f.query_id, e.id, m.chunk_uuid, c.page_no, c.chunk_index from tok f join fac on fac.query_id = f.query_id and is_formula_lookup join ent e on n % 3 = 0 join men m on m.id = e.id join cur c on c.chunk_uuid = m.chunk_uuid
    where list_contains(list_concat(list_concat([e.id, 'x', cast(e.n as varchar)], {WORDS.format(c="e.id || chr(10) || m.chunk_uuid")}), {WORDS.format(c='c.filename')}), f.t)),
  fk as (select query_id, chunk_uuid, 1.0::double as score from (select *, row_number() over (partition by query_id order by page_no, chunk_index, id || chr(10) || chunk_uuid) as r from fh) where r <= 6),
- hits as (select query_id, chunk_uuid, 0 as o, score from vx union all select query_id, chunk_uuid, 1, score from sc union all select query_id, chunk_uuid, 2, score from ph union all select query_id, chunk_uuid, 3, score from txk union all select query_id, chunk_uuid, 4, score from gk union all select query_id, chunk_uuid, 4, score from fk),
+ hits as (select query_id, chunk_uuid, 0 as o, score from vx union all select query_id, chunk_uuid, 1, score from sc union all select query_id, chunk_uuid, 2, score from ph union all select query_id, chunk_uuid, 2, score from gl union all select query_id, chunk_uuid, 3, score from txk union all select query_id, chunk_uuid, 4, score from gk union all select query_id, chunk_uuid, 4, score from fk),
  mer as (select query_id, chunk_uuid, max(score) filter (o = 0) as v, max(score) filter (o = 1) as d, max(score) filter (o = 2) as p, max(score) filter (o = 3) as t, max(score) filter (o = 4) as g, null::double as x, list_sort(list_distinct(list(o))) as os from hits join cur using (chunk_uuid) group by all),
  seed as (select query_id, chunk_uuid from (select *, {TOP.format(order="os[1], coalesce(v, d, p, t, g) desc, chunk_uuid")} as r from mer) where r <= 10),
  sw as (select distinct query_id, id from seed join men using (chunk_uuid)), shd as (select query_id, chunk_uuid, count(*) as shared from sw join men using (id) group by all), nb as (select query_id, chunk_uuid from (select *, {TOP.format(order="shared desc, chunk_uuid")} as r from shd where shared >= 2 and not exists (select 1 from seed where seed.query_id = shd.query_id and seed.chunk_uuid = shd.chunk_uuid)) where r <= 4),
@@ -141,10 +140,22 @@ def c3(spark, sf):
     return out.select("query_id", "chunk_uuid", "filename", "page", "tier", "provenance", F.round("score", 6).alias("score"), "content")
 
 
-@register("c3_graph_sources", f"""with {C3}, fo as (select query_id, chunk_uuid, id, ent.n, row_number() over (partition by query_id, chunk_uuid order by id) as r from ch3 join fac using (query_id) join men using (chunk_uuid) join ent using (id) where ent.n % 3 = 0 and is_formula_lookup),
+#: The relations of each question: found widely, placed by their first mention, scored by concepts and tokens, and of the asked document.
+NARROW = f"""eg as (select a.id as source, b.id as target from ent a join ent b on length(a.id) = length(b.id) - 1), rh as (select query_id, source, target, count(distinct t) as hits from (select query_id, source, target, t from eg join (select query_id, id, t from tok join (select id, id as t from ent union all select id, lower(case when n % 3 = 0 then 'FORMULA' else 'TERM' end) from ent) using (t)) e on e.id = source or e.id = target) group by all),
+ wide as (select * from (select *, {TOP.format(order="hits desc, source, target")} as r from rh) where r <= 160), fm as (select id, min({{'f': filename, 'p': page_no, 'i': chunk_index, 'c': chunk_uuid}}) as at from men join cur using (chunk_uuid) group by id),
+ pl as (select query_id, source, target, r, coalesce(a.at.f, b.at.f, '') as filename, coalesce(a.at.p, b.at.p, 0) as page from wide left join fm a on a.id = source left join fm b on b.id = target),
+ na as (select pl.*, document, gt, concat_ws(' ', source, 'rel_to', target, filename) as tx, concepts from pl join fac using (query_id) join con using (query_id)),
+ nb2 as (select *, ' ' || array_to_string({WORDS.format(c='tx')}, ' ') || ' ' as tw from na), nc as (select *, len(list_filter(concepts, lambda c: contains(tw, ' ' || array_to_string({WORDS.format(c='c')}, ' ') || ' '))) as cs, len(list_filter(gt, lambda t: contains(tx, t))) as ts from nb2),
+ best as (select *, {TOP.format(order="cs desc, ts desc, r")} as b from nc where cs >= 1 or ts >= 2), rel as (select query_id, source, target, filename, page from best join want using (query_id)
+   where b <= 40 and (want = '' or (filename != '' and (contains(regexp_replace(regexp_replace(filename, '\\.md$', ''), '[^a-z0-9]+', '', 'g'), want) or contains(want, regexp_replace(regexp_replace(filename, '\\.md$', ''), '[^a-z0-9]+', '', 'g'))))))"""
+#: The concepts of these questions: what is quoted, and the acronyms.
+CONCEPTS = "con as (select query_id, list_distinct(list_concat(list_transform(regexp_extract_all(query, '\"([^\"]+)\"', 1), lambda c: lower(c)), list_transform(acronyms, lambda c: lower(c)))) as concepts from fac)"
+
+
+@register("c3_graph_sources", f"""with {C3}, {CONCEPTS}, fo as (select query_id, chunk_uuid, id, ent.n, row_number() over (partition by query_id, chunk_uuid order by id) as r from ch3 join fac using (query_id) join men using (chunk_uuid) join ent using (id) where ent.n % 3 = 0 and is_formula_lookup),
  fl as (select query_id, string_agg(line, chr(10) order by line) as content from (select distinct query_id, 'LaTeX: x = ' || n || ' | Plain:  | Meaning: ' as line from fo where r <= 6) group by 1),
- eg as (select a.id as source, b.id as target from ent a join ent b on length(a.id) = length(b.id) - 1), rh as (select query_id, source, target, count(distinct t) as hits from (select query_id, source, target, t from eg join (select query_id, id, t from tok join (select id, id as t from ent union all select id, lower(case when n % 3 = 0 then 'FORMULA' else 'TERM' end) from ent) using (t)) e on e.id = source or e.id = target) group by all),
- rl as (select query_id, string_agg(source || ' | rel to | ' || target, chr(10) order by source || ' | rel to | ' || target) as content from (select *, {TOP.format(order="hits desc, source, target")} as r from rh) where r <= 40 group by 1)
+ {NARROW},
+ rl as (select query_id, string_agg(line, chr(10) order by line) as content from (select distinct query_id, source || ' | rel to | ' || target || ' | ' || filename || ' | ' || page as line from rel) group by 1)
  select query_id, 'formula' as toon_type, content from fl union all select query_id, 'graph', content from rl""")
 def c3g(spark, sf):
     return c3_all(spark, sf)["sources"].where("filename = 'KG'").select("query_id", "toon_type", "content")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docmill.functions import lexicons as L
-from docmill.operators import search
+from docmill.operators import index, search
 from docmill.operators.clean import whole_words
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
@@ -58,6 +58,8 @@ def j12(spark, sf):
     return search.expand_tokens(q, CUES)
 
 
+#: The newest version of each chunk, which an index holds.
+NEWEST = "(select * from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc) as newest from chunks) where newest = 1)"
 WORDS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w != '')"
 INDEX = f"""w as (select chunk_uuid, {WORDS.format(c='content')} as w from c1), i0 as (select chunk_uuid, len(w) as length, unnest(w) as term from w), idx as (select term, chunk_uuid, length, count(*) as tf from i0 group by all)"""
 ASKED = f"""{fx.ASKED_SQL}, terms as (select distinct query_id, unnest({WORDS.format(c='query')}) as term from asked)"""
@@ -78,6 +80,12 @@ def k3(spark, sf):
     return search.text_topk(q, search.inverted_index(one_version(spark, sf), asked=search.asked_terms(q)), digits=6)
 
 
+@register("k3_text_indexed", f"""with {fx.CHUNKS_SQL}, newest as {NEWEST}, {INDEX.replace("from c1)", "from newest)")}, {ASKED}, s as (select query_id, chunk_uuid, cast(sum(tf) as bigint) * 0.1::double as score from idx join terms using (term) group by all)
+ select query_id, chunk_uuid, round(score, 6) as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_uuid) as rank from s) where rank <= 60""")
+def k3_indexed(spark, sf):
+    return index.text_search(asked_terms(spark, sf), fx.text_index(spark, sf), digits=6)
+
+
 @register("k3_bm25_topk", f"""with {fx.CHUNKS_SQL}, {INDEX}, {ASKED}, df as (select term, count(*) as df from idx group by term), m as (select avg(length) as mean from (select distinct chunk_uuid, length from idx)), n as (select count(*) as n from c1),
  s as (select query_id, chunk_uuid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score from idx join terms using (term) join df using (term), m, n group by all)
  select query_id, chunk_uuid, round(score, 5) as score from (select *, row_number() over (partition by query_id order by round(score, 5) desc, chunk_uuid) as rank from s) where rank <= 20""")
@@ -87,23 +95,50 @@ def k3b(spark, sf):
     return search.text_topk(q, search.inverted_index(c, asked=search.asked_terms(q)), 20, "bm25", n_chunks=n, mean_length=mean, digits=5).drop("rank")
 
 
-PHRASE = "array_to_string(string_split(text, ' ')[2:4], ' ')"
+#: Phrases of an item: every third word of its whole text with the two after it.
+PHRASE_SQL = "p as (select distinct query_id, phrase from (select *, row_number() over (partition by query_id order by phrase) as pn from (select distinct item_id as query_id, lower(array_to_string(w[i:i + 2], ' ')) as phrase from (select item_id, w, unnest(range(2, len(w), 3)) as i from (select item_id, string_split(text, ' ') as w from benchmark)))) where pn <= 12)"
+K4_SQL = f"""with {fx.CHUNKS_SQL}, {PHRASE_SQL}, pw as (select *, (list_sort(list_filter({WORDS.format(c='phrase')}, lambda x: length(x) = list_max(list_transform({WORDS.format(c='phrase')}, lambda y: length(y))))))[1] as main from p),
+ cw as (select chunk_uuid, ingestion_ts, lower(content) as low, unnest(list_distinct({WORDS.format(c='content')})) as main from SOME_CHUNKS),
+ h as (select distinct query_id, chunk_uuid, ingestion_ts from cw join pw using (main) where contains(low, phrase))
+ select query_id, chunk_uuid, 2.0::double as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by ingestion_ts desc, chunk_uuid) as rank from h) where rank <= 40"""
+
 
+def phrases(spark, sf):
+    cut = F.expr("explode(transform(filter(sequence(2, greatest(2, size(w)), 3), i -> i < size(w)), i -> array_join(slice(w, i, 3), ' ')))")
+    return fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("w")).select("query_id", cut.alias("phrase"))
 
-@register("k4_phrase_topk", f"""with {fx.CHUNKS_SQL}, p as (select item_id as query_id, lower({PHRASE}) as phrase from benchmark),
- h as (select distinct query_id, chunk_uuid, ingestion_ts from chunks join p on contains(lower(content), phrase) and list_contains({WORDS.format(c='content')}, (list_sort(list_filter({WORDS.format(c='phrase')}, lambda x: length(x) = list_max(list_transform({WORDS.format(c='phrase')}, lambda y: length(y))))))[1]))
- select query_id, chunk_uuid, 2.0::double as score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by ingestion_ts desc, chunk_uuid) as rank from h) where rank <= 40""")
+
+@register("k4_phrase_topk", K4_SQL.replace("SOME_CHUNKS", "chunks"))
 def k4(spark, sf):
-    p = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("array_join(slice(split(text, ' '), 2, 3), ' ')").alias("phrase"))
-    return search.phrase_topk(p, fx.chunks(spark, sf))
+    return search.phrase_topk(phrases(spark, sf), fx.chunks(spark, sf))
+
+
+#: Aliases of an item: its first words, and two of them in capitals, as acronyms are.
+ALIAS_SQL = "t as (select distinct item_id as query_id, unnest([string_split(text, ' ')[1], string_split(text, ' ')[2], string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4], upper(string_split(text, ' ')[2]), upper(string_split(text, ' ')[5])]) as alias from benchmark)"
+K5_SQL = f"""with {fx.CHUNKS_SQL}, {ALIAS_SQL}, g as (select * from SOME_CHUNKS where contains(lower(filename), 'src3')),
+ h as (select distinct query_id, alias, chunk_uuid, ingestion_ts from g join t on alias != '' and contains(lower(content), lower(alias)) and (not regexp_matches(alias, '^[A-Z0-9]{{2,8}}$') or regexp_matches(content, '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)')))
+ select query_id, alias, chunk_uuid, cast(rank as int) as rank from (select *, row_number() over (partition by query_id, alias order by ingestion_ts desc, chunk_uuid) as rank from h) where rank <= 2"""
 
 
-@register("k5_glossary_topk", f"""with {fx.CHUNKS_SQL}, t as (select * from (values (1, 'the'), (2, 'ment'), (3, 'A')) as v(query_id, alias)),
- h as (select distinct query_id, chunk_uuid, ingestion_ts from chunks join t on contains(filename, 'src3') and case when regexp_matches(alias, '^[A-Z0-9]{{2,8}}$') then regexp_matches(content, '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)') else contains(lower(content), lower(alias)) end)
- select query_id, chunk_uuid, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by ingestion_ts desc, chunk_uuid) as rank from h) where rank <= 5""")
+def aliases(spark, sf):
+    w = "split(text, ' ')"
+    each = F.expr(f"explode(array(get({w}, 0), get({w}, 1), get({w}, 2) || ' ' || get({w}, 3), upper(get({w}, 1)), upper(get({w}, 4))))")
+    return fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), each.alias("alias")).where("alias is not null").distinct()
+
+
+@register("k4_phrase_indexed", K4_SQL.replace("SOME_CHUNKS", NEWEST))
+def k4_indexed(spark, sf):
+    return index.phrase_search(phrases(spark, sf), fx.text_index(spark, sf))
+
+
+@register("k5_glossary_topk", K5_SQL.replace("SOME_CHUNKS", "chunks"))
 def k5(spark, sf):
-    t = spark.createDataFrame([(1, "the"), (2, "ment"), (3, "A")], "query_id int, alias string")
-    return search.glossary_topk(t, fx.chunks(spark, sf), "src3").drop("score")
+    return search.glossary_topk(aliases(spark, sf), fx.chunks(spark, sf), "src3", 2).drop("score")
+
+
+@register("k5_glossary_indexed", K5_SQL.replace("SOME_CHUNKS", NEWEST))
+def k5_indexed(spark, sf):
+    return index.glossary_search(aliases(spark, sf), fx.text_index(spark, sf), "src3", 2).drop("score")
 
 
 NORM = "regexp_replace(regexp_replace(lower({c}), '\\.(pdf|md)$', ''), '[^a-z0-9]+', '', 'g')"

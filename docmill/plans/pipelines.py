@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,34 +116,44 @@ def retrieve(queries: DataFrame, corpus: index.TextIndex | DataFrame, vector_hit
     def channel(df: DataFrame, name: str) -> DataFrame:
         return df.select("query_id", "chunk_uuid", F.lit(name).alias("channel"), F.col("score").cast("double").alias("score"))
 
-    phrases = index.phrase_search(asked.select("query_id", F.explode("exact_phrases").alias("phrase")), idx, phrase_k)
-    acronyms = index.glossary_search(asked.select("query_id", F.explode("acronyms").alias("alias")), idx, glossary, 2)
-    scope = search.doc_scope_topk(terms, current, counts, scope_k)
-    hits = channel(search.text_topk(terms, counts, text_k, digits=digits), "text").unionByName(channel(phrases, "phrase")).unionByName(channel(acronyms, "phrase")).unionByName(channel(scope, "doc_scope"))
+    # Channels don't depend on each other, so their jobs are handed to Spark at the same time.
+    found = {
+        "phrase": lambda: index.phrase_search(asked.select("query_id", F.explode("exact_phrases").alias("phrase")), idx, phrase_k),
+        "glossary": lambda: index.glossary_search(asked.select("query_id", F.explode("acronyms").alias("alias")), idx, glossary, 2),
+        "doc_scope": lambda: search.doc_scope_topk(terms, current, counts, scope_k),
+        "text": lambda: search.text_topk(terms, counts, text_k, digits=digits),
+    }
     if vector_hits is not None:
-        near = vector_hits.join(asked.select("query_id", "vector_k"), "query_id")
-        hits = hits.unionByName(channel(search.top(near.withColumn("score", F.round("score", digits)), 140, [F.desc("score"), F.col("chunk_uuid")]).where("rank <= vector_k"), "vector"))
-    relations = formulas = None
+        near = vector_hits.join(asked.select("query_id", "vector_k"), "query_id").withColumn("score", F.round("score", digits))
+        found["vector"] = lambda: search.top(near, 140, [F.desc("score"), F.col("chunk_uuid")]).where("rank <= vector_k")
+    formulas = wide = None
     if entities is not None:
         tokens = asked.select("query_id", F.explode("graph_tokens").alias("token"))
         named = entities.select(F.col("id").alias("entity_id"), F.col("id").alias("name"), "description", "category", "synonyms")
         held = mentions.select(F.col("id").alias("entity_id"), "chunk_uuid")
-        in_heads = index.head_terms(idx, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token")
-        found = graph.search_entities(named, held, current, tokens, entity_k, in_heads)
-        hits = hits.unionByName(channel(found.withColumn("score", F.col("n_entities")), "graph"))
+        in_heads = lambda: index.head_terms(idx, tokens.select(F.col("token").alias("term"))).withColumnRenamed("term", "token")
+        found["entity"] = lambda: graph.search_entities(named, held, current, tokens, entity_k, in_heads()).withColumn("score", F.col("n_entities"))
         formulas = entities.where("category = 'FORMULA'").select(F.col("id").alias("formula_id"), F.col("id").alias("name"), F.col("formula").alias("latex"), F.lit("").alias("plain"), F.col("description").alias("meaning"))
         wanting = asked.where("is_formula_lookup").select("query_id")
         placed = formulas.join(held.withColumnRenamed("entity_id", "formula_id"), "formula_id").join(current.select("chunk_uuid", F.col("page_no").alias("page"), "chunk_index", "filename"), "chunk_uuid")
         by_chunk = placed.withColumn("formula_id", F.concat_ws("\n", "formula_id", "chunk_uuid"))
-        seen = graph.search_formulas(by_chunk, held, tokens.join(wanting, "query_id", "left_semi"), formula_k)
-        hits = hits.unionByName(channel(seen.withColumn("score", F.lit(1.0)), "graph"))
+        found["formula"] = lambda: graph.search_formulas(by_chunk, held, tokens.join(wanting, "query_id", "left_semi"), formula_k).withColumn("score", F.lit(1.0))
         if edges is not None:
-            wide = stored(graph.search_relations(edges, named, tokens, 4 * relation_k), f"{folder}/relations")
-            if "props" in edges.columns:
-                wide = wide.join(edges.select("source", "relation", "target", "props"), ["source", "relation", "target"])
-            asks = asked.select("query_id", "concepts", F.col("graph_tokens").alias("tokens"), "document")
-            relations = graph.narrow_relations(graph.place_relations(wide, held, current), asks, relation_k)
-    hits = stored(hits, f"{folder}/hits")
+            wide = lambda: stored(graph.search_relations(edges, named, tokens, 4 * relation_k), f"{folder}/relations")
+    names = {"glossary": "phrase", "entity": "graph", "formula": "graph"}
+    with ThreadPoolExecutor(4) as pool:
+        wide = pool.submit(wide) if wide else None
+        made = [pool.submit(lambda n=n, f=f: stored(channel(f(), names.get(n, n)), f"{folder}/hits/of={n}")) for n, f in found.items()]
+        each, wide = [m.result() for m in made], wide.result() if wide else None
+    relations = None
+    if wide is not None:
+        if "props" in edges.columns:
+            wide = wide.join(edges.select("source", "relation", "target", "props"), ["source", "relation", "target"])
+        asks = asked.select("query_id", "concepts", F.col("graph_tokens").alias("tokens"), "document")
+        relations = graph.narrow_relations(graph.place_relations(wide, held, current), asks, relation_k)
+    hits = each[0]
+    for more in each[1:]:
+        hits = hits.unionByName(more)
     merged = fuse.merge_candidates(hits.join(attrs, "chunk_uuid"))
     if entities is not None:
         scores = [F.col(f"{c}_score") for c in fuse.CHANNELS]

@@ -66,7 +66,7 @@ def c2m(spark, sf):
 
 
 #: What is asked in front of the text of an item.
-ASKS = ["", "which formulas are in the sources about ", "tabella di ", 'nel documento \"src3_1\" con evidenze di ', "page 1-2 of ", "mapping e crosswalk di normative, ", "the parts of THE, OF and CI in "]
+ASKS = ["", "which formulas are in the sources about ", "tabella di ", 'nel documento \"src3_1\" con evidenze di ', "page 1-2 of ", "mapping e crosswalk di normative, ", "the parts of THRE, NDLY and CI in "]
 #: An entity for each item: the longest word of its text, a rare one as names are.
 TERM = "(list_sort(list_transform(list_filter(string_split(lower(text), ' '), lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]+$')), lambda w: {'n': -length(w), 'w': w})))[1].w"
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docmill.functions import lexicons as L
-from docmill.operators import index, search
+from docmill.operators import index, search, vectors
 from docmill.operators.clean import whole_words
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
@@ -173,8 +173,13 @@ def topk_sql(extra: str, k: int) -> str:
 
 
 def embedded(spark, sf):
+    """Queries and vectors; of every third vector there are copies that must not be found: without its last entry, with NaN, with a null, as zeros."""
     e = fx.table(spark, sf, "embeddings")
-    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_uuid"), "embedding", F.expr("element_at(array('A', 'B', 'C'), cast(vec_id % 3 as int) + 1)").alias("tier"))
+    v = e.select(F.col("vec_id").alias("chunk_uuid"), "embedding", F.expr("element_at(array('A', 'B', 'C'), cast(vec_id % 3 as int) + 1)").alias("tier"))
+    first = lambda x: f"transform(embedding, (x, i) -> if(i = 0, cast({x} as float), x))"
+    bad = v.where("chunk_uuid % 3 = 0").withColumn("bad", F.expr(f"array(slice(embedding, 1, size(embedding) - 1), {first("'NaN'")}, {first('null')}, transform(embedding, x -> float(0)), null)"))
+    bad = bad.select("chunk_uuid", F.posexplode("bad").alias("n", "embedding"), "tier").select((-1 - F.col("chunk_uuid") * 5 - F.col("n")).alias("chunk_uuid"), "embedding", "tier")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.unionByName(bad)
 
 
 @register("k1_vector_topk", topk_sql("", 100))
@@ -187,6 +192,20 @@ def k2(spark, sf):
     return search.vector_topk_filtered(*embedded(spark, sf), "A", 15, digits=6)
 
 
+@register("k1_vector_indexed")
+def k1_indexed(spark, sf):
+    q, v = embedded(spark, sf)
+    made = vectors.build_index(v)
+    return vectors.search(made, q, 100, vectors.probes_for(made, 100), digits=6)
+
+
+@register("k1_vector_all_cells", topk_sql("", 100))
+def k1_all_cells(spark, sf):
+    q, v = embedded(spark, sf)
+    made = vectors.build_index(v)
+    return vectors.search(made, q, 100, made.cells, digits=6)
+
+
 @register("j15_fetch_chunks", f"with {fx.CHUNKS_SQL} select chunk_uuid, trim(content) as payload_text from c1 where trim(content) != ''")
 def j15(spark, sf):
     c = one_version(spark, sf)

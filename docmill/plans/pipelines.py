@@ -11,33 +11,51 @@ from docmill.operators import chunk, clean, extract, fuse, graph, index, maintai
 from docmill.sources.shared import new_folder, stored
 
 
-def pages_of(files: DataFrame, taxonomy: DataFrame, page_chars: int = 1800) -> DataFrame:
-    """The first half of C-1. files: doc_id, filename, path, text, ingest_date, ingestion_ts. Chunks before they are numbered: doc_id, filename, ingestion_ts, page_no, pos, text, section_hint.
+def pages_of(files: DataFrame, page_chars: int = 1800) -> DataFrame:
+    """The first half of C-1. files: doc_id (different for each row), filename, text. Chunks before they are numbered: doc_id, page_no, pos, text, section_hint.
 
-    Markdown files are cleaned and cut by sections; other texts are normalised, cut into pages
-    of page_chars characters with the end of the page before, and these recursively.
+    Markdown files are cleaned and cut by sections; other texts, those without a file name too,
+    are normalised, cut into pages of page_chars characters with the end of the page before, and these recursively.
     """
-    markdown = F.lower("filename").endswith(".md")
-    marked = chunk.chunk_markdown(files.where(markdown).select("doc_id", "filename", "text")).select("doc_id", F.lit(1).alias("page_no"), F.col("chunk_index").alias("pos"), F.col("chunk").alias("text"), "section_hint")
-    plain = clean.normalize_whitespace(clean.normalize_unicode(files.where(~markdown).select("doc_id", "filename", "text")))
+    markdown = F.coalesce(F.lower("filename").endswith(".md"), F.lit(False))
+    rows = files.select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"), "text", markdown.alias("_md"))
+    marked = chunk.chunk_markdown(rows.where("_md").drop("_md")).select("doc_id", F.lit(1).alias("page_no"), F.col("chunk_index").alias("pos"), F.col("chunk").alias("text"), "section_hint")
+    plain = clean.normalize_whitespace(clean.normalize_unicode(rows.where("not _md").drop("_md")))
     paged = plain.select("doc_id", "filename", F.posexplode(chunk.windows(F.col("text"), page_chars, 0)).alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
     hinted = chunk.section_hints(chunk.page_overlap(paged))
     cut = chunk.chunk_recursive(hinted.select("doc_id", "page_no", "section_hint", F.col("text_sem").alias("text"))).select("doc_id", "page_no", "pos", F.col("chunk").alias("text"), "section_hint")
-    return marked.unionByName(cut).join(files.select("doc_id", "filename", "ingestion_ts"), "doc_id")
+    return marked.unionByName(cut)
 
 
 def ingest_corpus(files: DataFrame, taxonomy: DataFrame, existing: DataFrame | None = None, sidecars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """C-1. files: doc_id, filename, path (folders), text, ingest_date, ingestion_ts; of a folder of files see sources.files.scan_text_corpus. Chunks with tier, topics, type and identity, upserted into existing; and the status of each document."""
-    placed = extract.dispatch_tiers(files.select("doc_id", "path", "ingest_date"), taxonomy, sidecars)
-    scored = files.select("doc_id", F.concat_ws(" ", "filename", F.replace("path", F.lit("/"), F.lit(" "))).alias("text"))
+    """C-1. files: doc_id, filename, path (folders), text, ingest_date, ingestion_ts, and optionally started and ended; of a folder of files see sources.files.scan_text_corpus. Chunks with tier, topics, type and identity, upserted into existing; and the status of each file (doc_id, filename, status, chunks, milliseconds).
+
+    A file is a row: whatever its doc_id and name, null or shared with others, it has chunks,
+    windows and a status of its own. Rows that are equal in doc_id, filename, path and text are one file.
+    A null doc_id becomes a hash of name, path and text. A file whose pages have no more than 40
+    characters, or whose Markdown sections have fewer, has no chunks and is FAILED; without
+    started and ended its milliseconds are null.
+    """
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "filename", "path", "text")]
+    key = F.sha2(F.concat_ws("\x01", *said), 256)
+    rows = files.withColumn("_file", key).dropDuplicates(["_file"])
+    own = rows.select(F.col("_file").alias("doc_id"), "filename", "path", "text", "ingest_date")
+    if sidecars is not None:
+        sidecars = rows.select("_file", "doc_id").join(sidecars, "doc_id").drop("doc_id").withColumnRenamed("_file", "doc_id")
+    placed = extract.dispatch_tiers(own.select("doc_id", "path", "ingest_date"), taxonomy, sidecars)
+    scored = own.select("doc_id", F.concat_ws(" ", "filename", F.replace("path", F.lit("/"), F.lit(" "))).alias("text"))
     topics = extract.tag_topics(scored).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda t: t["topic"]), ",").alias("topics"))
-    once = chunk.assign_chunk_index(chunk.dedupe_page_chunks(pages_of(files, taxonomy), 1))
-    typed = clean.classify_chunk_type(once.withColumn("toon_type", F.lit("text")).withColumn("image_id", F.lit(None).cast("long"))).drop("toon_type").withColumnRenamed("chunk_type", "toon_type")
-    named = chunk.chunk_ids(typed).join(placed, "doc_id", "left").join(topics, "doc_id", "left")
-    rows = named.select("chunk_uuid", "doc_id", "filename", "page_no", "chunk_index", "toon_type", "section_hint", "tier", "ontology", F.coalesce("topics", F.lit("")).alias("topics"), F.col("text").alias("content"), "ingestion_ts")
-    stored = rows if existing is None else maintain.upsert_chunks(existing, rows)
-    status = report.ingestion_summary(files.select("doc_id", F.col("ingestion_ts").alias("started"), F.col("ingestion_ts").alias("ended")), rows)
-    return stored, status
+    once = chunk.assign_chunk_index(chunk.dedupe_page_chunks(pages_of(own), 1))
+    typed = clean.classify_chunk_type(once.withColumn("toon_type", F.lit("text")).withColumn("image_id", F.lit(None).cast("long")).withColumn("filename", F.lit(""))).drop("toon_type", "filename").withColumnRenamed("chunk_type", "toon_type")
+    kept = rows.select(F.col("_file").alias("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.substring("_file", 1, 32)).alias("_id"), F.col("doc_id").alias("_own"), "filename", "ingestion_ts")
+    full = typed.join(kept, "doc_id").join(placed, "doc_id", "left").join(topics, "doc_id", "left")
+    named = chunk.chunk_ids(full.withColumnRenamed("doc_id", "_file").withColumnRenamed("_id", "doc_id")).drop("doc_id").withColumnRenamed("_own", "doc_id")
+    out = stored(named.select("_file", "chunk_uuid", "doc_id", "filename", "page_no", "chunk_index", "toon_type", "section_hint", "tier", "ontology", F.coalesce("topics", F.lit("")).alias("topics"), F.col("text").alias("content"), "ingestion_ts"), new_folder(files.sparkSession, "ingested"))
+    chunks = out.drop("_file")
+    table = chunks if existing is None else maintain.upsert_chunks(existing, chunks)
+    times = [F.col(c) if c in files.columns else F.lit(None).cast("timestamp").alias(c) for c in ("started", "ended")]
+    status = report.ingestion_summary(rows.select(F.col("_file").alias("doc_id"), *times), out.select(F.col("_file").alias("doc_id")))
+    return table, rows.select(F.col("_file"), "doc_id", "filename").join(status.withColumnRenamed("doc_id", "_file"), "_file").drop("_file")
 
 
 def build_graph(raw: DataFrame, canon: DataFrame, chunks: DataFrame, kept: DataFrame | None = None, formula_json: DataFrame | None = None) -> dict[str, DataFrame]:

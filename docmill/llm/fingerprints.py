@@ -130,29 +130,41 @@ def pack(low: np.ndarray, any_word: np.ndarray) -> list[str]:
 
 
 def with_next(docs: DataFrame, rows_per_part: int = 500, parts_per_task: int = 8, most_parts: int = 32_768) -> DataFrame:
-    """(part, tail, key, doc_id, text): parts of consecutive doc_ids, each followed by the first rows of the next part (tail).
+    """(part, tail, key, id, doc_id, text, n): parts of consecutive documents, each followed by the first row of the next part (tail). n: how many equal rows a row stands for.
 
-    Boundaries are quantiles of doc_id, so a part has about rows_per_part rows, more only beyond
-    most_parts parts; several parts share a task, which evens out its size. The driver sees two
-    numbers for each part. Texts are shuffled once.
+    Documents are ordered by doc_id, then by a hash of the text. Boundaries are quantiles of
+    doc_id, and even steps of the hash within a doc_id that many rows share, so a part has about
+    rows_per_part rows, more only beyond most_parts parts. Many equal rows are counted before
+    the shuffle and sent once. Several parts share a task, which evens out its size. The driver
+    sees a few numbers for each part. Texts are shuffled once.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("id", F.lit(0).cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("id", F.xxhash64("text"))
     spark = docs.sparkSession
-    ids = rows.select("key", "id")
+    ids = rows.select("key")
     n = ids.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(tasks, min(most_parts, math.ceil(n / rows_per_part)))
+    share = max(rows_per_part, math.ceil(n / parts))
     tasks = max(tasks, math.ceil(parts / parts_per_task))
     cuts = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts + 10_000).alias("q")).first().q or []
-    part = range_number([(c, 0) for c in sorted(set(cuts))])
-    lowest = sorted((r.part, r.low) for r in ids.withColumn("part", part).groupBy("part").agg(F.min("key").alias("low")).collect())
+    hot = ids.groupBy("key").count().where(F.col("count") > 2 * share).collect()  # at most half as many as parts
+    inside = {(r.key, -(1 << 63) + (i << 64) // k) for r in hot for k in [math.ceil(r["count"] / share)] for i in range(1, k)}
+    part = range_number(sorted({(c, -(1 << 63)) for c in cuts} | inside))
+    lowest = sorted((r.part, tuple(r.low)) for r in rows.select("key", "id").withColumn("part", part).groupBy("part").agg(F.min(F.struct("key", "id")).alias("low")).collect())
     before = {low: lowest[i - 1][0] for i, (_, low) in enumerate(lowest)}  # of the first part: the last
-    own = rows.select(part.cast("int").alias("part"), F.lit(False).alias("tail"), "key", "doc_id", "text")
+    columns = ["part", "tail", "key", "id", "doc_id", "text", "n"]
+    own = rows.select(part.cast("int").alias("part"), F.lit(False).alias("tail"), "key", "id", "doc_id", "text", F.lit(1).cast("long").alias("n"))
+    if hot:
+        equal = [tuple(r) for r in rows.where(F.col("key").isin([r.key for r in hot])).groupBy("key", "id").count().where(F.col("count") > share).select("key", "id").collect()]  # fewer than parts
+        if equal:
+            many = F.broadcast(spark.createDataFrame(equal, "key long, id long"))
+            counted = own.join(many, ["key", "id"], "left_semi").groupBy("part", "tail", "key", "id", "doc_id", "text").agg(F.count("*").alias("n"))
+            own = own.join(many, ["key", "id"], "left_anti").select(*columns).unionByName(counted)
     if not before:
         return own
-    firsts = spark.createDataFrame([(k, v) for k, v in before.items()], "key long, part int")
-    tails = rows.drop("id").join(F.broadcast(firsts), "key").select("part", F.lit(True).alias("tail"), "key", "doc_id", "text")
-    return own.unionByName(tails).repartition(tasks, "part").sortWithinPartitions("part", "tail", "key", "text")
+    firsts = spark.createDataFrame([(*k, v) for k, v in before.items()], "key long, id long, part int")
+    tails = rows.join(F.broadcast(firsts), ["key", "id"]).groupBy("part", "key", "id", "doc_id").agg(F.min("text").alias("text")).withColumn("tail", F.lit(True)).withColumn("n", F.lit(1).cast("long"))
+    return own.select(*columns).unionByName(tails.select(*columns)).repartition(tasks, "part").sortWithinPartitions("part", "tail", "key", "id", "text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -164,19 +176,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited_fingerprint string, near_edited double, near_next double.
 
     Edge cases: a null text is empty; null doc_ids come first; rows with one doc_id are ordered
-    by text; a single document is its own next; texts without words have the fingerprint
+    by a hash of the text, then by text, and equal rows follow each other; a single document is its own next; texts without words have the fingerprint
     `empty`; equal texts have equal fingerprints; an empty table gives an empty result.
 
-    A task holds a few megabytes of texts at a time and needs no more than one row beyond its
-    part, so it is bounded for any input.
+    A task holds about a megabyte of texts at a time, or one text of any length and its next,
+    and needs no more than one row beyond its part. Many equal rows are worked out as one.
     """
     import hashlib
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(run: list[tuple]) -> pa.RecordBatch:
-            """run: (doc_id, text, whether its next is the row after it); the last row only serves as next."""
+            """run: (doc_id, text, whether its next is the row after it, for how many rows); the last row only serves as next."""
             texts = [r[1] for r in run]
             plain, has = fingerprints([t.encode() for t in texts])
             at = [i for i, r in enumerate(run) if r[2]]
@@ -195,27 +207,34 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 pa.array(pack(low, any_word), pa.string()),
                 pa.array(likeness(plain[here], has[here], low, any_word), pa.float64()),
                 pa.array(likeness(plain[here], has[here], plain[nxt], has[nxt]), pa.float64()),
+                pa.array([run[i][3] for i in at], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies"])
 
         run: list[tuple] = []
         size, now, closed = 0, None, False
         for batch in batches:
-            for part, tail, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("tail").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for part, tail, doc_id, text, n in zip(batch.column("part").to_pylist(), batch.column("tail").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("n").to_pylist(), strict=True):
                 if part != now:
                     now, closed = part, False
                 elif closed:
                     continue
                 text = text.as_py()
                 closed = tail
-                run.append((doc_id, text, not tail))
+                if n > 1:  # all but the last are followed by one that is equal
+                    run.append((doc_id, text, True, n - 1))
+                run.append((doc_id, text, not tail, 1))
                 size += len(text) + 64
                 if size > 1 << 20 or len(run) > 1000:
                     if len(run) > 1:
-                        yield out([*run[:-1], (*run[-1][:2], False)])
+                        yield out([*run[:-1], (*run[-1][:2], False, 1)])
                     run, size = ([] if tail else run[-1:]), 0
         if len(run) > 1:
             yield out(run)
 
-    ordered = with_next(docs).select("part", "tail", "doc_id", "text")
-    return ordered.mapInArrow(work, schema)
+    ordered = with_next(docs).select("part", "tail", "doc_id", "text", "n")
+    found = ordered.mapInArrow(work, schema)
+    # Equal rows have equal results: they are dealt out again in runs.
+    runs = found.select("*", F.explode(F.expr("sequence(1L, copies, 4096L)")).alias("run"))
+    each = runs.select("*", F.explode(F.expr("sequence(run, least(copies, run + 4095L))")).alias("_copy"))
+    return each.drop("copies", "run", "_copy")

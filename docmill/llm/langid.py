@@ -84,9 +84,9 @@ def bucket_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def sample_features(labelled: DataFrame, idf: np.ndarray, per_language: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(language, order, buckets, weights) of about per_language texts of each language, drawn by a hash of doc_id and text."""
+    """(language, order, buckets, weights) of about per_language different texts of each language, drawn by a hash of doc_id and text. Rows that are equal in these are one, so the draw is bounded whatever is repeated."""
     drawn = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1 << 40))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    counts = {r.lang: r["count"] for r in labelled.select("lang", drawn.alias("drawn")).distinct().groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return []
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, per_language / n) * (1 << 40)))])
@@ -101,7 +101,8 @@ def sample_features(labelled: DataFrame, idf: np.ndarray, per_language: int) ->
     rows = (
         labelled.withColumn("drawn", drawn)
         .where(F.col("drawn") < share[F.col("lang")])
-        .select("lang", "drawn", "text")
+        .groupBy("lang", "drawn")
+        .agg(F.min("text").alias("text"))
         .mapInArrow(work, "lang string, drawn long, at binary, x binary")
         .collect()
     )

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docmill.llm import fingerprints as fp
 
@@ -53,6 +54,24 @@ def test_repeated_rows_and_single_rows(spark):
     assert fp.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hot_ids_and_copies_are_dealt_out(spark):
+    """Many rows under one doc_id, a third of them equal: no part is much larger than others, and every row has its result."""
+    rows = [(None, f"text number {i} of many {i * i}") for i in range(1500)] + [(None, "the same text again")] * 1500 + [(i, f"own {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = fp.with_next(df, rows_per_part=100).where("not tail").groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 300
+    assert fp.with_next(df, rows_per_part=100).where("tail").groupBy("part").count().where("count > 1").count() == 0
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    want = []
+    for i, (doc, text) in enumerate(order):
+        k = len(text) // 2
+        want.append((-1 if doc is None else doc, hashlib.sha256((text[: len(text) - k] + order[(i + 1) % len(order)][1][:k]).encode()).hexdigest()))
+    got = fp.fingerprint_edits(df).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.edited_sha256) for r in got) == sorted(want)
+    assert fp.with_next(df, rows_per_part=100).where("not tail").select(F.sum("n")).first()[0] == len(rows)
+
+
 def test_words_are_hashed_by_their_bytes():
     texts = [b"Some words, some WORDS", b"", b"words\tsome\x0bx", b"x" * 300]
     hashes, counts = fp.word_hashes(texts)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -57,6 +58,64 @@ def test_accuracy_on_held_out_documents(spark):
     assert right >= 0.9 * total > 0
 
 
+def test_copies_of_one_row_are_drawn_once(spark):
+    hot = spark.range(20000).selectExpr("case when id < 15000 then 7 else id end as doc_id", "case when id < 15000 then 'the same text' else concat('text ', id) end as text", "'aa' as lang")
+    rows = langid.sample_features(hot, np.ones((1 << langid.BITS)), 100)
+    assert len({r[1] for r in rows}) == len(rows) and 50 < len(rows) < 200
+
+
+def plain_ftrl(rows, languages, size, epochs, alpha, beta, l1, l2):
+    """One weight at a time, by the update's definition."""
+    z, n = ([[0.0] * len(languages) for _ in range(size + 1)] for _ in range(2))
+
+    def weight(i, c):
+        a, b = (0.0, 0.0) if i == size else (l1, l2)
+        return 0.0 if abs(z[i][c]) <= a else -(z[i][c] - math.copysign(a, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + b)
+
+    for _ in range(epochs):
+        for lang, _, at, x in rows:
+            pairs = [*zip(at, x, strict=True), (size, 1.0)]
+            w = {i: [weight(i, c) for c in range(len(languages))] for i, _ in pairs}
+            s = [sum(v * w[i][c] for i, v in pairs) for c in range(len(languages))]
+            e = [math.exp(v - max(s)) for v in s]
+            for i, v in pairs:
+                for c, name in enumerate(languages):
+                    g = v * (e[c] / sum(e) - (name == lang))
+                    z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha * w[i][c]
+                    n[i][c] += g * g
+    return [[weight(i, c) for c in range(len(languages))] for i in range(size + 1)]
+
+
+def made_rows(seed, n):
+    rng = np.random.default_rng(seed)
+    return [(("aa", "bb", "cc")[int(rng.integers(3))], i, np.sort(rng.choice(20, int(rng.integers(1, 6)), replace=False)), rng.random(1)[0] * np.ones(1)) for i in range(n)]
+
+
+def test_training_against_a_plain_loop():
+    rows = [(lang, i, at, np.resize(x, len(at))) for lang, i, at, x in made_rows(1, 60)]
+    for l1 in (0.02, 1.0):
+        weights, bias = langid.train_ftrl(rows, ["aa", "bb", "cc"], 20, 3, l1=l1)
+        want = np.array(plain_ftrl(rows, ["aa", "bb", "cc"], 20, 3, 0.5, 1.0, l1, 0.02))
+        np.testing.assert_allclose(np.vstack([weights, bias]), want, atol=1e-10)
+    assert (want[:20] == 0).any() and not (want[20] == 0).any()
+
+
+def test_temperature_against_a_grid():
+    rows = [(lang, i, at, np.resize(x, len(at))) for lang, i, at, x in made_rows(2, 80)]
+    rng = np.random.default_rng(3)
+    weights, bias = rng.normal(size=(20, 3)) * 3, rng.normal(size=3)
+
+    def loss(t):
+        total = 0.0
+        for lang, _, at, x in rows:
+            s = (x @ weights[at] + bias) / t
+            total += math.log(sum(math.exp(v) for v in s)) - s[["aa", "bb", "cc"].index(lang)]
+        return total
+
+    best = min((math.exp(k / 200) for k in range(-600, 601)), key=loss)
+    assert langid.calibrate(rows, ["aa", "bb", "cc"], weights, bias) == pytest.approx(best, rel=0.01)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.train(empty, ~langid.held_out())

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from docmill.functions.models import with_scorer
-from docmill.operators import maintain, report
+from docmill.operators import extract, maintain, report
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
 from docmill.sources import files
 from docmill.sources.shared import new_folder
-from docmill.streaming import ingest
+from docmill.streaming import ingest, snapshots
 
 
 def scratch(spark) -> str:
@@ -197,6 +197,21 @@ def st1(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@register("st1_stream_corpus", "select doc_id, tier, status from (select doc_id, (['A', 'B', 'C'])[cast(doc_id % 3 as int) + 1] as tier, case when length(t) > 40 then 'DONE' else 'FAILED' end as status from (select doc_id, left(trim(regexp_replace(coalesce(text, ''), '[^\\x21-\\x7e]+', ' ', 'g')), 1800) as t from documents))")
+def st1_corpus(spark, sf):
+    """Documents of printable ASCII, each run of other characters one space, arriving as files of a stream."""
+    base = scratch(spark)
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x21-\x7e]+", " "))
+    folder = F.element_at(F.array(*map(F.lit, fx.FOLDERS)), (F.col("doc_id") % 3).cast("int") + 1)
+    files = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), folder.alias("path"), text.alias("text"), F.lit("2024-05-01").cast("date").alias("ingest_date"), F.lit("2024-05-01").cast("timestamp").alias("ingestion_ts"))
+    files.repartition(4).write.parquet(f"{base}/inbox")
+    ingest.drain(ingest.stream_corpus(spark, f"{base}/inbox", f"{base}/table", f"{base}/status", f"{base}/ck", extract.taxonomy(spark), files_per_trigger=2))
+    chunks = snapshots.read_table(spark, f"{base}/table", "chunk_uuid", "ingestion_ts").select("doc_id", "tier").distinct()
+    states = spark.read.parquet(f"{base}/status").select("doc_id", "status")
+    own = fx.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, "ABC")), (F.col("doc_id") % 3).cast("int") + 1).alias("own"))
+    return states.join(chunks, "doc_id", "left").join(own, "doc_id").select("doc_id", F.coalesce("tier", "own").alias("tier"), "status")
+
+
 def sliced(spark, sf, base):
     """Events as five arriving files, by time."""
     e = fx.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("status"), "value")
@@ -207,7 +222,7 @@ def sliced(spark, sf, base):
 @register("st2_stream_upsert", "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc) as n from events) where n = 1")
 def st2(spark, sf):
     base = scratch(spark)
-    ingest.drain(ingest.stream_upsert(sliced(spark, sf, base), f"{base}/table", f"{base}/ck", "user_id", "ts"))
+    ingest.drain(ingest.stream_upsert(sliced(spark, sf, base), f"{base}/table", f"{base}/ck", "user_id", "ts", compact_after=2))
     return ingest.read_upserted(spark, f"{base}/table", "user_id", "ts").select("user_id", "event_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators.chunk import chunk_fixed
 from docmill.operators.clean import normalize_whitespace
-from docmill.operators.maintain import last_by_key
+from docmill.streaming import snapshots
 
 
 def ingest_chunks(docs: DataFrame) -> DataFrame:
@@ -24,20 +24,35 @@ def stream_ingest(spark: SparkSession, inbox: str, out: str, checkpoint: str, sc
     return ingest_chunks(docs).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_upsert(stream: DataFrame, table: str, checkpoint: str, key: str, order: str):
-    """ST-2. Keeps the last row of each key, by order, in Parquet: every batch appends its last rows under its own id, and read_upserted() resolves them.
+def stream_corpus(spark: SparkSession, inbox: str, table: str, status: str, checkpoint: str, taxonomy: DataFrame, sidecars: DataFrame | None = None, files_per_trigger: int = 8):
+    """ST-1 with all steps of C-1: each new Parquet file of the inbox (doc_id, filename, path, text, ingest_date, ingestion_ts) is dispatched, cleaned, cut, typed and named as pipelines.ingest_corpus does, by joins with the static taxonomy and sidecars.
 
-    A batch that runs again overwrites its own folder, so the table stays the same.
+    Chunks go to the snapshot table `table` (see snapshots), so a file that comes again replaces
+    its chunks; the status of each file to a folder for each batch below `status`, which a
+    batch that runs again overwrites.
     """
+    from docmill.plans.pipelines import ingest_corpus
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        last_by_key(batch, key, [F.desc(order)]).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        rows, states = ingest_corpus(batch, taxonomy, sidecars=sidecars)
+        states.write.mode("overwrite").parquet(f"{status}/batch={batch_id}")
+        snapshots.put(rows, batch_id, table, "chunk_uuid", "ingestion_ts")
+
+    files = spark.readStream.schema("doc_id long, filename string, path string, text string, ingest_date date, ingestion_ts timestamp").option("maxFilesPerTrigger", files_per_trigger).parquet(inbox)
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_upsert(stream: DataFrame, table: str, checkpoint: str, key: str, order: str, compact_after: int = 8):
+    """ST-2. Keeps the last row of each key, by order, in a snapshot table (see snapshots): a batch that runs again, after a crash too, leaves the table equal, and every compact_after batches it is compacted, so a read sorts no more than these."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        snapshots.put(batch, batch_id, table, key, order, compact_after)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_upserted(spark: SparkSession, table: str, key: str, order: str) -> DataFrame:
-    return last_by_key(spark.read.parquet(table), key, [F.desc(order), F.desc("batch")]).drop("batch")
+    return snapshots.read_table(spark, table, key, order)
 
 
 def stream_dedupe(stream: DataFrame, key: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -108,3 +108,13 @@ METRIC_WORDS = [
     "score", "scoring", "punteggio", "calculation", "calculation model", "calcolo", "modello di calcolo", "mean time", "tempo medio", "index", "indice", "ratio", "coverage", "copertura", "maturity", "maturità", "severity", "severità",
 ]
 REQUESTED_METRICS = ["cvss", "rischio", "risk", "maturità", "maturity", "copertura", "coverage", "severity", "severità"]
+
+# What makes a page a candidate for charts, and for formulas (words as patterns, then marks).
+CHART_PAGE_WORDS = [
+    "chart", "graph", "figure", "plot", "diagram", "heatmap", "risk matrix", "control matrix", "dashboard", "flowchart", "network diagram", "architecture", "timeline", "asset inventory", "axis", "legend",
+    "grafico", "grafica", "figura", "plot", "diagramma", "matrice rischi", "matrice di rischio", "matrice controlli", "dashboard", "cruscotto", "flusso", "rete", "architettura", "timeline", "inventario asset", "asse", "legenda",
+]
+FORMULA_PAGE_PATTERNS = [
+    "formulae\\s+sheet", "maths\\s+tables", "cvss", "risk\\s+score", "impact\\s*[x×*]\\s*likelihood", "inherent\\s+risk", "residual\\s+risk", "rto", "rpo", "control\\s+effectiveness", "maturity\\s+score", "sla", "severity\\s+score",
+    "2c0d", "standard\\s+deviation", "likelihood", "impact", "exposure", "[\\u2200-\\u22FF]", "[∑∏∫√=≈≠≤≥→↔∩∪∞±×÷]", "[•–—˜]",
+]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.operators.clean import clean_markdown, strip
+from docmill.operators.clean import clean_markdown, normalize_unicode, strip
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
@@ -114,6 +114,29 @@ def chunk_markdown(docs: DataFrame, least: int = 40, tokens: int = 1024) -> Data
     )
 
 
+def chunk_markdown_pages(docs: DataFrame, most: int = 1200, size: int = 1000, overlap: int = 200, carry: bool = True) -> DataFrame:
+    """X-5 by virtual pages. docs: doc_id, filename, text. Cleaned Markdown in paragraphs, those over `most` characters in fixed windows: doc_id, filename, page_no, chunk_index, section_hint, text, chunk (with a header of document and beginning).
+
+    A paragraph's page is the number of its own `# PAGE n`, else of the last one before it in the
+    document, else 1; with carry=False a paragraph without a mark is on page 1. Null names are
+    empty; a null text has no chunks.
+    """
+    named = docs.select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"), "text")
+    parts = F.filter(F.transform(F.split("text", r"\n(?=# PAGE)|\n\n"), strip), lambda s: s != "")
+    rows = clean_markdown(named).select("doc_id", "filename", F.posexplode(parts).alias("section", "part"))
+    own = F.regexp_extract("part", r"# PAGE ([0-9]+)", 1)
+    mark = F.when(own != "", own.try_cast("int"))
+    order = Window.partitionBy("doc_id", "filename").orderBy("section")
+    page = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) if carry else mark
+    paged = rows.withColumn("page_no", F.coalesce(page, F.lit(1)))
+    cuts = F.when(F.char_length("part") <= most, F.array("part")).otherwise(windows(F.col("part"), size, overlap))
+    each = paged.select("doc_id", "filename", "page_no", "section", F.posexplode(cuts).alias("pos", "text"))
+    hinted = section_hints(normalize_unicode(each))
+    head = F.concat(F.lit("Doc: "), "filename", F.lit(" | Content: "), F.substring("text", 1, 80), F.lit("...\n"), "text")
+    index = F.row_number().over(Window.partitionBy("doc_id", "filename").orderBy("section", "pos")) - 1
+    return hinted.select("doc_id", "filename", "page_no", index.alias("chunk_index"), "section_hint", "text", head.alias("chunk"))
+
+
 def section_hints(pages: DataFrame) -> DataFrame:
     """X-6. The first of the first 15 non-blank lines that looks like a heading; empty without one."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r"), strip), lambda ln: ln != "")

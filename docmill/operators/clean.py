@@ -132,6 +132,12 @@ def flag_kg_candidates(df: DataFrame, keywords: list[str] = L.KEYWORDS) -> DataF
     return df.withColumns({"kg_candidate": (F.char_length(text) >= 300) & (((nouns >= 1) & (found >= 1)) | (found >= 3)), "keyword_present": found > 0})
 
 
+def flag_page_candidates(df: DataFrame) -> DataFrame:
+    """P-9 for pages. chart_candidate: a word of charts and diagrams stands in the text; formula_candidate: a word or mark of mathematics does, anywhere."""
+    text = F.coalesce("text", F.lit(""))
+    return df.withColumns({"chart_candidate": text.rlike(keyword_pattern(L.CHART_PAGE_WORDS)), "formula_candidate": text.rlike("(?i)(" + "|".join(L.FORMULA_PAGE_PATTERNS) + ")")})
+
+
 def classify_chunk_type(df: DataFrame) -> DataFrame:
     """P-10. Reads toon_type, image_id and text."""
     kind, text = F.lower(F.trim(F.coalesce("toon_type", F.lit("")))), F.coalesce("text", F.lit(""))

@@ -164,6 +164,22 @@ def definition_snippets(hits: DataFrame) -> DataFrame:
     )
 
 
+def best_definitions(terms: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """X-21 by term. terms: query_id, term, and optionally alias (several rows a term; else the term itself). hits: query_id, alias, chunk_uuid, rank of K-5. texts: chunk_uuid, content, filename, page_no, one version of each.
+
+    One row for each term of a query: the best hit of its aliases, by rank, then alias, with the
+    definition found there; terms without a hit stay, with found false and no definition. Texts
+    are joined to the best hits only.
+    """
+    named = terms if "alias" in terms.columns else terms.withColumn("alias", F.col("term"))
+    best = Window.partitionBy("query_id", "term").orderBy(F.col("rank").asc_nulls_last(), "alias", "chunk_uuid")
+    one = named.select("query_id", "term", "alias").distinct().join(hits.select("query_id", "alias", "chunk_uuid", "rank"), ["query_id", "alias"], "left")
+    first = one.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "rank")
+    told = first.join(texts.select("chunk_uuid", F.col("content").alias("text"), "filename", F.col("page_no").alias("page")), "chunk_uuid", "left")
+    found = definition_snippets(told)
+    return found.select("query_id", "term", "chunk_uuid", "filename", "page", F.when(F.col("chunk_uuid").isNotNull(), F.col("snippet")).alias("definition"), F.col("chunk_uuid").isNotNull().alias("found"))
+
+
 LATEX = r"(?s)(?<!\\)(\$\$.*?\$\$|\$[^$\n]{2,300}\$)"
 EQUATION = r"(?i)\b([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9_\-/ ]{1,80})\s*=\s*([^;\n]{2,260})"
 METRIC_NAME = "^[-*• ]*([A-Za-zÀ-ÿ0-9_/ -]{2,80}) *[:=–-]"

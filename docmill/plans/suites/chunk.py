@@ -38,6 +38,13 @@ def x5(spark, sf):
     return chunk.chunk_markdown(paragraphs(spark, sf), tokens=150)
 
 
+@register("x5_markdown_pages")
+def x5_pages(spark, sf):
+    """Documents that begin with the mark of their second page."""
+    d = paragraphs(spark, sf)
+    return chunk.chunk_markdown_pages(d.withColumn("text", F.concat(F.lit("# PAGE 2\n\n"), F.coalesce("text", F.lit("")))))
+
+
 @register("x6_section_hints", f"""with {fx.PAGES_SQL}, l as (select doc_id, page_no, list_filter((list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r'), lambda x: {STRIP % 'x'}), lambda x: x != ''))[1:15],
  lambda x: length(x) between 4 and 90 and length(x) - length(replace(x, '.', '')) <= 1 and not ends_with(x, '.')) as good from pg) select doc_id, page_no, coalesce(good[1], '') as section_hint from l""")
 def x6(spark, sf):

@@ -97,6 +97,19 @@ def p9(spark, sf):
     return clean.flag_kg_candidates(fx.table(spark, sf, "documents"), WORDS).select("doc_id", "kg_candidate", "keyword_present")
 
 
+CHART_SQL = "(?i)(^|[^\\p{L}\\p{N}_])(" + "|".join(L.CHART_PAGE_WORDS) + ")([^\\p{L}\\p{N}_]|$)"
+MARKED = "case doc_id % 9 when 0 then text || ' see the Risk Matrix.' when 1 then 'graphs, ' || text when 2 then text || ' cvss' when 3 then text || ' 1 ≤ 2' else text end"
+
+
+FORMULA_PAGE_SQL = "(?i)(" + "|".join(p for p in L.FORMULA_PAGE_PATTERNS if "u2200" not in p) + "|[" + chr(0x2200) + "-" + chr(0x22FF) + "])"
+
+
+@register("p9_page_candidates", f"""select doc_id, coalesce(regexp_matches(t, '{CHART_SQL}'), false) as chart_candidate, coalesce(regexp_matches(t, '{FORMULA_PAGE_SQL}'), false) as formula_candidate from (select doc_id, {MARKED} as t from documents)""")
+def p9_pages(spark, sf):
+    d = fx.table(spark, sf, "documents").withColumn("text", F.expr(MARKED))
+    return clean.flag_page_candidates(d).select("doc_id", "chart_candidate", "formula_candidate")
+
+
 KIND = "(['formula', 'Chart', 'imagine', 'tabella', 'testo'])[cast(doc_id % 5 as int) + 1]"
 RICH = "case when doc_id % 7 = 0 then '![x] ' || text when doc_id % 11 = 0 then '|--- ' || text else text end"
 

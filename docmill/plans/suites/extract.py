@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from docmill.functions import lexicons as L
-from docmill.operators import extract
+from docmill.operators import extract, index
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
 from docmill.plans.suites.clean import squeeze
+from docmill.plans.suites.search import ALIAS_SQL, NEWEST, aliases
 
 TAX = "tax as (select * from (values " + ", ".join(str(t) for t in L.TAXONOMY) + ") as v(folder, tier, content_type, source_kind))"
 MACRO = "(['TIER_A_NORMATIVE', 'TIER_B_GOVERNANCE', 'TIER_C_EVIDENCES', 'other'])[cast(doc_id % 4 as int) + 1]"
@@ -93,6 +94,18 @@ def x21(spark, sf):
     return extract.definition_snippets(d).select("doc_id", "snippet")
 
 
+@register("x21_best_definitions", f"""with {fx.CHUNKS_SQL}, {ALIAS_SQL}, g as (select * from {NEWEST} where contains(lower(filename), 'src3')),
+ h as (select distinct query_id, alias, chunk_uuid, filename, page_no, content, ingestion_ts from g join t on alias != '' and contains(lower(content), lower(alias)) and (not regexp_matches(alias, '^[A-Z0-9]{{2,8}}$') or regexp_matches(content, '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)'))),
+ b as (select * from (select *, row_number() over (partition by query_id, alias order by ingestion_ts desc, chunk_uuid) as r from h) where r = 1),
+ p as (select t.query_id, t.alias as term, chunk_uuid, filename, page_no as page, content, string_split(content, chr(10)) as ln, list_position(list_transform(string_split(content, chr(10)), lambda x: contains(lower(x), lower(t.alias))), true) as pos, instr(lower(content), lower(t.alias)) as spot from t left join b using (query_id, alias))
+ select query_id, term, chunk_uuid, filename, page, case when pos > 0 then substring(array_to_string(ln[pos:pos + 4], chr(10)), 1, 900) when spot > 0 then substring(content, greatest(spot - 160, 1), 1060) else substring(content, 1, 900) end as definition, chunk_uuid is not null as found from p""")
+def x21_best(spark, sf):
+    idx = fx.text_index(spark, sf)
+    t = aliases(spark, sf)
+    texts = index.current_docs(idx).select("chunk_uuid", "filename", "page_no").join(index.current_texts(idx), "chunk_uuid")
+    return extract.best_definitions(t.withColumn("term", F.col("alias")), index.glossary_search(t, idx, "src3", 1), texts)
+
+
 def formula_sources(spark, sf):
     """One source for each part, with a line of every kind; every third stands for the graph, every second is a formula source."""
     p = fx.table(spark, sf, "part")

@@ -114,7 +114,7 @@ def k4(spark, sf):
 
 
 #: Aliases of an item: its first words, and two of them in capitals, as acronyms are.
-ALIAS_SQL = "t as (select distinct item_id as query_id, unnest([string_split(text, ' ')[1], string_split(text, ' ')[2], string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4], upper(string_split(text, ' ')[2]), upper(string_split(text, ' ')[5])]) as alias from benchmark)"
+ALIAS_SQL = "t as (select distinct item_id as query_id, unnest([string_split(text, ' ')[1], string_split(text, ' ')[2], string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4], upper(replace(string_split(text, ' ')[2], 'ß', 'ss')), upper(replace(string_split(text, ' ')[5], 'ß', 'ss'))]) as alias from benchmark)"
 K5_SQL = f"""with {fx.CHUNKS_SQL}, {ALIAS_SQL}, g as (select * from SOME_CHUNKS where contains(lower(filename), 'src3')),
  h as (select distinct query_id, alias, chunk_uuid, ingestion_ts from g join t on alias != '' and contains(lower(content), lower(alias)) and (not regexp_matches(alias, '^[A-Z0-9]{{2,8}}$') or regexp_matches(content, '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)')))
  select query_id, alias, chunk_uuid, cast(rank as int) as rank from (select *, row_number() over (partition by query_id, alias order by ingestion_ts desc, chunk_uuid) as rank from h) where rank <= 2"""
@@ -122,7 +122,7 @@ K5_SQL = f"""with {fx.CHUNKS_SQL}, {ALIAS_SQL}, g as (select * from SOME_CHUNKS
 
 def aliases(spark, sf):
     w = "split(text, ' ')"
-    each = F.expr(f"explode(array(get({w}, 0), get({w}, 1), get({w}, 2) || ' ' || get({w}, 3), upper(get({w}, 1)), upper(get({w}, 4))))")
+    each = F.expr(f"explode(array(get({w}, 0), get({w}, 1), get({w}, 2) || ' ' || get({w}, 3), upper(replace(get({w}, 1), 'ß', 'ss')), upper(replace(get({w}, 4), 'ß', 'ss'))))")
     return fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), each.alias("alias")).where("alias is not null").distinct()
 
 

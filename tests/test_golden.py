@@ -1,6 +1,7 @@
 """Hand-written rows and properties of single operators."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -170,6 +171,40 @@ def test_markdown_chunks(spark):
     assert rows and all(r.chunk.startswith("Doc: p.md | Sezione: ") for r in rows) and not any("Index" in r.chunk for r in rows)
 
 
+def test_virtual_pages_against_a_plain_loop(spark):
+    """Paragraphs take the page of the last mark before them; those over 1,200 characters are cut at 1,000 with 200 of overlap."""
+    rng = random.Random(12)
+    rows = []
+    for d in range(12):
+        parts = []
+        for i in range(rng.randrange(1, 9)):
+            mark = f"# PAGE {rng.randrange(1, 40)}\n" if rng.random() < 0.4 else ""
+            parts.append(mark + "".join(rng.choice("abcd ") for _ in range(rng.choice([30, 500, 1200, 1201, 2300]))).strip() + "x")
+        rows.append((d, rng.choice(["a.md", None]), "\n\n".join(parts)))
+    got = chunk.chunk_markdown_pages(spark.createDataFrame([*rows, (99, "n.md", None)], "doc_id long, filename string, text string"))
+    cleaned = {r.doc_id: r.text for r in clean.clean_markdown(spark.createDataFrame(rows, "doc_id long, filename string, text string")).collect()}
+    for carry, found in ((True, got), (False, chunk.chunk_markdown_pages(spark.createDataFrame(rows, "doc_id long, filename string, text string"), carry=False))):
+        want = []
+        for d, name, _ in rows:
+            page, n = 1, 0
+            for part in [p.strip() for p in re.split(r"\n(?=# PAGE)|\n\n", cleaned[d]) if p.strip()]:
+                mark = re.search(r"# PAGE (\d+)", part)
+                page = int(mark[1]) if mark else page if carry else 1
+                for begin in range(0, len(part), 800) if len(part) > 1200 else (0,):
+                    text = " ".join((part[begin : begin + 1000] if len(part) > 1200 else part).split())
+                    want.append((d, page, n, text, f"Doc: {name or ''} | Content: {text[:80]}...\n{text}"))
+                    n += 1
+        assert sorted((r.doc_id, r.page_no, r.chunk_index, r.text, r.chunk) for r in found.collect()) == sorted(want)
+
+
+def test_best_definitions_keep_terms_without_hits(spark):
+    terms = spark.createDataFrame([(1, "MFA", "MFA"), (1, "MFA", "multi-factor"), (1, "RTO", "RTO"), (2, "MFA", "MFA")], "query_id int, term string, alias string")
+    hits = spark.createDataFrame([(1, "MFA", "c2", 2), (1, "multi-factor", "c1", 1), (2, "MFA", "c2", 1)], "query_id int, alias string, chunk_uuid string, rank int")
+    texts = spark.createDataFrame([("c1", "x\nMulti-factor means two proofs.\nmore", "g.md", 4), ("c2", "MFA: see above", "g.md", 5)], "chunk_uuid string, content string, filename string, page_no int")
+    got = {(r.query_id, r.term): (r.page, r.definition, r.found) for r in extract.best_definitions(terms, hits, texts).collect()}
+    assert got == {(1, "MFA"): (4, "Multi-factor means two proofs.\nmore", True), (1, "RTO"): (None, None, False), (2, "MFA"): (5, "MFA: see above", True)}
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "chunk_uuid string, v int")
     new = spark.createDataFrame([("a", 9), ("c", 4)], "chunk_uuid string, v int")

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries without SQL, whose operators have tests of their own.
-ROWS_ONLY = {"p3_normalize_unicode", "x2_chunk_paragraphs", "x3_chunk_soft", "x4_chunk_recursive", "x5_chunk_markdown", "c1_ingest_corpus", "k1_vector_indexed"}
+ROWS_ONLY = {"p3_normalize_unicode", "x2_chunk_paragraphs", "x3_chunk_soft", "x4_chunk_recursive", "x5_chunk_markdown", "x5_markdown_pages", "c1_ingest_corpus", "k1_vector_indexed"}
 
 
 @pytest.fixture(scope="module")

@@ -285,3 +285,6 @@ PRIVILEGED_ASKED = ["account privilegiati", "account privilegiato", "privileged
 PRIVILEGED = [*PRIVILEGED_ASKED, "utenze privilegiate", "utenze con privilegi", "privilegi amministrativi", "administrative privileges"]
 UNAUTHORIZED_ASKED = ["accesso non autorizzato", "unauthorized access"]
 UNAUTHORIZED = ["accesso non autorizzato", "rischio di accesso non autorizzato", "unauthorized access", "unauthorized access risk", "rischio di accesso"]
+
+# What asks for a chain of several relations, inside a word too.
+MULTI_HOP = ["multi-hop", "multihop", "catena", "percorso", "path", "traversamento", "chain", "traversal"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.operators.clean import doc_name, squeeze
+from docmill.sources.shared import new_folder, stored
 
 #: The order in which channels give a candidate its attributes.
 CHANNELS = ["vector", "doc_scope", "phrase", "text", "graph", "expansion"]
@@ -132,6 +133,26 @@ def force_tier_a(sources: DataFrame, queries: DataFrame, tier_a: DataFrame) -> D
     return sources.select("query_id", "pos", "tier", "content").unionByName(made)
 
 
+def search_tier_a(sources: DataFrame, queries: DataFrame, vectors: DataFrame, texts: DataFrame, k: int = 15, digits: int | None = None, folder: str | None = None) -> DataFrame:
+    """D-9 with its route and its search. sources: query_id, pos, tier, content. queries: query_id, query, embedding. vectors: chunk_uuid, embedding, tier. texts: chunk_uuid, content.
+
+    Questions that X-20 sends to tier A, checklists apart, and that have no source of it get
+    one at pos 0: the texts of the k nearest vectors of tier A (K-2), the nearest first, blank
+    ones left out. A null query asks for nothing; a query without a usable vector, or whose
+    texts are all blank, gets no source. Only lacking questions are searched for. They and
+    their hits are written to the shared folder, in `folder`.
+    """
+    from docmill.operators.query import route_queries
+    from docmill.operators.search import vector_topk_filtered
+
+    folder = folder or new_folder(queries.sparkSession, "tier-a")
+    routed = route_queries(queries).where("is_tier_a and not is_checklist").select("query_id", "embedding")
+    lacking = stored(routed.join(sources.where("upper(tier) = 'A'").select("query_id").distinct(), "query_id", "left_anti"), f"{folder}/lacking")
+    hits = stored(vector_topk_filtered(lacking, vectors, "A", k, digits).select("query_id", "chunk_uuid", "rank"), f"{folder}/hits")
+    found = hits.join(texts.select("chunk_uuid", "content").where(F.trim("content") != ""), "chunk_uuid").select("query_id", "rank", "content")
+    return force_tier_a(sources, lacking.select("query_id", F.lit(True).alias("audit")), found)
+
+
 def tier_distribution(sources: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """A-6. Sources of each query by tier, and the range of their scores; with hits (query_id, channel) also the candidates of each channel."""
     tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t.lower()}") for t in ("A", "B", "C", "GRAPH", "USER")]

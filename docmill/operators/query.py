@@ -175,6 +175,11 @@ def split_concepts(segment: Column) -> Column:
     return F.filter(F.transform(parts, clean_concept), lambda c: c != "")
 
 
+def asks_chain(q: Column) -> Column:
+    """X-19: whether a lower-case question asks for a chain of relations."""
+    return has(q, C.MULTI_HOP)
+
+
 def graph_concepts(query: Column, aliases: dict[str, str] | None = None, most: int = 8) -> Column:
     """X-19: the concepts of a question about relations, each once under its canonical name (aliases: lower-case name to canonical one), the first `most`.
 

@@ -82,14 +82,19 @@ def deadline_offsets(events: DataFrame, hours: list[int]) -> DataFrame:
 POINT = "struct<category:string,categories:string,label:string,labels:string,value:string,values:string>"
 CHART_SCHEMA = f"kind string, toon_type string, title string, source string, unit_of_measure string, timeframe string, x_axis_labels array<string>, `x-axis_labels` array<string>, confidence double, visual_trend_description string, data_points array<{POINT}>"
 YEAR = r"\b(?:19|20)[0-9]{2}\b"
+#: Qualifiers of categories that readings of charts invent.
+SUSPECT = " sud|south"
 
 
-def normalize_chart_json(charts: DataFrame, least: float = 0.55, most_points: int = 40, most_numbers: int = 12) -> DataFrame:
+def normalize_chart_json(charts: DataFrame, least: float = 0.55, most_points: int = 40, most_numbers: int = 12, sanitize: bool = False) -> DataFrame:
     """X-17. charts: doc_id, page_no, pass, raw (JSON). The better reading of each chart (10 a point with a category, -25 an unreadable one) under one name for each field; readings below the least confidence are dropped.
 
     Adds kind (a bar chart where there are points and labels of the x axis), timeframe (the
     first and last year of the labels, where none was read), confidence (as read, or by what
     there is), numbers (the first points with unit and period) and text (title, trend and points).
+    sanitize, once a reading is chosen and its confidence known: the timeframe becomes its
+    different four-digit years in order, or NOT READABLE without any, and points whose category
+    is qualified by a south are removed.
     """
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))).isin("", "NOT READABLE", "None")
     said = lambda *cs: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs], F.lit(""))
@@ -115,9 +120,13 @@ def normalize_chart_json(charts: DataFrame, least: float = 0.55, most_points: in
     )
     has = lambda c: (c != "").cast("double")
     guess = 0.25 + 0.15 * has(F.col("title")) + 0.10 * has(said(F.col("c.source"))) + 0.05 * has(F.col("unit")) + F.when(n >= 2, 0.25).otherwise(0.0) + F.when(n >= 4, 0.10).otherwise(0.0) + 0.10 * F.col("timeframe").rlike(YEAR).cast("double")
+    out = named.withColumn("confidence", F.round(F.coalesce("c.confidence", F.least(F.lit(0.95), guess)), 6))
+    if sanitize:
+        period = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("timeframe", F.lit("")), F.lit(f"({YEAR})"), F.lit(1)))), " vs ")
+        clean = F.filter("points", lambda p: ~F.lower(p["label"]).rlike(SUSPECT))
+        out = out.withColumn("points", clean).withColumn("timeframe", F.when(period == "", "NOT READABLE").otherwise(period))
     numbers = F.transform(F.slice("points", 1, most_numbers), lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value"), F.col("unit").alias("unit"), F.col("timeframe").alias("period")))
     lines = F.concat(F.filter(F.array("title", said(F.col("c.visual_trend_description"))), lambda t: t != ""), F.transform(F.filter(F.slice("points", 1, most_points), lambda p: (p["label"] != "") | (p["value"] != "")), lambda p: F.concat(F.lit(" - "), p["label"], F.lit(": "), p["value"])))
-    out = named.withColumn("confidence", F.round(F.coalesce("c.confidence", F.least(F.lit(0.95), guess)), 6))
     return out.select("doc_id", "page_no", "kind", "title", "timeframe", n.alias("n_points"), "confidence", numbers.alias("numbers"), F.array_join(lines, "\n").alias("text")).where(F.col("confidence") >= least)
 
 

@@ -178,7 +178,7 @@ def retrieve(queries: DataFrame, corpus: index.TextIndex | DataFrame, vector_hit
         met = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(scores)])
         first = merged.withColumn("_o", met).withColumn("_s", F.coalesce(*scores))
         seeds = fuse.limit_per_group(first, ["query_id"], [F.col("_o"), F.desc("_s"), F.col("chunk_uuid")], 10).select("query_id", "chunk_uuid")
-        more = graph.graph_neighbors(mentions.select(F.col("id").alias("entity_id"), "chunk_uuid").join(entities.select(F.col("id").alias("entity_id"), "category"), "entity_id"), seeds)
+        more = graph.graph_neighbors(mentions.select(F.col("id").alias("entity_id"), "chunk_uuid").join(entities.select(F.col("id").alias("entity_id"), "category"), "entity_id"), seeds, folder=f"{folder}/wanted")
         added = more.join(current.where("not blank").select("chunk_uuid"), "chunk_uuid", "left_semi").join(merged.select("query_id", "chunk_uuid"), ["query_id", "chunk_uuid"], "left_anti")
         new = fuse.merge_candidates(channel(added.withColumn("score", F.lit(1.0)), "expansion").join(attrs, "chunk_uuid"))
         merged = merged.unionByName(new)
@@ -243,13 +243,22 @@ def formula_report(queries: DataFrame, sources: DataFrame, chunks: DataFrame | N
     return {"rows": best, "thresholds": extract.aggregate_thresholds(rules, ["query_id"]), "missing": extract.missing_terms(asked, best)}
 
 
-def relation_report(queries: DataFrame, chunks: DataFrame, edges: DataFrame, n: int = 10, aliases: dict[str, str] | None = None) -> DataFrame:
-    """C-5. queries: query_id, query. The n best supported pairs of the concepts that each question names, with a snippet of the strongest evidence; hops: how many concepts it links."""
-    named = stored(queries.select("query_id", query.graph_concepts(F.coalesce("query", F.lit("")), aliases).alias("c")), new_folder(queries.sparkSession, "concepts"))
-    found = graph.concept_cooccurrence(named.select("query_id", F.explode("c").alias("concept")), chunks, edges)
+def relation_report(queries: DataFrame, chunks: DataFrame, edges: DataFrame, n: int = 10, aliases: dict[str, str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """C-5. queries: query_id, query. The n best supported pairs of the concepts that each question names, with a snippet of the strongest evidence; hops: how many concepts it links.
+
+    sources: query_id, chunk_uuid, as C-3 finds them for the same questions; pairs are then
+    looked for in a question's own sources, else in all chunks. multi_hop: whether the question
+    asks for a chain of relations; unchained: whether it does and fewer than two of its rows
+    are edges, so that no chain can be made of them.
+    """
+    text = F.coalesce("query", F.lit(""))
+    named = stored(queries.select("query_id", query.graph_concepts(text, aliases).alias("c"), query.asks_chain(F.lower(text)).alias("multi_hop")), new_folder(queries.sparkSession, "concepts"))
+    found = graph.concept_cooccurrence(named.select("query_id", F.explode("c").alias("concept")), chunks, edges, sources=sources)
     strength = F.when(F.col("evidence") == "edge", 0).when(F.col("evidence") == "strong", 1).when(F.col("evidence") == "weak", 2).otherwise(3)
     best = fuse.limit_per_group(found.withColumn("strength", strength), ["query_id"], [F.col("strength"), F.desc("n_chunks"), F.col("x"), F.col("y")], n).drop("strength")
-    return best.join(named.select("query_id", F.size("c").alias("hops")), "query_id")
+    linked = best.groupBy("query_id").agg(F.count_if(F.col("evidence") == "edge").alias("_edges"))
+    flags = named.select("query_id", F.size("c").alias("hops"), "multi_hop").join(linked, "query_id").withColumn("unchained", F.col("multi_hop") & (F.col("_edges") < 2)).drop("_edges")
+    return best.join(flags, "query_id")
 
 
 def quality_report(log: DataFrame, sources: bool = False) -> dict[str, DataFrame]:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from docmill.operators import fuse
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
+from docmill.plans.suites import query as qs
+from docmill.plans.suites.search import COSINE
 
 CHANNEL = "(['vector', 'doc_scope', 'phrase', 'text', 'graph', 'expansion'])[cast(l_linenumber % 6 as int) + 1]"
 
@@ -125,6 +127,27 @@ def d9(spark, sf):
     return fuse.force_tier_a(s, q, src.select("query_id", F.col("pos").alias("rank"), F.concat(F.lit("norm "), "content").alias("content")))
 
 
+#: What is asked in front of an item's text: two questions for tier A, one of them a checklist, and one for none.
+NORM_ASKS = ["which obligations of the directive hold for ", "checklist and crosswalk of the controls of ", ""]
+NORM_QUERY = f"(array[{', '.join(qs.quoted(a) for a in NORM_ASKS)}])[cast(item_id % 3 as int) + 1] || text"
+
+
+@register("d9_search_tier_a", f"""with qn as (select item_id as query_id, {NORM_QUERY} as query, embedding from benchmark join embeddings on vec_id = item_id), ro as ({qs.routes_sql('qn', 'query_id, embedding')}),
+ s as (select item_id as query_id, p as pos, case when item_id % 5 = 0 and p = 2 then 'a' else 'B' end as tier, text as content from benchmark, unnest([1, 2]) as t(p)), la as (select query_id, embedding from ro where is_tier_a and not is_checklist and query_id % 5 != 0),
+ sc as (select query_id, v.vec_id, round({COSINE}, 6) as score from la q, embeddings v where v.vec_id % 3 = 0), h as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id::varchar || '_0') as r from sc) where r <= 15)
+ select query_id, pos, tier, content from s union all select query_id, 0, 'A', string_agg('norm ' || vec_id, chr(10) order by r) from h where vec_id % 7 != 0 group by query_id""")
+def d9s(spark, sf):
+    b, e = fx.table(spark, sf, "benchmark"), fx.table(spark, sf, "embeddings")
+    asks = F.element_at(F.array(*map(F.lit, NORM_ASKS)), (F.col("item_id") % 3).cast("int") + 1)
+    q = b.join(e, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.concat(asks, "text").alias("query"), "embedding")
+    s = b.select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"), F.col("text").alias("content"))
+    s = s.withColumn("tier", F.when((F.col("query_id") % 5 == 0) & (F.col("pos") == 2), "a").otherwise("B"))
+    chunk = F.concat(F.col("vec_id").cast("string"), F.lit("_0")).alias("chunk_uuid")
+    v = e.select(chunk, "embedding", F.when(F.col("vec_id") % 3 == 0, "A").otherwise("B").alias("tier"))
+    texts = e.select(chunk, F.when(F.col("vec_id") % 7 == 0, " ").otherwise(F.concat(F.lit("norm "), F.col("vec_id").cast("string"))).alias("content"))
+    return fuse.search_tier_a(s, q, v, texts, digits=6)
+
+
 @register("a6_tier_distribution", f"""with {fx.CANDIDATES_SQL}, t as (select *, case when page = 3 then 'GRAPH' else tier end as t from cand), c as (select l_orderkey as query_id, {", ".join(f"count(*) filter (l_linenumber % 6 = {i}) as {c}_hits" for i, c in enumerate(fuse.CHANNELS))} from lineitem group by 1)
  select query_id, count(*) filter (t = 'A') as n_a, count(*) filter (t = 'B') as n_b, count(*) filter (t = 'C') as n_c, count(*) filter (t = 'GRAPH') as n_graph, count(*) filter (t = 'USER') as n_user, count(*) as n,
  min(vector_score) as min_score, max(vector_score) as max_score, floor(avg(vector_score) * 100 + 0.001) / 100 as avg_score, {", ".join(f"any_value({c}_hits) as {c}_hits" for c in fuse.CHANNELS)} from t join c using (query_id) group by query_id""")

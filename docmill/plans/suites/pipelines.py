@@ -207,7 +207,31 @@ def c5(spark, sf):
     low = q.select(F.explode(F.regexp_extract_all("query", F.lit('"([^"]+)"'), F.lit(1))).alias("c")).distinct()
     low = low.select("c", F.substring("c", 1, 1).alias("k"))
     e = low.withColumnRenamed("c", "source").join(low.withColumnRenamed("c", "target"), "k").where("source < target").select("source", "target")
-    return pipelines.relation_report(q, one_version(spark, sf), e, 2)
+    return pipelines.relation_report(q, one_version(spark, sf), e, 2).drop("multi_hop", "unchained")
+
+
+#: The longer words of an item, which its question puts in quotes: graph_concepts takes the first eight concepts.
+LONGER = "list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: regexp_matches(w, '^[a-z]{6,}$'))))"
+
+
+@register("c5_source_relations", f"""with {C3}, con as (select item_id as query_id, unnest({LONGER}[1:8]) as c from benchmark), own as (select distinct query_id, chunk_uuid from ch3),
+ lines as (select chunk_uuid, content, unnest(regexp_split_to_array(content, '[.;!?][ \\n]+|\\n')) as s, generate_subscripts(regexp_split_to_array(content, '[.;!?][ \\n]+|\\n'), 1) as i from cur where chunk_uuid in (select chunk_uuid from own)),
+ wl as (select chunk_uuid, i, unnest(list_distinct({WORDS.format(c='s')})) as c from lines), k as (select query_id, chunk_uuid, i, c from wl join own using (chunk_uuid) join con using (query_id, c)),
+ p as (select a.query_id, a.c as x, b.c as y from con a join con b on a.query_id = b.query_id and a.c < b.c), b as (select a.query_id, a.c as x, b.c as y, chunk_uuid, bool_or(a.i = b.i) as same from k a join k b using (query_id, chunk_uuid) where a.c < b.c group by all),
+ sn as (select query_id, x, y, bool_or(same) as same, count(*) as n, min((not same)::int || chunk_uuid)[2:] as first from b group by all), ed as (select distinct a.id as x, b.id as y from ent a join ent b on length(a.id) = length(b.id) - 1),
+ ek as (select least(x, y) as x, greatest(x, y) as y from ed group by all), l as (select p.*, case when ek.x is not null then 0 when same then 1 when n > 0 then 2 else 3 end as level, coalesce(n, 0) as n_chunks, coalesce(left(cur.content, 300), '') as snippet
+  from p left join sn using (query_id, x, y) left join ek on ek.x = p.x and ek.y = p.y left join cur on cur.chunk_uuid = sn.first), r as (select *, row_number() over (partition by query_id order by level, n_chunks desc, x, y) as r from l),
+ h as (select query_id, count(*) as hops from con group by 1)
+ select query_id, x, y, (['edge', 'strong', 'weak', 'not_found'])[level + 1] as evidence, n_chunks, snippet, cast(hops as int) as hops, query_id % 3 = 0 as multi_hop, query_id % 3 = 0 and count(*) filter (level = 0) over (partition by query_id) < 2 as unchained from r join h using (query_id) where r <= 10""")
+def c5s(spark, sf):
+    """C-3 and then C-5 on its sources, for questions about the same items."""
+    q, c, near, entities, mentions, edges = c3_inputs(spark, sf)
+    found = pipelines.retrieve(q, c, near, entities, mentions, edges, glossary="src3")["sources"].where("filename != 'KG'")
+    longer = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: w.rlike("^[a-z]{6,}$"))))
+    about = F.array_join(F.transform(longer, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", ")
+    asked = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.when(F.col("item_id") % 3 == 0, "the chain of ").otherwise("links of "), about).alias("query"))
+    sources = stored(found.select("query_id", "chunk_uuid"), new_folder(spark, "sources"))
+    return pipelines.relation_report(asked, search.latest_versions(fx.chunks(spark, sf)), edges, sources=sources)
 
 
 VERDICTS = "case when f >= 0.75 and r >= 0.7 then 'PASS' when f >= 0.55 then 'WARN' else 'FAIL' end as verdict"

@@ -100,6 +100,24 @@ def x17(spark, sf):
     return out.withColumn("numbers", F.array_join(F.transform("numbers", lambda x: F.concat_ws("=", x["label"], x["value"])), "|"))
 
 
+#: A chart for each customer, of its orders by priority: some categories are qualified by a south.
+LABELS = ["1-URGENT South", "Italia sud", "Sudan", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("x17_sanitized", f"""with p as (select o_custkey as k, (array[{", ".join(f"'{x}'" for x in LABELS)}])[cast(left(o_orderpriority, 1) as int)] as l, count(*) as v, min(year(o_orderdate)) as y0, max(year(o_orderdate)) as y1 from orders group by 1, 2),
+ c as (select k, min(y0) as y0, max(y1) as y1, count(*) filter (l not in ('1-URGENT South', 'Italia sud')) as n, string_agg(l || '=' || v, '|' order by l) filter (l not in ('1-URGENT South', 'Italia sud')) as numbers from p group by k)
+ select k as doc_id, case when k % 4 = 0 then 'NOT READABLE' when y0 = y1 then y0::varchar else y0 || ' vs ' || y1 end as timeframe, cast(n as int) as n_points, coalesce(numbers, '') as numbers from c""")
+def x17s(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    label = F.element_at(F.array(*map(F.lit, LABELS)), F.substring("o_orderpriority", 1, 1).cast("int"))
+    p = o.groupBy(F.col("o_custkey").alias("doc_id"), label.alias("category")).agg(F.count("*").alias("value"), F.min(F.year("o_orderdate")).alias("y0"), F.max(F.year("o_orderdate")).alias("y1"))
+    c = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("category", "value"))).alias("data_points"), F.min("y0").cast("string").alias("y0"), F.max("y1").cast("string").alias("y1"))
+    period = F.when(F.col("doc_id") % 4 == 0, "the last twelve months").otherwise(F.concat(F.lit("FY"), F.lit(" "), "y1", F.lit(" against "), "y0", F.lit(", Q1 "), "y1"))
+    raw = F.to_json(F.struct(F.lit(0.9).alias("confidence"), period.alias("timeframe"), "data_points"))
+    out = report.normalize_chart_json(c.select("doc_id", F.lit(1).alias("page_no"), F.lit(1).alias("pass"), raw.alias("raw")), sanitize=True)
+    return out.select("doc_id", "timeframe", "n_points", F.array_join(F.transform("numbers", lambda x: F.concat_ws("=", x["label"], x["value"])), "|").alias("numbers"))
+
+
 @register("x17_formula_texts", """select p_partkey as doc_id, 1 as page_no, case when p_size % 2 = 0 then 'about ' || p_brand || chr(10) else '' end || '## ' || case when p_size % 3 = 0 then 'sum' else 'Formula' end || chr(10) || '$$a + ' || p_size || '$$' || chr(10) || 'a: first; b' as text from part""")
 def x17f(spark, sf):
     p = fx.table(spark, sf, "part")

@@ -7,6 +7,8 @@ from docmill.operators import index, search, vectors
 from docmill.operators.clean import whole_words
 from docmill.plans import fixtures as fx
 from docmill.plans.registry import register
+from docmill.sources import files
+from docmill.sources.shared import new_folder
 
 
 @register("w1_latest_versions", f"with {fx.CHUNKS_SQL} select chunk_uuid, content, cast(epoch_us(ingestion_ts) as bigint) as us from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc, content) as n from chunks) where n = 1")
@@ -14,6 +16,13 @@ def w1(spark, sf):
     return search.latest_versions(fx.chunks(spark, sf)).select("chunk_uuid", "content", F.unix_micros("ingestion_ts").alias("us"))
 
 
+@register("w1_latest_bucketed", f"with {fx.CHUNKS_SQL} select chunk_uuid, content, cast(epoch_us(ingestion_ts) as bigint) as us from (select *, row_number() over (partition by chunk_uuid order by ingestion_ts desc, content) as n from chunks) where n = 1")
+def w1b(spark, sf):
+    path = new_folder(spark, "bucketed")
+    t = files.write_bucketed(fx.chunks(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, 16)
+    return search.latest_bucketed(t).select("chunk_uuid", "content", F.unix_micros("ingestion_ts").alias("us"))
+
+
 STOPS = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 QUESTION = "'Explain the MFA and KPI9 of ' || text || ' on page 3-' || (item_id % 7 + 3) || ', pag 12'"
 TOKENS = """list_distinct(list_transform(list_filter(regexp_extract_all({q}, '[A-Za-zÀ-ÿ0-9_-]+'), lambda t: (upper(t) = t and length(t) between 2 and 10) or (regexp_matches(t, '^[A-Za-z]{{1,5}}[0-9]{{0,3}}$') and length(t) between 2 and 10) or length(t) > 3), lambda t: lower(t)))"""

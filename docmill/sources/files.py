@@ -22,6 +22,20 @@ def scan_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(parts, -1).alias("filename"), F.slice(parts, F.size(parts) - 2, F.lit(2)).alias("folders"), F.col("value").alias("text"))
 
 
+def write_bucketed(chunks: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """S-4 by id: all versions of chunks (chunk_uuid, content and others) as the table `name` at path, in buckets of chunk_uuid, with content_hash. Each bucket is one file; there should be so many that one is a few hundred megabytes. Texts are shuffled here, once, and not when versions are resolved (search.latest_bucketed)."""
+    rows = chunks.withColumn("content_hash", F.xxhash64("content")).repartition(buckets, "chunk_uuid")
+    rows.write.format("parquet").bucketBy(buckets, "chunk_uuid").option("path", path).saveAsTable(name)
+    return chunks.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """What write_bucketed wrote at path, with as many buckets, under a name of this session's catalog."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"create table if not exists {name} ({columns}) using parquet clustered by (chunk_uuid) into {buckets} buckets location '{path}'")
+    return spark.table(name)
+
+
 SIDECAR = "tier string, content_type string, source_kind string, ontology string, effective_date string, _corrupt string"
 
 

@@ -20,7 +20,7 @@ SIZE = 16  # numbers that stand for a word of the context
 HIDDEN = 32
 CLASSES = 64
 LEARNER = 4_000_000  # positions that one learner goes through before parameters are averaged
-BLOCK = 1024
+BLOCK = 4096
 FIXED = 1 << 32  # parameters are averaged as multiples of 1 / FIXED, so that sums don't hang on their order
 
 
@@ -146,12 +146,6 @@ def windows(docs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarra
     return np.stack([line[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1), line[at]
 
 
-def _log_softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(axis=1, keepdims=True)
-    s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-    return s
-
-
 def _softmax(s: np.ndarray) -> np.ndarray:
     s -= s.max(axis=1, keepdims=True)
     np.exp(s, out=s)
@@ -167,16 +161,39 @@ def by_class(first: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, classes, [(int(classes[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
-def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log probability of each target outcome: that of its class, and its own within the class, both from the words around it."""
+def reach(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A bound of each outcome's number, either sign, as hidden numbers lie between -1 and 1. weights: [outcome, HIDDEN]."""
+    return np.abs(weights).sum(axis=1) + np.abs(bias)
+
+
+def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.ndarray, target: np.ndarray, exps: type = np.float64) -> np.ndarray:
+    """The log probability of each target outcome: that of its class, and its own within the class, both from the words around it.
+
+    exps: the type in which exponentials are taken. Products and sums have the type of parts,
+    so with parts in double precision and exps in single the result is off by about 1e-7, but
+    does not hang on which positions are worked out together, as it would with all in single.
+    """
     e, w1, b1, w2, b2, u, d = parts
     order, classes, groups = by_class(first, target)
-    h = np.tanh(e.take(context.take(order, axis=0), axis=0).reshape(len(order), -1) @ w1 + b1)
-    each = _log_softmax(h @ w2 + b2)[np.arange(len(order)), classes]
+    x = e.take(context.take(order, axis=0), axis=0).reshape(len(order), -1) @ w1
+    x += b1
+    h = np.tanh(x.astype(exps)).astype(x.dtype)
+    rows = np.arange(len(order))
+
+    def share(s: np.ndarray, bias: np.ndarray, most: float, at: np.ndarray) -> np.ndarray:
+        s += bias
+        if not most < 60:  # else no exponential is too large or too small
+            s -= s.max(axis=1, keepdims=True)
+        each = s.astype(exps)
+        np.exp(each, out=each)
+        return s[rows[: len(s)], at] - np.log(np.einsum("ij->i", each, dtype=np.float64))
+
+    each = share(h @ w2, b2, reach(w2.T, b2).max(), classes)
+    most = np.maximum.reduceat(reach(u, d), first[:-1])
     for c, a, b in groups:
         low, high = first[c], first[c + 1]
         if high - low > 1:
-            each[a:b] += _log_softmax(h[a:b] @ u[low:high].T + d[low:high])[np.arange(b - a), target[order[a:b]] - low]
+            each[a:b] += share(h[a:b] @ u[low:high].T, d[low:high], most[c], target[order[a:b]] - low)
     out = np.empty(len(order), each.dtype)
     out[order] = each
     return out
@@ -233,19 +250,40 @@ def outcome(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return np.minimum(ids, len(v.words))
 
 
+BLOCKS = "root long, block long, x binary"  # x: BLOCK little-endian longs
+
+
+def sent_blocks(sums: np.ndarray, root: int) -> pa.RecordBatch:
+    """A task's sums as rows of BLOCKS."""
+    rows = [x.tobytes() for x in sums.astype("<i8").reshape(-1, BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array([root] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["root", "block", "x"])
+
+
+def block_sum(rows: pa.Table) -> pa.Table:
+    """One row of BLOCKS with the sum of all rows of a group."""
+    total = np.zeros(BLOCK, np.int64)
+    for x in rows.column("x"):
+        total += np.frombuffer(x.as_buffer(), "<i8")
+    return pa.table({"root": rows.column("root")[:1], "block": rows.column("block")[:1], "x": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 1, parts_per_round: int = 2, batch: int = 8192, rate: float = 0.1, learner: int = LEARNER) -> np.ndarray:
     """Parameters fitted to the texts of ids (doc_id, ids binary, h1 long), by rounds of descent and averaging.
 
     A round goes through all positions of all texts, in parts: each text lies in one part of
     each round, and there with one learner, by hashes. A learner has about `learner` positions,
-    which it goes through in the order of its texts' hashes; after each part Spark averages the learners' parameters in fixed-point sums; only the average, whose size is the
-    model's, comes to the driver. Neither learners nor sums depend on how the table is
-    partitioned, so the result doesn't either.
+    which it goes through in the order of its texts' hashes; after each part Spark averages the
+    learners' parameters in fixed-point sums, by blocks of 4,096 numbers in two levels, so that
+    no task holds more than a block for the square root of the number of tasks; only the
+    average, whose size is the model's, comes to the driver. Neither learners nor sums depend
+    on how the table is partitioned, so the result doesn't either.
     """
     flat = first_parameters(vocabulary)
     spark = ids.sparkSession
     total = ids.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
     n_learners = max(1, round(total / parts_per_round / learner))
+    tasks = min(n_learners, 100_000)
+    roots = math.isqrt(tasks)
     placed = ids.select(F.pmod(F.xxhash64("h1", "doc_id"), F.lit(n_learners)).alias("learner"), F.xxhash64("doc_id", "h1").alias("at"), "h1", "ids")
     own_part = F.pmod(F.xxhash64(F.lit("part"), "at"), F.lit(parts_per_round))
     size = -(-(len(flat) + 1) // BLOCK) * BLOCK
@@ -286,24 +324,25 @@ def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 1, parts_per_rou
                             learn()
             if now is not None:
                 end()
-                rows = sums.reshape(-1, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows.tolist(), pa.list_(pa.int64()))], ["block", "x"])
+                yield sent_blocks(sums, now % roots)
 
-        learnt = placed.where(own_part == turn % parts_per_round).repartition(max(1, min(n_learners, 100_000)), "learner").sortWithinPartitions("learner", "at", "h1").select("learner", "ids").mapInArrow(work, "block long, x array<long>")
+        learnt = placed.where(own_part == turn % parts_per_round).repartition(tasks, "learner").sortWithinPartitions("learner", "at", "h1").select("learner", "ids").mapInArrow(work, BLOCKS)
+        if roots > 1:
+            learnt = learnt.groupBy("root", "block").applyInArrow(block_sum, BLOCKS)
         sums = np.zeros(size, np.int64)
-        for r in learnt.select("block", F.posexplode("x").alias("at", "x")).groupBy("block", "at").agg(F.sum("x").alias("x")).collect():  # a number for each parameter
-            sums[r.block * BLOCK + r["at"]] = r.x
+        for r in learnt.groupBy("block").applyInArrow(block_sum, BLOCKS).collect():  # a number for each parameter
+            sums[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.x, "<i8")
         if sums[len(flat)]:
             flat = (sums[: len(flat)] / (FIXED * sums[len(flat)])).astype(np.float32)
     return flat
 
 
-def score_texts(parts: list[np.ndarray], vocabulary: Vocabulary, docs: list[np.ndarray], most: int = 16384) -> np.ndarray:
+def score_texts(parts: list[np.ndarray], vocabulary: Vocabulary, docs: list[np.ndarray], most: int = 16384, exps: type = np.float64) -> np.ndarray:
     """The sum over each text of the log probabilities of its words' outcomes, given the words around them."""
     context, target = windows(docs, vocabulary.outside)
     each = np.empty(len(target))
     for a in range(0, len(target), most):
-        each[a : a + most] = log_probabilities(parts, vocabulary.first, context[a : a + most], outcome(vocabulary, target[a : a + most]))
+        each[a : a + most] = log_probabilities(parts, vocabulary.first, context[a : a + most], outcome(vocabulary, target[a : a + most]), exps)
     ends = np.cumsum([0, *map(len, docs)])
     sums = np.concatenate([[0.0], np.cumsum(each)])
     return sums[ends[1:]] - sums[ends[:-1]]
@@ -351,7 +390,7 @@ def score_documents(docs: DataFrame, words: int = 8192, rounds: int = 1) -> Data
             for part in slices(batch, "ids", 1 << 17):
                 own = [np.frombuffer(x, "<u2") for x in part.column("ids").to_pylist()]
                 n = np.array([len(x) for x in own])
-                total = np.round(score_texts(parts, v, own) + part.column("spelt").to_numpy(), 6)
+                total = np.round(score_texts(parts, v, own, exps=np.float32) + part.column("spelt").to_numpy(), 6)
                 yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), pa.array(n), pa.array(total)], ["h1", "h2", "n_tokens", "pseudo_log_likelihood"])
 
     once = spread(ids.groupBy("h1", "h2").agg(F.first("ids").alias("ids"), F.first("spelt").alias("spelt")), "h1")

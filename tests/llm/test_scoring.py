@@ -134,3 +134,49 @@ def test_bounds_of_the_vocabulary(spark):
 
     with pytest.raises(ValueError, match="16 bits"):
         scoring.build_vocabulary(spark.createDataFrame([(1, "a")], "doc_id long, text string"), words=65_000)
+
+
+def test_single_precision_exponentials():
+    """Close to those in double precision, and the same whatever is worked out together."""
+    rng = np.random.default_rng(6)
+    v = small([str(i) for i in range(20)], (0, 4, 8, 9, 15, 21), 2)
+    flat = scoring.first_parameters(v, 5).astype(float) + rng.standard_normal(scoring.first_parameters(v).size)
+    parts, docs = scoring.unpack(flat, v), [rng.integers(0, 22, n) for n in (700, 0, 1, 350)]
+    for scale in (1, 200):  # also where sums are too large for an exponential
+        parts[5][:] *= scale
+        exact = scoring.score_texts(parts, v, docs)
+        fast = [scoring.score_texts(parts, v, docs, most, np.float32) for most in (7, 500, 16384)]
+        assert np.isfinite(exact).all() and all(np.abs(f - exact).max() < 3e-6 * 700 for f in fast)
+        assert np.abs(fast[0] - fast[1]).max() < 1e-8 and np.abs(fast[0] - fast[2]).max() < 1e-8
+
+
+def test_blocks_add_up_in_two_levels(spark):
+    rng = np.random.default_rng(7)
+    sums = rng.integers(-(1 << 50), 1 << 50, (11, 3 * scoring.BLOCK))
+    import pyarrow as pa
+
+    rows = pa.Table.from_batches([scoring.sent_blocks(s, i % 3) for i, s in enumerate(sums)])
+    df = spark.createDataFrame(rows).repartition(5)
+    for keys in (["root", "block"], ["block"]):
+        df = df.groupBy(*keys).applyInArrow(scoring.block_sum, scoring.BLOCKS)
+    got = {r.block: np.frombuffer(r.x, "<i8") for r in df.collect()}
+    assert (np.concatenate([got[i] for i in range(3)]) == sums.sum(0)).all()
+
+
+def test_several_learners_are_averaged(spark):
+    """The parameters after a part are the mean of those that each learner reaches alone from the same start."""
+    rng = np.random.default_rng(9)
+    v = small([str(i) for i in range(20)], (0, 4, 8, 9, 15, 21), 2)
+    rows = [(i, rng.integers(0, 22, 40).astype("<u2").tobytes(), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary, h1 long")
+    got = scoring.train(df, v, parts_per_round=1, learner=300)
+    placed = df.selectExpr("pmod(xxhash64(h1, doc_id), 8) as learner", "xxhash64(doc_id, h1) as at", "ids").orderBy("learner", "at").collect()
+    ends = []
+    for k in range(8):
+        flat = scoring.first_parameters(v)
+        parts = scoring.unpack(flat, v)
+        context, target = scoring.windows([np.frombuffer(r.ids, "<u2") for r in placed if r.learner == k], v.outside)
+        if len(target):
+            scoring.descend(parts, [np.full_like(p, 1e-3) for p in parts], v.first, context, scoring.outcome(v, target), 0.1)
+            ends.append(flat)
+    assert len(ends) > 4 and np.abs(got - np.mean(ends, axis=0)).max() < 1e-6

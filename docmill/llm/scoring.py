@@ -20,6 +20,7 @@ SIZE = 16  # numbers that stand for a word of the context
 HIDDEN = 32
 CLASSES = 64
 LEARNER = 4_000_000  # positions that one learner goes through before parameters are averaged
+BUCKET = 1 << 16  # positions that are scored side by side, about
 BLOCK = 4096
 FIXED = 1 << 32  # parameters are averaged as multiples of 1 / FIXED, so that sums don't hang on their order
 
@@ -139,18 +140,18 @@ def first_parameters(vocabulary: Vocabulary, seed: int = 3) -> np.ndarray:
 
 def windows(docs: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray]:
     """Contexts [position, 2 * SIDE] and targets of all positions of the texts, one text after another."""
-    pad = np.full(SIDE, outside, np.int64)
-    line = np.concatenate([pad, *[np.concatenate([d.astype(np.int64), pad]) for d in docs]])
-    begin = SIDE + np.cumsum([0, *[len(d) + SIDE for d in docs]])[:-1] if docs else np.empty(0, np.int64)
-    at = np.concatenate([np.arange(b, b + len(d)) for b, d in zip(begin, docs, strict=True)] or [np.empty(0, np.int64)]).astype(np.int64)
-    return np.stack([line[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1), line[at]
-
-
-def _softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(axis=1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=1, keepdims=True)
-    return s
+    pad = np.full(SIDE, outside, np.int32)
+    line = np.concatenate([pad, *[x for d in docs for x in (d, pad)]], dtype=np.int32, casting="same_kind")
+    inside = np.ones(len(line), bool)  # all but what stands between texts
+    ends = SIDE + np.cumsum([len(d) + SIDE for d in docs], dtype=np.int64) - SIDE
+    for o in range(SIDE):
+        inside[o] = False
+        inside[ends + o] = False
+    at = np.flatnonzero(inside)
+    context = np.empty((len(at), 2 * SIDE), np.int32)
+    for k, o in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        line.take(at + o, out=context[:, k], mode="clip")
+    return context, line.take(at)
 
 
 def by_class(first: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -169,9 +170,9 @@ def reach(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
 def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.ndarray, target: np.ndarray, exps: type = np.float64) -> np.ndarray:
     """The log probability of each target outcome: that of its class, and its own within the class, both from the words around it.
 
-    exps: the type in which exponentials are taken. Products and sums have the type of parts,
-    so with parts in double precision and exps in single the result is off by about 1e-7, but
-    does not hang on which positions are worked out together, as it would with all in single.
+    exps: the type in which exponentials are taken. Products have the type of parts. With parts
+    in double precision and exps in single the result is off by about 1e-7, but does not hang
+    on which positions are worked out together; with all in single it may, by about 1e-6.
     """
     e, w1, b1, w2, b2, u, d = parts
     order, classes, groups = by_class(first, target)
@@ -207,25 +208,38 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
     rows = np.arange(n)
     x = e.take(context, axis=0).reshape(n, -1)
     h = np.tanh(x @ w1 + b1)
-    p = _softmax(h @ w2 + b2)
-    loss = -float(np.log(p[rows, classes] + 1e-30).sum())
-    p[rows, classes] -= 1
-    p /= n
+    loss = 0.0
+
+    def slopes(s: np.ndarray, bias: np.ndarray, most: float, at: np.ndarray) -> np.ndarray:
+        """The gradient of the mean loss by s + bias, in place of s: what each outcome has, less one for the target, over n."""
+        nonlocal loss
+        s += bias
+        if not most < 60:  # else no exponential is too large or too small
+            s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        scale = 1 / (s @ np.ones(s.shape[1], s.dtype))
+        at = rows[: len(s)] * s.shape[1] + at
+        flat = s.reshape(-1)
+        loss -= float(np.log(flat.take(at) * scale + 1e-30).sum())
+        s *= (scale / n)[:, None]
+        flat[at] -= 1 / n
+        return s
+
+    most = np.maximum.reduceat(reach(u, d), first[:-1])
+    p = slopes(h @ w2, b2, reach(w2.T, b2).max(), classes)
     gh = p @ w2.T
 
     def step(part: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
         square += grad * grad
-        part -= rate * grad / np.sqrt(square)
+        grad *= rate
+        grad /= np.sqrt(square)
+        part -= grad
 
     for c, a, b in groups:
         low, high = int(first[c]), int(first[c + 1])
         if high - low == 1:
             continue
-        q = _softmax(h[a:b] @ u[low:high].T + d[low:high])
-        at = rows[: b - a], target[a:b] - low
-        loss -= float(np.log(q[at] + 1e-30).sum())
-        q[at] -= 1
-        q /= n
+        q = slopes(h[a:b] @ u[low:high].T, d[low:high], most[c], target[a:b] - low)
         gh[a:b] += q @ u[low:high]
         step(u[low:high], squares[5][low:high], q.T @ h[a:b])
         step(d[low:high], squares[6][low:high], q.sum(0))
@@ -360,8 +374,10 @@ def score_documents(docs: DataFrame, words: int = 8192, rounds: int = 1) -> Data
 
     Edge cases: a null, empty or blank text has no tokens, sum 0 and a null mean; equal texts
     have equal scores; a null doc_id keeps its row; a very long text is scored as a whole; an
-    empty table gives an empty result. Scores are sums in double precision, rounded to six
-    decimals.
+    empty table gives an empty result. Log probabilities are worked out in single precision
+    (about 1e-6 each), summed in double precision and rounded to six decimals. Which texts are
+    worked out together follows from their hashes and the size of the table, not from its
+    partitions, so reruns agree.
 
     Scale: counts cover all words of all texts; texts are read twice and kept as two bytes a
     word in the shared folder. Each round, of which one is the default, shuffles these once, to the learners; distinct texts
@@ -385,15 +401,31 @@ def score_documents(docs: DataFrame, words: int = 8192, rounds: int = 1) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*known.value)
-        parts = [p.astype(np.float64) for p in unpack(sent.value, v)]
+        parts = unpack(sent.value, v)
+        held, now = [], None
+
+        def score() -> pa.RecordBatch:
+            own = [np.frombuffer(r["ids"], "<u2") for r in held]
+            total = np.round(score_texts(parts, v, own, exps=np.float32) + [r["spelt"] for r in held], 6)
+            out = [pa.array([r[k] for r in held], pa.int64()) for k in ("h1", "h2")]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*out, pa.array([len(x) for x in own], pa.int64()), pa.array(total)], ["h1", "h2", "n_tokens", "pseudo_log_likelihood"])
+
+        words = 0
         for batch in batches:
-            for part in slices(batch, "ids", 1 << 17):
-                own = [np.frombuffer(x, "<u2") for x in part.column("ids").to_pylist()]
-                n = np.array([len(x) for x in own])
-                total = np.round(score_texts(parts, v, own, exps=np.float32) + part.column("spelt").to_numpy(), 6)
-                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), pa.array(n), pa.array(total)], ["h1", "h2", "n_tokens", "pseudo_log_likelihood"])
-
-    once = spread(ids.groupBy("h1", "h2").agg(F.first("ids").alias("ids"), F.first("spelt").alias("spelt")), "h1")
-    scored = once.select("h1", "h2", "ids", "spelt").mapInArrow(work, "h1 long, h2 long, n_tokens long, pseudo_log_likelihood double")
+            for part in slices(batch, "ids"):
+                for r in part.to_pylist():
+                    if held and (r["bucket"] != now or words >= 2 * BUCKET):
+                        yield score()
+                        words = 0
+                    now = r["bucket"]
+                    held.append(r)
+                    words += len(r["ids"]) // 2
+        if held:
+            yield score()
+
+    total = ids.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
+    once = ids.groupBy("h1", "h2").agg(F.first("ids").alias("ids"), F.first("spelt").alias("spelt")).withColumn("bucket", F.pmod("h1", F.lit(max(1, round(total / BUCKET)))))
+    scored = spread(once, "bucket").sortWithinPartitions("bucket", "h1", "h2").select("h1", "h2", "bucket", "ids", "spelt").mapInArrow(work, "h1 long, h2 long, n_tokens long, pseudo_log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")).alias("mean_log_probability")
     return ids.select("doc_id", "h1", "h2").join(scored, ["h1", "h2"]).select("doc_id", "n_tokens", "pseudo_log_likelihood", mean)

@@ -35,12 +35,16 @@ def control_coverage(controls: DataFrame, group: str, partial: float = 0.5) -> D
 def risk_ranking(risks: DataFrame, group: str, pieces: int = 256) -> DataFrame:
     """A-12. risks: group, probability, impact. Groups by the sum of probability times impact; equal sums share a rank; groups without a sum come last.
 
+    Products are rounded to six decimals and added up as decimals, so a sum, its ties and its
+    rank don't hang on the order of addition; a product over 22 digits before the point is an error
+    or null, as the session has it.
+
     Sums are dealt by `pieces` quantiles into ranges that are ranked apart, equal sums in one
     range; how many lie in higher ranges is added. So no task ranks all groups. The sums are
     written to the shared folder first.
     """
-    total = risks.groupBy(group).agg(F.sum(F.col("probability") * F.col("impact")).cast("double").alias("risk"))
-    total = stored(total, new_folder(risks.sparkSession, "risks"))  # added up once: a second time the last digits might differ
+    total = risks.groupBy(group).agg(F.sum((F.col("probability") * F.col("impact")).cast("decimal(28,6)")).cast("double").alias("risk"))
+    total = stored(total, new_folder(risks.sparkSession, "risks"))
     cuts = total.agg(F.array_distinct(F.percentile_approx("risk", [i / pieces for i in range(1, pieces)], 100 * pieces)).alias("q")).first().q or []
     above = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c > F.col("risk"))), F.lit(pieces)) if cuts else F.lit(0)
     placed = total.withColumn("_range", F.when(F.col("risk").isNull(), F.lit(pieces)).otherwise(above))

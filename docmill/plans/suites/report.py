@@ -38,7 +38,7 @@ def a11(spark, sf):
     return report.control_coverage(c, "l_suppkey").withColumn("coverage", F.round("coverage", 5))
 
 
-@register("a12_risk_ranking", "select l_partkey, round(risk, 1) as risk, cast(rank() over (order by risk desc) as int) as rank from (select l_partkey, sum(l_discount * l_extendedprice) as risk from lineitem group by l_partkey)")
+@register("a12_risk_ranking", "select l_partkey, round(risk, 1)::double as risk, cast(rank() over (order by risk desc) as int) as rank from (select l_partkey, sum(cast(l_discount * l_extendedprice as decimal(28, 6))) as risk from lineitem group by l_partkey)")
 def a12(spark, sf):
     r = fx.table(spark, sf, "lineitem").select("l_partkey", F.col("l_discount").alias("probability"), F.col("l_extendedprice").alias("impact"))
     return report.risk_ranking(r, "l_partkey").withColumn("risk", F.round("risk", 1))
@@ -174,7 +174,7 @@ def s5(spark, sf):
     return spark.read.parquet(path).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@register("s6_graph", "select l_returnflag as relation, count(distinct l_suppkey * 1000000 + l_partkey) as n from lineitem group by 1")
+@register("s6_graph", "select l_returnflag as relation, count(distinct (l_suppkey, l_partkey)) as n from lineitem group by 1")
 def s6(spark, sf):
     path = scratch(spark)
     li = fx.table(spark, sf, "lineitem")

@@ -182,14 +182,20 @@ def best_definitions(terms: DataFrame, hits: DataFrame, texts: DataFrame) -> Dat
 
 LATEX = r"(?s)(?<!\\)(\$\$.*?\$\$|\$[^$\n]{2,300}\$)"
 EQUATION = r"(?i)\b([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9_\-/ ]{1,80})\s*=\s*([^;\n]{2,260})"
+#: Parts of a key whose first rows are found apart.
+PARTS = 64
 METRIC_NAME = "^[-*• ]*([A-Za-zÀ-ÿ0-9_/ -]{2,80}) *[:=–-]"
 
 
-def extract_formula_rows(sources: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """X-11. sources: id, filename, page, content, optionally type. Rows (id, filename, page, kind, name, formula, meaning), each once for a file and page, and for each value of the columns `by`.
+def extract_formula_rows(sources: DataFrame, by: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """X-11. sources: id, filename, page, content, optionally type. Rows (id, filename, page, kind, name, formula, meaning), each once for a file and page, and for each value of the columns `by`. kinds: only these of latex, block, equation, metric and threshold are looked for.
 
     LaTeX spans; the LaTeX, Plain and Meaning lines of formula sources; equations; lines that
     name a metric; and the threshold rules of X-10. Generic names stand where a source gives none.
+
+    The first row of each key, by id, file, name, formula and meaning, is picked by an aggregate in two
+    rounds, of parts by a hash of the id and then of the key: a name that stands in every source
+    of a page is in no window or task as a whole.
     """
     text = F.col("_text")
     row = lambda kind, name, formula, meaning: F.struct(F.lit(kind).alias("kind"), name.alias("name"), formula.alias("formula"), meaning.alias("meaning"))
@@ -211,10 +217,17 @@ def extract_formula_rows(sources: DataFrame, by: list[str] | None = None) -> Dat
     rules = F.transform("_rules", lambda r: row("threshold", F.lit("regola soglia"), r, F.lit("")))
     by = by or []
     read = once(sources.withColumn("_text", F.coalesce("content", F.lit(""))), "_lines", F.transform(F.split("_text", r"\r\n|\n|\r"), strip))
-    out = with_threshold_rules(read, text).select(*by, "id", F.coalesce("filename", F.lit("N/D")).alias("filename"), F.coalesce("page", F.lit(0)).alias("page"), F.explode(F.concat(latex, block, equations, metrics, rules)).alias("r"))
-    key = [*map(F.col, by), F.lower("filename"), F.col("page"), F.col("kind"), F.lower("name"), F.coalesce(F.lower("formula"), F.lit(""))]
-    flat = out.select(*by, "id", "filename", "page", "r.kind", "r.name", "r.formula", "r.meaning")
-    return flat.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("id", "filename", "name"))).where("_n = 1").drop("_n")
+    found = {"latex": latex, "block": block, "equation": equations, "metric": metrics, "threshold": rules}
+    some = [v for k, v in found.items() if kinds is None or k in kinds]
+    ruled = with_threshold_rules(read, text) if kinds is None or "threshold" in kinds else read
+    out = ruled.select(*by, "id", F.coalesce("filename", F.lit("N/D")).alias("filename"), F.coalesce("page", F.lit(0)).alias("page"), F.explode(F.concat(*some)).alias("r"))
+    keys = {"_file": F.lower("filename"), "_name": F.lower("name"), "_formula": F.coalesce(F.lower("formula"), F.lit(""))}
+    flat = out.select(*by, "id", "filename", "page", "r.kind", "r.name", "r.formula", "r.meaning").withColumns(keys)
+    key = [*by, "_file", "page", "kind", "_name", "_formula"]
+    told = ["id", "filename", "name", "formula", "meaning"]
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("_part")
+    first = flat.groupBy(*key, part).agg(F.min(F.struct(*told)).alias("r")).groupBy(*key).agg(F.min("r").alias("r"))
+    return first.select(*by, "r.id", "r.filename", "page", "kind", "r.name", "r.formula", "r.meaning")
 
 
 def is_computational(formula: Column) -> Column:

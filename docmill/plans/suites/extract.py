@@ -108,7 +108,7 @@ def x21_best(spark, sf):
 
 def formula_sources(spark, sf):
     """One source for each part, with a line of every kind; every third stands for the graph, every second is a formula source."""
-    p = fx.table(spark, sf, "part")
+    p = fx.dealt(spark, sf, "part", "p_partkey", "p_brand", "p_size")
     n, k = F.col("p_size").cast("string"), F.col("p_partkey")
     graph = k % 3 == 0
     content = F.concat(F.lit("$$"), "p_brand", F.lit(" + 1$$\nrisk = "), n, F.lit(" * 2\nRTO "), "p_brand", F.lit(" at least "), n, F.lit("% of all recovery targets\nLaTeX: a"), (k % 5).cast("string"), F.lit("\nPlain: b"), (k % 5).cast("string"), F.lit("\nMeaning: total of acts\nname = total\nCoverage index: strong\nMTTD = \\text{mean time to detect "), n, F.lit("}"))
@@ -149,5 +149,5 @@ def d8(spark, sf):
 
 @register("a9_thresholds", f"""with {FORMULA_SQL} select filename, page, 'oltre il ' || regexp_extract(formula, '([0-9]+)%', 1) || '%' as criterion, count(*) as n, array_to_string((list_sort(list_distinct(list(formula))))[1:8], '; ') as scope from fr where kind = 'threshold' group by all""")
 def a9(spark, sf):
-    rows = extract.extract_formula_rows(formula_sources(spark, sf)).where("kind = 'threshold'").withColumnRenamed("formula", "rule")
+    rows = extract.extract_formula_rows(formula_sources(spark, sf), kinds=["threshold"]).withColumnRenamed("formula", "rule")
     return extract.aggregate_thresholds(rows)

@@ -7,12 +7,15 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docmill.operators.search import best_of, dot, finite, top, unit, usable, vector_topk
+from docmill.operators import scan
+from docmill.operators.search import dot, finite, rounded, top, unit, usable, vector_topk
 from docmill.sources.shared import new_folder, stored
 
 #: Vectors that centres are fitted on, at most; vectors of one array; queries of one array.
-SAMPLE, ARRAY, TOGETHER = 100_000, 1024, 32
+SAMPLE, ARRAY, TOGETHER = 100_000, 1024, 256
 
 
 class VectorIndex(NamedTuple):
@@ -68,8 +71,10 @@ def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 7, pat
 def search(index: VectorIndex, queries: DataFrame, k: int = 100, probes: int | None = None, digits: int | None = None) -> DataFrame:
     """K-1 from the index: the k nearest in the `probes` nearest cells of each query (all cells: exact). (query_id, chunk_uuid, score, rank), scored exactly.
 
-    Queries go to their cells in arrays of up to 32, so that what a cell sends for each array
-    of vectors is k rows a query; a cell with many queries or vectors is many rows of both.
+    Queries go to their cells in arrays of about TOGETHER, which meet arrays of vectors as a
+    product of two matrices in the task; a task keeps the k best of each query it has met, so
+    what is shuffled are k rows for each task and query. A cell with many queries or vectors is
+    many rows of both.
     """
     probes = min(probes or max(1, index.cells // 4), index.cells)
     centres = [(r.cell, r.e) for r in index.centres.collect()]  # at most 256 by default, d numbers each
@@ -79,10 +84,11 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 100, probes: int | N
     to = asked.select("query_id", "e", F.explode(nearest_cells(asked, centres, probes)).alias("cell"))
     part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(asked.count() * probes / index.cells / TOGETHER))))
     grouped = to.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct("query_id", "e")).alias("qs"))
-    met = index.arrays.join(grouped, "cell")
-    each = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), best_of(F.col("vs"), q["e"], k, digits).alias("h")))
-    hits = met.select(F.explode(each).alias("r")).select("r.query_id", F.explode("r.h").alias("h"))
-    return top(hits.select("query_id", F.col("h.c").alias("chunk_uuid"), (-F.col("h.s")).alias("score")), k, [F.desc("score"), F.col("chunk_uuid")])
+    met = index.arrays.join(grouped, "cell").select("qs", "vs")
+    one = lambda c, name: met.schema[c].dataType.elementType[name]
+    schema = StructType([one("qs", "query_id"), one("vs", "chunk_uuid"), StructField("score", DoubleType())])
+    hits = met.mapInArrow(scan.nearest(k, digits, to_arrow_schema(schema)), schema)
+    return top(rounded(hits, digits), k, [F.desc("score"), F.col("chunk_uuid")])
 
 
 def recall(index: VectorIndex, queries: DataFrame, k: int, probes: int, exact: DataFrame | None = None) -> float:

@@ -64,3 +64,19 @@ def test_names_with_the_same_beginning_meet_only_what_they_contain(spark):
     assert got == sorted((f"src{i}", f"src{j}") for i in range(300) for j in range(0, 300, 7) if str(i).startswith(str(j)))
     plan = search.containing(texts, needles)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "contains(" not in plan
+
+
+def test_nearest_of_a_task_are_those_of_all(spark):
+    """Cells send the best of a task for each query, ties to the smaller name, also with more ties than k."""
+    import numpy as np
+
+    from docmill.operators import vectors
+
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 50, axis=0)])
+    data = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(v)], "chunk_uuid string, embedding array<double>")
+    q = data.where("chunk_uuid >= 'v290'").select(F.col("chunk_uuid").alias("query_id"), "embedding")
+    made = vectors.build_index(data, 4)
+    mine = [tuple(r) for r in vectors.search(made, q, 7, made.cells, digits=6).select("query_id", "chunk_uuid", "score", "rank").collect()]
+    want = [tuple(r) for r in search.vector_topk(q, data, 7, digits=6).select("query_id", "chunk_uuid", "score", "rank").collect()]
+    assert sorted(mine) == sorted(want) and len(mine) == 60 * 7

@@ -207,11 +207,18 @@ def u1(spark, sf):
     return with_scorer(d, load, ["text"], "score", "double").drop("text")
 
 
+def arriving(rows, least: int, most_rows: int = 5_000) -> int:
+    """How many files the rows arrive as: at least so many, a multiple of it, and of about 5,000 documents at most, so that a file, which is one task's, doesn't grow with the table."""
+    return least * max(1, -(-rows.count() // (least * most_rows)))
+
+
 @register("st1_stream_ingest", "select doc_id, count(*) as n from (select doc_id, unnest(range(0, greatest(length(regexp_replace(coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), 1), 600)) from documents) group by doc_id")
 def st1(spark, sf):
     base = scratch(spark)
-    fx.table(spark, sf, "documents").select("doc_id", "text").repartition(5).write.parquet(f"{base}/inbox")
-    ingest.drain(ingest.stream_ingest(spark, f"{base}/inbox", f"{base}/out", f"{base}/ck", files_per_trigger=2))
+    d = fx.table(spark, sf, "documents").select("doc_id", "text")
+    n = arriving(d, 5)
+    d.repartition(n).write.parquet(f"{base}/inbox")
+    ingest.drain(ingest.stream_ingest(spark, f"{base}/inbox", f"{base}/out", f"{base}/ck", files_per_trigger=-(-2 * n // 5)))
     return spark.read.parquet(f"{base}/out").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -222,8 +229,9 @@ def st1_corpus(spark, sf):
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x21-\x7e]+", " "))
     folder = F.element_at(F.array(*map(F.lit, fx.FOLDERS)), (F.col("doc_id") % 3).cast("int") + 1)
     files = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), folder.alias("path"), text.alias("text"), F.lit("2024-05-01").cast("date").alias("ingest_date"), F.lit("2024-05-01").cast("timestamp").alias("ingestion_ts"))
-    files.repartition(4).write.parquet(f"{base}/inbox")
-    ingest.drain(ingest.stream_corpus(spark, f"{base}/inbox", f"{base}/table", f"{base}/status", f"{base}/ck", extract.taxonomy(spark), files_per_trigger=2))
+    n = arriving(files, 4)
+    files.repartition(n).write.parquet(f"{base}/inbox")
+    ingest.drain(ingest.stream_corpus(spark, f"{base}/inbox", f"{base}/table", f"{base}/status", f"{base}/ck", extract.taxonomy(spark), files_per_trigger=n // 2))
     chunks = snapshots.read_table(spark, f"{base}/table", "chunk_uuid", "ingestion_ts").select("doc_id", "tier").distinct()
     states = spark.read.parquet(f"{base}/status").select("doc_id", "status")
     own = fx.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, "ABC")), (F.col("doc_id") % 3).cast("int") + 1).alias("own"))

@@ -59,3 +59,26 @@ def test_x11_picks_first_rows_without_a_window(spark, kinds):
 def test_small_files_are_dealt_out(spark):
     t = fixtures.dealt(spark, "/root/testdata/sf0.001", "part", "p_partkey", "p_size")
     assert t.columns == ["p_partkey", "p_size"] and t.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_files_of_a_stream_do_not_grow(spark):
+    from docmill.plans.suites import report as suite
+
+    assert [suite.arriving(spark.range(n), 5) for n in (0, 10, 25_000, 25_001, 100_000)] == [5, 5, 5, 10, 20]
+
+
+def test_bm25_sends_the_best_of_each_task(spark):
+    """No row for each chunk and query is shuffled: the plan has no join of postings with questions."""
+    plan = QUERIES["k3_bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_a7_cuts_texts_once(spark):
+    """Pairs meet on stored rows, not on texts that are cut again for each side."""
+    from docmill.operators import graph
+
+    c = spark.createDataFrame([(1, "alpha"), (1, "beta x")], "query_id int, concept string")
+    chunks = spark.createDataFrame([("a", "Alpha, beta x."), ("b", "beta. x alpha")], "chunk_uuid string, content string")
+    out = graph.concept_cooccurrence(c, chunks)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(content") == 0
+    assert [(r.x, r.y, r.evidence, r.n_chunks) for r in out.collect()] == [("alpha", "beta x", "strong", 1)]

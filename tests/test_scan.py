@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docmill.operators import index, search
@@ -80,3 +81,15 @@ def test_nearest_of_a_task_are_those_of_all(spark):
     mine = [tuple(r) for r in vectors.search(made, q, 7, made.cells, digits=6).select("query_id", "chunk_uuid", "score", "rank").collect()]
     want = [tuple(r) for r in search.vector_topk(q, data, 7, digits=6).select("query_id", "chunk_uuid", "score", "rank").collect()]
     assert sorted(mine) == sorted(want) and len(mine) == 60 * 7
+
+
+def test_exact_vectors_meet_in_blocks_not_in_rows_of_arrays(spark):
+    """A row held 2,048 vectors and was copied for each query: K-1 over 1 GB failed by executor memory."""
+    rng = np.random.default_rng(3)
+    data = spark.createDataFrame([(f"c{i % 40}" if i else None, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(200)], "chunk_uuid string, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(30)], "query_id int, embedding array<double>")
+    found = search.vector_topk(q, data, 7, digits=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    whole, blocks = (sorted(tuple(r) for r in df.select("query_id", "score", "rank").collect()) for df in (found, search.vector_topk(q, data, 7, 400, 16, digits=6)))
+    assert whole == blocks and len(whole) > 100

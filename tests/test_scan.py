@@ -93,3 +93,30 @@ def test_exact_vectors_meet_in_blocks_not_in_rows_of_arrays(spark):
     assert "collect_list" not in plan and "Join" not in plan
     whole, blocks = (sorted(tuple(r) for r in df.select("query_id", "score", "rank").collect()) for df in (found, search.vector_topk(q, data, 7, 400, 16, digits=6)))
     assert whole == blocks and len(whole) > 100
+
+
+def test_texts_are_scored_in_their_own_row(spark):
+    """A row for each word of the corpus that is asked for was grouped: one task's memory grew with the corpus."""
+    from docmill.plans.suites import search as suite
+
+    plan = suite.k3(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "term" not in plan
+
+
+def test_phrases_and_aliases_are_found_in_one_pass(spark, monkeypatch):
+    """Each word or short substring of each chunk was a row of a shuffle; now a task sends its newest hits."""
+    data = corpus(spark).unionByName(corpus(spark).where("chunk_uuid < 'c0100'")).withColumn("ingestion_ts", F.when(F.col("chunk_uuid") != "c0007", F.date_trunc("minute", "ingestion_ts")))
+    p = spark.createDataFrame([(1, "risk the"), (1, "A plan"), (2, "a risk"), (3, "mfa a"), (4, "plan règle"), (5, "isk"), (6, None), (6, "zebra")], "query_id int, phrase string")
+    a = spark.createDataFrame([(1, "MFA"), (2, "isk"), (2, "e"), (3, "the a"), (4, "risks plan"), (5, ""), (6, "zebra")], "query_id int, alias string")
+    rows = sorted({(r.chunk_uuid, r.filename, r.content, r.ingestion_ts) for r in data.collect()}, key=lambda r: (r[3] is None, -r[3].timestamp() if r[3] else 0, r[0]))
+    main = {"risk the": "risk", "a plan": "plan", "a risk": "risk", "mfa a": "mfa", "plan règle": "règle"}
+    asked = {(r.query_id, r.phrase.lower()) for r in p.where("phrase != ''").collect()}
+    phrases = [(q, c, n + 1) for q in range(1, 6) for n, c in enumerate([c for c, _, t, _ in rows if any(x in t and main.get(x, x) in t.split() for i, x in asked if i == q)][:9])]
+    aliases = [(q, x, c, n + 1) for q, x in map(tuple, a.collect()) if x for n, c in enumerate([c for c, f, t, _ in rows if "src3" in f and x.lower() in t and x != "MFA"][:9])]
+    for most in (100, 2):
+        monkeypatch.setattr(search, "NEEDLES", most)
+        found, held = search.phrase_topk(p, data, 9), search.glossary_topk(a, data, "src3", 9)
+        assert sorted((r.query_id, r.chunk_uuid, r["rank"]) for r in found.collect()) == sorted(phrases) and len(phrases) > 20
+        assert sorted((r.query_id, r.alias, r.chunk_uuid, r["rank"]) for r in held.collect()) == sorted(aliases) and len(aliases) > 20
+        for df in (found, held):
+            assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()

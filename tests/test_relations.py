@@ -118,3 +118,18 @@ def test_charts_are_sanitised_after_they_are_chosen(spark):
     assert set(rows) == {1, 2} and rows[1].timeframe == "2019 vs 2024" and rows[2].timeframe == "NOT READABLE"
     assert [n.label for n in rows[1].numbers] == ["Sudan", "Nord"] and rows[1].n_points == 2 and "South" not in rows[1].text
     assert rows[1].confidence == report.normalize_chart_json(df).where("doc_id = 1").first().confidence
+
+
+def test_plain_model_output_is_read_as_it_is(spark):
+    """Texts were tidied by five patterns before the first reading, and acronyms found twice: the graph of a large corpus took over its time."""
+    raws = ['{"nodes": [{"id": "a ,]"}]}', '{"nodes": [{"id": "a\x01b"}]}', '{"nodes": [{"id": "a,]\x02"},]}', '{"nodes": [{"id": "x"},]}', '{"nodes": [{"id": “q”}]}', 'so: {"nodes": [{"id": "y"}]}', '```json\n{"nodes": [{"id": "z"}]}\n```', '{"nodes": [{"id": "lone \\d"}]}', '{"nodes": [', "", None, "none"]
+    out = graph.parse_llm_json(spark.createDataFrame(list(enumerate(raws)), "k long, raw string"))
+    assert out.columns == ["k", "raw", "ok", "parsed"]
+    rows = {r.k: r for r in out.collect()}
+    want = ["a ,]", "a b", "a] ", "x", "q", "y", "z", "lone \\\\d", None, None, None, None]
+    assert [rows[k].parsed.nodes[0].id if rows[k].ok else None for k in range(len(raws))] == want
+    assert all((r.parsed is None) == (not r.ok) for r in rows.values())
+    pairs = spark.createDataFrame([("c", "Part One")], "chunk_uuid string, canonical string").withColumn("acronym", F.regexp_replace("canonical", "[^A-Z]", ""))
+    found = graph.enrich_synonyms(spark.createDataFrame([("c", "po", ["x"]), ("c", "part one", None)], "chunk_uuid string, id string, synonyms array<string>"), pairs)
+    assert {r.id: r.synonyms for r in found.collect()} == {"po": ["x", "Part One"], "part one": ["PO"]}
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -133,3 +133,21 @@ def test_plain_model_output_is_read_as_it_is(spark):
     found = graph.enrich_synonyms(spark.createDataFrame([("c", "po", ["x"]), ("c", "part one", None)], "chunk_uuid string, id string, synonyms array<string>"), pairs)
     assert {r.id: r.synonyms for r in found.collect()} == {"po": ["x", "Part One"], "part one": ["PO"]}
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relations_and_formulas_carry_no_texts_through_ranks(spark):
+    """Formula texts were sorted with the ranks of all chunks, and each token of each end of an edge was a row: a task's memory grew with both."""
+    from docmill.plans.suites import graph as suite
+
+    e = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("b", "r", "a"), ("c", "r", "c"), ("a", "r", "z")], "source string, relation string, target string")
+    ents = spark.createDataFrame([("a", "red blue"), ("b", "blue green"), ("c", "red")], "entity_id string, name string")
+    t = spark.createDataFrame([(1, "red"), (1, "blue"), (1, "green"), (1, "red"), (2, "green")], "query_id int, token string")
+    got = sorted(tuple(r) for r in graph.search_relations(e, ents, t, 3).select("query_id", "rank", "source", "target", "hits").collect())
+    assert got == [(1, 1, "a", "b", 3), (1, 2, "b", "a", 3), (1, 3, "a", "z", 2), (2, 1, "a", "b", 1), (2, 2, "b", "a", 1)]
+    m = spark.createDataFrame([("c1", x) for x in range(9)] + [("c2", 8), ("c2", 8), ("c3", 77)], "chunk_uuid string, entity_id int")
+    f = spark.createDataFrame([(x, f"x{x % 2}", None, "m") for x in range(2, 9)], "formula_id int, latex string, plain string, meaning string")
+    s = spark.createDataFrame([(1, "c1"), (2, "c2"), (1, "c1"), (3, "c3")], "query_id int, chunk_uuid string")
+    out = graph.attach_formulas(s, m, f)
+    assert {r.query_id: r.content for r in out.collect()} == {1: "LaTeX: x0 | Plain:  | Meaning: m\nLaTeX: x1 | Plain:  | Meaning: m", 2: "LaTeX: x0 | Plain:  | Meaning: m"}
+    for query in (suite.j13, suite.j11):
+        assert "RepartitionByExpression" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import byte_values, materialize, slices, spread
+from docmill.llm.common import materialize, slices, spread
 
 SIDE = 2  # words seen on either side
 SIZE = 16  # numbers that stand for a word of the context
@@ -49,34 +49,66 @@ class Vocabulary(NamedTuple):
 
     def ids(self, text: bytes) -> tuple[np.ndarray, float]:
         """Context ids of a text's words, and the log probability of the spelling of those that are not in the vocabulary."""
-        get, n, m = self.words.get, len(self.words), self.buckets
-        parts = text.lower().split()
-        ids = [get(w, -1) for w in parts]
-        rare = [w for w, i in zip(parts, ids, strict=True) if i < 0]
-        if not rare:
-            return np.array(ids, np.uint16), 0.0
-        buckets = iter([n + zlib.crc32(w) % m for w in rare])
-        line = np.frombuffer(b" " + b" ".join(rare) + b" ", np.uint8)
-        spelt = self.spelling[line[:-1], line[1:]].sum()
-        return np.array([i if i >= 0 else next(buckets) for i in ids], np.uint16), float(spelt)
+        (ids,), (spelt,) = self.encoded(pa.array([text], pa.binary()), pa.array(list(self.words), pa.binary()))
+        return ids, spelt
+
+    def encoded(self, texts: pa.Array, words: pa.Array) -> tuple[list[np.ndarray], list[float]]:
+        """ids of each of the texts. words: those of the vocabulary in their order."""
+        flat, ends = split_words(texts)
+        ids = pc.index_in(flat, words).fill_null(-1).to_numpy(zero_copy_only=False)
+        rare = ids < 0
+        others = flat.filter(pa.array(rare)).dictionary_encode()
+        bucket = [len(words) + zlib.crc32(w) % self.buckets for w in others.dictionary.to_numpy(zero_copy_only=False)]
+        out = ids.astype(np.uint16)
+        out[rare] = np.array(bucket, np.uint16)[others.indices.to_numpy()]
+        # The rare words of each text in a line, a space at either end of each.
+        upto = np.concatenate([[0], np.cumsum(rare)])[ends].astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto), others.dictionary_decode()), pa.scalar(b" ", others.type.value_type))
+        spelling, spelt = self.spelling.ravel(), []
+        for line, n in zip(lines.to_pylist(), np.diff(upto).tolist(), strict=True):
+            each = np.frombuffer(b" " + line + b" ", np.uint8).astype(np.uint16)
+            spelt.append(float(spelling.take(each[:-1] * 256 + each[1:]).sum()) if n else 0.0)
+        return np.split(out, ends[1:-1]), spelt
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in their order, A-Z lowered, and where each text's begin and the last one's end. A word is a run of bytes other than ASCII white space; a null has none."""
+    said = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(as_text(said)))
+    flat = lists.flatten()
+    flat = flat.view(pa.large_binary() if pa.types.is_large_string(flat.type) else pa.binary())
+    some = pc.greater(pc.binary_length(flat), 0)  # nothing stands before white space at the beginning, and after that at the end
+    begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return flat.filter(some), np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[begins]
+
+
+def as_text(values: pa.Array) -> pa.Array:
+    """Strings of the same bytes, valid UTF-8 or not: the functions for ASCII ask for strings, but read bytes."""
+    if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
+        return values
+    return values.view(pa.large_string() if pa.types.is_large_binary(values.type) else pa.string())
 
 
 def word_counts(docs: DataFrame, most_held: int = 200_000) -> DataFrame:
     """(word binary, n long) over all whole texts. A task adds up its own counts and sends them on when it holds most_held words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return batch
+        held: list[pa.Table] = []
+
+        def added() -> pa.Table:
+            each = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return each.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        held: Counter = Counter()
         for batch in batches:
-            for text in byte_values(batch.column("text")):
-                held.update((text or b"").lower().split())
-                if len(held) > most_held:
-                    yield out()
-        yield out()
+            for part in slices(batch, "text"):
+                found = split_words(part.column("text"))[0].value_counts()
+                held.append(pa.table({"word": found.field(0).cast(pa.binary()), "n": found.field(1)}))
+                if sum(t.num_rows for t in held) > 2 * most_held:
+                    held[:] = [added()]
+                    if held[0].num_rows > most_held:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from added().to_batches()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -102,7 +134,7 @@ def spelling_counts(counts: DataFrame, known: frozenset[bytes]) -> np.ndarray:
 
 
 def build_vocabulary(docs: DataFrame, words: int = 8192, buckets: int = 1024, classes: int = CLASSES) -> Vocabulary:
-    """The `words` most frequent words of all docs (at most 60,000, as ids have 16 bits), `buckets` for the others, and classes of about equal root mass."""
+    """The `words` most frequent words of all docs (at most 60,000, as ids have 16 bits), `buckets` for the others, and classes of about equal root mass, the others being one of their own."""
     if not 0 < words <= 60_000 or not 0 < buckets <= 5_000:
         raise ValueError("ids have 16 bits: at most 60,000 words and 5,000 buckets")
     counts = materialize(word_counts(docs), "word-counts")
@@ -112,6 +144,7 @@ def build_vocabulary(docs: DataFrame, words: int = 8192, buckets: int = 1024, cl
     mass = np.sqrt(np.array([n for _, n in top] + [max(total - sum(n for _, n in top), 0)]) + 0.5)
     upto = np.cumsum(mass)
     edges = np.searchsorted(upto - mass / 2, upto[-1] * np.arange(classes) / classes)
+    edges = np.append(edges, len(top))  # what is not in the vocabulary is a class of its own
     followed = spelling_counts(counts, frozenset(ids)) + 0.1
     return Vocabulary(ids, buckets, np.unique(np.append(edges, len(mass))), np.log(followed / followed.sum(axis=1, keepdims=True)))
 
@@ -164,7 +197,18 @@ def by_class(first: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def reach(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """A bound of each outcome's number, either sign, as hidden numbers lie between -1 and 1. weights: [outcome, HIDDEN]."""
-    return np.abs(weights).sum(axis=1) + np.abs(bias)
+    return np.abs(weights) @ np.ones(weights.shape[1], weights.dtype) + np.abs(bias)
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by an exponential, which numpy takes several times faster in single precision."""
+    x += x
+    with np.errstate(over="ignore"):  # beyond that it is 1
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
 
 
 def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.ndarray, target: np.ndarray, exps: type = np.float64) -> np.ndarray:
@@ -178,16 +222,19 @@ def log_probabilities(parts: list[np.ndarray], first: np.ndarray, context: np.nd
     order, classes, groups = by_class(first, target)
     x = e.take(context.take(order, axis=0), axis=0).reshape(len(order), -1) @ w1
     x += b1
-    h = np.tanh(x.astype(exps)).astype(x.dtype)
+    h = tanh(x.astype(exps, copy=False)).astype(x.dtype, copy=False)
     rows = np.arange(len(order))
+    ones = np.ones(max(np.diff(first).max(), len(b2)), exps)
 
     def share(s: np.ndarray, bias: np.ndarray, most: float, at: np.ndarray) -> np.ndarray:
         s += bias
         if not most < 60:  # else no exponential is too large or too small
             s -= s.max(axis=1, keepdims=True)
-        each = s.astype(exps)
+        own = s.reshape(-1).take(rows[: len(s)] * s.shape[1] + at)
+        each = s.astype(exps, copy=False)
         np.exp(each, out=each)
-        return s[rows[: len(s)], at] - np.log(np.einsum("ij->i", each, dtype=np.float64))
+        total = each @ ones[: s.shape[1]] if s.dtype == exps else np.einsum("ij->i", each, dtype=np.float64)
+        return own - np.log(total)
 
     each = share(h @ w2, b2, reach(w2.T, b2).max(), classes)
     most = np.maximum.reduceat(reach(u, d), first[:-1])
@@ -205,29 +252,29 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
     e, w1, b1, w2, b2, u, d = parts
     order, classes, groups = by_class(first, target)
     context, target, n = context.take(order, axis=0), target[order], len(order)
-    rows = np.arange(n)
+    inner = target - first[classes]
+    ones, rows = np.ones(max(n, len(d)), d.dtype), np.arange(n)
     x = e.take(context, axis=0).reshape(n, -1)
-    h = np.tanh(x @ w1 + b1)
+    h = x @ w1
+    h += b1
+    tanh(h)
     loss = 0.0
 
     def slopes(s: np.ndarray, bias: np.ndarray, most: float, at: np.ndarray) -> np.ndarray:
-        """The gradient of the mean loss by s + bias, in place of s: what each outcome has, less one for the target, over n."""
+        """Turns s into the gradient of the mean loss by s + bias, but for a factor of each row, which is returned: the row's exponentials, less their sum at the target."""
         nonlocal loss
         s += bias
         if not most < 60:  # else no exponential is too large or too small
             s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
-        scale = 1 / (s @ np.ones(s.shape[1], s.dtype))
+        total = s @ ones[: s.shape[1]]
         at = rows[: len(s)] * s.shape[1] + at
         flat = s.reshape(-1)
-        loss -= float(np.log(flat.take(at) * scale + 1e-30).sum())
-        s *= (scale / n)[:, None]
-        flat[at] -= 1 / n
-        return s
-
-    most = np.maximum.reduceat(reach(u, d), first[:-1])
-    p = slopes(h @ w2, b2, reach(w2.T, b2).max(), classes)
-    gh = p @ w2.T
+        own = flat.take(at)
+        loss -= float(np.log(own / total + 1e-30).sum())
+        flat[at] = own - total
+        total *= n
+        return (1 / total)[:, None]
 
     def step(part: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
         square += grad * grad
@@ -235,14 +282,25 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
         grad /= np.sqrt(square)
         part -= grad
 
+    most = np.maximum.reduceat(reach(u, d), first[:-1]).tolist()
+    p = h @ w2
+    scale = slopes(p, b2, reach(w2.T, b2).max(), classes)
+    gh = p @ w2.T
+    gh *= scale
+    scaled = h * scale
+    gw2, gb2 = scaled.T @ p, scale[:, 0] @ p
     for c, a, b in groups:
         low, high = int(first[c]), int(first[c + 1])
         if high - low == 1:
             continue
-        q = slopes(h[a:b] @ u[low:high].T, d[low:high], most[c], target[a:b] - low)
-        gh[a:b] += q @ u[low:high]
-        step(u[low:high], squares[5][low:high], q.T @ h[a:b])
-        step(d[low:high], squares[6][low:high], q.sum(0))
+        own, out = h[a:b], u[low:high]
+        q = own @ out.T
+        scale = slopes(q, d[low:high], most[c], inner[a:b])
+        back = q @ out
+        back *= scale
+        gh[a:b] += back
+        step(out, squares[5][low:high], q.T @ (own * scale))
+        step(d[low:high], squares[6][low:high], scale[:, 0] @ q)
     gh *= 1 - h * h
     dx = (gh @ w1.T).reshape(-1, SIZE)
     flat = context.astype(np.uint16).ravel()
@@ -250,10 +308,10 @@ def descend(parts: list[np.ndarray], squares: list[np.ndarray], first: np.ndarra
     seen = flat[place]
     heads = np.concatenate([[0], np.flatnonzero(seen[1:] != seen[:-1]) + 1])
     de = np.add.reduceat(dx.take(place, axis=0), heads, axis=0)
-    step(w2, squares[3], h.T @ p)
-    step(b2, squares[4], p.sum(0))
+    step(w2, squares[3], gw2)
+    step(b2, squares[4], gb2)
     step(w1, squares[1], x.T @ gh)
-    step(b1, squares[2], gh.sum(0))
+    step(b1, squares[2], ones[:n] @ gh)
     seen = seen[heads]
     squares[0][seen] += de * de
     e[seen] -= rate * de / np.sqrt(squares[0][seen])
@@ -389,10 +447,11 @@ def score_documents(docs: DataFrame, words: int = 8192, rounds: int = 1) -> Data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*known.value)
+        words = pa.array(list(v.words), pa.binary())
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [v.ids(t or b"") for t in byte_values(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype("<u2").tobytes() for x, _ in out], pa.binary()), pa.array([s for _, s in out], pa.float64()), part.column("h1"), part.column("h2")], ["doc_id", "ids", "spelt", "h1", "h2"])
+                own, spelt = v.encoded(part.column("text"), words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype("<u2").tobytes() for x in own], pa.binary()), pa.array(spelt, pa.float64()), part.column("h1"), part.column("h2")], ["doc_id", "ids", "spelt", "h1", "h2"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))

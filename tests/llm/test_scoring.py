@@ -180,3 +180,27 @@ def test_several_learners_are_averaged(spark):
             scoring.descend(parts, [np.full_like(p, 1e-3) for p in parts], v.first, context, scoring.outcome(v, target), 0.1)
             ends.append(flat)
     assert len(ends) > 4 and np.abs(got - np.mean(ends, axis=0)).max() < 1e-6
+
+
+def test_columns_of_texts_against_a_plain_loop(spark):
+    """Counting and encoding take whole columns; words outside the vocabulary are a class of their own, so no sum over rare words is worked out for them."""
+    import zlib
+
+    import pyarrow as pa
+
+    said = ["a B\x0bb \x1cq q", "", None, " \t", "B", "  zz a\r\nÄa "]
+    v = small(["a", "b"], (0, 1, 3))._replace(spelling=np.random.default_rng(3).standard_normal((256, 256)))
+    plain = []
+    for t in said:
+        words = (t or "").encode().lower().split()
+        rare = [w for w in words if w not in v.words]
+        spelt = sum(v.spelling[x, y] for w in rare for x, y in zip(b" " + w, w + b" ", strict=True))
+        plain.append(([v.words.get(w, 2 + zlib.crc32(w) % 3) for w in words], spelt))
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        values = [t and t.encode() for t in said] if kind == pa.binary() else said
+        for column, want in ((pa.array(values, kind), plain), (pa.array(values * 2, kind).slice(4, 5), (plain * 2)[4:9])):
+            ids, spelt = v.encoded(column, pa.array(list(v.words), pa.binary()))
+            assert [x.tolist() for x in ids] == [i for i, _ in want] and np.allclose(spelt, [s for _, s in want])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*said, "a a a b b c d e f g"])], "doc_id long, text string")
+    made = scoring.build_vocabulary(df, words=6, classes=3)
+    assert made.first[-2:].tolist() == [len(made.words), len(made.words) + 1]

@@ -82,3 +82,11 @@ def test_a7_cuts_texts_once(spark):
     out = graph.concept_cooccurrence(c, chunks)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(content") == 0
     assert [(r.x, r.y, r.evidence, r.n_chunks) for r in out.collect()] == [("alpha", "beta x", "strong", 1)]
+
+
+def test_p17_of_blank_texts_is_empty(spark, tmp_path):
+    """The heading's line end was stripped where no text followed, so the heading stayed; Unicode's spaces stayed at the ends."""
+    texts = ["null", "''", "' '", "chr(10)", "chr(9) || chr(10)", "'Doc: x' || chr(10) || 'y'", "'Doc: x'", "chr(160)", "chr(12288) || ' a' || chr(160) || 'b ' || chr(8195)", "repeat('x', 1799) || '  yz'"]
+    put(tmp_path, "documents", f"select i::bigint as doc_id, t as text, 'en' as lang, 'src0' as source, 0::bigint as n_chars from (values {', '.join(f'({i}, {t})' for i, t in enumerate(texts))}) as v(i, t)")
+    mine, sql = both(spark, tmp_path, "p17_embedding_text", "documents")
+    assert mine == sql and [t for _, t in mine[:8]] == ["", "", "", "", "", "Doc: x y", "Doc: x", ""] and mine[8][1] == "a\u00a0b"

@@ -4,8 +4,9 @@ import json
 from collections import Counter
 
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docmill.operators import fuse, graph, report
+from docmill.operators import fuse, graph, report, scan
 from docmill.plans import pipelines
 
 
@@ -151,3 +152,49 @@ def test_relations_and_formulas_carry_no_texts_through_ranks(spark):
     assert {r.query_id: r.content for r in out.collect()} == {1: "LaTeX: x0 | Plain:  | Meaning: m\nLaTeX: x1 | Plain:  | Meaning: m", 2: "LaTeX: x0 | Plain:  | Meaning: m"}
     for query in (suite.j13, suite.j11):
         assert "RepartitionByExpression" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_concepts_meet_where_a_chunk_is(spark, monkeypatch):
+    """Each concept of each sentence was a row, written small enough to be broadcast and too large for the driver: A-7 failed by its memory over 0.1 GB."""
+    import random
+    import re
+
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "règle", "a", "b"]
+    texts = [(i % 280 if i else None, rng.choice([None, "", "Alpha, beta"]) if i % 20 == 0 else "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "\n", ", "]) for _ in range(rng.randrange(1, 20)))) for i in range(300)]
+    asks = [(1, "Alpha"), (1, "alpha,"), (1, "beta a"), (1, "gamma"), (1, None), (2, "alpha"), (2, "a b a"), (2, "zebra"), (2, "--"), (3, "règle"), (3, "gamma"), (3, "beta a")]
+    graph_split = lambda t: re.split(r"[.;!?][ \n]+|\n", t)
+    sources = [(q, rng.randrange(300)) for q in (1, 2, 4) for _ in range(80)]
+
+    def plain(own):
+        low = [(n, t) for n, t in texts if t is not None and n is not None]
+        lines = {}
+        for n, t in low:
+            cut = [" ".join("".join(c if c.isalnum() else " " for c in s).split()) for s in graph_split(t.lower())]
+            lines.setdefault(n, []).append(cut)
+        out = {}
+        for q in {q for q, _ in asks}:
+            names = sorted({c.lower() for x, c in asks if x == q and c is not None})
+            for i, x in enumerate(names):
+                for y in names[i + 1 :]:
+                    spots = {c: {n: {s for cut in cuts for s, t in enumerate(cut) if c.strip(",-") and f" {c.strip(',-')} " in f" {t} "} for n, cuts in lines.items() if own is None or (q, n) in own} for c in (x, y)}
+                    both = [(not spots[x][n] & spots[y][n], n) for n in spots[x] if spots[x][n] and spots[y][n]]
+                    out[q, x, y] = ("not_found", 0) if not both else ("weak" if min(both)[0] else "strong", len(both))
+        return out
+
+    c = spark.createDataFrame(asks, "query_id long, concept string")
+    chunks = spark.createDataFrame(texts, "chunk_uuid long, content string").repartition(5)
+    s = spark.createDataFrame(sources, "query_id long, chunk_uuid long")
+    for most in (100, 2):
+        monkeypatch.setattr(graph, "PAIRS", most)
+        for own, known in ((None, None), (set(sources), s)):
+            out = graph.concept_cooccurrence(c, chunks, sources=known)
+            assert {(r.query_id, r.x, r.y): (r.evidence, r.n_chunks) for r in out.collect()} == plain(own)
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "explode" not in plan and "split(" not in plan
+    lines = chunks.where("content is not null").selectExpr("chunk_uuid", "transform(split(lower(content), '[.;!?][ \n]+|\n'), s -> split(s, '[^a-zè]+')) as t")
+    schema = StructType([StructField("chunk_uuid", LongType()), *[StructField(x, ArrayType(IntegerType())) for x in "cs"]])
+    sent = lines.mapInArrow(scan.concepts_in([(4, ["alpha"]), (9, ["beta", "a"])], to_arrow_schema(schema)), schema).collect()
+    assert 0 < len(sent) <= 300 and all(len(r.c) == len(r.s) and set(r.c) <= {4, 9} for r in sent)

@@ -120,3 +120,22 @@ def test_phrases_and_aliases_are_found_in_one_pass(spark, monkeypatch):
         assert sorted((r.query_id, r.alias, r.chunk_uuid, r["rank"]) for r in held.collect()) == sorted(aliases) and len(aliases) > 20
         for df in (found, held):
             assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_meet_the_files_of_their_scope(spark, monkeypatch):
+    """The words of a chunk were an array in each row of a query and chunk, and each part of a name was a row: K-6 over 1 GB failed by disk."""
+    data = corpus(spark, 60).withColumn("filename", F.concat(F.lit("src"), (F.expr("cast(substring(chunk_uuid, 2) as int)") % 23).cast("string"), F.lit(".md")))
+    q = spark.createDataFrame([(1, "src1.pdf", ["the", "mfa", "the", "", "a\nb"]), (2, "src12.pdf", ["règle", "risk"]), (3, "x", ["the"]), (4, None, ["the"]), (5, "src22.pdf", None), (6, "src3.pdf", [])], "query_id int, active_doc string, terms array<string>")
+    rows = {(r.chunk_uuid, r.filename, r.content, r.ingestion_ts) for r in data.collect()}
+    want = set()
+    for who, doc, terms in q.collect():
+        name = (doc or "").replace(".pdf", "")
+        own = [(sum(w in (terms or []) for w in t.split()), at, c) for c, f, t, at in rows if name and (name in f[:-3] or f[:-3] in name)]
+        for rank, (n, _, c) in enumerate(sorted(own, key=lambda x: (-x[0], -x[1].timestamp(), x[2]))[:5], 1):
+            want.add((who, c, round(n * 0.1 or 0.001, 6), rank))
+    held = data.select("chunk_uuid", search.words(F.col("content")).alias("w"))
+    for most, words in ((100, held), (2, data.select("chunk_uuid", "filename", search.words(F.col("content")).alias("w")))):
+        monkeypatch.setattr(search, "NEEDLES", most)
+        found = search.doc_scope_topk(q, data, lambda ids: words, 5)  # noqa: B023
+        assert {(r.query_id, r.chunk_uuid, round(r.score, 6), r["rank"]) for r in found.collect()} == want and len(want) > 15
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

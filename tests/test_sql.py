@@ -90,3 +90,18 @@ def test_p17_of_blank_texts_is_empty(spark, tmp_path):
     put(tmp_path, "documents", f"select i::bigint as doc_id, t as text, 'en' as lang, 'src0' as source, 0::bigint as n_chars from (values {', '.join(f'({i}, {t})' for i, t in enumerate(texts))}) as v(i, t)")
     mine, sql = both(spark, tmp_path, "p17_embedding_text", "documents")
     assert mine == sql and [t for _, t in mine[:8]] == ["", "", "", "", "", "Doc: x y", "Doc: x", ""] and mine[8][1] == "a\u00a0b"
+
+
+def test_j13_takes_all_formulas_of_a_chunk(spark, tmp_path):
+    """Formulas after the sixth of a chunk were left out, in the query and in its SQL."""
+    put(tmp_path, "lineitem", "select 7::bigint as l_orderkey, i::bigint as l_partkey from range(9) as r(i) union all select 8, 3")
+    put(tmp_path, "orders", "select * from (values (7::bigint), (8), (9)) as v(o_orderkey)")
+    put(tmp_path, "part", "select i::bigint as p_partkey, i::int as p_size, 'b' as p_brand, 't' as p_type from range(8) as r(i)")
+    mine, sql = both(spark, tmp_path, "j13_attach_formulas", "lineitem", "orders", "part")
+    assert mine == sql and [(q, text.count("LaTeX")) for q, text, _ in mine] == [(7, 8), (8, 1)]
+    from docmill.operators import graph
+
+    m = spark.createDataFrame([("c", i) for i in range(9)], "chunk_uuid string, entity_id int")
+    f = spark.createDataFrame([(i, f"x{i}", None, None) for i in range(9)], "formula_id int, latex string, plain string, meaning string")
+    s = spark.createDataFrame([(1, "c")], "query_id int, chunk_uuid string")
+    assert [graph.attach_formulas(s, m, f, k).first().content.count("LaTeX") for k in (None, 6)] == [9, 6]

@@ -198,3 +198,26 @@ def test_pairs_of_concepts_meet_where_a_chunk_is(spark, monkeypatch):
     schema = StructType([StructField("chunk_uuid", LongType()), *[StructField(x, ArrayType(IntegerType())) for x in "cs"]])
     sent = lines.mapInArrow(scan.concepts_in([(4, ["alpha"]), (9, ["beta", "a"])], to_arrow_schema(schema)), schema).collect()
     assert 0 < len(sent) <= 300 and all(len(r.c) == len(r.s) and set(r.c) <= {4, 9} for r in sent)
+
+
+def test_entities_need_no_edges_and_synonyms_meet_chunks(spark, monkeypatch):
+    """C-2 wrote the edges for the entities too, and shuffled each entity of each chunk to its synonyms: it failed by disk."""
+    pairs = spark.createDataFrame([("c", "Part One", "PO"), ("c", "Part Two", "PO"), ("c", "Part One", "PO"), ("c", None, "X"), ("d", "po", None)], "chunk_uuid string, canonical string, acronym string")
+    chunks = spark.createDataFrame([("c",), ("d",), ("e",)], "chunk_uuid string")
+    rows = {r.chunk_uuid: r.found for r in graph.with_synonyms(chunks, pairs).collect()}
+    assert rows == {"c": {"part one": ["PO"], "part two": ["PO"], "po": ["Part One", "Part Two"]}, "d": {}, "e": None}
+    one = spark.createDataFrame([(i, c, []) for c in "cde" for i in ("PO", "part ONE", "x")], "id string, chunk_uuid string, synonyms array<string>")
+    want = {(r.id, r.chunk_uuid): r.synonyms for r in graph.enrich_synonyms(one, pairs).collect()}
+    assert {(r.id, r.chunk_uuid): list((rows[r.chunk_uuid] or {}).get(r.id.lower(), [])) for r in one.collect()} == want
+    written = []
+    keep = pipelines.stored
+    monkeypatch.setattr(pipelines, "stored", lambda df, path: written.append(path.rsplit("/", 1)[1].rsplit("-", 1)[0]) or keep(df, path))
+    raw = spark.createDataFrame([(1, 1, '{"nodes": [{"id": "PO"}, {"id": "b"}], "edges": [{"source": "PO", "target": "b"}]}')], "doc_id int, page_no int, raw string")
+    canon = spark.createDataFrame([], "raw_relation string, verb string, object string, qualifier string")
+    texts = spark.createDataFrame([(1, 1, "c", "f", "Part One (PO) is")], "doc_id int, page_no int, chunk_uuid string, filename string, content string").withColumn("ingestion_ts", F.current_timestamp())
+    made = pipelines.build_graph(raw, canon, texts, parts=("entities", "mentions"))
+    assert set(made) == {"entities", "mentions"} and written == ["graph-rows"]
+    whole = pipelines.build_graph(raw, canon, texts)
+    assert set(whole) == set(pipelines.GRAPH) and whole["edges"].count() == 1
+    for out in (made, whole):
+        assert {r.id: r.synonyms for r in out["entities"].collect()} == {"PO": ["Part One"], "b": []}

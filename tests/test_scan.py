@@ -139,3 +139,21 @@ def test_terms_meet_the_files_of_their_scope(spark, monkeypatch):
         found = search.doc_scope_topk(q, data, lambda ids: words, 5)  # noqa: B023
         assert {(r.query_id, r.chunk_uuid, round(r.score, 6), r["rank"]) for r in found.collect()} == want and len(want) > 15
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_looked_up_as_columns(spark, tmp_path):
+    """Each word of a chunk was looked up by itself, so C-3 over 6 GB failed by time; sums are those of before, added up in the order of the words."""
+    import inspect
+
+    from docmill.operators import scan
+
+    source = inspect.getsource(scan.scorer)
+    assert "index_in" in source and "Counter" not in source
+    idx = index.build_index(corpus(spark), str(tmp_path / "i"))
+    n, mean = index.corpus_size(idx)
+    q = spark.createDataFrame([(1, ["the", "the", "zebra", None, ""]), (2, ["zebra"]), (3, ["mfa", "règle"]), (4, [])], "query_id int, terms array<string>")
+    for method in ("count", "bm25"):
+        mine = index.best_texts(q, index.chunk_words(idx), 9, method, n, mean, 6)
+        want = search.text_topk(q, search.inverted_index(corpus(spark)), 9, method, n_chunks=n, mean_length=mean, digits=6)
+        rows = [sorted(map(tuple, df.select("query_id", "chunk_uuid", "score", "rank").collect())) for df in (mine, want)]
+        assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {1, 3}
